@@ -68,3 +68,18 @@ def partitions_for(spark: SparkSession, rows: int, per_partition: int, most: int
     """Partitions that hold about so many rows each; at least the session's shuffle setting."""
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(most, -(-rows // per_partition)))
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches hold few rows, as whole texts are wide; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(rows))
+
+
+def small_or_shuffled(df: DataFrame, row_bytes: int, most_bytes: int = 8 << 20) -> DataFrame:
+    """A table to join with: broadcast if its counted rows prove small, else left to a shuffle join.
+
+    `df` should be cheap to count, such as a checkpointed table.
+    """
+    return F.broadcast(df) if df.count() * row_bytes <= most_bytes else df

@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import mixing
-from weftline.llm.common import table
+from weftline.llm import mixing, warc
+from weftline.llm.common import shared_folder, table
+
+
+def op1_warc_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    return warc.page_records(spark, path)
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,9 +19,11 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc_splits": op1_warc_splits,
     "op6_mix_sources": op6_mix_sources,
 }
 
 ORACLE_SQL = {
+    "op1_warc_splits": warc.ORACLE,
     "op6_mix_sources": mixing.ORACLE,
 }
