@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import mixing, warc
+from weftline.llm import mixing, warc, wavelet
 from weftline.llm.common import shared_folder, table
 
 
@@ -14,12 +15,19 @@ def op1_warc_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(spark, path)
 
 
+def op3_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "wavelet")
+    wavelet.write_shards(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return wavelet.read_documents(spark, path)
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES = {
     "op1_warc_splits": op1_warc_splits,
+    "op3_wavelet_matrix": op3_wavelet_matrix,
     "op6_mix_sources": op6_mix_sources,
 }
 
