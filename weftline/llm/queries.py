@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import mixing, warc, wavelet
+from weftline.llm import bpe, matroska, mixing, warc, wavelet
 from weftline.llm.common import shared_folder, table
 
 
@@ -15,19 +15,29 @@ def op1_warc_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(spark, path)
 
 
+def op2_matroska_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.features(matroska.encode(table(spark, sf_dir, "documents")))
+
+
 def op3_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "wavelet")
     wavelet.write_shards(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return wavelet.read_documents(spark, path)
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES = {
     "op1_warc_splits": op1_warc_splits,
+    "op2_matroska_packets": op2_matroska_packets,
     "op3_wavelet_matrix": op3_wavelet_matrix,
+    "op4_byte_bpe": op4_byte_bpe,
     "op6_mix_sources": op6_mix_sources,
 }
 

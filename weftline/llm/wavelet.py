@@ -61,7 +61,8 @@ def build(ids: np.ndarray, meta: dict) -> bytes:
         counts = [int(np.bitwise_count(x).sum(dtype=np.int64)) for x in blocks]
         ranks.append(np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).tolist())
         planes.append([squeeze(x.tobytes()) for x in blocks])
-        cur = np.concatenate([cur[~ones], cur[ones]])
+        # index lists: boolean masks of random bits are several times slower
+        cur = np.concatenate([cur.take(np.flatnonzero(~ones)), cur.take(np.flatnonzero(ones))])
         zeros.append(len(cur) - ranks[-1][-1])
     docs = squeeze(np.asarray(meta.pop("docs"), "<i8").tobytes())
     head = meta | {"n": len(ids), "bits": bits, "zeros": zeros, "ranks": ranks, "sizes": [[len(x) for x in p] for p in planes], "docs": len(docs)}
@@ -172,8 +173,8 @@ class Shard:
             packed = [np.frombuffer(self._unpack(self._data[a:b]), np.uint8) for a, b in zip(self._places[level], self._places[level][1:], strict=False)]
             ones = np.unpackbits(np.concatenate(packed), count=self.n, bitorder="little").view(bool) if packed else np.zeros(0, bool)
             up = np.empty(self.n, kind)
-            up[~ones] = cur[: self.zeros[level]]
-            up[ones] = cur[self.zeros[level] :] | kind(1 << (self.bits - 1 - level))
+            up[np.flatnonzero(~ones)] = cur[: self.zeros[level]]
+            up[np.flatnonzero(ones)] = cur[self.zeros[level] :] | kind(1 << (self.bits - 1 - level))
             cur = up
         return cur
 
