@@ -39,8 +39,24 @@ def token_bytes(path: str):
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
+        sizes = np.zeros(tokenizer.get_vocab_size(), np.int64)  # bytes of each token: byte-level symbols stand for a byte each
+        for symbols, i in tokenizer.get_vocab().items():
+            sizes[i] = len(symbols)
+
         def encode(pieces: list[str]):
-            return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            """Pieces of a space and a word go to the library as one text, cut by the tokens' bytes afterwards."""
+            plain = [p for p in pieces if len(p) > 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace()]
+            odd = list(set(pieces).difference(plain))
+            found = dict(zip(odd, (np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(odd, add_special_tokens=False)), strict=True))
+            for i in range(0, len(plain), 20_000):
+                part = plain[i : i + 20_000]
+                ids = np.array(tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
+                ends = np.cumsum([len(p.encode()) for p in part])
+                cuts = np.searchsorted(np.cumsum(sizes[ids]), ends) + 1
+                data, at = ids.tobytes(), 0
+                for p, end in zip(part, (4 * cuts).tolist(), strict=True):
+                    found[p], at = data[at:end], end
+            return [found[p] for p in pieces]
 
         _ENCODERS[path] = Memo(encode)
     return _ENCODERS[path]
