@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import bpe, matroska, mixing, warc, wavelet
+from weftline.llm import bpe, matroska, mixing, simhash, warc, wavelet
 from weftline.llm.common import shared_folder, table
 
 
@@ -29,6 +29,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -38,6 +42,7 @@ QUERIES = {
     "op2_matroska_packets": op2_matroska_packets,
     "op3_wavelet_matrix": op3_wavelet_matrix,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_simhash_balls": op5_simhash_balls,
     "op6_mix_sources": op6_mix_sources,
 }
 
