@@ -5,10 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
-_RUN = re.compile(r"\s\s|\x00")
-#: A comma or full stop that may belong to a longer run of signs, or follow a space.
-_SIGNS = re.compile(r"(?:[^\w]|_|^)[.,]")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+_OTHER = re.compile(r"[^\S \n]|\x00")
 
 
 def cut(text: str) -> list[str]:
@@ -16,15 +14,12 @@ def cut(text: str) -> list[str]:
 
     In the public byte-level pattern a space before a non-space always begins a
     match when a non-space precedes it, and a line break between non-spaces is a
-    match of its own; a comma or full stop after a letter or digit begins one too.
-    Texts with runs of white space are cut only at lone spaces.
+    match of its own. Texts with runs of white space, or with other white space
+    than spaces and line breaks, are cut only at lone spaces.
     """
-    if _RUN.search(text):
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1].isspace() or text[-1:].isspace() or _OTHER.search(text):
         return _CUT.split(text)
-    text = text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ")
-    if not _SIGNS.search(text):  # else they stay with what stands before them
-        text = text.replace(",", "\x00,").replace(".", "\x00.")
-    return text.split("\x00")
+    return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
 
 
 class Memo:
@@ -34,7 +29,7 @@ class Memo:
     dropped, so frequent pieces stay and memory is bounded by twice `most`.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable], most: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], Iterable], most: int = 600_000):
         self.encode, self.most = encode, most
         self.young: dict = {}
         self.old: dict = {}

@@ -25,6 +25,7 @@ from weftline.llm.pieces import Memo, cut
 MAGIC = b"WVMX"
 BLOCK = 1 << 15  # bytes of a plane that are compressed together
 SHARD_TOKENS = 1 << 22
+STRIDE = 1 << 15
 _ENCODERS: dict = {}
 
 
@@ -77,9 +78,15 @@ def build(ids: np.ndarray, meta: dict) -> bytes:
         counts = [int(np.bitwise_count(x).sum(dtype=np.int64)) for x in blocks]
         ranks.append(np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).tolist())
         planes.append([squeeze(x.tobytes()) for x in blocks])
-        # index lists: boolean masks of random bits are several times slower
-        cur = np.concatenate([cur.take(np.flatnonzero(~ones)), cur.take(np.flatnonzero(ones))])
         zeros.append(len(cur) - ranks[-1][-1])
+        down, z, o = np.empty_like(cur), 0, zeros[-1]
+        for i in range(0, len(cur), STRIDE):  # short index lists stay in cache; masks of random bits are several times slower
+            part, mask = cur[i : i + STRIDE], ones[i : i + STRIDE]
+            low, high = np.flatnonzero(~mask), np.flatnonzero(mask)
+            part.take(low, out=down[z : z + len(low)], mode="clip")
+            part.take(high, out=down[o : o + len(high)], mode="clip")
+            z, o = z + len(low), o + len(high)
+        cur = down
     docs = squeeze(np.asarray(meta.pop("docs"), "<i8").tobytes())
     head = meta | {"n": len(ids), "bits": bits, "zeros": zeros, "ranks": ranks, "sizes": [[len(x) for x in p] for p in planes], "docs": len(docs)}
     packed_head = zlib.compress(json.dumps(head).encode())
@@ -189,8 +196,13 @@ class Shard:
             packed = [np.frombuffer(self._unpack(self._data[a:b]), np.uint8) for a, b in zip(self._places[level], self._places[level][1:], strict=False)]
             ones = np.unpackbits(np.concatenate(packed), count=self.n, bitorder="little").view(bool) if packed else np.zeros(0, bool)
             up = np.empty(self.n, kind)
-            up[np.flatnonzero(~ones)] = cur[: self.zeros[level]]
-            up[np.flatnonzero(ones)] = cur[self.zeros[level] :] | kind(1 << (self.bits - 1 - level))
+            z, o, bit = 0, self.zeros[level], kind(1 << (self.bits - 1 - level))
+            for i in range(0, self.n, STRIDE):
+                part, mask = up[i : i + STRIDE], ones[i : i + STRIDE]
+                low, high = np.flatnonzero(~mask), np.flatnonzero(mask)
+                part[low] = cur[z : z + len(low)]
+                part[high] = cur[o : o + len(high)] | bit
+                z, o = z + len(low), o + len(high)
             cur = up
         return cur
 
