@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import bpe, matroska, mixing, simhash, warc, wavelet
+from weftline.llm import bpe, matroska, mixing, repeats, simhash, warc, wavelet
 from weftline.llm.common import shared_folder, table
 
 
@@ -37,6 +37,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc_splits": op1_warc_splits,
     "op2_matroska_packets": op2_matroska_packets,
@@ -44,6 +48,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_simhash_balls": op5_simhash_balls,
     "op6_mix_sources": op6_mix_sources,
+    "op7_suffix_repeats": op7_suffix_repeats,
 }
 
 ORACLE_SQL = {
