@@ -29,7 +29,7 @@ class Memo:
     dropped, so frequent pieces stay and memory is bounded by twice `most`.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable], most: int = 600_000):
+    def __init__(self, encode: Callable[[list[str]], Iterable], most: int = 750_000):
         self.encode, self.most = encode, most
         self.young: dict = {}
         self.old: dict = {}
@@ -39,12 +39,9 @@ class Memo:
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        missing = []
-        for p in pieces - young.keys():
-            if p in old:
-                young[p] = old[p]
-            else:
-                missing.append(p)
-        for p, v in zip(missing, self.encode(missing) if missing else (), strict=True):
-            young[p] = v
+        missing = [p for p in pieces if p not in young]
+        if old:
+            young.update([(p, old[p]) for p in missing if p in old])
+            missing = [p for p in missing if p not in old]
+        young.update(zip(missing, self.encode(missing), strict=True))
         return young

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import bpe, matroska, mixing, repeats, simhash, warc, wavelet
+from weftline.llm import bpe, matroska, merkle, mixing, repeats, simhash, warc, wavelet
 from weftline.llm.common import shared_folder, table
 
 
@@ -41,6 +41,10 @@ def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removed(table(spark, sf_dir, "documents"))
 
 
+def op10_merkle_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edits(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc_splits": op1_warc_splits,
     "op2_matroska_packets": op2_matroska_packets,
@@ -49,9 +53,11 @@ QUERIES = {
     "op5_simhash_balls": op5_simhash_balls,
     "op6_mix_sources": op6_mix_sources,
     "op7_suffix_repeats": op7_suffix_repeats,
+    "op10_merkle_edits": op10_merkle_edits,
 }
 
 ORACLE_SQL = {
     "op1_warc_splits": warc.ORACLE,
     "op6_mix_sources": mixing.ORACLE,
+    "op10_merkle_edits": merkle.ORACLE,
 }

@@ -44,20 +44,30 @@ def token_bytes(path: str):
         for symbols, i in tokenizer.get_vocab().items():
             sizes[i] = len(symbols)
 
-        def encode(pieces: list[str]):
-            """Pieces of a space and a word go to the library as one text, cut by the tokens' bytes afterwards."""
-            plain = [p for p in pieces if len(p) > 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace()]
-            odd = list(set(pieces).difference(plain))
-            found = dict(zip(odd, (np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(odd, add_special_tokens=False)), strict=True))
-            for i in range(0, len(plain), 20_000):
-                part = plain[i : i + 20_000]
-                ids = np.array(tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
-                ends = np.cumsum([len(p.encode()) for p in part])
-                cuts = np.searchsorted(np.cumsum(sizes[ids]), ends) + 1
-                data, at = ids.tobytes(), 0
-                for p, end in zip(part, (4 * cuts).tolist(), strict=True):
-                    found[p], at = data[at:end], end
-            return [found[p] for p in pieces]
+        def joined(words: list[str], lead: str) -> Iterator[bytes]:
+            """Ids of words without white space, each after `lead`, from one text that is cut by the tokens' bytes."""
+            for i in range(0, len(words), 20_000):
+                part = words[i : i + 20_000]
+                ids = np.array(tokenizer.encode_batch_fast([lead + lead.join(part)], add_special_tokens=False)[0].ids, "<u4")
+                ends = np.cumsum(np.fromiter(map(len, map(str.encode, part)), np.int64, len(part)) + 1)
+                cuts = 4 * (np.searchsorted(np.cumsum(sizes[ids]), ends) + 1)
+                data, skip = ids.tobytes(), 4 * (lead == "\n")  # a line break is one id of its own
+                starts = (np.concatenate([[0], cuts[:-1]]) + skip).tolist()
+                yield from [data[x:y] for x, y in zip(starts, cuts.tolist(), strict=True)]
+
+        def encode(pieces: list[str]) -> list[bytes]:
+            """Words go to the library in large texts; pieces with white space inside go one by one."""
+            spaced = [p[1:] for p in pieces if p[:1] == " "]
+            plain = len(" ".join(spaced).split()) == len(spaced) == " ".join(spaced).count(" ") + 1
+            if not plain:
+                spaced = [w for w in spaced if len(w.split()) == 1 and w.strip() == w]
+            found = dict(zip([" " + w for w in spaced], joined(spaced, " "), strict=True))
+            rest = [p for p in pieces if p not in found]
+            lone = [p for p in rest if len(p.split()) == 1 and p.strip() == p]
+            found.update(zip(lone, joined(lone, "\n"), strict=True))
+            odd = [p for p in rest if p not in found]
+            found.update(zip(odd, (np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(odd, add_special_tokens=False)), strict=True))
+            return list(map(found.__getitem__, pieces))
 
         _ENCODERS[path] = Memo(encode)
     return _ENCODERS[path]
