@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import bpe, matroska, merkle, mixing, repeats, simhash, warc, wavelet
+from weftline.llm import bpe, language, matroska, merkle, mixing, quality, repeats, simhash, warc, wavelet
 from weftline.llm.common import shared_folder, table
 
 
@@ -41,6 +41,15 @@ def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removed(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.scores(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_merkle_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edits(table(spark, sf_dir, "documents"))
 
@@ -53,6 +62,8 @@ QUERIES = {
     "op5_simhash_balls": op5_simhash_balls,
     "op6_mix_sources": op6_mix_sources,
     "op7_suffix_repeats": op7_suffix_repeats,
+    "op8_quality_fm": op8_quality_fm,
+    "op9_language_profiles": op9_language_profiles,
     "op10_merkle_edits": op10_merkle_edits,
 }
 
