@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import WORD, checkpointed
+from weftline.llm.common import WORD, checkpointed, small_or_shuffled
 
 #: Fixed by the query's contract: sources in code-point order weigh 3, 1, 2, and so on.
 CYCLE = (3, 1, 2)
@@ -26,9 +26,10 @@ def source_targets(sized: DataFrame, cycle=CYCLE, share: float = SHARE, most: fl
 
     The excess over a source's limit goes to the others by weight until none is
     above. That fixed point is a water level: targets are least(limit, level *
-    weight). Sources are sorted by limit / weight; the level is found at the first
-    source whose limit the level does not reach, with prefix sums over the (few)
-    sources. A source of no words gets 0.
+    weight). Sources are sorted by limit / weight; with all before a source filled,
+    the rest share one level, which rises up to the first source whose limit it does
+    not reach and falls after it: so the highest level below its source's limit is
+    the one. Prefix sums run over the (few) sources. A source of no words gets 0.
     Input: src, size. Output: src, source_size, target, rate.
     """
     totals = sized.groupBy("src").agg(F.sum("size").alias("source_size"))
@@ -44,7 +45,7 @@ def source_targets(sized: DataFrame, cycle=CYCLE, share: float = SHARE, most: fl
         .withColumn("wanted", share * F.sum("source_size").over(everything) - sum_before(limit))
         .withColumn("open_weight", F.sum("weight").over(everything) - sum_before(F.col("weight")))
         .withColumn("here", F.col("wanted") / F.col("open_weight"))
-        .withColumn("level", F.min(F.when(F.col("here") <= F.col("full_at"), F.col("here"))).over(everything))
+        .withColumn("level", F.max(F.when(F.col("here") <= F.col("full_at"), F.col("here"))).over(everything))
         .withColumn("target", F.coalesce(F.least(limit, F.col("level") * F.col("weight")), limit))
     )
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -97,6 +98,20 @@ def mix(docs: DataFrame, seed: int = 17, cycle=CYCLE, share: float = SHARE, most
     )
 
 
+def mixed(docs: DataFrame, seed: int = 17, cycle=CYCLE, share: float = SHARE, most: float = MOST_COPIES) -> DataFrame:
+    """The documents as the mix takes them: each row as often as it has copies, with all its columns.
+
+    Rows with equal doc_id and source share their decision: each gets the mean of their copies, rounded.
+    """
+    taken = mix(docs, seed, cycle, share, most).groupBy(F.col("doc_id").alias("_id"), F.expr(SOURCE_KEY).alias("_src")).agg(
+        F.round(F.avg("copies")).cast("int").alias("_copies")
+    )
+    taken = checkpointed(taken)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.expr(SOURCE_KEY) == F.col("_src"))
+    copied = docs.join(small_or_shuffled(taken.where("_copies > 0"), 32), same)
+    return copied.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
 #: The same result for another SQL engine, over a table of documents.
 ORACLE = """
 WITH sized AS (
@@ -116,7 +131,7 @@ levels AS (
 targets AS (
   SELECT src, source_size,
          coalesce(least(2.0::DOUBLE * source_size,
-                        (min(CASE WHEN here <= full_at THEN here END) OVER ()) * weight),
+                        (max(CASE WHEN here <= full_at THEN here END) OVER ()) * weight),
                   2.0::DOUBLE * source_size) AS target
   FROM levels),
 ranked AS (

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bounded_batches, checkpointed
+from weftline.llm.common import bounded_batches, checkpointed, small_or_shuffled
 from weftline.llm.components import stars
 
 SHINGLE = 4
@@ -55,15 +55,15 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id and fp, a signed 64-bit number, for every row; null texts count as empty."""
+    """doc_id, text_key and fp, a signed 64-bit number, for every row; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t, k) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], ["doc_id", "fp"])
+            prints = np.array([fingerprint(t, k) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints)], ["doc_id", "text_key", "fp"])
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
 class Ball:
@@ -187,6 +187,11 @@ def linked_pairs(prints: DataFrame, distinct: int, radius: int = RADIUS) -> Data
     return sent.groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
+def text_key():
+    """A key that, with doc_id, tells the rows of a table apart unless they are the same row again."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (hex), component_id and root for every row of docs.
 
@@ -204,5 +209,29 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) ->
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     labelled = rooted.join(smallest, "root").select("fp", "component_id", "root")
     return rows.join(labelled, "fp", "left").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root", "text_key"
+    )
+
+
+def one_of_each(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The documents without near-duplicates: of each component the smallest doc_id stays, with all its columns.
+
+    Null ids come after all others, equal ids are told apart by their texts, and of
+    rows that are repeated whole one stays. The rows to drop are a small share and
+    are broadcast if counted to be few, so texts stay where they are; else they are joined.
+    """
+    near = checkpointed(near_duplicates(docs, k, radius))
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")
+    best = near.groupBy("root").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    grouped = checkpointed(
+        near.join(best, "root").groupBy("doc_id", "text_key")
+        .agg(F.max(order == F.col("best")).alias("stays"), F.count(F.lit(1)).alias("times"))
     )
+    gone = grouped.where("not stays").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    again = grouped.where("stays and times > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
+    left = docs.withColumn("_text_key", text_key()).join(small_or_shuffled(gone, 16), same, "left_anti")
+    if not again.isEmpty():
+        repeated = left.join(small_or_shuffled(again, 16), same, "left_semi").dropDuplicates(["doc_id", "_text_key"])
+        left = left.join(small_or_shuffled(again, 16), same, "left_anti").unionByName(repeated)
+    return left.drop("_text_key")
