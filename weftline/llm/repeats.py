@@ -157,6 +157,28 @@ def marks_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 4)], ["c1", "c2", "lo", "hi"])
 
 
+def narrowed(texts: list[bytes], length: int) -> list[tuple[int, int]]:
+    """The part of each text that its windows with an equal hash in these texts span; (0, 0) for none.
+
+    Equal windows have equal hashes, so all that can repeat lies in these parts,
+    and suffixes are sorted for them only.
+    """
+    sizes = np.array([len(t) for t in texts])
+    firsts = np.cumsum(sizes) - sizes
+    h = gram_hashes(np.frombuffer(b"".join(texts), np.uint8), length)
+    n = np.maximum(sizes - length + 1, 0)
+    owner = np.repeat(np.arange(len(texts)), n)
+    local = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    _, at, times = np.unique(h[firsts[owner] + local], return_inverse=True, return_counts=True)
+    hit = np.flatnonzero(times[at] > 1)
+    parts = [(0, 0)] * len(texts)
+    own, first = np.unique(owner[hit], return_index=True)
+    last = np.append(first[1:], len(hit)) - 1
+    for i, a, b in zip(own.tolist(), local[hit[first]].tolist() if len(hit) else [], local[hit[last]].tolist() if len(hit) else [], strict=True):
+        parts[i] = (a, b + length)
+    return parts
+
+
 def sort_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Sort the suffixes of whole groups and mark the window starts that repeat."""
     ids: list[tuple[int, int]] = []
@@ -164,7 +186,11 @@ def sort_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.R
     held = 0
 
     def flush() -> pa.RecordBatch:
-        return marks_batch([(*i, a, b) for i, hit in zip(ids, repeated_starts(texts, length), strict=True) for a, b in runs(hit)])
+        kept = [(i, lo, t[lo:hi]) for i, t, (lo, hi) in zip(ids, texts, narrowed(texts, length), strict=True) if hi]
+        if not kept:
+            return marks_batch([])
+        hits = repeated_starts([t for _, _, t in kept], length)
+        return marks_batch([(*i, lo + a, lo + b) for (i, lo, _), hit in zip(kept, hits, strict=True) for a, b in runs(hit)])
 
     for batch in batches:
         for group in batch.column(0).to_pylist():
