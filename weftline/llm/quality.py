@@ -110,6 +110,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
     model = Model(0.0, np.zeros(size), rng.normal(0, 0.02, (size, RANK)))
     n = len(rows)
     if not n:
+        model.factors[:] = 0
         return model
     labels = labels.astype(np.float64)
     share = labels.mean()

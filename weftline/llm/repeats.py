@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import bounded_batches, checkpointed, shared_folder, small_or_shuffled
@@ -291,11 +291,11 @@ def keep(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
             ["k1", "k2", "n_removed", "n_spans", "kept"])
 
 
-def with_keys(docs: DataFrame) -> DataFrame:
-    """Texts known by 120 bits of their SHA-256, as two numbers; a null text is empty."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    number = lambda at: F.conv(F.substring("digest", at, 15), 16, 10).cast("bigint")
-    return docs.withColumns({"text": text}).withColumns({"digest": F.sha2(text, 256)}).withColumns({"k1": number(1), "k2": number(16)})
+def text_keys(text: Column) -> tuple[Column, Column, Column]:
+    """SHA-256 of a text in hex, and 120 bits of it as two numbers, by which distinct texts are known."""
+    digest = F.sha2(F.coalesce(text, F.lit("")), 256)
+    number = lambda at: F.conv(F.substring(digest, at, 15), 16, 10).cast("bigint")
+    return digest, number(1), number(16)
 
 
 def _stored(df: DataFrame, kind: str) -> DataFrame:
@@ -317,7 +317,8 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    keyed = with_keys(docs.select("doc_id", "text"))
+    digest, k1, k2 = text_keys(F.col("text"))
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), digest.alias("digest"), k1.alias("k1"), k2.alias("k2"))
     rows = checkpointed(keyed.select("doc_id", "k1", "k2", "digest", F.octet_length("text").cast("bigint").alias("n_bytes")))
     texts = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n_bytes").alias("n_bytes"))
 
@@ -387,9 +388,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return kept.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
 
     lost = lost.select("_k1", "_k2", readable("kept").alias("_kept"))
-    out = with_keys(docs.withColumn("_text", F.col("text"))).withColumnsRenamed({"k1": "_a", "k2": "_b"})
-    out = out.join(lost, (F.col("_a") == F.col("_k1")) & (F.col("_b") == F.col("_k2")), "left")
-    columns = [F.coalesce("_kept", "_text").alias("text") if c == "text"
+    _, k1, k2 = text_keys(F.col("text"))
+    out = docs.withColumns({"_a": k1, "_b": k2}).join(lost, (F.col("_a") == F.col("_k1")) & (F.col("_b") == F.col("_k2")), "left")
+    columns = [F.coalesce("_kept", "text").alias("text") if c == "text"
                else F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept")).cast("bigint").alias("n_chars") if c == "n_chars"
                else F.col(c) for c in docs.columns]
     return out.select(*columns)
