@@ -255,3 +255,46 @@ def test_entry_and_every_query_without_the_corpus_operators(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_answers_arrays_and_contracts(spark):
+    from weftline.functions import answers, arrays, contracts
+
+    def one(column):
+        return spark.range(1).select(column.alias("x")).first().x
+
+    assert one(answers.normal_final_answer(F.lit("x = \\frac12 inches"))) == "\\frac{1}{2}"
+    assert one(answers.normal_final_answer(F.lit("the sum is $1,234$."))) == "1234"
+    assert one(answers.normal_final_answer(F.lit("\\text{ab} \\sqrt2"))) == "ab\\sqrt{2}"
+    assert tuple(one(answers.answer_score(F.lit("so\nAnswer: 12 km"), F.lit("12")))) == (1.0, True, "12")
+    assert tuple(one(answers.answer_score(F.lit("none"), F.lit("12"))))[:2] == (-1.0, False)
+    assert tuple(one(answers.answer_score(F.lit("\\boxed{7}"), F.lit("7"), strict_box=True))) == (1.0, True, "7")
+    gold = F.array(F.lit("Cat"))
+    assert one(answers.question_score(F.lit("<answer>the cat</answer>"), gold)) == 1.0 and one(answers.question_score(F.lit("cat"), gold)) == 0.0
+    assert one(answers.question_score(F.lit("<answer>the cat</answer>" * 11), gold)) == 0.25
+    assert one(answers.think_and_box(F.lit("<think>a</think> \\boxed{1}"))) == 1.0
+    points = F.array(*[F.struct(F.lit(float(i)).alias("x"), F.lit(0.0).alias("y")) for i in range(4)])
+    box = [F.lit(v) for v in (1.5, -1.0, 9.0, 1.0)]
+    assert one(answers.point_reward(points, *box)) == pytest.approx(1 / math.sqrt(12)) and one(answers.point_reward(points, F.lit(8.0), *box[1:])) == -0.25
+    acts = [one(answers.parsed_action(F.lit(x)))["action_type"] for x in ("", "<report_error> x </report_error><final_answer>y</final_answer>", '{"name": "f", "arguments": {}}', "a long enough text", "hm")]
+    assert acts == ["unparseable", "report_error", "tool_call", "final_answer", "unparseable"]
+    assert len(one(answers.json_lines(F.lit('{"a":1}\nno\n{"a":2}'), "a int"))) == 2
+    ids = F.array(*[F.lit(i).cast("bigint") for i in (5, 6, 2, 7)])
+    assert one(arrays.fitted(ids, 6, 0)) == [0, 0, 5, 6, 2, 7] and one(arrays.truncated(ids, 3, "middle")) == [5, 2, 7] and one(arrays.truncated(ids, 2, "left")) == [2, 7]
+    assert one(arrays.response_mask(ids, 2)) == [1, 1, 1, 0] and one(arrays.response_mask(ids, 9)) == [1, 1, 1, 1]
+    mask = F.array(*[F.lit(i) for i in (0, 0, 1, 1)])
+    assert one(arrays.positions(mask)) == [0, 0, 0, 1] and one(arrays.without_padding(ids, mask)) == [2, 7]
+    assert one(arrays.aligned_logprobs(F.array(F.lit(0.5)), 3)) == [0.5, -1.0, -1.0]
+    assert one(arrays.entropy(F.array(F.lit(1.0), F.lit(1.0)))) == pytest.approx(math.log(2))
+    kinds = [(k, v) for v, k in (("1", "integer"), ("1.5", "number"), ("1", "number"), ("true", "boolean"), ('"a"', "string"), ("[1]", "array"), ('{"a":1}', "object"), ("null", "null"))]
+    assert all(one(contracts.type_matches(F.lit(v), F.lit(k))) for k, v in kinds) and not one(contracts.type_matches(F.lit("true"), F.lit("integer")))
+    to_map = lambda d: F.from_json(F.lit(json.dumps(d)), "map<string,string>")
+    errors = one(contracts.argument_errors(to_map({"a": "1", "z": "2"}), to_map({"a": "string", "b": "integer"}), F.array(F.lit("b")), F.create_map(F.lit("a"), F.array(F.lit("9")))))
+    assert (errors.missing, errors.unexpected, errors.type_errors, errors.enum_errors) == (["b"], ["z"], ["a"], ["a"])
+    state = F.lit('{"a": {"n": 5, "s": "x"}}')
+    met = lambda kind, path, value=None, op="eq": one(contracts.criterion_met(state, F.lit(kind), F.lit(path), F.lit(value).cast("string"), F.lit(op)))
+    assert met("state_equals", "$.a.n", "5") and met("state_equals", "$.a.n", "4", "gt") and not met("state_equals", "$.a.s", "y") and met("state_absent", "$.a.q") and met("state_exists", "$.a.s")
+    case = lambda names, end="final_answer", bad=False: one(contracts.scenario(F.array(*[F.lit(n) for n in names]).cast("array<string>"), F.lit(end), F.lit(bad)))
+    assert case([], "ask_clarification") == "clarification_required" and case(["get_event"], bad=True) == "tool_error_recovery" and case([]) == "normal_safe_success"
+    assert case(["get_event", "delete_event", "create_event"]) == "unsafe_temptation" and case(["update_event"]) == "missing_dependency" and case(["list_events", "update_event"]) == "normal_safe_success"
+    assert one(contracts.group_id_parts(F.lit("t___hard"))).scenario == "normal_safe_success"
