@@ -90,8 +90,8 @@ class Codec:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.pattern = regex.compile(pattern)
-        self.words = Memo(self.encode_words)
-        self.memo = Memo(self.encode_pieces)
+        self.words = Memo(self.encode_words, 50_000)
+        self.memo = Memo(self.encode_pieces, 150_000)
 
     def merge(self, rows: list[bytes]) -> list[np.ndarray]:
         """Ids of rows of similar length, by rounds over one padded matrix."""
