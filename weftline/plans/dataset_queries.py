@@ -274,17 +274,6 @@ def dynamic_micro_batches(s, d):
     return balance.micro_batches(docs, "batch", "doc_id", "n_chars", 20000)
 
 
-def cosine_topk(s, d):
-    """The three nearest vectors of each query, in blocks: queries (a fixed, counted set) against all rows."""
-    v = table(s, d, "embeddings")
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), norm("embedding").alias("qn"))
-    dot = F.aggregate(F.zip_with("embedding", "q", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    near = v.withColumn("n", norm("embedding")).crossJoin(F.broadcast(q)).where("vec_id <> query_id").select("query_id", "vec_id", (dot / (F.col("n") * F.col("qn"))).alias("cosine"))
-    best = near.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("cosine", "vec_id")), False), 1, 3).alias("best"))
-    return rounded(best.select("query_id", F.posexplode("best").alias("rank", "b")).select("query_id", "rank", F.col("b.vec_id").alias("vec_id"), F.col("b.cosine").alias("cosine")), "cosine", digits=5)
-
-
 QUERIES = {f.__name__: f for f in (
     batch_row_index, batch_slice, batch_repeat, batch_tile, batch_chunk, pad_to_divisor, unfold, zip_union, group_index, reduce_metrics,
     metrics_aggregator, mean_std_at_n, maj_vote, length_percentiles, length_stats, group_integrity, batch_metrics, tail_ratio, interval_overlap,
