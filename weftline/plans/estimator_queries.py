@@ -85,7 +85,7 @@ def prime_filter(spark, sf_dir):
     df = samples(spark, sf_dir).withColumn("acc", (F.col("score") > 30000).cast("double"))
     g = df.groupBy("uid").agg(F.avg("acc").alias("acc"), F.max("length").alias("longest"))
     g = g.withColumn("passes", (F.col("acc").between(0.2, 0.8) & (F.col("longest") < 48)).cast("int"))
-    return rounded(g.orderBy(F.desc("passes"), "uid").limit(2000), "acc").select("uid", "acc", "passes")
+    return rounded(g.orderBy(F.desc("passes"), "uid").limit(g.count() // 2), "acc").select("uid", "acc", "passes")
 
 
 def _plain(f, columns, digits=6):
@@ -197,7 +197,7 @@ ORACLE_SQL = {
     "dapo_filter_groups": f"WITH {SAMPLES_SQL} SELECT uid, count(*) AS n FROM s GROUP BY uid HAVING stddev_pop((score > 30000)::DOUBLE) > 0 OR count(*) = 1",
     "prime_filter": f"""WITH {SAMPLES_SQL}, g AS (SELECT uid, avg((score > 30000)::DOUBLE) AS acc, max(length) AS longest FROM s GROUP BY uid),
       p AS (SELECT *, (acc BETWEEN 0.2 AND 0.8 AND longest < 48)::INT AS passes FROM g)
-      SELECT uid, round(acc, 6) + 0.0 AS acc, passes FROM p ORDER BY passes DESC, uid LIMIT 2000""",
+      SELECT uid, round(acc, 6) + 0.0 AS acc, passes FROM p ORDER BY passes DESC, uid LIMIT (SELECT count(*) // 2 FROM p)""",
     "token_returns": f"WITH {SAMPLES_SQL} SELECT uid, pos, round(sum(score) OVER (PARTITION BY uid ORDER BY pos DESC), 4) + 0.0 AS returns FROM s",
     "token_returns_discounted": f"WITH {SAMPLES_SQL} SELECT a.uid, a.pos, round(sum(sqrt(b.score) * pow(0.9::DOUBLE, b.pos - a.pos)), 6) + 0.0 AS returns FROM s a JOIN s b ON a.uid = b.uid AND b.pos >= a.pos GROUP BY a.uid, a.pos",
     "remax_returns": f"WITH {SAMPLES_SQL} SELECT uid, pos, round(sum(score) OVER (PARTITION BY uid ORDER BY pos DESC) - length * 100, 4) + 0.0 AS advantage FROM s",

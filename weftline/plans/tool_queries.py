@@ -91,7 +91,7 @@ def message_search(s, d):
 
 
 def apply_mutations(s, d):
-    state = table(s, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value"))
+    state = table(s, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value"))
     log = table(s, d, "orders").select(
         F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("seq"),
         F.element_at(F.array(F.lit("insert"), F.lit("update"), F.lit("delete")), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("op"), F.col("o_totalprice").alias("value"))
@@ -106,8 +106,9 @@ def guarded_transfers(s, d):
 
 
 def state_delta(s, d):
-    a = table(s, d, "orders").where("o_orderkey % 5 <> 0").select("o_orderkey", "o_orderstatus")
-    b = table(s, d, "orders").where("o_orderkey % 7 <> 0").select("o_orderkey", F.when(F.col("o_orderkey") % 11 == 0, F.lit("X")).otherwise(F.col("o_orderstatus")).alias("o_orderstatus"))
+    """Orders that were no longer open before against those that aren't pending after, large ones marked anew."""
+    a = table(s, d, "orders").where("o_orderstatus <> 'O'").select("o_orderkey", "o_orderstatus")
+    b = table(s, d, "orders").where("o_orderstatus <> 'P'").select("o_orderkey", F.when(F.col("o_totalprice") > 300000, F.lit("X")).otherwise(F.col("o_orderstatus")).alias("o_orderstatus"))
     return entities.state_delta(a, b, "o_orderkey", "o_orderstatus")
 
 
@@ -150,14 +151,14 @@ ORACLE_SQL = {
     "guarded_transfers": """WITH m AS (SELECT o_orderkey AS seq, o_custkey AS src, o_custkey + o_orderkey % 5 AS dst, o_totalprice / 100 - 500 AS amount FROM orders)
       SELECT seq, CASE WHEN amount <= 0 THEN 'invalid_amount' WHEN a.c_custkey IS NULL OR b.c_custkey IS NULL THEN 'not_found' WHEN src % 7 = 0 OR dst % 7 = 0 THEN 'frozen' WHEN a.c_acctbal < amount THEN 'insufficient_funds' END AS error
       FROM m LEFT JOIN customer a ON a.c_custkey = src LEFT JOIN customer b ON b.c_custkey = dst""",
-    "apply_mutations": """WITH RECURSIVE st AS (SELECT c_custkey AS id, c_acctbal AS v FROM customer WHERE c_custkey % 3 <> 0),
+    "apply_mutations": """WITH RECURSIVE st AS (SELECT c_custkey AS id, c_acctbal AS v FROM customer WHERE c_acctbal > 0),
       l AS (SELECT o_custkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, ['insert', 'update', 'delete'][o_orderkey % 3 + 1] AS op, o_totalprice AS v FROM orders),
       ids AS (SELECT id FROM st UNION SELECT id FROM l),
       r AS (SELECT ids.id, 0::BIGINT AS k, st.v AS v, st.id IS NOT NULL AS alive, 0 AS errors FROM ids LEFT JOIN st USING (id) UNION ALL
         SELECT r.id, l.k, CASE WHEN (op = 'insert') <> alive AND op <> 'delete' THEN l.v ELSE r.v END, CASE WHEN (op = 'insert') <> alive THEN op <> 'delete' ELSE alive END, errors + ((op = 'insert') = alive)::INT
         FROM r JOIN l ON l.id = r.id AND l.k = r.k + 1)
       SELECT id, alive, CASE WHEN alive THEN v END AS value, errors FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC) = 1""",
-    "state_delta": """WITH a AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 5 <> 0), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 7 <> 0)
+    "state_delta": """WITH a AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'O'), b AS (SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderstatus <> 'P')
       SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'created' WHEN b.o_orderkey IS NULL THEN 'deleted' ELSE 'changed' END AS change
       FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.o_orderstatus <> b.o_orderstatus""",
     "split_report": """SELECT coalesce(event_type, 'all') AS event_type, coalesce(kind, 'all') AS kind, count(*) AS n, round(avg((value > 20)::DOUBLE), 6) + 0.0 AS success_rate
