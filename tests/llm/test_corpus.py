@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from weftline.llm import bpe, components, language, lyndon, matroska, merkle, mixing, quality, repeats, simhash, warc, wavelet
 from weftline.llm.common import shared_folder
-from weftline.llm.pieces import Memo, cut
+from weftline.llm.pieces import Memo
+from weftline.llm.words import BLOCK, PATTERN, BatchEncoder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fingerprint string, k1 string, bucket int, size int, copies int"
 JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
@@ -113,8 +114,14 @@ def test_pieces_and_memo():
     rng = random.Random(3)
     texts = ODD + ["".join(rng.choice("ab'sdt \n\t1.,_é日½!") for _ in range(rng.randint(0, 50))) for _ in range(1500)]
     encode = reference_encoder()
-    assert all("".join(cut(t)) == t for t in texts)
-    assert all([i for p in cut(t) for i in encode(p)] == encode(t) for t in texts)
+    texts += ["word " * (BLOCK // 5) + "end", None, "one", "a\nb c\nd", *(words(rng, 30).replace(" ab", "\nab") for _ in range(300))]
+    rng.shuffle(texts)
+    peer = BatchEncoder(JSON, most=500)
+    for part in (texts, texts[:1], ["", None], texts[3:9], texts):
+        ids, counts = peer.encode(part, 2)
+        ends = np.cumsum(counts).tolist()
+        assert [ids[e - n : e].tolist() for e, n in zip(ends, counts.tolist(), strict=True)] == [[*encode(t or ""), 2] for t in part]
+    assert P.PATTERN == PATTERN
     calls = []
     memo = Memo(lambda ps: calls.append(len(ps)) or [p * 2 for p in ps], most=3)
     for ps in ({"a", "b"}, {"a", "c", "d", "e"}, {"a", "f"}, {"g"}, {"a", "z"}):

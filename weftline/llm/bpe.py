@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from weftline.llm.common import bounded_batches
-from weftline.llm.pieces import Memo, cut
+from weftline.llm.pieces import Memo
+from weftline.llm.words import PieceEncoder
 
 NONE = np.int32(2**31 - 1)
 #: Cells of a matrix at most; longer rows come alone.
@@ -76,12 +77,18 @@ class PairTable:
         return flat.reshape(a.shape)
 
 
-class Codec:
-    """Encode and decode by a rank file and a pre-token pattern."""
+class Codec(PieceEncoder):
+    """Encode and decode by a rank file and a pre-token pattern.
 
-    def __init__(self, ranks_path: str, pattern: str):
+    Texts are cut into pieces where the public byte-level pattern always begins a match;
+    with another pattern every text is matched whole.
+    """
+
+    def __init__(self, ranks_path: str, pattern: str, most: int = 600_000):
         import regex
 
+        super().__init__(most, pattern)
+
         ranks = load_ranks(ranks_path)
         self.ranks = ranks
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
@@ -91,7 +98,6 @@ class Codec:
             self.tokens[rank] = token
         self.pattern = regex.compile(pattern)
         self.words = Memo(self.encode_words, 50_000)
-        self.memo = Memo(self.encode_pieces, 150_000)
 
     def merge(self, rows: list[bytes]) -> list[np.ndarray]:
         """Ids of rows of similar length, by rounds over one padded matrix."""
@@ -187,15 +193,22 @@ class Codec:
                     out[i] = ids.astype("<u4").tobytes()
         return out
 
-    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        found = [[w.encode("utf-8", "surrogatepass") for w in self.pattern.findall(p)] for p in pieces]
+    def _matched(self, texts: list[str]) -> list[bytes]:
+        found = [[w.encode("utf-8", "surrogatepass") for w in self.pattern.findall(t)] for t in texts]
         known = self.words.learn({w for row in found for w in row})
         return [b"".join(map(known.__getitem__, row)) for row in found]
 
+    def whole(self, text: str) -> np.ndarray:
+        return np.frombuffer(self._matched([text])[0], "<u4")
+
+    def listed(self, pieces: list[bytes], lead: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        parts = self._matched([p.decode() for p in pieces])
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // 4
+        return np.frombuffer(b"".join(parts), "<u4"), np.concatenate([[0], ends[:-1]]), ends
+
     def encode_texts(self, texts: list[str | None]) -> list[np.ndarray]:
-        rows = [cut(t or "") for t in texts]
-        known = self.memo.learn(set().union(*rows)) if rows else {}
-        return [np.frombuffer(b"".join(map(known.__getitem__, row)), "<u4") for row in rows]
+        ids, counts = self.encode(texts)
+        return np.split(ids, np.cumsum(counts)[:-1]) if len(texts) else []
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the ids; an id without a token is an error."""

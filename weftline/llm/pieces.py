@@ -1,26 +1,9 @@
-"""Cutting texts where no pre-token can cross, and remembering what pieces encode to."""
+"""A bounded memory of what pieces of text encode to."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable
 
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-_OTHER = re.compile(r"[^\S \n]|\x00")
-
-
-def cut(text: str) -> list[str]:
-    """Pieces whose pre-tokens, one piece after another, are those of the whole text.
-
-    In the public byte-level pattern a space before a non-space always begins a
-    match when a non-space precedes it, and a line break between non-spaces is a
-    match of its own. Texts with runs of white space, or with other white space
-    than spaces and line breaks, are cut only at lone spaces.
-    """
-    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1].isspace() or text[-1:].isspace() or _OTHER.search(text):
-        return _CUT.split(text)
-    return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
-
 
 class Memo:
     """A bounded memory of function values, in two generations.

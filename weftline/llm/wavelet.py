@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import bounded_batches, checkpointed, partitions_for, small_or_shuffled
-from weftline.llm.pieces import Memo, cut
+from weftline.llm.words import BatchEncoder
 
 MAGIC = b"WVMX"
 BLOCK = 1 << 15  # bytes of a plane that are compressed together
@@ -29,47 +29,10 @@ STRIDE = 1 << 15
 _ENCODERS: dict = {}
 
 
-def token_bytes(path: str):
-    """For the tokenizer file at `path`: pieces of text -> ids as little-endian 32-bit bytes."""
+def encoder(path: str) -> BatchEncoder:
+    """One encoder a worker process."""
     if path not in _ENCODERS:
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-
-        sizes = np.zeros(tokenizer.get_vocab_size(), np.int64)  # bytes of each token: byte-level symbols stand for a byte each
-        for symbols, i in tokenizer.get_vocab().items():
-            sizes[i] = len(symbols)
-
-        def joined(words: list[str], lead: str) -> Iterator[bytes]:
-            """Ids of words without white space, each after `lead`, from one text that is cut by the tokens' bytes."""
-            for i in range(0, len(words), 20_000):
-                part = words[i : i + 20_000]
-                ids = np.array(tokenizer.encode_batch_fast([lead + lead.join(part)], add_special_tokens=False)[0].ids, "<u4")
-                ends = np.cumsum(np.fromiter(map(len, map(str.encode, part)), np.int64, len(part)) + 1)
-                cuts = 4 * (np.searchsorted(np.cumsum(sizes[ids]), ends) + 1)
-                data, skip = ids.tobytes(), 4 * (lead == "\n")  # a line break is one id of its own
-                starts = (np.concatenate([[0], cuts[:-1]]) + skip).tolist()
-                yield from [data[x:y] for x, y in zip(starts, cuts.tolist(), strict=True)]
-
-        def encode(pieces: list[str]) -> list[bytes]:
-            """Words go to the library in large texts; pieces with white space inside go one by one."""
-            spaced = [p[1:] for p in pieces if p[:1] == " "]
-            plain = len(" ".join(spaced).split()) == len(spaced) == " ".join(spaced).count(" ") + 1
-            if not plain:
-                spaced = [w for w in spaced if len(w.split()) == 1 and w.strip() == w]
-            found = dict(zip([" " + w for w in spaced], joined(spaced, " "), strict=True))
-            rest = [p for p in pieces if p not in found]
-            lone = [p for p in rest if len(p.split()) == 1 and p.strip() == p]
-            found.update(zip(lone, joined(lone, "\n"), strict=True))
-            odd = [p for p in rest if p not in found]
-            found.update(zip(odd, (np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(odd, add_special_tokens=False)), strict=True))
-            return list(map(found.__getitem__, pieces))
-
-        _ENCODERS[path] = Memo(encode)
+        _ENCODERS[path] = BatchEncoder(path)
     return _ENCODERS[path]
 
 
@@ -218,24 +181,23 @@ class Shard:
 
 
 def encode_shards(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, shard_tokens: int) -> Iterator[pa.RecordBatch]:
-    memo, end = token_bytes(tokenizer), np.array([end_id], "<u4").tobytes()
     part, seq = TaskContext.get().partitionId(), 0
-    ids: list[bytes] = []
+    ids: list[np.ndarray] = []
     docs: list[tuple[int, int, int]] = []
     held = 0
 
     def shard() -> pa.RecordBatch:
-        data = build(np.frombuffer(b"".join(ids), "<u4"), {"part": part, "seq": seq, "docs": docs})
+        data = build(np.concatenate(ids), {"part": part, "seq": seq, "docs": docs})
         return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["value"])
 
     for batch in batches:
-        rows = [cut(t or "") for t in batch.column(1).to_pylist()]
-        known = memo.learn(set().union(*rows)) if rows else {}
-        for doc_id, pieces in zip(batch.column(0).to_pylist(), rows, strict=True):
-            data = b"".join(map(known.__getitem__, pieces)) + end
-            ids.append(data)
-            docs.append((doc_id or 0, len(data) // 4, int(doc_id is None)))
-            held += len(data) // 4
+        tokens, counts = encoder(tokenizer).encode(batch.column(1).to_pylist(), end_id)
+        at = 0
+        for doc_id, n in zip(batch.column(0).to_pylist(), counts.tolist(), strict=True):
+            ids.append(tokens[at : at + n])
+            docs.append((doc_id or 0, n, int(doc_id is None)))
+            at += n
+            held += n
             if held >= shard_tokens:
                 yield shard()
                 ids, docs, held, seq = [], [], 0, seq + 1
