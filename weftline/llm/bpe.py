@@ -87,7 +87,7 @@ class Codec(PieceEncoder):
     def __init__(self, ranks_path: str, pattern: str, most: int = 600_000):
         import regex
 
-        super().__init__(most, pattern)
+        super().__init__(most, pattern, together=50_000)  # large matrices take few rounds
 
         ranks = load_ranks(ranks_path)
         self.ranks = ranks

@@ -12,9 +12,12 @@ import os
 
 import numpy as np
 
+LATEST = 100_000
+#: Pieces that go to an encoder in one call.
+TOGETHER = 500
 #: Fixed value: the public byte-level pattern, for which the places to cut hold.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BLOCK = 1 << 20  # bytes cut at once; longer texts go to the library whole
+BLOCK = 1 << 18  # bytes cut at once, which a core's cache holds; longer texts go to the library whole
 _ODD_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _ODD_OTHER = "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 _LOW = np.array([(1 << 8 * i) - 1 for i in range(8)] + [2**64 - 1], np.uint64)
@@ -51,12 +54,37 @@ def pieces_of(data: bytes, doc_starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, size, np.stack([h, first, last], 1)
 
 
+class Level:
+    """Numbers by key, sorted by the keys' hashes."""
+
+    def __init__(self) -> None:
+        self.keys = np.zeros((0, 3), np.uint64)
+        self.hashes = np.zeros(0, np.uint64)
+        self.index = np.zeros(0, np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers of keys, -1 for unknown ones. Of several keys with one hash only the first is found; the others are learned anew."""
+        out = np.full(len(keys), -1, np.int64)
+        spot = np.searchsorted(self.hashes, keys[:, 0])
+        inside = np.flatnonzero(spot < len(self.hashes))
+        at = spot[inside]
+        hit = (self.keys[at] == keys[inside]).all(1)
+        out[inside[hit]] = self.index[at[hit]]
+        return out
+
+    def add(self, keys: np.ndarray, index: np.ndarray) -> None:
+        keys, index = np.concatenate([self.keys, keys]), np.concatenate([self.index, index])
+        order = np.argsort(keys[:, 0], kind="stable")
+        self.keys, self.index = keys[order], index[order]
+        self.hashes = np.ascontiguousarray(self.keys[:, 0])
+
+
 class PieceEncoder:
     """Ids of texts by pieces, or by whole texts where they can't be cut. What pieces encode to is remembered for up to `most`
     pieces; then the memory starts afresh, so it is bounded. Subclasses encode whole texts and lists of pieces."""
 
-    def __init__(self, most: int, pattern: str = PATTERN):
-        self.most, self.cuts = most, pattern == PATTERN
+    def __init__(self, most: int, pattern: str = PATTERN, together: int = TOGETHER):
+        self.most, self.cuts, self.together = most, pattern == PATTERN, together
         self._forget()
 
     def whole(self, text: str) -> np.ndarray:
@@ -68,16 +96,14 @@ class PieceEncoder:
         raise NotImplementedError
 
     def _forget(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)  # of known pieces, ascending
-        self.keys = np.zeros((0, 2), np.uint64)
-        self.index = np.zeros(0, np.int64)
+        self.levels = [Level(), Level()]  # all known pieces but the latest, and these
         self.ids = np.zeros(1 << 16, np.uint32)
         self.begin, self.count = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
         self.used = self.known = 0
 
     def _learn(self, pieces: list[bytes], lead: bytes) -> None:
-        for i in range(0, len(pieces), 20_000):
-            part = pieces[i : i + 20_000]
+        for i in range(0, len(pieces), self.together):
+            part = pieces[i : i + self.together]
             ids, begin, ends = self.listed(part, lead)
             n, k = self.known, len(part)
             while self.used + len(ids) > len(self.ids):
@@ -91,14 +117,10 @@ class PieceEncoder:
 
     def _find(self, data: bytes, keys: np.ndarray, spans: np.ndarray) -> np.ndarray:
         """The numbers of distinct pieces (keys with ascending hashes, starts and sizes), after learning those that are new."""
-        spot = np.searchsorted(self.hashes, keys[:, 0])
-        seen = np.zeros(len(keys), bool)
-        inside = np.flatnonzero(spot < len(self.hashes))
-        at = spot[inside]
-        seen[inside] = (self.hashes[at] == keys[inside, 0]) & (self.keys[at] == keys[inside, 1:]).all(1)
-        new = np.flatnonzero(~seen)
-        out = np.zeros(len(keys), np.int64)
-        out[seen] = self.index[spot[seen]]
+        out = self.levels[0].find(keys)
+        rest = np.flatnonzero(out < 0)
+        out[rest] = self.levels[1].find(keys[rest])
+        new = np.flatnonzero(out < 0)
         pieces = [data[a : a + n] for a, n in spans[new].tolist()]
         kind = np.fromiter((0 if p[:1] == b" " else 2 if p == b"\n" else 1 for p in pieces), np.int8, len(pieces))
         for k, lead in ((0, b""), (1, b"\n"), (2, b"")):
@@ -106,10 +128,10 @@ class PieceEncoder:
             first = self.known
             self._learn([pieces[i] for i in own.tolist()], lead)
             out[new[own]] = first + np.arange(len(own))
-        if len(new):
-            self.hashes = np.insert(self.hashes, spot[new], keys[new, 0])
-            self.keys = np.insert(self.keys, spot[new], keys[new, 1:], axis=0)
-            self.index = np.insert(self.index, spot[new], out[new])
+        self.levels[1].add(keys[new], out[new])
+        if len(self.levels[1].index) > LATEST:
+            self.levels[0].add(self.levels[1].keys, self.levels[1].index)
+            self.levels[1] = Level()
         return out
 
     def encode(self, texts: list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +209,7 @@ class PieceEncoder:
 class BatchEncoder(PieceEncoder):
     """The tokenizers library over the tokenizer file at `path`."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 2_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
