@@ -134,12 +134,11 @@ class Range:
         self.source, self.base, self.size = source, start, source.size()
         self.data = bytearray(source.read_at(min(end + 2, self.size) - start, start))
 
-    def upto(self, at: int) -> bool:
+    def upto(self, at: int) -> None:
         """Hold at least the bytes before `at`, if the file has them."""
         have = self.base + len(self.data)
         if at > have and have < self.size:
             self.data += self.source.read_at(min(max(at - have, 16 * PIECE), self.size - have), have)
-        return self.base + len(self.data) > at - PIECE
 
     def inflate(self, at: int) -> tuple[bytes, int] | None:
         """The member at `at` and its length, or None unless it is a WARC record."""
