@@ -13,7 +13,7 @@ that have a variant in it, eight bytes each, and makes those variants again.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -35,25 +35,36 @@ AT_ONCE = 2_000_000
 SHINGLES_AT_ONCE = 200_000
 
 
-def fingerprint(text: str | None, k: int = SHINGLE) -> int:
-    """The majority bits of the shingles' hashes, each occurrence counted; 0 for no words."""
+def shingle_hashes(text: str | None, k: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles of k words, each occurrence, in parts; fewer words are one shingle, no words none."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return
     joined, hashed = b" ".join(words), xxhash.xxh64_intdigest
     ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) + np.arange(len(words))).tolist()
     starts = [0, *(e + 1 for e in ends[:-1])]
     n = max(1, len(words) - k + 1)
     last = ends[k - 1 :] if len(words) >= k else ends[-1:]
-    counts = np.zeros(64, np.int64)
     for i in range(0, n, SHINGLES_AT_ONCE):
-        part = np.fromiter((hashed(joined[a:b], SEED) for a, b in zip(starts[i : i + SHINGLES_AT_ONCE], last[i : i + SHINGLES_AT_ONCE], strict=False)), np.uint64)
+        yield np.fromiter((hashed(joined[a:b], SEED) for a, b in zip(starts[i : i + SHINGLES_AT_ONCE], last[i : i + SHINGLES_AT_ONCE], strict=False)), np.uint64)
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The majority bits of hashes; 0 for none."""
+    counts, n = np.zeros(64, np.int64), 0
+    for part in parts:
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(part)
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, k: int = SHINGLE) -> int:
+    """The majority bits of the shingles' hashes, each occurrence counted; 0 for no words."""
+    return majority(shingle_hashes(text, k))
+
+
 def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """doc_id, text_key and fp, a signed 64-bit number, for every row; null texts count as empty."""
 
@@ -213,14 +224,15 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) ->
     )
 
 
-def one_of_each(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def one_of_each(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, near: DataFrame | None = None) -> DataFrame:
     """The documents without near-duplicates: of each component the smallest doc_id stays, with all its columns.
 
     Null ids come after all others, equal ids are told apart by their texts, and of
     rows that are repeated whole one stays. The rows to drop are a small share and
     are broadcast if counted to be few, so texts stay where they are; else they are joined.
+    `near` has doc_id, text_key and root of every row where another search has found them.
     """
-    near = checkpointed(near_duplicates(docs, k, radius))
+    near = checkpointed(near_duplicates(docs, k, radius) if near is None else near)
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")
     best = near.groupBy("root").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     grouped = checkpointed(
