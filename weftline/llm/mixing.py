@@ -21,6 +21,11 @@ def unit_hash(col: Column) -> Column:
     return F.conv(F.substring(F.md5(col), 1, 13), 16, 10).cast("bigint") / F.lit(float(2**52))
 
 
+def text_key() -> Column:
+    """Tells texts apart, null from empty too."""
+    return F.xxhash64("text", F.col("text").isNull())
+
+
 def source_targets(sized: DataFrame, cycle=CYCLE, share: float = SHARE, most: float = MOST_COPIES) -> DataFrame:
     """Words each source should give: `share` of all words by weight, at most `most` times its own.
 
@@ -52,7 +57,7 @@ def source_targets(sized: DataFrame, cycle=CYCLE, share: float = SHARE, most: fl
     return levels.select("src", "source_size", "target", rate.alias("rate"))
 
 
-def mix(docs: DataFrame, seed: int = 17, cycle=CYCLE, share: float = SHARE, most: float = MOST_COPIES) -> DataFrame:
+def decided(docs: DataFrame, seed: int = 17, cycle=CYCLE, share: float = SHARE, most: float = MOST_COPIES) -> DataFrame:
     """How many copies of each document a mix takes.
 
     Systematic sampling: the expected copies of the documents of a source (its
@@ -67,17 +72,17 @@ def mix(docs: DataFrame, seed: int = 17, cycle=CYCLE, share: float = SHARE, most
     A null text has size 0; a null source is a source of its own, last in order;
     documents of size 0 get copies like others but add no words; repeated rows
     count each; no rows give no rows. Only doc_id, text and source are read.
-    Returns doc_id, source, size, source_size, target, copies, taken.
+    Returns doc_id, src, text_key, size, source_size, target, copies.
     """
     words = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint")
-    sized = checkpointed(docs.select("doc_id", F.expr(SOURCE_KEY).alias("src"), words.alias("size")))
+    sized = checkpointed(docs.select("doc_id", F.expr(SOURCE_KEY).alias("src"), text_key().alias("text_key"), words.alias("size")))
     digits = F.col("size").cast("string")
     placed = (
         sized
         .withColumn("spot", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
         .withColumn("class", F.length(digits) * 100 + F.substring(digits, 1, 2).cast("int"))
         .withColumn("bucket", F.substring("spot", 1, 2))
-        .withColumn("nth", F.row_number().over(Window.partitionBy("src", "class", "bucket").orderBy("spot", "size")))
+        .withColumn("nth", F.row_number().over(Window.partitionBy("src", "class", "bucket").orderBy("spot", "size", "text_key")))
     )
     first = Window.partitionBy("src").orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     begins = (
@@ -91,25 +96,40 @@ def mix(docs: DataFrame, seed: int = 17, cycle=CYCLE, share: float = SHARE, most
     return (
         placed.join(begins, ["src", "class", "bucket"])
         .withColumn("copies", F.least(crossed(pos) - crossed(pos - 1), F.lit(int(most))).cast("bigint"))
-        .select(
-            "doc_id", F.when(F.col("src") != "t", F.expr("substring(src, 2)")).alias("source"), "size",
-            "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"),
-        )
+        .select("doc_id", "src", "text_key", "size", "source_size", "target", "copies")
+    )
+
+
+def mix(docs: DataFrame, seed: int = 17, cycle=CYCLE, share: float = SHARE, most: float = MOST_COPIES) -> DataFrame:
+    """The decisions as doc_id, source, size, source_size, target, copies, taken."""
+    return decided(docs, seed, cycle, share, most).select(
+        "doc_id", F.when(F.col("src") != "t", F.expr("substring(src, 2)")).alias("source"), "size",
+        "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"),
     )
 
 
 def mixed(docs: DataFrame, seed: int = 17, cycle=CYCLE, share: float = SHARE, most: float = MOST_COPIES) -> DataFrame:
     """The documents as the mix takes them: each row as often as it has copies, with all its columns.
 
-    Rows with equal doc_id and source share their decision: each gets the mean of their copies, rounded.
+    Rows are told apart by doc_id, source and text. Rows equal in all three whose
+    copies differ are numbered, and their total is dealt out over them.
     """
-    taken = mix(docs, seed, cycle, share, most).groupBy(F.col("doc_id").alias("_id"), F.expr(SOURCE_KEY).alias("_src")).agg(
-        F.round(F.avg("copies")).cast("int").alias("_copies")
+    key = ["_id", "_src", "_key"]
+    taken = decided(docs, seed, cycle, share, most).groupBy(F.col("doc_id").alias("_id"), F.col("src").alias("_src"), F.col("text_key").alias("_key")).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("copies").alias("_total"), F.min("copies").alias("_least"), F.max("copies").alias("_most")
     )
     taken = checkpointed(taken)
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.expr(SOURCE_KEY) == F.col("_src"))
-    copied = docs.join(small_or_shuffled(taken.where("_copies > 0"), 32), same)
-    return copied.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    keyed = docs.withColumn("_text_key", text_key())
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.expr(SOURCE_KEY) == F.col("_src")) & (F.col("_text_key") == F.col("_key"))
+    alike = taken.where("_least = _most and _least > 0").select(*key, F.col("_least").alias("_copies"))
+    copied = keyed.join(small_or_shuffled(alike, 40), same).select(*docs.columns, "_copies")
+    uneven = taken.where("_least < _most").select(*key, "_n", "_total")
+    if not uneven.isEmpty():
+        row = F.row_number().over(Window.partitionBy(*key).orderBy(F.md5(F.to_json(F.struct(*docs.columns)))))
+        numbered = keyed.join(small_or_shuffled(uneven, 56), same).withColumn("_row", row)
+        share_of = lambda c: F.expr(f"_total * {c} div _n")
+        copied = copied.unionByName(numbered.select(*docs.columns, (share_of("_row") - share_of("(_row - 1)")).alias("_copies")).where("_copies > 0"))
+    return copied.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
 
 
 #: The same result for another SQL engine, over a table of documents.
