@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.session import checkpointed
 
+#: Rounds of greedy_keep before the rest may be scanned in one task, and the edges that such a task holds at most.
+ROUNDS = 8
+SCAN_EDGES = 1_000_000
+
 
 def overlapping(df: DataFrame, start: str, end: str, key: str, width: float, keep: list[str] | None = None) -> DataFrame:
     """Pairs of different rows whose half-open intervals overlap: a.start < b.end and a.end > b.start.
@@ -72,24 +77,54 @@ def jaccard_pairs(df: DataFrame, key: str, block: str, tokens: str, least: float
     return near.dropDuplicates(["a", "b"]).select(block, "a", "b", similarity.alias("similarity")).where(F.col("similarity") >= least)
 
 
-def greedy_keep(df: DataFrame, key: str, pairs: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def scanned(left: DataFrame) -> DataFrame:
+    """(id, kept) of undecided rows by the sequential scan in one task, from edges (a, b, ak) to earlier rows that aren't dropped."""
+    kind = left.schema["b"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept = set(pdf["a"][pdf["ak"] == "kept"])
+        earlier: dict = {}
+        for a, b in zip(pdf["a"], pdf["b"], strict=True):
+            earlier.setdefault(b, []).append(a)
+        ids = sorted(set(pdf["a"][pdf["ak"] == "open"]) | set(earlier))
+        decided = []
+        for i in ids:
+            decided.append(kept.isdisjoint(earlier.get(i, ())))
+            if decided[-1]:
+                kept.add(i)
+        return pd.DataFrame({"id": ids, "kept": decided})
+
+    return left.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(run, f"id {kind}, kept boolean")
+
+
+def greedy_keep(df: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
     """Rows that a scan in key order keeps, where a row goes if a kept earlier one is similar.
 
-    In rounds: an undecided row with a kept earlier neighbour is dropped, and one
-    whose earlier neighbours are all dropped is kept; the result is that of the
-    sequential scan. Each round's decisions are a checkpointed table of the rows with pairs only.
+    In rounds, until no row is undecided: an undecided row with a kept earlier
+    neighbour is dropped, and one whose earlier neighbours are all dropped is kept;
+    the result is that of the sequential scan. Each round's decisions are a
+    checkpointed table of the rows with pairs only. Long chains decide about a row
+    a round, so after ROUNDS rounds the rest is scanned in one task once it has SCAN_EDGES edges at most.
     """
     edges = checkpointed(pairs.select("a", "b"))
     state = checkpointed(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
-    for _ in range(most_rounds):
-        if state.where("kept is null").isEmpty():
-            break
+    done = 0
+    while not state.where("kept is null").isEmpty():
+        if done >= ROUNDS:
+            is_open = state.where("kept is null").select(F.col("id").alias("b"))
+            ends = state.where("kept is null or kept").select(F.col("id").alias("a"), F.when(F.col("kept"), "kept").otherwise("open").alias("ak"))
+            left = checkpointed(edges.join(is_open, "b", "left_semi").join(ends, "a"))
+            if left.count() <= SCAN_EDGES:
+                found = scanned(left).withColumnRenamed("kept", "found")
+                state = checkpointed(state.join(found, "id", "left").select("id", F.coalesce("kept", "found", F.lit(True)).alias("kept")))
+                break
         earlier = edges.join(state.select(F.col("id").alias("a"), F.col("kept").alias("ak")), "a").groupBy("b").agg(
             F.coalesce(F.max("ak"), F.lit(False)).alias("any_kept"), F.max(F.col("ak").isNull()).alias("any_open")
         )
         joined = state.join(earlier, state["id"] == earlier["b"], "left")
         decided = F.when(F.col("any_kept"), F.lit(False)).when(F.coalesce("any_open", F.lit(False)), F.lit(None).cast("boolean")).otherwise(F.lit(True))
         state = checkpointed(joined.select("id", F.coalesce("kept", decided).alias("kept")))
+        done += 1
     gone = state.where("kept = false").select(F.col("id").alias(key))
     return df.join(gone, key, "left_anti")
 
