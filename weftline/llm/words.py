@@ -30,10 +30,10 @@ def plain(text: str) -> bool:
     return not any(c in text for c in _ODD_ASCII) and (text.isascii() or not any(c in text for c in _ODD_OTHER))
 
 
-def pieces_of(data: bytes, doc_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, sizes and keys of the pieces of joined texts. A key is a mixed hash, the
-    first and the last eight bytes: pieces of up to 16 bytes are told apart exactly,
-    longer ones by a 64-bit hash of all bytes as well."""
+def pieces_of(data: bytes, doc_starts: np.ndarray, long_pieces: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, sizes and keys of the pieces of joined texts, told apart exactly. The key
+    of a piece of up to 16 bytes is a mixed hash, the first and the last eight bytes;
+    a longer one is known by its number in `long_pieces`, which grows."""
     raw = np.frombuffer(data, np.uint8)
     start = (raw == 32) | (raw == 10)
     start[1:] |= raw[:-1] == 10
@@ -48,9 +48,11 @@ def pieces_of(data: bytes, doc_starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
-    h = h & ~np.uint64(31) | np.minimum(size, 31).astype(np.uint64)
+    h = h & ~np.uint64(31) | np.minimum(size, 31).astype(np.uint64)  # sizes of 16 at most, or 31 for long pieces
     long = np.flatnonzero(size > 16)
-    h[long] ^= np.fromiter((hash(data[a : a + n]) for a, n in zip(at[long].tolist(), size[long].tolist(), strict=True)), np.int64, len(long)).view(np.uint64) & ~np.uint64(31)
+    known = np.fromiter((long_pieces.setdefault(data[a : a + n], len(long_pieces)) for a, n in zip(at[long].tolist(), size[long].tolist(), strict=True)), np.uint64, len(long))
+    mixed = known * np.uint64(0x9E3779B97F4A7C15)
+    h[long], first[long], last[long] = (mixed ^ mixed >> np.uint64(29)) & ~np.uint64(31) | np.uint64(31), known, 0
     return at, size, np.stack([h, first, last], 1)
 
 
@@ -87,6 +89,10 @@ class PieceEncoder:
         self.most, self.cuts, self.together = most, pattern == PATTERN, together
         self._forget()
 
+    def special(self, text: str) -> bool:
+        """Whether a text holds a string that is a token of its own wherever it stands."""
+        return False
+
     def whole(self, text: str) -> np.ndarray:
         """The ids of a text."""
         raise NotImplementedError
@@ -96,6 +102,7 @@ class PieceEncoder:
         raise NotImplementedError
 
     def _forget(self) -> None:
+        self.long: dict[bytes, int] = {}
         self.levels = [Level(), Level()]  # all known pieces but the latest, and these
         self.ids = np.zeros(1 << 16, np.uint32)
         self.begin, self.count = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
@@ -154,7 +161,7 @@ class PieceEncoder:
             if not text:
                 continue
             raw = text.encode()
-            if len(raw) > BLOCK or not self.cuts or not plain(text):
+            if len(raw) > BLOCK or not self.cuts or not plain(text) or self.special(text):
                 whole[i] = self.whole(text)
                 continue
             if room + len(raw) > BLOCK:
@@ -168,7 +175,7 @@ class PieceEncoder:
         owners, keys, spans = [], [], []
         base = 0
         for own, data, starts in blocks:
-            at, size, key = pieces_of(data, starts)
+            at, size, key = pieces_of(data, starts, self.long)
             owners.append(np.array(own)[np.searchsorted(starts, at, "right") - 1])
             keys.append(key)
             spans.append(np.stack([at + base, size], 1))
@@ -214,12 +221,15 @@ class BatchEncoder(PieceEncoder):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # bytes of a token: byte-level symbols stand for one each
         for symbols, i in self.tokenizer.get_vocab().items():
             self.sizes[i] = len(symbols)
         super().__init__(most)
 
+    def special(self, text: str) -> bool:
+        return any(t in text for t in self.added)
+
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
