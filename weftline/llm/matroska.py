@@ -289,15 +289,25 @@ def packets(media: DataFrame) -> DataFrame:
 
 
 def features(media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, and digests and features of the samples read back from the stored files."""
+    """doc_id, n_bytes, and digests and features of the samples read back from the stored files.
+
+    Null, empty and broken files give nulls for all that is read from them, each row
+    by itself; repeated rows give equal rows, long files are parsed whole, no rows give none.
+    """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def run(batches):
         for batch in batches:
             rows = []
             for data in batch.column(2).to_pylist():
-                parsed = demux(data)
-                payload = samples(data, parsed["packets"])
+                try:
+                    parsed = demux(data or b"")
+                    payload = samples(data or b"", parsed["packets"])
+                except (ValueError, IndexError):
+                    payload = b""
+                if not payload:
+                    rows.append((None,) * 6)
+                    continue
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature(payload, parsed)))
             columns = list(zip(*rows, strict=True)) or [()] * 6
             types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -305,4 +315,4 @@ def features(media: DataFrame) -> DataFrame:
                 [batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))],
                 [c.split()[0] for c in schema.split(", ")])
 
-    return media.mapInArrow(run, schema)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
