@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import WORD, checkpointed, small_or_shuffled
+from weftline.llm.common import WORD, checkpointed, quoted, small_or_shuffled
 
 #: Fixed by the query's contract: sources in code-point order weigh 3, 1, 2, and so on.
 CYCLE = (3, 1, 2)
@@ -112,24 +112,28 @@ def mixed(docs: DataFrame, seed: int = 17, cycle=CYCLE, share: float = SHARE, mo
     """The documents as the mix takes them: each row as often as it has copies, with all its columns.
 
     Rows are told apart by doc_id, source and text. Rows equal in all three whose
-    copies differ are numbered, and their total is dealt out over them.
+    copies differ are numbered, and their total is dealt out over them. Null ids,
+    sources and texts are values like others; other columns may have any names; no
+    rows give none.
     """
-    key = ["_id", "_src", "_key"]
-    taken = decided(docs, seed, cycle, share, most).groupBy(F.col("doc_id").alias("_id"), F.col("src").alias("_src"), F.col("text_key").alias("_key")).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("copies").alias("_total"), F.min("copies").alias("_least"), F.max("copies").alias("_most")
-    )
-    taken = checkpointed(taken)
-    keyed = docs.withColumn("_text_key", text_key())
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.expr(SOURCE_KEY) == F.col("_src")) & (F.col("_text_key") == F.col("_key"))
-    alike = taken.where("_least = _most and _least > 0").select(*key, F.col("_least").alias("_copies"))
-    copied = keyed.join(small_or_shuffled(alike, 40), same).select(*docs.columns, "_copies")
-    uneven = taken.where("_least < _most").select(*key, "_n", "_total")
+    key = ["doc_id", "src", "text_key"]
+    taken = checkpointed(decided(docs, seed, cycle, share, most).groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("copies").alias("total"), F.min("copies").alias("least"), F.max("copies").alias("most")))
+    # the columns of docs travel in a struct, so that no name of theirs meets a name made here
+    keyed = docs.select(F.col("doc_id"), F.expr(SOURCE_KEY).alias("src"), text_key().alias("text_key"), F.struct(*map(quoted, docs.columns)).alias("row"))
+
+    def joined(table: DataFrame, row_bytes: int) -> DataFrame:
+        named = small_or_shuffled(table.withColumnsRenamed({c: f"{c}_2" for c in key}), row_bytes)
+        return keyed.join(named, (F.col("src") == F.col("src_2")) & (F.col("text_key") == F.col("text_key_2")) & F.col("doc_id").eqNullSafe(F.col("doc_id_2")))
+
+    copied = joined(taken.where("least = most and least > 0").select(*key, F.col("least").alias("copies")), 40).select("row", "copies")
+    uneven = taken.where("least < most").select(*key, "n", "total")
     if not uneven.isEmpty():
-        row = F.row_number().over(Window.partitionBy(*key).orderBy(F.md5(F.to_json(F.struct(*docs.columns)))))
-        numbered = keyed.join(small_or_shuffled(uneven, 56), same).withColumn("_row", row)
-        share_of = lambda c: F.expr(f"_total * {c} div _n")
-        copied = copied.unionByName(numbered.select(*docs.columns, (share_of("_row") - share_of("(_row - 1)")).alias("_copies")).where("_copies > 0"))
-    return copied.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+        nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.md5(F.to_json("row"))))
+        share_of = lambda c: F.expr(f"total * {c} div n")
+        dealt = joined(uneven, 56).withColumn("nth", nth).select("row", (share_of("nth") - share_of("(nth - 1)")).alias("copies"))
+        copied = copied.unionByName(dealt.where("copies > 0"))
+    return copied.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 #: The same result for another SQL engine, over a table of documents.
