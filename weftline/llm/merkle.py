@@ -56,8 +56,17 @@ def differing(a: str, b: str) -> Column:
               k -> named_struct('section', i, 'paragraph', j, 'piece', k)))))[0])) END""")
 
 
+def pieces_changed(a: str, b: str) -> Column:
+    """The pieces of fingerprint b (columns) that a doesn't have at their place, as "section.paragraph.piece" from 0, joined by commas."""
+    labels = lambda c: (
+        f"flatten(transform(split(substring({c}, 34), '/'), (s, i) -> flatten(transform(split(s, '[.]'), (p, j) -> "
+        f"transform(if(length(p) < 8, array(), sequence(0, cast(length(p) / 8 as int) - 1)), k -> concat_ws('.', i, j, k) || '=' || substring(p, 8 * k + 1, 8))))))"
+    )
+    return F.expr(f"CASE WHEN {a} = {b} THEN '' ELSE array_join(transform(array_except({labels(b)}, {labels(a)}), x -> substring_index(x, '=', 1)), ',') END")
+
+
 def fingerprints(docs: DataFrame, piece: int = PIECE) -> DataFrame:
-    """doc_id and fingerprint of every row. No shuffle."""
+    """doc_id and fingerprint of every row. No shuffle. Null texts count as empty; repeated rows and long texts are rows like others."""
     return docs.select("doc_id", fingerprint("text", piece).alias("fingerprint"))
 
 
@@ -90,6 +99,7 @@ def with_next(docs: DataFrame, columns: list[str], tie: str) -> DataFrame:
     are shuffled once, by bucket; the first row of each bucket is copied to the
     bucket before it, so that neighbours are found within buckets.
     """
+    kept = list(dict.fromkeys([tie, *columns]))
     placed = bucketed(docs)
     firsts = placed.groupBy("bucket").agg(F.max("doc_id").alias("first_id"))
     down = Window.orderBy(F.col("bucket").desc())
@@ -100,8 +110,8 @@ def with_next(docs: DataFrame, columns: list[str], tie: str) -> DataFrame:
         F.array(F.struct("bucket", F.lit(0).alias("ghost")), F.struct(F.col("to").alias("bucket"), F.lit(1).alias("ghost")))
     )
     rows = placed.join(small_or_shuffled(ghosts, 16), F.col("doc_id").eqNullSafe(F.col("first_id")), "left").select(
-        "doc_id", tie, *columns, F.explode(spots).alias("spot")
-    ).select("doc_id", tie, *columns, "spot.bucket", "spot.ghost")
+        "doc_id", *kept, F.explode(spots).alias("spot")
+    ).select("doc_id", *kept, "spot.bucket", "spot.ghost")
     order = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").desc_nulls_last(), tie)
     nexts = {f"next_{c}": F.lead(c).over(order) for c in columns}
     return rows.withColumns(nexts).where("ghost = 0").drop("bucket", "ghost")
@@ -114,7 +124,9 @@ def edits(docs: DataFrame, piece: int = PIECE) -> DataFrame:
     by as many from the start of the next document by descending doc_id, or by all
     of it if it is shorter. Null texts are empty: with no leaves they are like
     nothing but an equal text. Equal doc_ids follow each other by their texts'
-    digests; a single document is its own next one; no rows give no rows.
+    digests; a single document is its own next one; no rows give no rows. A text's
+    fingerprint is made once, and its neighbour takes it from there. Column
+    `edited_pieces` lists the branches of the edited tree that differ.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select(
         "doc_id", "text", fingerprint("text", piece).alias("fingerprint")
@@ -122,8 +134,7 @@ def edits(docs: DataFrame, piece: int = PIECE) -> DataFrame:
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.left("text", F.col("n_chars").cast("int") - cut), F.left("next_text", cut))
     return (
-        with_next(texts, ["text"], "fingerprint")
-        .withColumn("next_fingerprint", fingerprint("next_text", piece))
+        with_next(texts, ["text", "fingerprint"], "fingerprint")
         .withColumn("n_chars", F.length("text").cast("bigint"))
         .withColumn("edited", edited)
         .withColumn("edited_fingerprint", fingerprint("edited", piece))
@@ -131,6 +142,7 @@ def edits(docs: DataFrame, piece: int = PIECE) -> DataFrame:
             "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
             likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
             likeness("fingerprint", "next_fingerprint").alias("near_next"),
+            pieces_changed("fingerprint", "edited_fingerprint").alias("edited_pieces"),
         )
     )
 
@@ -144,6 +156,10 @@ _FP = """(list_transform([list_transform(string_split({t}, chr(10) || chr(10)),
 _LEAVES = "list_distinct(regexp_extract_all(substr({f}, 34), '[0-9a-f]{{8}}'))"
 
 
+_LABELS = """flatten(list_transform(string_split(substr({f}, 34), '/'), lambda s, i: flatten(list_transform(string_split(s, '.'), lambda p, j:
+  list_transform(range(0, length(p) // 8), lambda k: (i - 1)::VARCHAR || '.' || (j - 1)::VARCHAR || '.' || k::VARCHAR || '=' || substr(p, (8 * k + 1)::BIGINT, 8))))))"""
+
+
 def _near(a: str, b: str) -> str:
     x, y = _LEAVES.format(f=a), _LEAVES.format(f=b)
     return f"CASE WHEN {a} = {b} THEN 1.0 WHEN len({x}) + len({y}) = 0 THEN 0.0 ELSE 2.0::DOUBLE * len(list_intersect({x}, {y})) / (len({x}) + len({y})) END::DOUBLE"
@@ -159,8 +175,10 @@ e AS (SELECT *, left(text, n_chars - n_chars // 3) || left(next_text, n_chars //
 f AS (
   SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, {_FP.format(t='text')} AS fingerprint,
          {_FP.format(t='edited')} AS edited_fingerprint, {_FP.format(t='next_text')} AS next_fingerprint
-  FROM e)
+  FROM e),
+g AS (SELECT *, {_LABELS.format(f='fingerprint')} AS old, {_LABELS.format(f='edited_fingerprint')} AS new FROM f)
 SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-       {_near('fingerprint', 'edited_fingerprint')} AS near_edited, {_near('fingerprint', 'next_fingerprint')} AS near_next
-FROM f
+       {_near('fingerprint', 'edited_fingerprint')} AS near_edited, {_near('fingerprint', 'next_fingerprint')} AS near_next,
+       array_to_string(list_transform(list_filter(new, lambda x: NOT list_contains(old, x)), lambda x: string_split(x, '=')[1]), ',') AS edited_pieces
+FROM g
 """
