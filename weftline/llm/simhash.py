@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bounded_batches, checkpointed, small_or_shuffled
+from weftline.llm.common import bounded_batches, checkpointed, quoted, small_or_shuffled
 from weftline.llm.components import stars
 
 SHINGLE = 4
@@ -107,20 +107,20 @@ class Ball:
 def emit(batches: Iterator[pa.RecordBatch], half: int, bits: int) -> Iterator[pa.RecordBatch]:
     """For each bucket, the fingerprints that have a variant in it, as packed rows."""
     ball = Ball(half, bits)
-    _, starts = ball.by_class(bits)
-    there = np.diff(starts) > 0
+    classes = np.unique(ball.hash(ball.masks) & ((1 << bits) - 1))
 
     def rows(fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-        classes = ball.hash(fps) & ((1 << bits) - 1)
-        packed, buckets = [], []
-        for bucket in range(1 << bits):
-            own = fps[there[classes ^ bucket]]
-            if len(own):
-                buckets.append(bucket)
-                packed.append(own.tobytes())
-            if len(packed) >= 64 or bucket + 1 == 1 << bits:
-                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(packed, pa.binary())], ["bucket", "fps"])
-                packed, buckets = [], []
+        own = ball.hash(fps) & ((1 << bits) - 1)
+        for i in range(0, len(fps), step := max(1, AT_ONCE // len(classes))):
+            part = fps[i : i + step]
+            buckets = (own[i : i + step, None] ^ classes).ravel()
+            order = np.argsort(buckets, kind="stable")
+            buckets, sent = buckets[order], np.repeat(part, len(classes))[order]
+            first = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]]))
+            for j in range(0, len(first), 1000):
+                at = first[j : j + 1000].tolist()
+                ends = [*at[1:], int(first[j + 1000]) if j + 1000 < len(first) else len(sent)]
+                yield pa.RecordBatch.from_arrays([pa.array(buckets[at], pa.int32()), pa.array([sent[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())], ["bucket", "fps"])
 
     held: list[np.ndarray] = []
     for batch in batches:
@@ -216,10 +216,12 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) ->
     rows = checkpointed(fingerprints(docs, k))
     nodes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = checkpointed(stars(linked_pairs(nodes, nodes.count(), radius)))
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labelled = rooted.join(smallest, "root").select("fp", "component_id", "root")
-    return rows.join(labelled, "fp", "left").select(
+    members = checkpointed(roots.union(roots.select("root", "root").distinct()))
+    smallest = checkpointed(nodes.join(small_or_shuffled(members, 16), nodes.fp == members.node).groupBy("root").agg(F.min("least").alias("component_id")))
+    labelled = members.join(small_or_shuffled(smallest, 16), "root")
+    # stored, so that Spark can split the partition of a fingerprint that many rows have
+    labels = checkpointed(nodes.join(labelled, nodes.fp == labelled.node, "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root")))
+    return rows.join(labels, "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root", "text_key"
     )
 
@@ -235,15 +237,21 @@ def one_of_each(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, near: D
     near = checkpointed(near_duplicates(docs, k, radius) if near is None else near)
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")
     best = near.groupBy("root").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    best = small_or_shuffled(checkpointed(best), 48)  # stored, so that Spark can split the partition of a large component
+    key = ["doc_id", "text_key"]
     grouped = checkpointed(
-        near.join(best, "root").groupBy("doc_id", "text_key")
-        .agg(F.max(order == F.col("best")).alias("stays"), F.count(F.lit(1)).alias("times"))
+        near.join(best, "root").groupBy(*key).agg(F.max(order == F.col("best")).alias("stays"), F.count(F.lit(1)).alias("times"))
     )
-    gone = grouped.where("not stays").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    again = grouped.where("stays and times > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
-    left = docs.withColumn("_text_key", text_key()).join(small_or_shuffled(gone, 16), same, "left_anti")
+    gone, again = grouped.where("not stays").select(*key), grouped.where("stays and times > 1").select(*key)
+    # the columns of docs travel in a struct, so that no name of theirs meets a name made here
+    left = docs.select("doc_id", text_key().alias("text_key"), F.struct(*map(quoted, docs.columns)).alias("row"))
+
+    def joined(table: DataFrame, how: str) -> DataFrame:
+        named = small_or_shuffled(table.toDF("doc_id_2", "text_key_2"), 16)
+        return left.join(named, (F.col("text_key") == F.col("text_key_2")) & F.col("doc_id").eqNullSafe(F.col("doc_id_2")), how)
+
+    left = joined(gone, "left_anti")
     if not again.isEmpty():
-        repeated = left.join(small_or_shuffled(again, 16), same, "left_semi").dropDuplicates(["doc_id", "_text_key"])
-        left = left.join(small_or_shuffled(again, 16), same, "left_anti").unionByName(repeated)
-    return left.drop("_text_key")
+        repeated = joined(again, "left_semi").dropDuplicates(key)
+        left = joined(again, "left_anti").unionByName(repeated)
+    return left.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
