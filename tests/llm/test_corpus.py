@@ -97,17 +97,19 @@ def test_matroska_lacing_and_unknown_sizes(spark, rows):
     packets = matroska.packets(matroska.encode(table(spark, rows)).union(spark.createDataFrame([(0, 0, None), (0, 0, bytearray(b"\x1a\x45"))], "doc_id long, n_bytes long, media binary")))
     assert packets.groupBy("doc_id").count().count() == len({r[0] for r in rows})
     assert matroska.features(matroska.encode(table(spark, rows).limit(0))).count() == 0
+    whole = matroska.mux(b"a" * 4096)
+    odd = spark.createDataFrame([(1, 0, None, 5), (2, 0, bytearray(), 5), (3, 0, bytearray(b"\x1a\x45"), 5), (4, 9, bytearray(whole), 5)], "doc_id long, n_bytes long, media binary, feature int")
+    assert [(r.doc_id, r.payload_bytes, r.feature is None) for r in matroska.features(odd).sort("doc_id").collect()] == [(1, None, True), (2, None, True), (3, None, True), (4, 4096, False)]
 
 
 def reference_encoder():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
-ODD = ["", "  ", "a  b   c\n\n d \n e", "aaaa bbbb ", "\x00 a\x00b", "don't  we'll   a   b\x1c \x1d c", "<|endoftext|> hi,", "日本語テキスト," * 100, "a ,b ., c_. d.,e f,g ½. ٣, ok", "\t\tx  y  z", "x" * 3000]
+ODD = ["", "  ", "a  b   c\n\n d \n e", "aaaa bbbb ", "\x00 a\x00b", "don't  we'll   a   b\x1c \x1d c", "<|endoftext|> hi,", "a <|endoftext|> b", "x<|endoftext|>y\nz", "a <|endoftext |> b", "averyveryverylongword " * 3 + "averyveryvexylongword " * 2 + "end", "日本語テキスト," * 100, "a ,b ., c_. d.,e f,g ½. ٣, ok", "\t\tx  y  z", "x" * 3000]
 
 
 def test_pieces_and_memo():
@@ -325,15 +327,17 @@ def brute_repeats(texts, n):
     return out
 
 
-@pytest.mark.parametrize("most", [1000, 1])
+@pytest.mark.parametrize("most", [1 << 19, 2000, 1])
 def test_repeats(spark, rows, most, monkeypatch):
-    monkeypatch.setattr(repeats, "GROUP_TEXTS", most)
+    monkeypatch.setattr(repeats, "GROUP_BYTES", most)
     monkeypatch.setattr(repeats, "BLOCK", 8192)
     rng = random.Random(10)
     text = words(rng, 400)
     more = rows + [(300 + i, words(rng, 20) + text[i * 40 : i * 40 + 700] + words(rng, 20), "en", "a") for i in range(12)] + [(400, "ab" * 450, "en", "a"), (401, text[:300] + text[:300], "en", "b")]
-    for length in (400, 60):
-        got = Counter(map(tuple, repeats.removed(table(spark, more), length).collect()))
+    for length in (400, 60, 1000):
+        found = repeats.removed(table(spark, more), length)
+        got = Counter(map(tuple, found.drop("text").collect()))
+        assert {r.doc_id: r.text for r in found.collect() if not r.n_removed} == {i: t or "" for i, t, _, _ in more if i in {r.doc_id for r in found.collect() if not r.n_removed}}
         want = Counter((i, *x) for (i, _, _, _), x in zip(more, brute_repeats([(t or "").encode() for _, t, _, _ in more], length), strict=True))
         assert got == want
     assert repeats.removed(table(spark, rows).limit(0)).count() == 0
@@ -343,6 +347,15 @@ def test_repeats(spark, rows, most, monkeypatch):
     assert texts[1] is None and texts[4] == "one" and texts[400] == ""
 
 
+def test_runs_of_one_byte(spark):
+    run, other = "a" * 1_000_000, "b" * 999 + "".join(map(str, range(2000)))
+    found = sum(len(repeats.segments([t.encode()], 400)["n"]) for t in (run, "ab" * 100_000))
+    assert found < 400
+    docs = spark.createDataFrame([(1, run), (2, "x" + "a" * 5000 + "y"), (3, other)], "doc_id long, text string")
+    got = {r[0]: tuple(r)[1:4] for r in repeats.removed(docs, 1000).collect()}
+    assert got == {1: (1_000_000, 1_000_000, 1), 2: (5002, 5000, 1), 3: (len(other), 0, 0)}
+
+
 def test_quality(spark):
     rng = random.Random(11)
     good = [(i, words(rng, 80).capitalize() + ".", "en", "a") for i in range(150)]
@@ -395,6 +408,9 @@ def test_merkle(spark, rows):
     assert by_id[5].fingerprint == by_id[6].fingerprint and by_id[6].near_next == 1.0 and by_id[5].near_edited > 0.5
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
     assert by_id[1].fingerprint == by_id[2].fingerprint
+    x, y = "p" * 40 + "\nq\n\nlast", "p" * 39 + "Z\nq\n\nlast one\n\nx"
+    pair = spark.createDataFrame([(x, y)], "a string, b string").select(merkle.fingerprint("a").alias("x"), merkle.fingerprint("b").alias("y"))
+    assert pair.select(merkle.pieces_changed("x", "y"), merkle.pieces_changed("x", "x")).first()[:] == ("0.0.1,1.0.0,2.0.0", "")
     assert merkle.edits(docs.limit(0)).count() == 0
     one = merkle.edits(table(spark, [(1, "abcdef", None, None)])).first()
     assert one.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest()

@@ -18,27 +18,36 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bounded_batches, checkpointed, shared_folder, small_or_shuffled
+from weftline.llm.common import bounded_batches, checkpointed, quoted, shared_folder, small_or_shuffled
 from weftline.llm.lyndon import repeated_starts
 
 LENGTH = 400
 BLOCK = 1 << 20  # bytes hashed at once; places in a block take the low bits of a key
 PLACE = np.uint64((1 << 21) - 1)
 SORT_BYTES = 1 << 18  # bytes whose suffixes are sorted together, unless one group has more
-GROUP_TEXTS = 1000  # distinct segments of a group that are sorted; beyond, windows are counted
+GROUP_BYTES = 1 << 20  # bytes of a group that one task sorts; the windows of larger groups are counted in buckets
+SEGMENT_STARTS = 4096  # window starts of a segment, about
 HASHED_AT_ONCE = 500_000
 
 _rng = np.random.default_rng(400)
 _BYTE = _rng.integers(0, 2**64, 256, np.uint64)
 _BASE = 0x9E3779B97F4A7C15
-_UP = np.cumprod(np.full(BLOCK + 4096, _BASE, np.uint64))
-_DOWN = np.cumprod(np.full(BLOCK + 4096, pow(_BASE, -1, 2**64), np.uint64))
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """At least n powers of a base, modulo 2**64; the tables of a worker grow with what it meets."""
+    if len(_POWERS.get(base, ())) < n:
+        _POWERS[base] = np.cumprod(np.full(max(n, 2 * BLOCK), base, np.uint64))
+    return _POWERS[base]
 
 
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
-    """A mixed 64-bit hash of every k bytes in a row."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _DOWN[: len(data)])])
-    h = (sums[k:] - sums[:-k]) * _UP[: len(data) - k + 1]
+    """A mixed 64-bit hash of every k bytes in a row; none for fewer bytes."""
+    if len(data) < k:
+        return np.zeros(0, np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * powers(pow(_BASE, -1, 2**64), len(data))[: len(data)])])
+    h = (sums[k:] - sums[:-k]) * powers(_BASE, len(data))[: len(data) - k + 1]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
@@ -56,11 +65,21 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[:n], left[w - 1 : w - 1 + n])
 
 
+def window_spots(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every window of `length` bytes the place of its minimizer, the leftmost of equal ones; and the hashes of all grams."""
+    k = max(1, length // 4)
+    h = gram_hashes(data, k)
+    spots = (sliding_min((h & ~PLACE) | np.arange(len(h), dtype=np.uint64), length - k + 1) & PLACE).astype(np.int64)
+    return spots, h
+
+
 def segments(texts: list[bytes], length: int) -> dict[str, np.ndarray]:
     """Segments of all texts: text index, first start, number of starts, hash, and
-    whether the hash is the minimizer at two places of the text."""
-    k = max(1, length // 4)
-    w = length - k + 1
+    whether the hash is the minimizer at two places of the text.
+
+    Neighbours with one hash are one segment, as in a run of one byte, where every
+    window has a place of its own; segments are cut at about SEGMENT_STARTS starts.
+    """
     pieces = [
         (i, at, t[at : at + BLOCK]) for i, t in enumerate(texts) if len(t) >= length
         for at in range(0, len(t) - length + 1, BLOCK - length + 1)
@@ -72,8 +91,7 @@ def segments(texts: list[bytes], length: int) -> dict[str, np.ndarray]:
         data = np.frombuffer(b"".join(p[2] for p in held), np.uint8)
         sizes = np.array([len(p[2]) for p in held])
         firsts = np.cumsum(sizes) - sizes
-        h = gram_hashes(data, k)
-        spots = (sliding_min((h & ~PLACE) | np.arange(len(h), dtype=np.uint64), w) & PLACE).astype(np.int64)
+        spots, h = window_spots(data, length)
         n = sizes - length + 1
         owner = np.repeat(np.arange(len(held)), n)
         local = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
@@ -103,7 +121,11 @@ def segments(texts: list[bytes], length: int) -> dict[str, np.ndarray]:
     again = np.flatnonzero(same & (spot[order][1:] != spot[order][:-1]))
     twice = np.zeros(len(text), np.int64)
     twice[order[again]] = twice[order[again + 1]] = 1
-    return {"text": text, "start": start, "n": n, "hash": hashes, "twice": twice}
+    apart = (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1]) | (start[1:] != start[:-1] + n[:-1])
+    run = np.flatnonzero(np.concatenate([[True], apart]))
+    within = (start - np.repeat(start[run], np.diff(np.append(run, len(start))))) // SEGMENT_STARTS
+    first = np.flatnonzero(np.concatenate([[True], apart | (within[1:] != within[:-1])]))
+    return {"text": text[first], "start": start[first], "n": np.add.reduceat(n, first), "hash": hashes[first], "twice": np.maximum.reduceat(twice, first)}
 
 
 def raw(column: pa.Array) -> list[bytes]:
@@ -276,6 +298,34 @@ def large_group_marks(contents: DataFrame, length: int) -> DataFrame:
     return here.union(found.where("bucket is not null").groupBy("bucket").applyInArrow(meet, MARKS))
 
 
+SEGMENTS = "k1 long, k2 long, start long, n long, hash long, c1 long, c2 long, content binary"
+
+
+def distinct_contents(segs: DataFrame) -> DataFrame:
+    """hash, c1, c2, n, times and content of the distinct segments of each group."""
+    return _stored(segs.groupBy("hash", "c1", "c2").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("times"), F.max("content").alias("content")), "distinct")
+
+
+def group_marks(contents: DataFrame, length: int) -> DataFrame:
+    """Ranges of window starts (c1, c2, lo, hi) of the segments that repeat, for all groups.
+
+    Segments that occur more than once repeat as a whole. The suffixes of a group of
+    up to GROUP_BYTES are sorted in one task. The windows of larger groups are dealt
+    out by their hashes and counted, so that no task holds such a group.
+    """
+    again = contents.where("times > 1").select("c1", "c2", F.lit(0).cast("bigint").alias("lo"), F.col("n").alias("hi"))
+    sizes = contents.groupBy("hash").agg(F.count(F.lit(1)).alias("m"), F.sum(F.octet_length("content")).alias("bytes")).where("m > 1")
+    large = checkpointed(sizes.where(F.col("bytes") > GROUP_BYTES).select("hash"))
+    held = small_or_shuffled(large, 16)
+    groups = (
+        contents.join(held, "hash", "left_anti").groupBy("hash")
+        .agg(F.collect_list(F.struct("c1", "c2", "content")).alias("group"), F.sum("times").alias("times"))
+        .where((F.size("group") > 1) | (F.col("times") == 1)).select("group")  # a segment alone may repeat within itself
+    )
+    marks = again.union(groups.mapInArrow(lambda it: sort_groups(it, length), MARKS))
+    return marks if large.isEmpty() else marks.union(large_group_marks(contents.join(held, "hash", "left_semi"), length))
+
+
 def keep(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -314,6 +364,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame
     Matches never cross texts. Copies of a whole text are one text that repeats: from
     `length` bytes on it goes as a whole. Null and empty texts and those below
     `length` bytes lose nothing; repeated rows are copies; no rows give no rows.
+    Of docs only doc_id and text are read, so further columns may have any names.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -325,7 +376,10 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame
     marked = _stored(
         keyed.select("k1", "k2", "text").mapInArrow(lambda it: scan(it, length), "k1 long, k2 long, hash long, start long, n long, twice long"),
         "segments")
-    shared = marked.groupBy("hash").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.max("twice").alias("twice")).where("a <> b or twice = 1").select("hash")
+    # stored, not aggregated in the plan of the join: Spark can then split the partition of a frequent hash
+    shared = _stored(
+        marked.groupBy("hash").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.max("twice").alias("twice")).where("a <> b or twice = 1").select("hash"),
+        "shared")
     found = marked.join(shared, "hash").groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "n", "hash")).alias("segs"))
     wanted = checkpointed(found.join(texts, ["k1", "k2"]).select("k1", "k2", "rep", "copies", "n_bytes", "segs"))
 
@@ -333,25 +387,8 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame
     same = (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")) & F.col("doc_id").eqNullSafe(F.col("rep"))
     bodies = keyed.join(small_or_shuffled(reps, 40), same).groupBy("k1", "k2").agg(F.max("text").alias("text"))
     work = _stored(wanted.join(bodies, ["k1", "k2"]), "texts")
-    segs = _stored(
-        work.select("k1", "k2", "text", "segs").mapInArrow(
-            lambda it: cut_segments(it, length), "k1 long, k2 long, start long, n long, hash long, c1 long, c2 long, content binary"),
-        "contents")
-
-    contents = _stored(segs.groupBy("hash", "c1", "c2").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("times"), F.max("content").alias("content")), "distinct")
-    large = checkpointed(contents.groupBy("hash").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > GROUP_TEXTS).select("hash"))
-    held = small_or_shuffled(large, 16)
-    groups = (
-        contents.join(held, "hash", "left_anti").groupBy("hash")
-        .agg(F.collect_list(F.struct("c1", "c2", "content")).alias("group")).where(F.size("group") > 1).select("group")
-    )
-    marks = (
-        contents.where("times > 1").select("c1", "c2", F.lit(0).cast("bigint").alias("lo"), F.col("n").alias("hi"))
-        .union(groups.mapInArrow(lambda it: sort_groups(it, length), MARKS))
-    )
-    if not large.isEmpty():
-        marks = marks.union(large_group_marks(contents.join(held, "hash", "left_semi"), length))
-    marks = checkpointed(marks)
+    segs = _stored(work.select("k1", "k2", "text", "segs").mapInArrow(lambda it: cut_segments(it, length), SEGMENTS), "contents")
+    marks = checkpointed(group_marks(distinct_contents(segs), length))
     spans = (
         segs.select("k1", "k2", "start", "c1", "c2").join(marks, ["c1", "c2"])
         .groupBy("k1", "k2").agg(F.collect_set(F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))).alias("spans"))
@@ -364,13 +401,29 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame
     return rows, whole.union(parts)
 
 
+def readable(kept: Column) -> Column:
+    """Kept bytes as text, without the characters that lost some of their bytes."""
+
+    @F.pandas_udf("string")
+    def run(column):
+        return column.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
+    return run(kept)
+
+
 def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept text for every document.
+
+    Null and empty texts have no bytes and an empty kept text; characters that lose
+    some of their bytes aren't in `text`, while kept_sha256 is of all kept bytes.
+    """
     rows, cleaned = repeats(docs, length)
-    lost = checkpointed(cleaned.select("k1", "k2", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")))
-    return rows.join(lost, ["k1", "k2"], "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
-        F.coalesce("kept_sha256", "digest").alias("kept_sha256"),
+    lost = checkpointed(cleaned.select("k1", "k2", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), readable(F.col("kept")).alias("kept")))
+    digest, k1, k2 = text_keys(F.col("text"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), digest.alias("digest"), k1.alias("k1"), k2.alias("k2"))
+    return texts.join(lost, ["k1", "k2"], "left").select(
+        "doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
+        F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "digest").alias("kept_sha256"), F.coalesce("kept", "text").alias("text"),
     )
 
 
@@ -379,18 +432,14 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     A character that loses some of its bytes is dropped; a document that loses all
     stays, with an empty text; texts that lose nothing, null ones too, stay as they are.
+    All other columns are kept, whatever their names; no rows give none.
     """
     _, cleaned = repeats(docs, length)
-    lost = checkpointed(cleaned.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "kept"))
-
-    @F.pandas_udf("string")
-    def readable(kept):
-        return kept.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
-
-    lost = lost.select("_k1", "_k2", readable("kept").alias("_kept"))
+    lost = checkpointed(cleaned.select("k1", "k2", "kept")).select("k1", "k2", readable(F.col("kept")).alias("kept"))
     _, k1, k2 = text_keys(F.col("text"))
-    out = docs.withColumns({"_a": k1, "_b": k2}).join(lost, (F.col("_a") == F.col("_k1")) & (F.col("_b") == F.col("_k2")), "left")
-    columns = [F.coalesce("_kept", "text").alias("text") if c == "text"
-               else F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept")).cast("bigint").alias("n_chars") if c == "n_chars"
-               else F.col(c) for c in docs.columns]
-    return out.select(*columns)
+    out = docs.select(k1.alias("k1"), k2.alias("k2"), F.struct(*map(quoted, docs.columns)).alias("row")).join(lost, ["k1", "k2"], "left")
+    columns = {c: F.col("row").getField(c) for c in docs.columns}
+    columns |= {"text": F.coalesce("kept", columns["text"])}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("kept").isNull(), columns["n_chars"]).otherwise(F.length("kept")).cast("bigint")
+    return out.select(*[c.alias(name) for name, c in columns.items()])
