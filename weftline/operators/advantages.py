@@ -125,21 +125,18 @@ def batch_zscore(df: DataFrame, score: str = "score", eps: float = EPS) -> DataF
     return total.withColumn("advantage", F.when(flat, F.lit(0.0)).otherwise((F.col(score) - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0)))).drop("_n", "_m", "_s")
 
 
-def _stratum_term(score: str, n: Column, mean: Column, std: Column, least: int, eps: float) -> Column:
-    return F.when(n >= least, F.when(std < eps, F.lit(0.0)).otherwise((F.col(score) - mean) / F.greatest(std, F.lit(eps)))).when(n == 2, F.col(score) - mean)
-
-
 @register("stratified")
 def stratified(
     df: DataFrame, uid: str = "uid", level: str = "level", scenario: str = "scenario", score: str = "score",
-    beta: float = 0.1, least: int = 3, eps: float = EPS,
+    beta: float = 0.25, least: int = 3, eps: float = EPS, by_std: bool = True,
 ) -> DataFrame:
     """Strata (level, scenario) within a group, plus beta times the z-score in the whole group.
 
-    A stratum of at least `least` rows gives a z-score by the population deviation,
-    one of two rows the difference from their mean; a single row falls back to its
-    scenario within the group, then to the group, by the same rules from two rows
-    on. A stratum that meets no rule gives 0, and a lone row of a group gets 0.
+    A row is centred on its stratum if that has at least `least` rows, or two; a lone
+    row is centred on its scenario within the group if that has two rows, else on the
+    group. The difference is divided by the population deviation (at least eps) only
+    where the level it is taken from has `least` rows and by_std holds. Strata between
+    two and `least` rows give 0. The group's own term is divided from two rows on.
     """
     spec = {
         "s": Window.partitionBy(uid, level, scenario), "c": Window.partitionBy(uid, scenario), "g": Window.partitionBy(uid),
@@ -149,12 +146,14 @@ def stratified(
         for name, f in (("n", F.count(F.lit(1))), ("m", F.avg(score)), ("d", F.stddev_pop(score)))
     }
     df = df.withColumns(stats)
-    z = lambda k: F.when(F.col(f"_{k}d") < eps, F.lit(0.0)).otherwise((F.col(score) - F.col(f"_{k}m")) / F.greatest(F.col(f"_{k}d"), F.lit(eps)))
-    own = _stratum_term(score, F.col("_sn"), F.col("_sm"), F.col("_sd"), least, eps)
-    fallback = F.when(F.col("_cn") >= 2, z("c")).when(F.col("_gn") >= 2, z("g")).otherwise(F.lit(0.0))
-    term = F.when(F.col("_sn") == 1, fallback).otherwise(F.coalesce(own, F.lit(0.0)))
-    whole = F.when(F.col("_gn") >= 2, z("g")).otherwise(F.lit(0.0))
-    return df.withColumn("advantage", term + beta * whole).drop(*stats)
+
+    def centred(k: str, rows: int) -> Column:
+        diff = F.col(score) - F.col(f"_{k}m")
+        return F.when((F.col(f"_{k}n") >= rows) & F.lit(by_std), diff / F.greatest(F.col(f"_{k}d"), F.lit(eps))).otherwise(diff)
+
+    lone = F.when(F.col("_cn") >= 2, centred("c", least)).otherwise(centred("g", least))
+    own = F.when(F.col("_sn") >= least, centred("s", least)).when(F.col("_sn") == 2, centred("s", least)).when(F.col("_sn") == 1, lone).otherwise(F.lit(0.0))
+    return df.withColumn("advantage", own + beta * centred("g", 2)).drop(*stats)
 
 
 @register("softmean")

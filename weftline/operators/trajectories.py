@@ -60,13 +60,19 @@ def created_and_deleted(df: DataFrame, session: str, entity: str, kind: str, cre
     )
 
 
-def provenance(df: DataFrame, session: str, value: Column, observation: str, *order: str) -> Column:
-    """Whether a value occurs in an earlier observation of the session; values of under three characters pass."""
-    before = F.collect_list(observation).over(in_order(session, *order).rowsBetween(Window.unboundedPreceding, -1))
-    return F.when(F.length(value) < 3, F.lit(True)).otherwise(F.contains(F.array_join(before, "\n"), value))
+def provenance(df: DataFrame, session: str, value: str, observation: str, step: str) -> DataFrame:
+    """Adds `known`: whether the value occurs in an earlier observation of the session; values of under three characters pass.
+
+    Each distinct observation of a session counts from its first step, and distinct
+    values meet distinct observations, so a long session costs its distinct texts only.
+    """
+    first = df.groupBy(session, F.col(observation).alias("_seen")).agg(F.min(step).alias("_first")).where("_seen is not null")
+    values = df.select(session, value).where(F.length(value) >= 3).distinct()
+    since = values.join(first, session).where(F.contains("_seen", value)).groupBy(session, value).agg(F.min("_first").alias("_since"))
+    return df.join(since, [session, value], "left").withColumn("known", F.coalesce((F.length(value) < 3) | (F.col("_since") < F.col(step)), F.lit(False))).drop("_since")
 
 
-def efficiency(calls: Column, required: Column, alpha: float = 0.1, slack: float = 0.5) -> Column:
+def efficiency(calls: Column, required: Column, alpha: float = 0.5, slack: float = 0.5) -> Column:
     """-alpha * max(0, calls - budget) / budget, with budget = required + ceil(slack * required)."""
     budget = F.greatest(required + F.ceil(slack * required), F.lit(1))
     return -alpha * F.greatest(calls - budget, F.lit(0)) / budget
@@ -84,22 +90,45 @@ def potential_shaping(df: DataFrame, session: str, potential: str, gamma: float,
     return df.withColumn("shaping", gamma * after - F.col(potential))
 
 
-def task_reward(calls: Column, hits: Column, required: Column, failed: Column) -> Column:
-    """Validity, coverage and efficiency in one score, held within -0.2 and 1."""
-    validity = F.when(calls > 0, 1 - failed / calls).otherwise(F.lit(0.0))
-    coverage = F.when(required > 0, hits / required).otherwise(F.lit(1.0))
-    return F.greatest(F.least(0.2 * validity + 0.8 * coverage + efficiency(calls, required), F.lit(1.0)), F.lit(-0.2))
+def dual_step(lam: float, streak: int, frozen: bool, cost: float, rate: float, budget: float, most: float, stall_after: int, stall_cost: float) -> tuple[float, int, bool]:
+    """One move of a multiplier, lambda + rate * (cost - budget), held within 0 and `most`, with protection against stalls.
 
+    Batches with a cost above stall_cost that would raise lambda lengthen a streak,
+    and from `stall_after` on lambda is frozen; batches with at most that cost shorten
+    the streak, and below `stall_after` lambda thaws. A frozen lambda doesn't rise but may fall.
+    """
+    moved = lam + rate * (cost - budget)
+    if cost > stall_cost:
+        if moved > lam:
+            streak += 1
+            frozen = frozen or streak >= stall_after
+    else:
+        streak = max(0, streak - 1)
+        frozen = frozen and streak >= stall_after
+    return (lam if frozen and moved > lam else max(0.0, min(moved, most))), streak, frozen
+
+
+def dual_ascent(
+    df: DataFrame, key: str, order: str, cost: str, lam: float = 1.0, rate: float = 0.01, budget: float = 0.05, most: float = 3.0,
+    stall_after: int = 10, stall_cost: float = 0.5,
+) -> DataFrame:
+    """key, order, lam, streak and frozen after each batch of (key, order, cost), a row a training step; see dual_step.
+
+    A run's steps are a sequence by nature: runs are spread over tasks, each is
+    ordered by the shuffle's sort and walked once. Null costs leave the state as it is.
+    """
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (key, order)}
 
-def dual_ascent(df: DataFrame, order: str, cost: str, lam: float = 0.0, rate: float = 0.1, budget: float = 0.1, most: float = 3.0) -> DataFrame:
-    """lambda after each batch: lambda + rate * (mean cost - budget), held within 0 and `most`.
+    def walk(rows):
+        import pandas as pd
 
-    Batches are rows of (order, cost), one a training step, a short driver-sized
-    sequence by nature; the state is folded over their ordered array.
-    """
-    steps = df.agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(cost).cast("double").alias("c")))).alias("steps"))
-    folded = F.aggregate(
-        "steps", F.array(F.struct(F.lit(None).cast(df.schema[order].dataType).alias("o"), F.lit(float(lam)).alias("lam"))),
-        lambda acc, x: F.concat(acc, F.array(F.struct(x["o"].alias("o"), F.greatest(F.least(F.element_at(acc, -1)["lam"] + rate * (x["c"] - budget), F.lit(float(most))), F.lit(0.0)).alias("lam")))),
-    )
-    return steps.select(F.explode(F.slice(folded, 2, F.size("steps"))).alias("s")).select(F.col("s.o").alias(order), F.col("s.lam").alias("lam"))
+        rows = rows.sort_values(order, kind="stable")
+        now, streak, frozen, out = lam, 0, False, []
+        for c in rows[cost].tolist():
+            if c is not None and c == c:
+                now, streak, frozen = dual_step(now, streak, frozen, float(c), rate, budget, most, stall_after, stall_cost)
+            out.append((now, streak, frozen))
+        state = pd.DataFrame(out, columns=["lam", "streak", "frozen"], index=rows.index)
+        return pd.concat([rows[[key, order]], state], axis=1)
+
+    return df.select(key, order, cost).groupBy(key).applyInPandas(walk, f"{key} {kinds[key]}, {order} {kinds[order]}, lam double, streak int, frozen boolean")

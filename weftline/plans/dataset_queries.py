@@ -253,8 +253,12 @@ def potential_difference(s, d):
 
 
 def dual_ascent_state(s, d):
-    daily = _events(s, d).groupBy(F.to_date("ts").alias("day")).agg(F.avg((F.col("value") > 50).cast("double")).alias("cost"))
-    return rounded(trajectories.dual_ascent(daily, "day", "cost"), "lam").withColumn("day", F.col("day").cast("string"))
+    """Multipliers of two runs over daily costs, the second of which is dear until late and so stalls and thaws."""
+    daily = _events(s, d).groupBy((F.col("user_id") % 2).alias("run"), F.to_date("ts").alias("day")).agg(F.avg((F.col("value") > F.when(F.col("user_id") % 2 == 0, 50).otherwise(25)).cast("double")).alias("cost"))
+    late = (F.dayofmonth("day") > 20) & (F.col("run") == 1)
+    daily = daily.withColumn("cost", F.when(late, F.col("cost") / 10).otherwise(F.col("cost")))
+    out = trajectories.dual_ascent(daily, "run", "day", "cost", rate=0.1, stall_after=8)
+    return rounded(out, "lam").withColumn("day", F.col("day").cast("string"))
 
 
 def dependency_chains(s, d):
@@ -350,9 +354,13 @@ ORACLE_SQL = {
     "recreated": """WITH g AS (SELECT *, max((event_type = 'click')::INT) OVER (PARTITION BY user_id, event_id % 3 ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gone FROM events)
       SELECT user_id, max((event_type = 'view' AND coalesce(gone, 0) = 1)::INT) AS recreated, sum((event_type = 'view')::INT)::BIGINT AS created, sum((event_type = 'click')::INT)::BIGINT AS deleted FROM g GROUP BY user_id""",
     "potential_difference": "SELECT event_id, round(0.99::DOUBLE * coalesce(lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) - value, 6) + 0.0 AS shaping FROM events",
-    "dual_ascent_state": """WITH RECURSIVE b AS (SELECT row_number() OVER (ORDER BY ts::DATE) AS k, ts::DATE AS day, avg((value > 50)::DOUBLE) AS c FROM events GROUP BY ts::DATE),
-      r AS (SELECT k, day, greatest(least(0.1::DOUBLE * (c - 0.1::DOUBLE), 3), 0)::DOUBLE AS lam FROM b WHERE k = 1 UNION ALL
-        SELECT b.k, b.day, greatest(least(r.lam + 0.1::DOUBLE * (b.c - 0.1::DOUBLE), 3), 0)::DOUBLE FROM r JOIN b ON b.k = r.k + 1) SELECT day::VARCHAR AS day, round(lam, 6) + 0.0 AS lam FROM r""",
+    "dual_ascent_state": """WITH RECURSIVE a AS (SELECT user_id % 2 AS run, ts::DATE AS day, avg((value > CASE WHEN user_id % 2 = 0 THEN 50 ELSE 25 END)::DOUBLE) AS c FROM events GROUP BY 1, 2),
+      b AS (SELECT run, day, CASE WHEN run = 1 AND day(day) > 20 THEN c / 10 ELSE c END AS c, row_number() OVER (PARTITION BY run ORDER BY day) AS k FROM a),
+      r AS (SELECT DISTINCT run, 0::BIGINT AS k, NULL::DATE AS day, 1.0::DOUBLE AS lam, 0 AS streak, false AS frozen FROM b UNION ALL
+        SELECT run, k, day, CASE WHEN f AND up THEN lam ELSE greatest(0, least(lam + 0.1::DOUBLE * (c - 0.05::DOUBLE), 3)) END, st, f FROM (
+          SELECT *, CASE WHEN c > 0.5 THEN frozen OR (up AND st >= 8) ELSE frozen AND st >= 8 END AS f FROM (
+            SELECT b.run, b.k, b.day, b.c, r.lam, r.frozen, b.c > 0.05::DOUBLE AS up, CASE WHEN b.c > 0.5 THEN r.streak + (b.c > 0.05::DOUBLE)::INT ELSE greatest(0, r.streak - 1) END AS st FROM r JOIN b ON b.run = r.run AND b.k = r.k + 1)))
+      SELECT run, day::VARCHAR AS day, round(lam, 6) + 0.0 AS lam, streak, frozen FROM r WHERE k > 0""",
     "dependency_chains": """WITH RECURSIVE e AS (SELECT a.n_nationkey AS s, b.n_nationkey AS d FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey
         QUALIFY row_number() OVER (PARTITION BY a.n_nationkey ORDER BY b.n_nationkey) <= 2),
       p AS (SELECT [s, d] AS path FROM e UNION ALL SELECT list_append(path, d) FROM p JOIN e ON path[-1] = s WHERE len(path) < 5 AND NOT list_contains(path, d)) SELECT array_to_string(path, '>') AS path FROM p""",

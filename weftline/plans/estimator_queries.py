@@ -32,12 +32,9 @@ t AS (
          count(*) OVER g AS gn, avg(score) OVER g AS gm, stddev_pop(score) OVER g AS gd
   FROM s WINDOW a AS (PARTITION BY uid, level, scenario), c AS (PARTITION BY uid, scenario), g AS (PARTITION BY uid)),
 z AS (
-  SELECT *, CASE WHEN sd < 1e-6 THEN 0 ELSE (score - sm) / greatest(sd, 1e-6) END AS zs,
-         CASE WHEN cd < 1e-6 THEN 0 ELSE (score - cm) / greatest(cd, 1e-6) END AS zc,
-         CASE WHEN gd < 1e-6 THEN 0 ELSE (score - gm) / greatest(gd, 1e-6) END AS zg
-  FROM t)"""
-_STRATIFIED = """CASE WHEN sn = 1 THEN CASE WHEN cn >= 2 THEN zc WHEN gn >= 2 THEN zg ELSE 0 END
-  WHEN sn >= 3 THEN zs ELSE score - sm END + 0.1 * CASE WHEN gn >= 2 THEN zg ELSE 0 END"""
+  SELECT *, score - sm AS es, score - cm AS ec, score - gm AS eg, greatest(sd, 1e-6) AS fs, greatest(cd, 1e-6) AS fc, greatest(gd, 1e-6) AS fg FROM t)"""
+_STRATIFIED = """CASE WHEN sn >= 3 THEN es / fs WHEN sn = 2 THEN es WHEN cn >= 3 THEN ec / fc WHEN cn = 2 THEN ec WHEN gn >= 3 THEN eg / fg ELSE eg END
+  + 0.25 * CASE WHEN gn >= 2 THEN eg / fg ELSE 0 END"""
 
 
 def stratified_saturated(spark, sf_dir):
@@ -74,7 +71,7 @@ def saturation_summary(spark, sf_dir):
 
 
 def dapo_filter(spark, sf_dir):
-    """Groups whose rewards vary (or single rows) stay, in the order of uid up to a number of rows."""
+    """Groups whose rewards vary, and single rows, stay."""
     df = samples(spark, sf_dir).withColumn("r", (F.col("score") > 30000).cast("double"))
     kept = df.groupBy("uid").agg(F.stddev_pop("r").alias("d"), F.count(F.lit(1)).alias("n")).where("d > 0 or n = 1")
     return kept.select("uid", "n")

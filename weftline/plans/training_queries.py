@@ -94,9 +94,9 @@ def sequence_imbalance(s, d):
 
 def provenance_check(s, d):
     """Whether a value occurs in the session's earlier observations."""
-    e = table(s, d, "events").withColumn("value_text", F.round("value", 0).cast("int").cast("string"))
-    ok = trajectories.provenance(e, "user_id", F.col("event_type"), "event_type", "ts", "event_id")
-    return e.select("event_id", ok.alias("known"))
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(s, d, "events").withColumns({"step": F.row_number().over(w), "known_as": F.col("event_type")})
+    return trajectories.provenance(e, "user_id", "known_as", "event_type", "step").select("event_id", "known")
 
 
 def first_time_bonus(s, d):
@@ -109,13 +109,6 @@ def replay_validity(s, d):
     return rounded(e.where("error_rate <= 0.30"), "error_rate")
 
 
-def task_reward(s, d):
-    names = trajectories.sequences(table(s, d, "events"), "user_id", "event_type", "ts", "event_id")
-    fails = table(s, d, "events").groupBy("user_id").agg(F.sum((F.col("value") < 10).cast("long")).alias("failed"))
-    out = names.join(fails, "user_id").select("user_id", trajectories.task_reward(F.size("names"), trajectories.aligned(F.col("names"), ["view", "click", "purchase"]), F.lit(3), F.col("failed")).alias("reward"))
-    return rounded(out, "reward")
-
-
 def report_metrics(s, d):
     """Rates over trajectories: success, violations, unsafe successes, over-calls."""
     t = table(s, d, "events").groupBy("user_id").agg(F.avg((F.col("value") > 20).cast("double")).alias("r"), F.max((F.col("event_type") == "refund").cast("int")).alias("c"), F.count(F.lit(1)).alias("calls"))
@@ -156,7 +149,7 @@ def nearest_vectors(s, d):
 
 QUERIES = {f.__name__: f for f in (
     mix_draw, pf_weights, pf_resample, kl_cov_tokens, online_preference, adaptive_kl, length_trend, prime_rloo, kl_penalty, prob_correlation, sequence_logps,
-    stable_softmax_entropy, throughput, sequence_imbalance, provenance_check, first_time_bonus, replay_validity, task_reward, report_metrics, intents,
+    stable_softmax_entropy, throughput, sequence_imbalance, provenance_check, first_time_bonus, replay_validity, report_metrics, intents,
     message_history, gpqa_score, nearest_vectors,
 )}
 

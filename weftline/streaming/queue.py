@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from weftline.operators.trajectories import dual_step
+
 QUEUE_OUT = "queue string, seq long, payload string, param_version int, event string, produced long, dropped long"
 QUEUE_STATE = "items string, produced long, dropped long"
 
@@ -58,21 +60,15 @@ CONTROL_OUT = "name string, batch long, cost double, lam double, streak int, fro
 CONTROL_STATE = "lam double, batch long, streak int, frozen boolean"
 
 
-def dual_variable(costs: DataFrame, rate: float = 0.1, budget: float = 0.1, most: float = 3.0, stall_after: int = 10, stall_cost: float = 0.5) -> DataFrame:
-    """The multiplier of a cost constraint by name, moved once a micro-batch of (name, cost).
-
-    lambda + rate * (mean cost - budget), held within 0 and `most`. A streak of
-    rises while costs stay above `stall_cost` freezes it.
-    """
+def dual_variable(costs: DataFrame, lam: float = 1.0, rate: float = 0.01, budget: float = 0.05, most: float = 3.0, stall_after: int = 10, stall_cost: float = 0.5) -> DataFrame:
+    """The multiplier of a cost constraint by name, moved once a micro-batch of (name, cost); see dual_step."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        lam, batch, streak, frozen = state.get if state.exists else (0.0, 0, 0, False)
+        now, batch, streak, frozen = state.get if state.exists else (lam, 0, 0, False)
         cost = float(pd.concat(list(frames))["cost"].mean())
-        moved = lam if frozen else min(most, max(0.0, lam + rate * (cost - budget)))
-        streak = streak + 1 if moved > lam else 0
-        frozen = frozen or (streak >= stall_after and cost > stall_cost)
-        state.update((moved, batch + 1, streak, frozen))
-        yield pd.DataFrame([(key[0], batch + 1, cost, moved, streak, frozen)], columns=[c.split()[0] for c in CONTROL_OUT.split(", ")])
+        now, streak, frozen = dual_step(now, streak, frozen, cost, rate, budget, most, stall_after, stall_cost)
+        state.update((now, batch + 1, streak, frozen))
+        yield pd.DataFrame([(key[0], batch + 1, cost, now, streak, frozen)], columns=[c.split()[0] for c in CONTROL_OUT.split(", ")])
 
     return costs.groupBy("name").applyInPandasWithState(step, CONTROL_OUT, CONTROL_STATE, "append", GroupStateTimeout.NoTimeout)
 
