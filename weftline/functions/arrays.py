@@ -39,7 +39,14 @@ def response_mask(ids: Column, end: int) -> Column:
 
 def positions(mask: Column) -> Column:
     """Running count of the mask less one, at least 0."""
-    return F.transform(mask, lambda x, i: F.greatest(F.aggregate(F.slice(mask, 1, i + 1), F.lit(0), lambda a, y: a + y.cast("int")) - 1, F.lit(0)))
+
+    @F.pandas_udf("array<int>")
+    def run(column):
+        import numpy as np
+
+        return column.map(lambda m: None if m is None else np.maximum(np.cumsum(np.asarray(m, dtype=np.int64)) - 1, 0).astype(np.int32))
+
+    return run(mask)
 
 
 def without_padding(ids: Column, mask: Column) -> Column:

@@ -57,7 +57,7 @@ def contained_match(prediction: Column, golden: Column) -> Column:
 
 def answer_block(text: Column) -> Column:
     """The inside of the last answer block, trimmed; null without one."""
-    return F.trim(last_match(text, ANSWER_BLOCK))
+    return F.regexp_replace(last_match(text, ANSWER_BLOCK), r"^\s+|\s+$", "")
 
 
 def last_boxed(text: Column) -> Column:

@@ -68,3 +68,15 @@ def micro_batches(df: DataFrame, batch: str, key: str, length: str, most_tokens:
         return pdf.assign(micro=pd.Series(differencing_bins(cost, bins), index=pdf.index, dtype="int32"))
 
     return df.select(batch, key, length).groupBy(batch).applyInPandas(run, schema)
+
+
+def zigzag(ranks: Column, bins: int) -> Column:
+    """Places of bins in falling order of load that go forth and back, so that neighbours balance: 0 .. n-1, n-1 .. 0."""
+    turn, at = F.floor(ranks / bins), F.pmod(ranks, F.lit(bins))
+    return F.when(F.pmod(turn, F.lit(2)) == 0, at).otherwise(bins - 1 - at).cast("int")
+
+
+def imbalance(df: DataFrame, part: str, length: str) -> DataFrame:
+    """Largest and smallest sum of lengths over parts, and their difference."""
+    g = df.groupBy(part).agg(F.sum(length).alias("total"))
+    return g.agg(F.max("total").alias("greatest"), F.min("total").alias("least"), (F.max("total") - F.min("total")).alias("difference"))

@@ -10,7 +10,7 @@ from weftline.session import checkpointed
 ROW = "row_idx"
 
 
-def with_row_index(df: DataFrame, *order: str, row: str = ROW) -> DataFrame:
+def with_row_index(df: DataFrame, *order: str | Column, row: str = ROW) -> DataFrame:
     """Consecutive numbers from 0 in the order of the columns, without a single-task sort of all rows.
 
     Rows are range-partitioned and sorted; each partition's start is the sum of the
@@ -28,6 +28,18 @@ def with_row_index(df: DataFrame, *order: str, row: str = ROW) -> DataFrame:
     return placed.join(F.broadcast(starts), "_part").withColumn(row, F.col("_start") + F.col("_seq") - F.col("_first")).drop("_part", "_seq", "_first", "_start")
 
 
+def with_running_sum(df: DataFrame, value: str, *order: str | Column, out: str = "upto") -> DataFrame:
+    """The sum of a column over this and all earlier rows, in parts: sums within range partitions, moved by the totals of the partitions before."""
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    placed = checkpointed(placed.withColumn("_part", F.spark_partition_id()).withColumn("_seq", F.monotonically_increasing_id()))
+    totals = placed.groupBy("_part").agg(F.sum(value).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = F.sum(value).over(Window.partitionBy("_part").orderBy("_seq"))
+    return placed.withColumn("_own", own).join(F.broadcast(starts), "_part").withColumn(out, F.col("_start") + F.col("_own")).drop("_part", "_seq", "_own", "_start")
+
+
 def take_slice(df: DataFrame, start: int = 0, stop: int | None = None, step: int = 1, row: str = ROW) -> DataFrame:
     """The rows start, start + step, ... before stop, as Python slices of non-negative bounds do."""
     keep = (F.col(row) >= start) & (F.pmod(F.col(row) - start, F.lit(step)) == 0)

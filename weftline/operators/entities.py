@@ -1,45 +1,45 @@
 """Entities under ordered mutations: a keyed table and a log of inserts, updates and deletes.
 
-Each entity's log is folded in order inside the engine, so any number of entities
+What a mutation comes to is told by windows over an entity's log, so any number of entities
 change at once. Guards never raise: a mutation that may not apply gets an error.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What a mutation comes to.
-OUTCOME = "array<struct<seq:bigint,error:string>>"
-
-
 def apply_mutations(state: DataFrame, log: DataFrame, key: str = "id", value: str = "value") -> DataFrame:
     """(key, value, alive, outcomes): entities after a log of (key, seq, op, value).
 
     insert fails with already_exists on a living entity, update and delete fail
     with not_found on a missing one; failed mutations change nothing. Entities that
     only the state or only the log knows are kept; outcomes name each mutation's error or null.
+
+    Whether an entity lives before a mutation is told by the last insert or delete
+    before it, failed or not, else by the state: so all is one window by key.
     """
     kind = state.schema[value].dataType.simpleString()
-    steps = log.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("seq").cast("bigint").alias("seq"), F.col("op").alias("op"), F.col(value).cast(kind).alias("v")))).alias("steps"))
     now = state.select(key, F.col(value).alias("_v"), F.lit(True).alias("_here"))
-    both = now.join(steps, key, "full_outer")
-    zero = F.struct(F.col("_v").cast(kind).alias("v"), F.coalesce("_here", F.lit(False)).alias("alive"), F.array().cast(OUTCOME).alias("log"))
-
-    def step(s: Column, m: Column) -> Column:
-        error = (
-            F.when((m["op"] == "insert") & s["alive"], F.lit("already_exists")).when(m["op"].isin("update", "delete") & ~s["alive"], F.lit("not_found"))
-            .when(~m["op"].isin("insert", "update", "delete"), F.lit("unknown_op"))
-        )
-        done = error.isNull()
-        return F.struct(
-            F.when(done & (m["op"] != "delete"), m["v"]).otherwise(s["v"]).alias("v"), F.when(done, m["op"] != "delete").otherwise(s["alive"]).alias("alive"),
-            F.concat(s["log"], F.array(F.struct(m["seq"].alias("seq"), error.alias("error")))).alias("log"),
-        )
-
-    empty = F.array().cast(f"array<struct<seq:bigint,op:string,v:{kind}>>")
-    folded = F.aggregate(F.coalesce("steps", empty), zero, step)
-    return both.select(key, folded.alias("s")).select(key, F.col("s.v").alias(value), F.col("s.alive").alias("alive"), F.col("s.log").alias("outcomes"))
+    steps = log.select(key, F.col("seq").cast("bigint").alias("seq"), "op", F.col(value).cast(kind).alias("_new")).join(now.select(key, "_here"), key, "left")
+    w = Window.partitionBy(key).orderBy("seq", "op", "_new")
+    turn = F.when(F.col("op") == "insert", F.lit(True)).when(F.col("op") == "delete", F.lit(False))
+    alive = F.coalesce(F.last(turn, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_here"), F.lit(False))
+    error = (
+        F.when((F.col("op") == "insert") & F.col("_alive"), F.lit("already_exists")).when(F.col("op").isin("update", "delete") & ~F.col("_alive"), F.lit("not_found"))
+        .when(F.col("op").isNull() | ~F.col("op").isin("insert", "update", "delete"), F.lit("unknown_op"))
+    )
+    steps = steps.withColumns({"_alive": alive, "_turn": turn, "_k": F.row_number().over(w)}).withColumn("error", error)
+    wrote = F.col("error").isNull() & (F.col("op") != "delete")
+    ends = steps.groupBy(key).agg(
+        F.max_by("_new", F.when(wrote, F.col("_k"))).alias("_last"), F.coalesce(F.max(wrote), F.lit(False)).alias("_wrote"),
+        F.max_by("_turn", F.when(F.col("_turn").isNotNull(), F.col("_k"))).alias("_end"),
+        F.array_sort(F.collect_list(F.struct("_k", "seq", "error"))).alias("_log"),
+    )
+    both = now.join(ends, key, "full_outer")
+    return both.select(
+        key, F.when(F.coalesce("_wrote", F.lit(False)), F.col("_last")).otherwise(F.col("_v")).alias(value), F.coalesce("_end", "_here", F.lit(False)).alias("alive"),
+        F.transform(F.coalesce("_log", F.array().cast("array<struct<_k:int,seq:bigint,error:string>>")), lambda x: F.struct(x["seq"].alias("seq"), x["error"].alias("error"))).alias("outcomes"))
 
 
 def guarded_transfers(accounts: DataFrame, transfers: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.batch import with_running_sum
+
 
 def reduce_by_name(df: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
     """A name with "max" takes the maximum, else one with "min" the minimum, else the mean."""
@@ -75,17 +77,27 @@ def bootstrap_at_n(df: DataFrame, source: str = "source", uid: str = "uid", valu
     return df.select(source, uid, value).groupBy(source, uid).applyInPandas(run, schema)
 
 
-def index_percentile(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
-    """sorted[max(0, min(n - 1, int(n * p) - 1))], without interpolation, for each share.
-
-    Distinct values are counted first, so what is accumulated in order is one row a value.
-    """
+def _ranked(df: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct values with how many rows are up to each, and the total as one row; values are counted before they are ordered."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("c"))
-    upto = counts.select(value, F.sum("c").over(Window.orderBy(value)).alias("upto"))
-    total = counts.agg(F.sum("c").alias("n"))
-    spots = upto.crossJoin(F.broadcast(total))
+    upto = with_running_sum(counts, "c", value)
+    return upto, upto.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
+
+
+def index_percentile(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """sorted[max(0, min(n - 1, int(n * p) - 1))], without interpolation, for each share."""
+    upto, total = _ranked(df, value)
     at = lambda p: F.greatest(F.lit(0), F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(p)) - 1))
-    return spots.agg(*[F.min(F.when(F.col("upto") > at(p), F.col(value))).alias(k) for k, p in shares.items()])
+    return upto.crossJoin(F.broadcast(total)).agg(*[F.min(F.when(F.col("upto") > at(p), F.col(value))).alias(k) for k, p in shares.items()])
+
+
+def linear_percentile(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """Percentiles with linear interpolation between the values at both sides of p * (n - 1), as one row."""
+    upto, total = _ranked(df, value)
+    spot = lambda p: F.lit(p) * (F.col("n") - 1)
+    ends = [F.min(F.when(F.col("upto") > f(spot(p)), F.col(value))).alias(f"{k}_{e}") for k, p in shares.items() for e, f in (("lo", F.floor), ("hi", F.ceil))]
+    one = upto.crossJoin(F.broadcast(total)).agg(*ends, F.max("n").alias("n"))
+    return one.select(*[(F.col(f"{k}_lo") + (F.col(f"{k}_hi") - F.col(f"{k}_lo")) * (spot(p) - F.floor(spot(p)))).alias(k) for k, p in shares.items()])
 
 
 def length_report(df: DataFrame, length: str, limit: int, near: float = 0.9) -> DataFrame:
@@ -109,5 +121,28 @@ def describe(df: DataFrame, columns: list[str], ignore: Column | None = None) ->
 
 def tail_share(df: DataFrame, value: str, k: float = 10) -> DataFrame:
     """Share of values above the (100 - k) % quantile, least and greatest."""
-    q = df.agg(F.percentile(value, (100 - k) / 100).alias("q"))
+    q = linear_percentile(df, value, {"q": (100 - k) / 100})
     return df.crossJoin(F.broadcast(q)).agg(F.avg((F.col(value) > F.col("q")).cast("double")).alias("tail_share"), F.min(value).alias("least"), F.max(value).alias("greatest"))
+
+
+def rollout_report(df: DataFrame, seconds: str, version: str, partial: str) -> DataFrame:
+    """One row over collected rollouts: median, 95th and 99th percentile of seconds, distinct versions and the share of partial ones."""
+    base = df.agg(F.countDistinct(version).alias("versions"), F.avg(F.col(partial).cast("double")).alias("partial_ratio"), F.count(F.lit(1)).alias("n"))
+    return linear_percentile(df, seconds, {"tp50": 0.5, "tp95": 0.95, "tp99": 0.99}).crossJoin(F.broadcast(base))
+
+
+def timing_means(df: DataFrame, key: str, value: str) -> DataFrame:
+    """The mean of each timing over ranks."""
+    return df.groupBy(key).agg(F.avg(value).alias("mean"))
+
+
+def throughput(df: DataFrame, key: str, tokens: str, seconds: str, devices: int) -> DataFrame:
+    """Tokens a second and device, and milliseconds a token, by key."""
+    e = df.groupBy(key).agg(F.sum(tokens).alias("_t"), F.sum(seconds).alias("_s"))
+    return e.select(key, (F.col("_t") / F.col("_s") / devices).alias("per_second"), (F.col("_s") * 1000 / F.col("_t")).alias("ms_per_token"))
+
+
+def source_means(df: DataFrame, source: str, scores: str) -> DataFrame:
+    """The mean by source of the mean of each row's list of scores."""
+    mean = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(scores), F.lit(0))
+    return df.groupBy(source).agg(F.avg(mean).alias("mean_score"), F.count(F.lit(1)).alias("rows"))

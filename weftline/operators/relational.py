@@ -14,19 +14,28 @@ SCAN_EDGES = 1_000_000
 
 
 def overlapping(df: DataFrame, start: str, end: str, key: str, width: float, keep: list[str] | None = None) -> DataFrame:
-    """Pairs of different rows whose half-open intervals overlap: a.start < b.end and a.end > b.start.
+    """Ordered pairs of different rows whose half-open intervals overlap: a.start < b.end and a.end > b.start.
 
-    Intervals are dealt to buckets of `width`; each pair is reported by the bucket in
-    which the later of both starts, so a join on buckets finds every pair once and no
-    rows are compared across all buckets. start and end are numbers.
+    Buckets come in levels, each four times as wide as the one before, from `width`
+    on. An interval lives on the level where it spans two or three buckets at most and visits
+    the buckets of all wider levels, so a long one makes few rows too. A pair meets
+    on the wider level of the two, in the bucket where the later of both starts.
+    start and end are numbers.
     """
-    spread = df.withColumn("_b", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
-    keep = keep or []
-    a = spread.select(*[F.col(c).alias(f"{c}_a") for c in {key, start, end, *keep}], "_b")
-    b = spread.select(*[F.col(c).alias(f"{c}_b") for c in {key, start, end, *keep}], "_b")
-    later = F.floor(F.greatest(f"{start}_a", f"{start}_b") / width)
-    joined = a.join(b, "_b").where((F.col(f"{start}_a") < F.col(f"{end}_b")) & (F.col(f"{end}_a") > F.col(f"{start}_b")) & (F.col(f"{key}_a") != F.col(f"{key}_b")) & (later == F.col("_b")))
-    return joined.drop("_b")
+    level = lambda span: F.greatest(F.lit(0), F.ceil(F.log(4.0, F.greatest(span / width, F.lit(1.0))))).cast("int")
+    keep = list(dict.fromkeys([key, start, end, *(keep or [])]))
+    rows = df.select(*keep, level(F.col(end) - F.col(start)).alias("_l"))
+    levels = rows.agg(F.coalesce(F.max("_l"), F.lit(0)).alias("_top"))
+    wide = lambda c, at: F.floor(F.col(c) / (F.lit(float(width)) * F.pow(F.lit(4.0), at)))
+    homes = rows.select(*[F.col(c).alias(f"{c}_a") for c in keep], F.col("_l").alias("_la"), F.explode(F.sequence(wide(start, F.col("_l")), wide(end, F.col("_l")))).alias("_b"))
+    visits = rows.crossJoin(F.broadcast(levels)).select("*", F.explode(F.sequence(F.col("_l"), F.col("_top"))).alias("_at"))
+    visits = visits.select(*[F.col(c).alias(f"{c}_b") for c in keep], F.col("_l").alias("_lb"), F.col("_at").alias("_la"), F.explode(F.sequence(wide(start, F.col("_at")), wide(end, F.col("_at")))).alias("_b"))
+    met = homes.join(visits, ["_la", "_b"]).where((F.col(f"{start}_a") < F.col(f"{end}_b")) & (F.col(f"{end}_a") > F.col(f"{start}_b")) & (F.col(f"{key}_a") != F.col(f"{key}_b")))
+    later = F.floor(F.greatest(f"{start}_a", f"{start}_b") / (F.lit(float(width)) * F.pow(F.lit(4.0), F.col("_la"))))
+    met = met.where(later == F.col("_b"))
+    a, b = (F.struct(*[F.col(f"{c}_{side}").alias(c) for c in keep]) for side in ("a", "b"))
+    both = met.select(F.explode(F.when(F.col("_lb") < F.col("_la"), F.array(F.struct(a.alias("x"), b.alias("y")), F.struct(b.alias("x"), a.alias("y")))).otherwise(F.array(F.struct(a.alias("x"), b.alias("y"))))).alias("p"))
+    return both.select(*[F.col(f"p.{side}.{c}").alias(f"{c}_{name}") for side, name in (("x", "a"), ("y", "b")) for c in keep])
 
 
 def lookup_in_order(lists: DataFrame, ids: str, table: DataFrame, key: str) -> DataFrame:

@@ -17,19 +17,36 @@ def _after(uid: str, pos: str) -> Window:
     return Window.partitionBy(uid).orderBy(F.col(pos).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
+def scanned_back(values: Column, factor: float) -> Column:
+    """y[i] = x[i] + factor * y[i + 1] over an array, in one pass from its end; nulls count as 0."""
+
+    @F.pandas_udf("array<double>")
+    def run(column):
+        import numpy as np
+
+        def scan(x):
+            y, last = np.nan_to_num(np.asarray(x, dtype=float)), 0.0
+            for i in range(len(y) - 1, -1, -1):
+                last = y[i] = y[i] + factor * last
+            return y
+
+        return column.map(lambda x: None if x is None else scan(x))
+
+    return run(values)
+
+
+def folded_back(df: DataFrame, uid: str, pos: str, value: str, factor: float, out: str, *more: str) -> DataFrame:
+    """(uid, pos, more, out) with the scan above over each sequence; sequences spread over tasks by key."""
+    steps = df.groupBy(uid).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(value).cast("double").alias("x"), *more))).alias("steps"))
+    both = F.arrays_zip("steps", scanned_back(F.transform("steps", lambda s: s["x"]), factor).alias("y"))
+    return steps.select(uid, F.explode(both).alias("s")).select(uid, F.col("s.steps.p").alias(pos), *[F.col(f"s.steps.{m}") for m in more], F.col("s.y").alias(out))
+
+
 def reward_to_go(df: DataFrame, uid: str = "uid", pos: str = "pos", reward: str = "score", gamma: float = 1.0, out: str = "returns") -> DataFrame:
     """Sum of this and all later rewards, discounted by gamma a step."""
     if gamma == 1.0:
         return df.withColumn(out, F.sum(reward).over(_after(uid, pos)))
-    rewards = F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(reward).alias("r")))), lambda x: x)
-    folded = F.expr(
-        f"slice(aggregate(reverse(steps), array(named_struct('p', cast(null as int), 'g', cast(0.0 as double))), "
-        f"(acc, x) -> concat(acc, array(named_struct('p', x.p, 'g', x.r + {gamma}D * element_at(acc, -1).g)))), 2, size(steps))"
-    )
-    returns = (
-        df.groupBy(uid).agg(rewards.alias("steps")).select(uid, F.explode(folded).alias("s")).select(uid, F.col("s.p").alias(pos), F.col("s.g").alias(out))
-    )
-    return df.join(returns, [uid, pos])
+    return df.join(folded_back(df, uid, pos, reward, gamma, out), [uid, pos])
 
 
 def remax(df: DataFrame, baseline: Column, uid: str = "uid", pos: str = "pos", reward: str = "score") -> DataFrame:
@@ -38,17 +55,10 @@ def remax(df: DataFrame, baseline: Column, uid: str = "uid", pos: str = "pos", r
 
 
 def gae(df: DataFrame, uid: str = "uid", pos: str = "pos", reward: str = "reward", value: str = "value", gamma: float = 1.0, lam: float = 0.95) -> DataFrame:
-    """Generalised advantages: delta + gamma lambda * next, with delta = reward + gamma * next value - value.
-    One sequence's steps are folded from the end; sequences spread over tasks by key."""
-    steps = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(reward).alias("r"), F.col(value).alias("v"))))
-    folded = F.expr(
-        "slice(aggregate(reverse(steps), array(named_struct('p', cast(null as int), 'a', 0.0D, 'v', 0.0D)), (acc, x) -> concat(acc, array(named_struct('p', x.p, "
-        f"'a', x.r + {gamma}D * element_at(acc, -1).v - x.v + {gamma * lam}D * element_at(acc, -1).a, 'v', x.v)))), 2, size(steps))"
-    )
-    return (
-        df.groupBy(uid).agg(steps.alias("steps")).select(uid, F.explode(folded).alias("s"))
-        .select(uid, F.col("s.p").alias(pos), F.col("s.a").alias("advantage"), (F.col("s.a") + F.col("s.v")).alias("returns"))
-    )
+    """Generalised advantages: delta + gamma lambda * next, with delta = reward + gamma * next value - value (0 after the end)."""
+    after = F.coalesce(F.lead(value).over(Window.partitionBy(uid).orderBy(pos)), F.lit(0.0))
+    steps = df.select(uid, pos, F.col(value).alias("v"), (F.col(reward) + gamma * after - F.col(value)).alias("delta"))
+    return folded_back(steps, uid, pos, "delta", gamma * lam, "advantage", "v").select(uid, pos, "advantage", (F.col("advantage") + F.col("v")).alias("returns"))
 
 
 def masked_mean(value: Column, mask: Column) -> Column:

@@ -71,7 +71,7 @@ def joined(a: DataFrame, b: DataFrame) -> DataFrame:
     left = numbered(a).withColumn("k", F.get(key(F.col("line")), F.lit(0)))
     right = numbered(b).withColumn("k", F.get(key(F.col("line")), F.lit(0)))
     last = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("path"), F.desc("line_no")))
-    right = right.withColumn("_r", last).where("_r = 1").select("k", F.array_join(F.slice(key(F.col("line")), 2, 1_000_000), " ").alias("rest"))
+    right = right.withColumn("_r", last).where("_r = 1").select("k", F.array_join(F.slice(key(F.col("line")), F.lit(2), F.size(key(F.col("line")))), " ").alias("rest"))
     return left.join(right, "k", "left").select("path", "line_no", F.when(F.coalesce("rest", F.lit("")) != "", F.concat("line", F.lit(" "), F.col("rest"))).otherwise(F.col("line")).alias("line"))
 
 

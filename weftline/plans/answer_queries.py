@@ -23,8 +23,9 @@ def dapo_score(s, d):
 
 
 def question_score(s, d):
-    t = F.concat(F.repeat(F.lit("<answer> the "), (F.col("item_id") % 13 + 1).cast("int")), F.left("text", F.lit(8)), F.when(F.col("item_id") % 4 == 0, F.lit("")).otherwise(F.lit("</answer>")))
-    gold = F.array(F.concat(F.repeat(F.lit("answer "), (F.col("item_id") % 13).cast("int")), F.left("text", F.lit(8))))
+    """Whole texts between answer tags, repeated or not closed, against golds that match or don't."""
+    t = F.concat(F.repeat(F.lit("<answer> the "), (F.col("item_id") % 13 + 1).cast("int")), F.col("text"), F.when(F.col("item_id") % 4 == 0, F.lit("")).otherwise(F.lit("</answer>")))
+    gold = F.array(F.concat(F.repeat(F.lit("answer "), (F.col("item_id") % 13).cast("int")), F.when(F.col("item_id") % 5 == 0, F.reverse("text")).otherwise(F.col("text"))))
     return table(s, d, "benchmark").select("item_id", answers.question_score(t, gold, wrong=0.1).alias("score"))
 
 
@@ -98,7 +99,7 @@ ORACLE_SQL = {
       p AS (SELECT doc_id, coalesce(regexp_extract_all(t, '(?i)Answer\\s*:\\s*([^\\n]+)', 1)[-1], '[INVALID]') AS e, truth FROM t),
       n AS (SELECT doc_id, {_normal_sql('e')} AS pred, {_normal_sql('truth')} AS truth FROM p)
       SELECT doc_id, CASE WHEN pred = truth THEN 1.0 ELSE -1.0 END::DOUBLE AS score, pred = truth AS acc, pred FROM n""",
-    "question_score": "SELECT item_id, CASE WHEN item_id % 4 = 0 THEN 0.0 WHEN item_id % 13 + 1 > 10 THEN 0.25 ELSE 1.0 END::DOUBLE AS score FROM benchmark",
+    "question_score": "SELECT item_id, CASE WHEN item_id % 4 = 0 THEN 0.0 WHEN item_id % 5 = 0 THEN 0.1 WHEN item_id % 13 + 1 > 10 THEN 0.25 ELSE 1.0 END::DOUBLE AS score FROM benchmark",
     "action_parse": """SELECT event_id, ['tool_call', 'tool_call', 'final_answer', 'unparseable', 'unparseable'][event_id % 5 + 1] AS action_type,
       [event_id::VARCHAR, '{"name": "f' || event_id || '"}', 'a plain answer ' || event_id, 'hm', ''][event_id % 5 + 1] AS content FROM events""",
     "point_reward": """WITH r AS (SELECT event_id, (event_id % 4 + 1)::INT AS n, list_position(list_transform(range(0, event_id % 4 + 1), lambda i: value + i * 10.0::DOUBLE BETWEEN 20 AND 45), true) AS k FROM events)

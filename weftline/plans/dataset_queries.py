@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as tx
-from weftline.operators import balance, batch, graph, metrics, relational, trajectories
+from weftline.operators import balance, batch, graph, metrics, relational, splits, trajectories
 from weftline.plans.samples import SAMPLES_SQL, rounded, samples, table
 
 
@@ -140,13 +141,25 @@ def greedy_dedup(s, d):
     return relational.greedy_keep(sets, "item_id", relational.jaccard_pairs(sets, "item_id", "block", "tokens", 0.7)).select("item_id")
 
 
+def _split(s, d):
+    docs = table(s, d, "documents").select("doc_id", "lang", "source")
+    n = docs.count()
+    return splits.exact_split(docs, "lang", "source", "doc_id", n - n // 10 - n // 20, n // 10)
+
+
 def stratified_split(s, d):
-    return relational.quota_split(table(s, d, "documents"), ["lang", "source"], "doc_id", 0.1).select("doc_id", "split")
+    """A tenth of the rows validates, a twentieth is left out, the rest trains: exact numbers over language and source."""
+    return _split(s, d).select("doc_id", "split")
 
 
 def split_counts(s, d):
-    return stratified_split(s, d).join(table(s, d, "documents").select("doc_id", "lang"), "doc_id").groupBy("lang").agg(
-        F.sum((F.col("split") == "val").cast("long")).alias("val"), F.count(F.lit(1)).alias("rows"))
+    return _split(s, d).groupBy("source").agg(F.sum((F.col("split") == "val").cast("long")).alias("val"), F.count(F.lit(1)).alias("rows"))
+
+
+def quota_rounds(s, d):
+    docs = table(s, d, "documents")
+    names = ["de", "en", "es", "fr"]
+    return splits.quota_rounds(docs, "lang", "text", "doc_id", splits.even_targets(names, docs.count() // 5)).select("doc_id", "lang")
 
 
 def keep_last_turn(s, d):
@@ -154,8 +167,8 @@ def keep_last_turn(s, d):
 
 
 def uniq_lines(s, d):
-    lines = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("pos", F.col("doc_id") * 100000 + F.col("pos"))
-    return relational.distinct_in_order(lines, "line", "pos").select(F.md5("line").alias("line"), "count", "first_pos")
+    lines = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("at", F.struct("doc_id", "pos"))
+    return relational.distinct_in_order(lines, "line", "at").select(F.md5("line").alias("line"), "count", F.col("first_pos.doc_id").alias("first_doc"), F.col("first_pos.pos").alias("first_line"))
 
 
 def tool_usage_topk(s, d):
@@ -197,20 +210,30 @@ def qa_normalize(s, d):
     return table(s, d, "benchmark").select("item_id", tx.normal_answer(F.concat(F.lit("The  answer, an "), F.col("text"), F.lit("!"))).alias("answer"))
 
 
+def _answers(s, d):
+    """Whole texts as gold answers, and predictions that match, lack a word, say more, or say another thing."""
+    t, k = F.col("text"), F.col("item_id") % 4
+    said = F.when(k == 0, F.concat(F.lit("The "), F.translate(t, "aeinrst", "AEINRST"), F.lit("!"))).when(k == 1, F.regexp_replace(t, r"^\S+\s", "")).when(k == 2, F.concat(F.lit("I think "), t, F.lit(" indeed."))).otherwise(F.reverse(t))
+    return table(s, d, "benchmark").select("item_id", "text", said.alias("said"))
+
+
 def em_scores(s, d):
-    b = table(s, d, "benchmark")
-    pred = F.concat(F.lit("The "), F.left("text", F.lit(20)), F.lit("."))
-    gold = F.array(F.left("text", F.lit(20)), F.lit("other"))
-    return b.select("item_id", tx.exact_match(pred, gold).alias("em"), tx.contained_match(F.col("text"), F.array(F.left("text", F.lit(9)))).alias("sub_em"))
+    gold = F.array(F.lit("other"), F.col("text"))
+    return _answers(s, d).select("item_id", tx.exact_match(F.col("said"), gold).alias("em"), tx.contained_match(F.col("said"), F.array("text")).alias("sub_em"))
 
 
 def qa_extract(s, d):
-    t = F.concat(F.lit("<answer> first </answer> then <answer> "), F.left("text", F.lit(12)), F.lit(" </answer>"))
-    return table(s, d, "benchmark").select("item_id", tx.answer_block(t).alias("answer"), tx.answer_block(F.col("text")).alias("none"))
+    """The last answer block of texts with two blocks, one over several lines, an open one, or none."""
+    k = F.col("item_id") % 4
+    t = F.when(k == 0, F.concat(F.lit("<answer> first </answer> then <answer> "), "text", F.lit(" </answer> end"))).when(k == 1, F.concat(F.lit("<answer>\n"), F.replace("text", F.lit(" "), F.lit("\n")), F.lit("</answer>"))).when(
+        k == 2, F.concat(F.lit("<answer> "), "text")).otherwise(F.col("text"))
+    return table(s, d, "benchmark").select("item_id", tx.answer_block(t).alias("answer"))
 
 
 def last_boxed(s, d):
-    t = F.concat(F.lit("x \\boxed{1} y \\boxed{\\frac{"), F.col("item_id").cast("string"), F.lit("}{2}} z"))
+    """The last box of whole texts: nested, none, never closed, or the second of two."""
+    k = F.col("item_id") % 4
+    t = F.when(k == 0, F.concat("text", F.lit(" \\boxed{1} so \\boxed{{"), "text", F.lit("}^{2}} end"))).when(k == 1, F.col("text")).when(k == 2, F.concat(F.lit("\\boxed{"), "text")).otherwise(F.concat("text", F.lit("\\boxed{"), F.col("item_id").cast("string"), F.lit("}"), "text"))
     return table(s, d, "benchmark").select("item_id", tx.last_boxed(t).alias("boxed"))
 
 
@@ -224,7 +247,10 @@ def prompt_hash(s, d):
 
 
 def stale_years(s, d):
-    return table(s, d, "documents").select("doc_id", tx.has_stale_year(F.concat(F.lit("on "), (F.col("doc_id") % 20 + 2015).cast("string"), F.lit("-01-02"))).alias("stale"))
+    """Old years anywhere in whole texts: a date, a path, or numbers that only look alike."""
+    k, year = F.col("doc_id") % 3, (F.col("doc_id") % 20 + 2015).cast("string")
+    mark = F.when(k == 0, F.concat(F.lit(" on "), year, F.lit("-01-02."))).when(k == 1, F.concat(F.lit(" in "), year, F.lit("/x"))).otherwise(F.concat(F.lit(" no 1"), year, F.lit("-5")))
+    return table(s, d, "documents").select("doc_id", tx.has_stale_year(F.concat(F.coalesce("text", F.lit("")), mark)).alias("stale"))
 
 
 def overlong_penalty(s, d):
@@ -268,14 +294,41 @@ def dependency_chains(s, d):
     return graph.simple_paths(edges, 5, 2).select(F.array_join("path", ">").alias("path"))
 
 
+def _batches(s, d, rows=256):
+    """Documents in batches of a fixed number of rows, so batches grow in number with the data and not in size."""
+    docs = batch.with_row_index(table(s, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    return docs.select(batch.split_of(rows).alias("batch"), "doc_id", "n_chars", balance.workload(F.col("n_chars")).alias("cost"))
+
+
 def kk_partition(s, d):
-    docs = table(s, d, "documents").select((F.col("doc_id") % 10).alias("batch"), "doc_id", balance.workload(F.col("n_chars")).alias("cost"))
-    return balance.balanced(docs, "batch", "doc_id", "cost", 4).groupBy("batch", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost"))
+    return balance.balanced(_batches(s, d), "batch", "doc_id", "cost", 4).groupBy("batch", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost"))
+
+
+def greedy_partition(s, d):
+    return balance.balanced(_batches(s, d), "batch", "doc_id", "cost", 4, "greedy").groupBy("batch", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost"))
 
 
 def dynamic_micro_batches(s, d):
-    docs = table(s, d, "documents").select((F.col("doc_id") % 10).alias("batch"), "doc_id", "n_chars")
-    return balance.micro_batches(docs, "batch", "doc_id", "n_chars", 20000)
+    return balance.micro_batches(_batches(s, d).select("batch", "doc_id", "n_chars"), "batch", "doc_id", "n_chars", 20000)
+
+
+def zigzag_order(s, d):
+    rank = Window.partitionBy("batch").orderBy(F.desc("cost"), "doc_id")
+    return _batches(s, d).withColumn("rank", F.row_number().over(rank) - 1).select("batch", "doc_id", balance.zigzag(F.col("rank"), 4).alias("worker"))
+
+
+def rollout_report(s, d):
+    e = _events(s, d).withColumns({"version": F.col("user_id") % 7, "partial": F.col("event_type") == "error"})
+    return rounded(metrics.rollout_report(e, "value", "version", "partial"), "tp50", "tp95", "tp99", "partial_ratio")
+
+
+def timing_means(s, d):
+    return rounded(metrics.timing_means(_events(s, d), "event_type", "value"), "mean")
+
+
+def source_mean_scores(s, d):
+    g = samples(s, d).groupBy("level", "uid").agg(F.array_sort(F.collect_list("score")).alias("scores"))
+    return rounded(metrics.source_means(g, "level", "scores"), "mean_score", digits=4)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -284,7 +337,7 @@ QUERIES = {f.__name__: f for f in (
     train_test_overlap, exact_dedup, jaccard_pairs, greedy_dedup, stratified_split, split_counts, keep_last_turn, uniq_lines, tool_usage_topk,
     overlong_filter, lookup_pricing, statement, gsm8k_extract, strip_think, qa_normalize, em_scores, qa_extract, last_boxed, tool_kinds,
     prompt_hash, stale_years, overlong_penalty, ordered_coverage, repeated_effects, recreated, potential_difference, dual_ascent_state,
-    dependency_chains, kk_partition, dynamic_micro_batches, best_at_n,
+    dependency_chains, kk_partition, greedy_partition, dynamic_micro_batches, zigzag_order, best_at_n, quota_rounds, rollout_report, timing_means, source_mean_scores,
 )}
 
 _IDX = "i AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_idx, o_orderkey, o_totalprice, o_orderstatus FROM orders)"
@@ -296,6 +349,21 @@ _SETS = """t AS (SELECT item_id, list_distinct(string_split(lower(text), ' ')) A
 _RULE = "CASE WHEN key LIKE '%last' THEN 'last' WHEN contains(key, 'max') THEN 'max' WHEN contains(key, 'avg') THEN 'avg' ELSE 'sum' END"
 _MARK = "'so <think>no</think> #### ' || format('{:,}', doc_id) || ' and #### ' || n_chars"
 
+_NORMAL = r"array_to_string(list_filter(string_split_regex(regexp_replace(lower({}), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ')"
+_SAID = r"CASE item_id % 4 WHEN 0 THEN 'The ' || translate(text, 'aeinrst', 'AEINRST') || '!' WHEN 1 THEN regexp_replace(text, '^\S+\s', '') WHEN 2 THEN 'I think ' || text || ' indeed.' ELSE reverse(text) END"
+#: Quotas by largest remainders, first over sources, then over the languages of a source; then the rest over cells.
+_CELLS = """c AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source), t AS (SELECT sum(n)::BIGINT AS n, sum(n)::BIGINT // 10 AS v, sum(n)::BIGINT - sum(n)::BIGINT // 10 - sum(n)::BIGINT // 20 AS tr FROM c),
+  s1 AS (SELECT source, sum(c.n)::BIGINT AS sn, sum(c.n)::BIGINT * any_value(t.v) / any_value(t.n) AS raw, any_value(t.v) AS v FROM c, t GROUP BY source),
+  s2 AS (SELECT *, least(sn - 1, greatest(1, floor(raw))) AS base FROM s1),
+  s3 AS (SELECT source, sn, base + (row_number() OVER (ORDER BY raw - base DESC, sn DESC, source DESC) <= v - sum(base) OVER ())::INT AS q FROM s2),
+  d1 AS (SELECT lang, c.source, c.n, q, c.n * q / sn AS raw FROM c JOIN s3 USING (source)),
+  d2 AS (SELECT lang, source, n, floor(raw) + (row_number() OVER (PARTITION BY source ORDER BY raw - floor(raw) DESC, n DESC, lang DESC) <= q - sum(floor(raw)) OVER (PARTITION BY source))::INT AS vq FROM d1),
+  e1 AS (SELECT d2.*, n - vq AS r, (n - vq) * (SELECT tr FROM t) / sum(n - vq) OVER () AS raw FROM d2),
+  e2 AS (SELECT *, floor(raw) + (row_number() OVER (ORDER BY raw - floor(raw) DESC, r DESC, lang DESC, source DESC) <= (SELECT tr FROM t) - sum(floor(raw)) OVER ())::INT AS tq FROM e1),
+  k AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY md5('42:' || doc_id), doc_id) AS k FROM documents),
+  sp AS (SELECT doc_id, k.source, CASE WHEN k <= vq THEN 'val' WHEN k <= vq + tq THEN 'train' END AS split FROM k JOIN e2 ON k.lang IS NOT DISTINCT FROM e2.lang AND k.source IS NOT DISTINCT FROM e2.source)"""
+_BATCHES = "b AS (SELECT ((row_number() OVER (ORDER BY doc_id) - 1) // 256)::INT AS batch, doc_id, 24576 * n_chars + n_chars * n_chars AS cost FROM documents)"
+
 ORACLE_SQL = {
     "batch_row_index": f"WITH {_IDX} SELECT * FROM i",
     "batch_slice": f"WITH {_IDX} SELECT row_idx, o_orderkey FROM i WHERE row_idx >= 10 AND row_idx < 5000 AND (row_idx - 10) % 7 = 0",
@@ -326,12 +394,10 @@ ORACLE_SQL = {
     "train_test_overlap": f"SELECT doc_id FROM documents WHERE doc_id % 2 = 1 AND {_FPR.format('text')} IN (SELECT {_FPR.format('text')} FROM documents WHERE doc_id % 2 = 0)",
     "exact_dedup": "SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lower(trim(regexp_replace(lang, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) ORDER BY doc_id) = 1",
     "jaccard_pairs": f"WITH {_SETS} SELECT a, b, round(similarity, 6) AS similarity FROM p WHERE similarity >= 0.7",
-    "stratified_split": """WITH r AS (SELECT doc_id, count(*) OVER w AS n, row_number() OVER (PARTITION BY lang, source ORDER BY md5('42:' || doc_id), doc_id) AS k FROM documents WINDOW w AS (PARTITION BY lang, source))
-      SELECT doc_id, CASE WHEN n >= 2 AND k <= greatest(floor(n * 0.1::DOUBLE), 1) THEN 'val' ELSE 'train' END AS split FROM r""",
-    "split_counts": """WITH r AS (SELECT lang, count(*) OVER w AS n, row_number() OVER (PARTITION BY lang, source ORDER BY md5('42:' || doc_id), doc_id) AS k FROM documents WINDOW w AS (PARTITION BY lang, source))
-      SELECT lang, sum((n >= 2 AND k <= greatest(floor(n * 0.1::DOUBLE), 1))::INT)::BIGINT AS val, count(*) AS rows FROM r GROUP BY lang""",
+    "stratified_split": f"WITH {_CELLS} SELECT doc_id, split FROM sp WHERE split IS NOT NULL",
+    "split_counts": f"WITH {_CELLS} SELECT source, sum((split = 'val')::INT)::BIGINT AS val, count(*) AS rows FROM sp WHERE split IS NOT NULL GROUP BY source",
     "keep_last_turn": "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1",
-    "uniq_lines": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents) SELECT md5(line) AS line, count(*) AS count, min(doc_id * 100000 + pos) AS first_pos FROM l GROUP BY l.line",
+    "uniq_lines": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents), g AS (SELECT line, count(*) AS count, min({'d': doc_id, 'p': pos}) AS f FROM l GROUP BY line) SELECT md5(line) AS line, count, f.d AS first_doc, f.p::INT AS first_line FROM g",
     "tool_usage_topk": "SELECT event_type, count(*) AS uses FROM events GROUP BY event_type ORDER BY uses DESC, event_type LIMIT 3",
     "overlong_filter": "SELECT doc_id FROM documents WHERE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) <= 500",
     "lookup_pricing": "SELECT l_orderkey, round(sum(l_quantity * p_retailprice), 2) + 0.0 AS total FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey",
@@ -344,11 +410,11 @@ ORACLE_SQL = {
       SELECT doc_id, trim(replace(regexp_replace(regexp_replace(t, '(?s)<think>.*?</think>', '', 'g'), '(?s)<think>.*', '', 'g'), '</think>', '')) AS text FROM t""",
     "qa_normalize": r"""SELECT item_id, array_to_string(list_filter(string_split_regex(regexp_replace(lower('The  answer, an ' || text || '!'), '[!-/:-@\[-`{-~]', '', 'g'), '\s+'),
       lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ') AS answer FROM benchmark""",
-    "qa_extract": "SELECT item_id, trim(left(text, 12)) AS answer, NULL::VARCHAR AS none FROM benchmark",
-    "last_boxed": "SELECT item_id, '\\frac{' || item_id || '}{2}' AS boxed FROM benchmark",
+    "qa_extract": "SELECT item_id, CASE item_id % 4 WHEN 0 THEN trim(text) WHEN 1 THEN trim(replace(text, ' ', chr(10)), ' ' || chr(10)) END AS answer FROM benchmark",
+    "last_boxed": "SELECT item_id, CASE item_id % 4 WHEN 0 THEN '{' || text || '}^{2}' WHEN 3 THEN item_id::VARCHAR END AS boxed FROM benchmark",
     "tool_kinds": """SELECT event_id, ['create', 'query', 'delete', 'update', 'create', 'query'][event_id % 6 + 1] AS kind, ['create', 'query', 'delete', 'update', 'create', 'query'][event_id % 6 + 1] AS adapter_kind FROM events""",
     "prompt_hash": "SELECT item_id, left(sha1(text), 16) AS hash FROM benchmark",
-    "stale_years": "SELECT doc_id, doc_id % 20 + 2015 BETWEEN 2020 AND 2025 AS stale FROM documents",
+    "stale_years": "SELECT doc_id, regexp_matches(text, '\\b202[0-5][-/]') OR (doc_id % 3 < 2 AND doc_id % 20 + 2015 BETWEEN 2020 AND 2025) AS stale FROM documents",
     "overlong_penalty": "SELECT doc_id, round(least(-(n_chars - 6000) / 2000::DOUBLE, 0), 6) + 0.0 AS penalty FROM documents",
     "repeated_effects": "WITH r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events) SELECT user_id, count(*) AS repeats FROM r WHERE k > 1 GROUP BY user_id",
     "recreated": """WITH g AS (SELECT *, max((event_type = 'click')::INT) OVER (PARTITION BY user_id, event_id % 3 ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gone FROM events)
@@ -364,11 +430,18 @@ ORACLE_SQL = {
     "dependency_chains": """WITH RECURSIVE e AS (SELECT a.n_nationkey AS s, b.n_nationkey AS d FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey
         QUALIFY row_number() OVER (PARTITION BY a.n_nationkey ORDER BY b.n_nationkey) <= 2),
       p AS (SELECT [s, d] AS path FROM e UNION ALL SELECT list_append(path, d) FROM p JOIN e ON path[-1] = s WHERE len(path) < 5 AND NOT list_contains(path, d)) SELECT array_to_string(path, '>') AS path FROM p""",
-    "em_scores": "SELECT item_id, 1 AS em, 1 AS sub_em FROM benchmark",
+    "em_scores": f"WITH p AS (SELECT item_id, {_NORMAL.format(_SAID)} AS p, {_NORMAL.format('text')} AS g FROM benchmark) SELECT item_id, (p = g OR p = 'other')::INT AS em, contains(p, g)::INT AS sub_em FROM p",
     "ordered_coverage": """WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
       a AS (SELECT user_id, min(k) FILTER (event_type = 'view') AS v, min(k) FILTER (event_type = 'purchase') AS p FROM e GROUP BY user_id),
       b AS (SELECT a.user_id, any_value(v) AS v, any_value(p) AS p, min(k) FILTER (event_type = 'click' AND k > coalesce(v, 0)) AS c FROM a JOIN e USING (user_id) GROUP BY a.user_id),
       d AS (SELECT b.user_id, any_value(v) AS v, any_value(p) AS p, any_value(c) AS c, min(k) FILTER (event_type = 'purchase' AND k > coalesce(c, v, 0)) AS q FROM b JOIN e USING (user_id) GROUP BY b.user_id)
       SELECT user_id, CASE WHEN v IS NULL THEN 0 WHEN c IS NULL THEN 1 WHEN q IS NULL THEN 2 ELSE 3 END AS met,
         (v IS NOT NULL)::INT + (c IS NOT NULL)::INT + (q IS NOT NULL)::INT AS aligned, (p IS NOT NULL AND (v IS NULL OR v > p))::INT AS violated FROM d""",
+    "quota_rounds": """WITH f AS (SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lang, lower(trim(text, ' ')) ORDER BY doc_id) = 1), n AS (SELECT count(*) // 5 AS n FROM documents)
+      SELECT doc_id, lang FROM f, n WHERE lang IN ('de', 'en', 'es', 'fr') QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= n // 4 + (list_position(['de', 'en', 'es', 'fr'], lang) - 1 < n % 4)::INT""",
+    "zigzag_order": f"WITH {_BATCHES}, r AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY cost DESC, doc_id) - 1 AS k FROM b) SELECT batch, doc_id, (CASE WHEN k // 4 % 2 = 0 THEN k % 4 ELSE 3 - k % 4 END)::INT AS worker FROM r",
+    "rollout_report": """SELECT round(quantile_cont(value, 0.5), 6) + 0.0 AS tp50, round(quantile_cont(value, 0.95), 6) + 0.0 AS tp95, round(quantile_cont(value, 0.99), 6) + 0.0 AS tp99,
+      count(DISTINCT user_id % 7) AS versions, round(avg((event_type = 'error')::DOUBLE), 6) + 0.0 AS partial_ratio, count(*) AS n FROM events""",
+    "timing_means": "SELECT event_type, round(avg(value), 6) + 0.0 AS mean FROM events GROUP BY event_type",
+    "source_mean_scores": f"WITH {SAMPLES_SQL}, g AS (SELECT level, uid, avg(score) AS m FROM s GROUP BY level, uid) SELECT level, round(avg(m), 4) + 0.0 AS mean_score, count(*) AS rows FROM g GROUP BY level",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.operators import advantages as adv
+from weftline.operators import batch
 from weftline.operators import sequences as seq
 from weftline.plans.samples import SAMPLES_SQL, rounded, samples
 
@@ -82,7 +83,8 @@ def prime_filter(spark, sf_dir):
     df = samples(spark, sf_dir).withColumn("acc", (F.col("score") > 30000).cast("double"))
     g = df.groupBy("uid").agg(F.avg("acc").alias("acc"), F.max("length").alias("longest"))
     g = g.withColumn("passes", (F.col("acc").between(0.2, 0.8) & (F.col("longest") < 48)).cast("int"))
-    return rounded(g.orderBy(F.desc("passes"), "uid").limit(g.count() // 2), "acc").select("uid", "acc", "passes")
+    ranked = batch.with_row_index(g, F.desc("passes"), "uid")
+    return rounded(ranked.where(F.col("row_idx") < ranked.count() // 2), "acc").select("uid", "acc", "passes")
 
 
 def _plain(f, columns, digits=6):

@@ -22,7 +22,8 @@ def file_counts(s, d):
 
 
 def file_grep(s, d):
-    return textfiles.grep(_files(s, d), "the ", 2).select("path", "count", F.col("hits")[0]["line_no"].alias("first_no"), F.size("hits").alias("shown"))
+    shown = F.transform("hits", lambda h: F.concat_ws(":", h["line_no"], h["line"]))
+    return textfiles.grep(_files(s, d), "the ").select("path", "count", F.size("hits").alias("shown"), F.md5(F.array_join(shown, "\n")).alias("hits"))
 
 
 def file_sort(s, d):
@@ -39,7 +40,7 @@ def file_sed(s, d):
 
 
 def file_digests(s, d):
-    return _files(s, d).select("doc_id", F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"), F.md5(textfiles.hex_rows(F.left("content", F.lit(40)))).alias("xxd"))
+    return _files(s, d).select("doc_id", F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"), F.md5(textfiles.hex_rows(F.col("content"))).alias("xxd"))
 
 
 def file_usage(s, d):
@@ -130,12 +131,12 @@ ORACLE_SQL = {
     "file_head_tail": f"SELECT doc_id, md5({_JOIN.format(_L + '[1:3]')}) AS head, md5({_JOIN.format(f'list_slice({_L}, greatest(len({_L}) - 1, 1), len({_L}))')}) AS tail FROM documents",
     "file_counts": f"SELECT doc_id, len({_L})::INT AS lines, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))::INT AS words, length(text)::INT AS chars FROM documents",
     "file_grep": f"""WITH h AS (SELECT lang || '/' || source || '/' || doc_id AS path, list_filter(list_transform({_L}, lambda x, i: {{'n': i, 'x': x}}), lambda z: contains(z.x, 'the ')) AS h FROM documents)
-      SELECT path, len(h)::INT AS count, h[1].n::INT AS first_no, least(len(h), 2)::INT AS shown FROM h WHERE len(h) > 0""",
+      SELECT path, len(h)::INT AS count, least(len(h), 50)::INT AS shown, md5(array_to_string(list_transform(h[1:50], lambda z: z.n || ':' || z.x), chr(10))) AS hits FROM h WHERE len(h) > 0""",
     "file_sort": f"SELECT doc_id, md5({_JOIN.format(f'list_sort({_L})')}) AS up, md5({_JOIN.format(f'list_reverse_sort(list_distinct({_L}))')}) AS down FROM documents",
     "file_cut_awk": f"""SELECT doc_id, md5({_JOIN.format(f"list_transform({_L}, lambda x: coalesce(list_filter(string_split_regex(x, '\\s+'), lambda w: w <> '')[2], ''))")}) AS second,
       md5({_JOIN.format(f"list_transform({_L}, lambda x: coalesce(list_filter(string_split(x, ','), lambda w: w <> '')[1], ''))")}) AS first FROM documents""",
     "file_sed": f"SELECT doc_id, md5({_JOIN.format(f"list_transform({_L}, lambda x: regexp_replace(x, '[aeiou]+', '_', 'g'))")}) AS text FROM documents",
-    "file_digests": "SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256, md5(array_to_string(regexp_extract_all(lower(hex(encode(left(text, 40)))), '.{1,32}'), chr(10))) AS xxd FROM documents",
+    "file_digests": "SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256, md5(array_to_string(regexp_extract_all(lower(hex(encode(text))), '.{1,32}'), chr(10))) AS xxd FROM documents",
     "file_usage": "SELECT lang AS folder, sum(length(text))::BIGINT AS chars, count(*) AS files FROM documents GROUP BY lang UNION ALL SELECT lang || '/' || source, sum(length(text))::BIGINT, count(*) FROM documents GROUP BY 1",
     "file_diff": f"""WITH a AS (SELECT doc_id, unnest({_L}) AS line, generate_subscripts({_L}, 1) AS n FROM documents),
       t AS (SELECT doc_id, regexp_replace(text, '^[^ ]+', 'X') || chr(10) || 'end' AS text FROM documents), b AS (SELECT doc_id, unnest({_L}) AS line, generate_subscripts({_L}, 1) AS n FROM t)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.operators import advantages as adv
-from weftline.operators import sampling, trajectories
+from weftline.operators import balance, metrics, retrieval, sampling, trajectories
 from weftline.operators import sequences as seq
 from weftline.plans.samples import SAMPLES_SQL, rounded, samples, table
 
@@ -44,7 +44,7 @@ def adaptive_kl(s, d):
 
 def length_trend(s, d):
     df = table(s, d, "documents").select(F.floor(F.col("doc_id") / 10).alias("step"), F.sqrt("n_chars").alias("n"))
-    return rounded(sampling.length_trend(df, "step", "n", 20).select("step", "slope"), "slope")
+    return rounded(sampling.length_trend(df, "step", "n").select("step", "slope"), "slope")
 
 
 def prime_rloo(s, d):
@@ -81,15 +81,14 @@ def stable_softmax_entropy(s, d):
 
 
 def throughput(s, d):
-    e = table(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("seconds"), F.sum(F.length("props")).alias("tokens"))
-    return rounded(e.select("event_type", (F.col("tokens") / F.col("seconds") / 8).alias("per_second"), (F.col("seconds") * 1000 / F.col("tokens")).alias("ms_per_token")), "per_second", "ms_per_token")
+    e = table(s, d, "events").select("event_type", "value", F.length("props").alias("tokens"))
+    return rounded(metrics.throughput(e, "event_type", "tokens", "value", 8), "per_second", "ms_per_token")
 
 
 def sequence_imbalance(s, d):
     """Largest and smallest sum of lengths over 8 parts by id and their difference."""
     df = table(s, d, "documents").select((F.col("doc_id") % 8).alias("part"), "n_chars")
-    g = df.groupBy("part").agg(F.sum("n_chars").alias("total"))
-    return g.agg(F.max("total").alias("greatest"), F.min("total").alias("least"), (F.max("total") - F.min("total")).alias("difference"))
+    return balance.imbalance(df, "part", "n_chars")
 
 
 def provenance_check(s, d):
@@ -137,20 +136,30 @@ def gpqa_score(s, d):
 
 
 def nearest_vectors(s, d):
-    """The three nearest vectors of fifty queries (a stated set of fixed size), by cosine over all rows."""
+    """The three nearest vectors of every one whose id is divisible by 20, by cosine over all rows."""
     v = table(s, d, "embeddings")
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    q = v.orderBy("vec_id").limit(50).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), norm("embedding").alias("qn"))
-    dot = F.aggregate(F.zip_with("embedding", "q", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    near = v.withColumn("n", norm("embedding")).crossJoin(F.broadcast(q)).where("vec_id <> query_id").select("query_id", "vec_id", (dot / (F.col("n") * F.col("qn"))).alias("cosine"))
-    best = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))).where("rank <= 3")
-    return rounded(best, "cosine", digits=5)
+    return rounded(retrieval.nearest(v, v.where("vec_id % 20 = 0"), "vec_id", "embedding", 3), "cosine", digits=5)
+
+
+def clip_cov_tokens(s, d):
+    df = adv.grpo(samples(s, d))
+    return rounded(sampling.clipped_covariance_tokens(df, 0.002, ["uid", "pos"], 1000.0, 20000.0, 5).select("uid", "pos", "cov"), "cov")
+
+
+def gpqa_choices(s, d):
+    wrong = F.array(F.concat("p_type", F.lit("1")), F.concat("p_type", F.lit("2")), F.col("p_brand"))
+    out = sampling.shuffled_choices(F.col("p_partkey"), F.col("p_name"), wrong)
+    return table(s, d, "part").select("p_partkey", out.alias("c")).select("p_partkey", F.array_join("c.choices", "|").alias("choices"), "c.letter")
+
+
+def logged_generations(s, d):
+    return sampling.logged_sample(table(s, d, "benchmark"), "text", 10).select("item_id")
 
 
 QUERIES = {f.__name__: f for f in (
     mix_draw, pf_weights, pf_resample, kl_cov_tokens, online_preference, adaptive_kl, length_trend, prime_rloo, kl_penalty, prob_correlation, sequence_logps,
     stable_softmax_entropy, throughput, sequence_imbalance, provenance_check, first_time_bonus, replay_validity, report_metrics, intents,
-    message_history, gpqa_score, nearest_vectors,
+    message_history, gpqa_score, nearest_vectors, clip_cov_tokens, gpqa_choices, logged_generations,
 )}
 
 _U = "('0x' || substr(md5('{}:' || {}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
@@ -172,7 +181,7 @@ ORACLE_SQL = {
     "adaptive_kl": """WITH b AS (SELECT ts::DATE AS day, avg(value) / 8 AS kl, count(*) AS n FROM events GROUP BY 1)
       SELECT day::VARCHAR AS day, round(0.2::DOUBLE * exp(sum(ln(1 + greatest(least(kl / 6 - 1, 0.2::DOUBLE), -0.2::DOUBLE) * n / 10000)) OVER (ORDER BY day)), 6) + 0.0 AS value FROM b""",
     "length_trend": """WITH m AS (SELECT doc_id // 10 AS step, avg(sqrt(n_chars)) AS m FROM documents GROUP BY 1)
-      SELECT step, CASE WHEN row_number() OVER (ORDER BY step) > 1 THEN round(regr_slope(m, step) OVER (ORDER BY step ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 6) + 0.0 END AS slope FROM m""",
+      SELECT step, CASE WHEN row_number() OVER (ORDER BY step) > 1 THEN round(regr_slope(m, step) OVER (ORDER BY step ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 6) + 0.0 END AS slope FROM m""",
     "prime_rloo": f"""WITH {SAMPLES_SQL}, x AS (SELECT uid, pos, sqrt(score) / 100 AS acc, lp FROM s), r AS (SELECT uid, pos, {_LOO.format('acc')} + {_LOO.format('lp')} AS r FROM x WINDOW w AS (PARTITION BY uid)),
       t AS (SELECT uid, pos, sum(r) OVER (PARTITION BY uid ORDER BY pos DESC) AS g FROM r) SELECT uid, pos, round((g - avg(g) OVER ()) / sqrt(var_samp(g) OVER () + 1e-8), 6) + 0.0 AS advantage FROM t""",
     "kl_penalty": f"WITH {SAMPLES_SQL} SELECT uid, pos, round(CASE WHEN pos = max(pos) OVER (PARTITION BY uid) THEN sqrt(score) ELSE 0 END - 0.1::DOUBLE * (lp - ref_lp), 6) + 0.0 AS reward FROM s",
@@ -190,6 +199,11 @@ ORACLE_SQL = {
     "intents": "SELECT conv_id, turn, contains(lower(text), 'the ') OR contains(lower(text), 'is ') OR contains(lower(text), '?') AS reads, contains(lower(text), 'and ') OR contains(lower(text), 'to ') AS writes FROM conversations",
     "message_history": "SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3",
     "gpqa_score": "SELECT item_id, (item_id % 4 = 1)::INT::DOUBLE AS score FROM benchmark",
-    "nearest_vectors": f"""WITH q AS (SELECT * FROM embeddings ORDER BY vec_id LIMIT 50), c AS (SELECT b.vec_id AS query_id, a.vec_id, {_COS} / ({_NORM.format('a')} * {_NORM.format('b')}) AS cosine FROM embeddings a, q b WHERE a.vec_id <> b.vec_id),
+    "nearest_vectors": f"""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0), c AS (SELECT b.vec_id AS query_id, a.vec_id, {_COS} / ({_NORM.format('a')} * {_NORM.format('b')}) AS cosine FROM embeddings a, q b WHERE a.vec_id <> b.vec_id),
       r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM c) SELECT query_id, vec_id, round(cosine, 5) + 0.0 AS cosine, rank FROM r WHERE rank <= 3""",
+    "clip_cov_tokens": f"""WITH {SAMPLES_SQL}, a AS (SELECT uid, pos, lp, {_GRPO} AS adv FROM s WINDOW w AS (PARTITION BY uid)), m AS (SELECT avg(lp) AS ml, avg(adv) AS ma, count(*) AS n FROM a),
+      c AS (SELECT uid, pos, n, (lp - ml) * (adv - ma) AS cov, {_U.format(5, "(uid || ':' || pos)")} AS u FROM a, m)
+      SELECT uid, pos, round(cov, 6) + 0.0 AS cov FROM c WHERE cov > 1000 AND cov < 20000 QUALIFY row_number() OVER (ORDER BY u, uid, pos) <= greatest(1, floor(n * 0.002::DOUBLE))""",
+    "gpqa_choices": f"""WITH p AS (SELECT p_partkey, p_name, list_transform(list_sort(list_transform([p_type || '1', p_type || '2', p_brand], lambda w: {{'h': md5('42:' || p_partkey || w), 'w': w}})), lambda x: x.w) AS m, floor({_U.format(42, "'place:' || p_partkey")} * 4)::INT AS k FROM part)
+      SELECT p_partkey, array_to_string(list_concat(list_concat(m[1:k], [p_name]), m[k + 1 : 3]), '|') AS choices, substr('ABCD', k + 1, 1) AS letter FROM p""",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,9 +26,11 @@ def session(app: str = "weftline", **settings: str) -> SparkSession:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """Cut the lineage through the folder in spark.checkpoint.dir; where it is unset a local session gets a temporary one and a cluster an error."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="weftline-")
-        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="weftline-"))
     return df.checkpoint()
