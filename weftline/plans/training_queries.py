@@ -117,12 +117,6 @@ def report_metrics(s, d):
     ), "success_rate", "violation_rate", "unsafe_success_rate", "overcall_ratio")
 
 
-def intents(s, d):
-    """Read and write intent by markers in the text."""
-    t = F.lower("text")
-    return table(s, d, "conversations").select("conv_id", "turn", F.exists(F.array(*[F.lit(m) for m in ("the ", "is ", "?")]), lambda m: F.contains(t, m)).alias("reads"), F.exists(F.array(*[F.lit(m) for m in ("and ", "to ")]), lambda m: F.contains(t, m)).alias("writes"))
-
-
 def message_history(s, d):
     """The last three messages of each conversation, and how many there are: a top-k report."""
     w = Window.partitionBy("conv_id")
@@ -158,7 +152,7 @@ def logged_generations(s, d):
 
 QUERIES = {f.__name__: f for f in (
     mix_draw, pf_weights, pf_resample, kl_cov_tokens, online_preference, adaptive_kl, length_trend, prime_rloo, kl_penalty, prob_correlation, sequence_logps,
-    stable_softmax_entropy, throughput, sequence_imbalance, provenance_check, first_time_bonus, replay_validity, report_metrics, intents,
+    stable_softmax_entropy, throughput, sequence_imbalance, provenance_check, first_time_bonus, replay_validity, report_metrics,
     message_history, gpqa_score, nearest_vectors, clip_cov_tokens, gpqa_choices, logged_generations,
 )}
 
@@ -196,7 +190,6 @@ ORACLE_SQL = {
     "replay_validity": "SELECT user_id, round(avg((value < 10)::DOUBLE), 6) + 0.0 AS error_rate FROM events GROUP BY user_id HAVING avg((value < 10)::DOUBLE) <= 0.30",
     "report_metrics": """WITH t AS (SELECT user_id, avg((value > 20)::DOUBLE) AS r, max((event_type = 'refund')::INT) AS c, count(*) AS n FROM events GROUP BY user_id)
       SELECT round(avg((r > 0.5)::DOUBLE), 6) + 0.0 AS success_rate, round(avg(c), 6) + 0.0 AS violation_rate, round(avg((r > 0.5 AND c = 1)::DOUBLE), 6) + 0.0 AS unsafe_success_rate, round(avg((n > 60)::DOUBLE), 6) + 0.0 AS overcall_ratio FROM t""",
-    "intents": "SELECT conv_id, turn, contains(lower(text), 'the ') OR contains(lower(text), 'is ') OR contains(lower(text), '?') AS reads, contains(lower(text), 'and ') OR contains(lower(text), 'to ') AS writes FROM conversations",
     "message_history": "SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3",
     "gpqa_score": "SELECT item_id, (item_id % 4 = 1)::INT::DOUBLE AS score FROM benchmark",
     "nearest_vectors": f"""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0), c AS (SELECT b.vec_id AS query_id, a.vec_id, {_COS} / ({_NORM.format('a')} * {_NORM.format('b')}) AS cosine FROM embeddings a, q b WHERE a.vec_id <> b.vec_id),

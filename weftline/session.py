@@ -25,12 +25,18 @@ def session(app: str = "weftline", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder in spark.checkpoint.dir; where it is unset a local session gets a temporary one and a cluster an error."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; where it is unset a local session gets a temporary one and a cluster an error."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="weftline-"))
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="weftline-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
