@@ -72,7 +72,8 @@ def test_stratified_rules(frame, groups):
         stratum = [r[2] for r in groups if (r[0], r[4], r[5]) == (uid, level, scenario)]
         same = [r[2] for r in groups if (r[0], r[5]) == (uid, scenario)]
         whole = scores(groups, uid)
-        want = z(s, stratum) if len(stratum) >= 3 else s - mean(stratum) if len(stratum) == 2 else z(s, same) if len(same) >= 2 else z(s, whole) if len(whole) >= 2 else 0.0
+        level_of = stratum if len(stratum) >= 2 else same if len(same) >= 2 else whole
+        want = z(s, level_of) if len(level_of) >= 3 else s - mean(level_of)
         assert got[uid, pos] == pytest.approx(want, abs=1e-6)
 
 
@@ -190,7 +191,7 @@ def test_text_functions(spark):
     assert one(tx.last_boxed(F.lit("\\boxed{1} and \\boxed{\\frac{a}{b}} x"))) == "\\frac{a}{b}" and one(tx.last_boxed(F.lit("\\boxed{1"))) is None and one(tx.last_boxed(F.lit("x"))) is None
     assert one(tx.answer_block(F.lit("<answer>a</answer><answer>\nb </answer>"))) in ("b", "\nb")
     assert one(tx.operation_of(F.lit("create_get"))) == "create" and one(tx.operation_of(F.lit("zap"))) == "query"
-    assert one(tx.formatted_passages(F.array(F.lit("T\nbody"), F.lit("U")))) == "Doc 1 (Title: T)\nbody\nDoc 2 (Title: U)\n"
+    assert one(tx.formatted_passages(F.array(F.lit("T\nbody"), F.lit("U")))) == "Doc 1 (Title: T)\nbody\n\nDoc 2 (Title: U)"
     assert one(tx.overlong_penalty(F.lit(9000), 8000, 2000, 1.0)) == -1.5 and one(tx.overlong_penalty(F.lit(10), 8000, 2000, 1.0)) == 0
 
 
@@ -202,7 +203,13 @@ def test_trajectories_and_graph(spark):
     paths = {tuple(r.path) for r in graph.simple_paths(edges).collect()}
     assert (1, 6) not in paths and (2, 3, 1, 5) in paths and all(len(set(p)) == len(p) <= 5 for p in paths)
     daily = spark.createDataFrame([(i, c) for i, c in enumerate([1.0, 0.0, 50.0])], "d int, c double")
-    assert [round(r.lam, 6) for r in trajectories.dual_ascent(daily, "d", "c").orderBy("d").collect()] == [0.09, 0.08, 3.0]
+    runs = daily.withColumn("run", F.lit("a"))
+    assert [round(r.lam, 6) for r in trajectories.dual_ascent(runs, "run", "d", "c", lam=0.0, rate=0.1, budget=0.1).orderBy("d").collect()] == [0.09, 0.08, 3.0]
+    # two dear batches freeze lambda at the first, a third doesn't raise it; cheap ones lower it, and it thaws below the streak
+    costs = [0.9, 0.9, 0.9, 0.0, 0.2, 0.9]
+    steps = spark.createDataFrame([("r", i, c) for i, c in enumerate(costs)], "run string, d int, c double")
+    got = trajectories.dual_ascent(steps, "run", "d", "c", lam=1.0, rate=0.1, budget=0.1, stall_after=2).orderBy("d").collect()
+    assert [(round(r.lam, 6), r.streak, r.frozen) for r in got] == [(1.08, 1, False), (1.08, 2, True), (1.08, 3, True), (1.07, 2, True), (1.08, 1, False), (1.08, 2, True)]
 
 
 def test_sources_and_audit(spark, tmp_path):
@@ -247,7 +254,7 @@ def test_bounded_queue_and_dual_variable(spark, tmp_path):
     assert queue.fresh(spark.createDataFrame([(1,), (5,)], "param_version int"), 6, 2).count() == 1
     assert queue.staleness_budget(4, 0.5, 2) == 12
     costs = spark.readStream.schema("queue string, seq long, payload string, param_version int").option("maxFilesPerTrigger", 1).json(str(tmp_path / "all")).select(F.lit("safety").alias("name"), F.lit(1.0).alias("cost"))
-    assert [round(r.lam, 2) for r in sorted(run_stream(spark, queue.dual_variable(costs), "duals"), key=lambda r: r.batch)] == [0.09, 0.18]
+    assert [round(r.lam, 2) for r in sorted(run_stream(spark, queue.dual_variable(costs, lam=0.0, rate=0.1, budget=0.1), "duals"), key=lambda r: r.batch)] == [0.09, 0.18]
 
 
 def test_entry_and_every_query_without_the_corpus_operators(spark):

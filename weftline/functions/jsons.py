@@ -36,9 +36,19 @@ def args_equal(actual: Column, expected: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), F.abs(a - b) < 1e-9).when(nested & canonical(actual).isNotNull() & canonical(expected).isNotNull(), canonical(actual) == canonical(expected)).otherwise(plain)
 
 
+def state_text(state: Column) -> Column:
+    """A state's JSON as the hashes take it (fixed format): sorted keys, a space after commas and colons, ASCII only; null for what doesn't parse."""
+
+    @F.pandas_udf("string")
+    def run(column):
+        return column.map(lambda t: None if (v := _loads(t)) is None else json.dumps(v, sort_keys=True))
+
+    return run(state)
+
+
 def state_hash(state: Column, digits: int = 16) -> Column:
-    """The first hex digits of the SHA-256 of a state's canonical JSON, all 64 for the stable hash; "" for null."""
-    return F.when(state.isNull(), F.lit("")).otherwise(F.left(F.sha2(canonical(state), 256), F.lit(digits)))
+    """The first hex digits of the SHA-256 of a state's text, all 64 for the stable hash; "" for null or broken states."""
+    return F.coalesce(F.left(F.sha2(state_text(state), 256), F.lit(digits)), F.lit(""))
 
 
 def at_path(text: Column, path: str) -> Column:
@@ -86,12 +96,6 @@ def code_split(text: Column) -> Column:
     return F.struct(F.when(found, body).alias("code"), F.when(found, rest).otherwise(text).alias("rest"))
 
 
-def passages(results: Column) -> Column:
-    """Search results (texts whose first line is a title) as numbered passages."""
-    rows = F.transform(results, lambda t, i: F.concat(F.lit("Doc "), i + 1, F.lit(" (Title: "), F.get(F.split(t, "\n"), F.lit(0)), F.lit(")\n"), F.array_join(F.slice(F.split(t, "\n"), 2, F.size(F.split(t, "\n"))), "\n"), F.lit("\n\n")))
-    return F.trim(F.array_join(rows, ""))
-
-
 def balanced_span(text: str, start: int) -> str | None:
     """The text from an opening brace or bracket to the one that closes it, strings skipped; null if none does."""
     depth, quoted, skip = 0, False, False

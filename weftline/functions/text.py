@@ -117,7 +117,7 @@ def word_count(text: Column) -> Column:
 
 
 def formatted_passages(passages: Column) -> Column:
-    """"Doc i (Title: first line)" and the rest, for an array of texts whose first line is the title."""
-    return F.array_join(F.transform(passages, lambda p, i: F.concat(
-        F.lit("Doc "), (i + 1).cast("string"), F.lit(" (Title: "), F.substring_index(p, "\n", 1), F.lit(")\n"),
-        F.regexp_replace(p, r"(?s)^[^\n]*\n?", ""))), "\n")
+    """"Doc i (Title: first line)" and the rest, with a blank line between, for an array of texts whose first line is the title."""
+    rows = F.transform(passages, lambda p, i: F.concat(
+        F.lit("Doc "), (i + 1).cast("string"), F.lit(" (Title: "), F.substring_index(p, "\n", 1), F.lit(")\n"), F.regexp_replace(p, r"(?s)^[^\n]*\n?", ""), F.lit("\n\n")))
+    return F.regexp_replace(F.array_join(rows, ""), r"^\s+|\s+$", "")

@@ -244,7 +244,7 @@ def message_rules(s, d):
 
 def search_passages(s, d):
     docs = table(s, d, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("r"))
-    return docs.select("source", F.md5(jsons.passages(F.transform("r", lambda x: x["text"]))).alias("passages"))
+    return docs.select("source", F.md5(tx.formatted_passages(F.transform("r", lambda x: x["text"]))).alias("passages"))
 
 
 def _latex():
@@ -443,7 +443,7 @@ ORACLE_SQL = {
     "batch_diagnosis": "WITH g AS (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey), s AS (SELECT n, count(*) AS g FROM g GROUP BY n), m AS (SELECT n AS modal FROM s ORDER BY g DESC, n LIMIT 1) SELECT modal, sum(g)::BIGINT AS groups, sum(CASE WHEN n <> modal THEN g ELSE 0 END)::BIGINT AS incomplete FROM s, m GROUP BY modal",
     "tree_listing": "SELECT lang AS folder, 1 AS depth, count(*) AS files FROM documents GROUP BY lang UNION ALL SELECT lang || '/' || source, 2, count(*) FROM documents GROUP BY lang, source",
     "typed_equality": """SELECT event_id, CASE event_id % 6 WHEN 0 THEN (round(value, 2)::VARCHAR || '1')::DOUBLE - round(value, 2) < 1e-9 WHEN 1 THEN true WHEN 2 THEN event_id % 4 = 0 WHEN 3 THEN true WHEN 4 THEN true ELSE event_type = 'click' END AS equal FROM events""",
-    "state_hashes": """WITH t AS (SELECT event_id, CASE WHEN event_id % 3 < 2 THEN '{"a":{"x":[1,"é"],"y":null},"b":' || event_id || '}' END AS s FROM events)
+    "state_hashes": """WITH t AS (SELECT event_id, CASE WHEN event_id % 3 < 2 THEN '{"a": {"x": [1, "\\u00e9"], "y": null}, "b": ' || event_id || '}' END AS s FROM events)
       SELECT event_id, coalesce(left(sha256(s), 16), '') AS hash, coalesce(sha256(s), '') AS "full", CASE WHEN s IS NOT NULL THEN '[1,"é"]' END AS at, CASE WHEN s IS NOT NULL THEN event_id::VARCHAR END AS b, NULL::VARCHAR AS none FROM t""",
     "json_fields": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN '[' || props || ']' ELSE 'null' END AS value, CASE event_id % 4 WHEN 0 THEN props ELSE '{}' END AS extra FROM events",
     "extract_json": f"SELECT conv_id, turn, CASE WHEN turn % 6 < 4 THEN {_C} END AS found FROM conversations",
@@ -474,5 +474,11 @@ ORACLE_SQL = {
     "written_and_read": f"WITH {_CALLS} SELECT task::VARCHAR AS uid, CASE WHEN n < 4 THEN 'orders' ELSE 'items' END AS data_source, array_to_string(list_sort(list_distinct(coalesce(tools, []))), ',') AS tools, query, query AS prompt FROM tn",
     "rollouts_round_trip": "SELECT (item_id % 3)::INT AS step, count(*) AS n, sum(item_id / 4) AS score, count(*) AS masked FROM benchmark GROUP BY 1",
     "shard_merge": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 500",
+    "search_passages": r"""WITH r AS (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, doc_id FROM documents),
+      p AS (SELECT source, string_agg('Doc ' || i || ' (Title: ' || string_split(text, chr(10))[1] || ')' || chr(10) || array_to_string(string_split(text, chr(10))[2:], chr(10)) || chr(10) || chr(10), '' ORDER BY doc_id) AS t FROM r GROUP BY source)
+      SELECT source, md5(regexp_replace(t, '^\s+|\s+$', '', 'g')) AS passages FROM p""",
+    "prompt_messages": """WITH b AS (SELECT item_id, item_id % 5 AS k, text FROM benchmark)
+      SELECT item_id, [2, 1, 1, 0, 0][k + 1]::INT AS n, [1, 1, 1, 0, 0][k + 1]::INT AS said, md5(CASE WHEN k = 0 THEN 'system:be brief|user:' || text WHEN k < 3 THEN 'user:' || text ELSE '' END) AS digest FROM b""",
+    "allocated_tokens": f"""WITH {SAMPLES_SQL}, a AS (SELECT uid, pos, length, {_GRPO} AS adv FROM s WINDOW w AS (PARTITION BY uid)) SELECT uid, pos, length::BIGINT AS tokens, round(adv / sqrt(length) * length, 4) + 0.0 AS total FROM a WHERE length > 0""",
     "metric_table": "SELECT event_id % 5 AS step, event_type AS key, round(avg(value), 6) + 0.0 AS value, count(*) AS n FROM events GROUP BY 1, 2",
 }
