@@ -162,7 +162,7 @@ def test_mutations_by_windows(spark):
 def test_loose_values(spark):
     t = "say {\"a\": [1, 2]} now"
     assert jsons.first_json(t) == '{"a":[1,2]}' and jsons.first_json("a\n\n[1, {\"b\": \"}\"}]\n\nz") == '[1,{"b":"}"}]' and jsons.first_json("no {json") is None and jsons.first_json(None) is None
-    assert jsons.repaired('x {"a": [1') == '{"a": [1}]' and jsons.tool_calls('<tool_call>{"name": "f", "arguments": {"q": "a b"</tool_call>!<tool_call>{"name": {</tool_call>')[0] == ['{"arguments":{"q":"a b"},"name":"f"}']
+    assert jsons.repaired('x {"a": [1') == '{"a": [1}]' and jsons.tool_calls('<tool_call>{"name": "f", "arguments": {"q": "a b"</tool_call>!<tool_call>none</tool_call>')[0] == ['{"arguments":{"q":"a b"},"name":"f"}']
     pairs = [("500", "500.0", True), ("true", " TRUE", True), ('{"a":1,"b":[2]}', '{"b": [2], "a": 1}', True), ("[1]", "[2]", False), (" Ab", "aB ", True), (None, "x", None), ("nan", "nan", False)]
     df = spark.createDataFrame([(a, b) for a, b, _ in pairs], "a string, b string")
     assert [r[0] for r in df.select(jsons.args_equal(F.col("a"), F.col("b"))).collect()] == [w for *_, w in pairs]
