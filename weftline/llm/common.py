@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,8 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that all executors share, as the session's spark.checkpoint.dir names it.
 
-    Where the setting is absent (tests, local runs) a temporary folder is used and
-    set on the context, so that checkpoint() works as well.
+    Where the setting is absent a local session (tests) gets a temporary folder, set
+    on the context so that checkpoint() works as well; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
@@ -34,6 +35,8 @@ def shared_root(spark: SparkSession) -> str:
             context.setCheckpointDir(root)
         return root.rstrip("/")
     if context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="weftline-"))
     return context.getCheckpointDir().rstrip("/")
 

@@ -30,13 +30,14 @@ def stars(edges: DataFrame) -> DataFrame:
             return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
         mark = tuple(seen)
         small = seen[0] <= BROADCAST_NODES
-        held = (lambda df: F.broadcast(df)) if small else (lambda df: df)
+        held = F.broadcast if small else checkpointed  # a stored table, so that Spark can split the partition of a hub
         both = now.union(now.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(held(least), "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
         large = checkpointed(large)
         # every edge now runs from a smaller a to a larger b: b's smaller neighbours and b itself link to the least of them
         least = large.groupBy("b").agg(F.min("a").alias("m"))
-        joined = large.join(held(least), "b")
-        small_star = joined.select(F.col("m").alias("a"), F.col("a").alias("b")).where("a <> b").union(least.select(F.col("m"), F.col("b")))
+        minima = held(least)
+        joined = large.join(minima, "b")
+        small_star = joined.select(F.col("m").alias("a"), F.col("a").alias("b")).where("a <> b").union(minima.select(F.col("m"), F.col("b")))
         now = checkpointed(small_star.distinct())

@@ -22,10 +22,10 @@ from weftline.llm.common import bounded_batches, checkpointed, quoted, shared_fo
 from weftline.llm.lyndon import repeated_starts
 
 LENGTH = 400
-BLOCK = 1 << 20  # bytes hashed at once; places in a block take the low bits of a key
+BLOCK = 1 << 19  # bytes hashed at once; places in a block take the low bits of a key
 PLACE = np.uint64((1 << 21) - 1)
 SORT_BYTES = 1 << 18  # bytes whose suffixes are sorted together, unless one group has more
-GROUP_BYTES = 1 << 20  # bytes of a group that one task sorts; the windows of larger groups are counted in buckets
+GROUP_BYTES = 1 << 19  # bytes of a group that one task sorts; the windows of larger groups are counted in buckets
 SEGMENT_STARTS = 4096  # window starts of a segment, about
 HASHED_AT_ONCE = 500_000
 

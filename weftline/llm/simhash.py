@@ -31,7 +31,7 @@ BUCKET_BITS = 8
 #: Fingerprints that a bucket holds at most, on average; more buckets are used beyond.
 BUCKET_ROWS = 4_000_000
 #: Variants that a task makes at once.
-AT_ONCE = 2_000_000
+AT_ONCE = 1_000_000
 SHINGLES_AT_ONCE = 200_000
 
 
