@@ -94,3 +94,9 @@ def json_lines(text: Column, schema: str) -> Column:
     """The lines that are JSON of a schema, as an array; others are left out."""
     good = F.filter(F.split(text, "\n"), lambda x: F.try_parse_json(x).isNotNull())
     return F.transform(good, lambda x: F.from_json(x, schema))
+
+
+def choice_score(solution: Column, truth: Column) -> Column:
+    """1 if the first "Answer: X" names the right letter, else 0."""
+    said = F.regexp_extract(solution, r"(?i)Answer[ \t]*:[ \t]*\$?([A-D])\$?", 1)
+    return F.coalesce(said == truth, F.lit(False)).cast("double")

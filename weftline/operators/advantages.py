@@ -187,3 +187,15 @@ def scalar_group_advantage(df: DataFrame, uid: str = "uid", score: str = "score"
     return df.withColumn("saturated", std < eps).withColumn(
         "advantage", F.when(F.col("saturated"), F.lit(0.0)).otherwise((F.col(score) - F.avg(score).over(w)) / F.greatest(std, F.lit(eps)))
     )
+
+
+def summed_rloo(df: DataFrame, rewards: list[str], uid: str = "uid", pos: str = "pos") -> DataFrame:
+    """Leave-one-out values of several rewards, summed, cumulated from the end of a sequence and whitened over all rows."""
+    from weftline.operators.sequences import reward_to_go
+
+    out, names = df, []
+    for i, r in enumerate(rewards):
+        names.append(f"_loo{i}")
+        out = rloo(out, uid, r).withColumnRenamed("advantage", names[-1])
+    total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
+    return whitened(reward_to_go(out.withColumn("_sum", total), uid, pos, "_sum"), "returns").drop("_sum", *names)

@@ -77,6 +77,23 @@ def bootstrap_at_n(df: DataFrame, source: str = "source", uid: str = "uid", valu
     return df.select(source, uid, value).groupBy(source, uid).applyInPandas(run, schema)
 
 
+def expected_at_n(df: DataFrame, source: str = "source", uid: str = "uid", value: str = "score") -> DataFrame:
+    """What bootstrap_at_n comes near to, in closed form: mean and deviation of the best and the worst of n draws with replacement.
+
+    Of N sorted values the i-th is the best of n draws with probability
+    (i / N)^n - ((i - 1) / N)^n. Windows by prompt only, and no draws.
+    """
+    own = Window.partitionBy(source, uid)
+    rows = df.select(source, uid, F.col(value).alias("_x")).withColumns({"_i": F.row_number().over(own.orderBy("_x")), "_all": F.count(F.lit(1)).over(own)})
+    sizes = F.expr("concat(filter(transform(sequence(1, 30), p -> shiftleft(1L, p)), x -> x < _all), array(_all))")
+    each = rows.withColumn("n", F.explode(sizes))
+    share = lambda k: F.pow(k / F.col("_all"), F.col("n"))
+    up, down = share(F.col("_i")) - share(F.col("_i") - 1), share(F.col("_all") - F.col("_i") + 1) - share(F.col("_all") - F.col("_i"))
+    sums = each.groupBy(source, uid, "n").agg(*[F.sum(F.col("_x") ** k * p).alias(f"{c}{k}") for c, p in (("b", up), ("w", down)) for k in (1, 2)])
+    std = lambda c: F.sqrt(F.greatest(F.col(f"{c}2") - F.col(f"{c}1") ** 2, F.lit(0.0)))
+    return sums.select(source, uid, F.col("n").cast("int").alias("n"), F.col("b1").alias("best"), std("b").alias("best_std"), F.col("w1").alias("worst"), std("w").alias("worst_std"))
+
+
 def _ranked(df: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
     """Distinct values with how many rows are up to each, and the total as one row; values are counted before they are ordered."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("c"))

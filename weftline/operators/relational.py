@@ -154,3 +154,22 @@ def quota_split(df: DataFrame, strata: list[str], key: str, share: float, seed:
 def best_of(df: DataFrame, groups: list[str], *order: Column) -> DataFrame:
     """The first row of each group in an order."""
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).where("_k = 1").drop("_k")
+
+
+def priced(orders: DataFrame, key: str, items: str, table: DataFrame, item: str, price: str) -> DataFrame:
+    """(key, total): quantity times price over an order's list of items (structs of id and quantity), by a lookup in list order; unknown items add nothing."""
+    listed = orders.select(key, F.posexplode(items).alias("pos", "_i")).select(key, "pos", F.col("_i.id").alias(item), F.col("_i.quantity").alias("_q"))
+    return listed.join(table.select(item, price), item).groupBy(key).agg(F.sum(F.col("_q") * F.col(price)).alias("total"))
+
+
+def statement(df: DataFrame, keys: list[str], amount: str, debit: Column) -> DataFrame:
+    """Debits and credits by key: conditional sums in one pass."""
+    part = lambda c: F.sum(F.when(c, F.col(amount)).otherwise(0.0))
+    return df.groupBy(*keys).agg(part(debit).alias("debits"), part(~F.coalesce(debit, F.lit(False))).alias("credits"))
+
+
+def last_n(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
+    """The last n rows of each key with the number of all: a top-k report."""
+    w = Window.partitionBy(key)
+    ranked = df.withColumn("total", F.count(F.lit(1)).over(w)).withColumn("_k", F.row_number().over(w.orderBy(F.desc(order))))
+    return ranked.where(F.col("_k") <= n).drop("_k")

@@ -100,7 +100,7 @@ def length_trend(df: DataFrame, step: str, length: str, last: int = 50, rows: in
 
 def logged_sample(df: DataFrame, text: str, n: int, seed: int = 42) -> DataFrame:
     """n rows for a log, in the order of a seeded hash of their text: a top-k report."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(text)), text).limit(n)
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(text))), text).limit(n)
 
 
 def shuffled_choices(key: Column, right: Column, wrong: Column, seed: int = 42) -> Column:

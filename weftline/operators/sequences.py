@@ -195,3 +195,29 @@ def value_loss(value: Column, returns: Column, old: Column, clip: float) -> Colu
     """Half of the larger squared error of the value and the value clipped around the old one."""
     held = F.greatest(F.least(value, old + clip), old - clip)
     return 0.5 * F.greatest((value - returns) ** 2, (held - returns) ** 2)
+
+
+def penalised_rewards(df: DataFrame, score: Column, beta: float, kind: str = "kl", uid: str = "uid", pos: str = "pos", lp: str = "lp", ref: str = "ref_lp") -> DataFrame:
+    """Token rewards: the score on a sequence's last token, less beta times the divergence on every token."""
+    last = F.col(pos) == F.max(pos).over(Window.partitionBy(uid))
+    return df.withColumn("reward", F.when(last, score).otherwise(F.lit(0.0)) - beta * kl(F.col(lp), F.col(ref), kind))
+
+
+def probability_differences(df: DataFrame, lp: str = "lp", old: str = "old_lp") -> DataFrame:
+    """One row: correlation of two policies' token probabilities, and the largest, mean and deviation of their difference."""
+    p, q = F.exp(lp), F.exp(old)
+    gap = F.abs(p - q)
+    return df.agg(F.corr(p, q).alias("pearson"), F.max(gap).alias("max_diff"), F.avg(gap).alias("mean_diff"), F.stddev_samp(gap).alias("std_diff"))
+
+
+def sequence_logprobs(df: DataFrame, keep: Column, uid: str = "uid", lp: str = "lp") -> DataFrame:
+    """Sum and mean of a sequence's log-probabilities over the tokens that count; 0 and null where none does."""
+    own = F.when(keep, F.col(lp))
+    return df.groupBy(uid).agg(F.coalesce(F.sum(own), F.lit(0.0)).alias("total"), F.avg(own).alias("mean"))
+
+
+def softmax_entropy(df: DataFrame, x: str, uid: str = "uid") -> DataFrame:
+    """The entropy of the softmax over a group's values, with the largest taken out first."""
+    w = Window.partitionBy(uid)
+    z = df.withColumn("_z", F.col(x) - F.max(x).over(w)).withColumn("_p", F.exp("_z") / F.sum(F.exp("_z")).over(w))
+    return z.groupBy(uid).agg((-F.sum(F.when(F.col("_p") > 0, F.col("_p") * F.log("_p")).otherwise(0.0))).alias("entropy"))

@@ -132,3 +132,8 @@ def dual_ascent(
         return pd.concat([rows[[key, order]], state], axis=1)
 
     return df.select(key, order, cost).groupBy(key).applyInPandas(walk, f"{key} {kinds[key]}, {order} {kinds[order]}, lam double, streak int, frozen boolean")
+
+
+def valid_replays(df: DataFrame, session: str, failed: Column, most: float = 0.3) -> DataFrame:
+    """Sessions whose share of failed steps is at most `most`, with that share."""
+    return df.groupBy(session).agg(F.avg(failed.cast("double")).alias("error_rate")).where(F.col("error_rate") <= most)

@@ -61,10 +61,10 @@ def uid_parse(s, d):
 
 
 def criteria(s, d):
-    state = F.concat(F.lit('{"a": {"n": '), (F.col("event_id") % 9).cast("string"), F.lit(', "s": "'), F.col("event_type"), F.lit('"}}'))
+    state = F.concat(F.lit('{"a": {"n": '), (F.col("event_id") % 9).cast("string"), F.when(F.col("event_id") % 3 > 0, F.concat(F.lit(', "s": "'), F.col("event_type"), F.lit('"'))).otherwise(""), F.lit("}}"))
     met = lambda kind, path, value=None, op="eq": contracts.criterion_met(state, F.lit(kind), F.lit(path), F.lit(value).cast("string"), F.lit(op))
     return table(s, d, "events").select(
-        "event_id", met("state_equals", "$.a.n", "4").alias("eq"), met("state_equals", "$.a.n", "4", "gt").alias("gt"), met("state_equals", "$.a.s", "click", "neq").alias("neq"), met("state_absent", "$.a.z").alias("absent"))
+        "event_id", met("state_equals", "$.a.n", "4").alias("eq"), met("state_equals", "$.a.n", "4", "gt").alias("gt"), met("state_equals", "$.a.s", "click", "neq").alias("neq"), met("state_absent", "$.a.s").alias("absent"), met("state_exists", "$.a.s").alias("there"))
 
 
 def token_amount(s, d):
@@ -79,9 +79,18 @@ def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
+# Fixed values of the grading's definition, stated here on their own so that the check doesn't read the code under test.
+_REPLACED = (("an ", ""), ("a ", ""), (".$", "$"), ("\\$", ""), ("\\ ", ""), (" ", ""), ("mbox", "text"), (",\\text{and}", ","), ("\\text{and}", ","), ("\\text{m}", "\\text{}"))
+_GONE = (
+    "square", "ways", "integers", "dollars", "mph", "inches", "hours", "km", "units", "\\ldots", "sue", "points", "feet", "minutes", "digits", "cents", "degrees", "cm", "gm", "pounds", "meters",
+    "meals", "edges", "students", "childrentickets", "multiples", "\\text{s}", "\\text{.}", "\\text{\ns}", "\\text{}^2", "\\text{}^3", "\\text{\n}", "\\text{}", "\\mathrm{th}", "^\\circ",
+    "^{\\circ}", "\\;", ",\\!", "{,}", '"', "\\dots",
+)
+
+
 def _normal_sql(x: str) -> str:
     x = f"string_split({x}, '=')[-1]"
-    for a, b in (*answers.SUBSTITUTIONS, *((r, "") for r in answers.REMOVED)):
+    for a, b in (*_REPLACED, *((r, "") for r in _GONE)):
         x = f"replace({x}, {_quoted(a)}, {_quoted(b)})"
     for pattern, to in (
         (r"(.*?)(\$)(.*?)(\$)(.*)", r"$\3$"), (r"(\\text\{)(.*?)(\})", r"\2"), (r"(\\textbf\{)(.*?)(\})", r"\2"), (r"(\\overline\{)(.*?)(\})", r"\2"),
@@ -110,6 +119,6 @@ ORACLE_SQL = {
       SELECT o_orderkey, {_FIT.format('list_concat(pad, ids)', 'ids[-5:]')} AS "left", {_FIT.format('list_concat(ids, pad)', 'ids[1:5]')} AS "right",
         {_FIT.format('list_concat(pad, ids)', 'CASE WHEN len(ids) = 5 THEN ids ELSE list_concat(ids[1:2], ids[-3:]) END')} AS middle FROM p""",
     "uid_parse": "SELECT o_orderkey, o_orderkey::VARCHAR AS task, CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus ELSE 'complete' END AS level, CASE WHEN o_orderkey % 3 > 1 THEN o_orderpriority ELSE 'normal_safe_success' END AS scenario FROM orders",
-    "criteria": "SELECT event_id, event_id % 9 = 4 AS eq, event_id % 9 > 4 AS gt, event_type <> 'click' AS neq, true AS absent FROM events",
+    "criteria": "SELECT event_id, event_id % 9 = 4 AS eq, event_id % 9 > 4 AS gt, event_id % 3 = 0 OR event_type <> 'click' AS neq, event_id % 3 = 0 AS absent, event_id % 3 > 0 AS there FROM events",
     "token_amount": "SELECT conv_id, sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')))::BIGINT AS words, max(turn) AS last_turn FROM conversations WHERE role <> 'system' GROUP BY conv_id",
 }

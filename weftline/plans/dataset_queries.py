@@ -87,8 +87,8 @@ def maj_vote(s, d):
 
 
 def best_at_n(s, d):
-    df = samples(s, d).select(F.lit("all").alias("source"), "uid", "score")
-    return metrics.bootstrap_at_n(df)
+    df = samples(s, d).select(F.lit("all").alias("source"), "uid", (F.col("score") / 1000).alias("score"))
+    return rounded(metrics.expected_at_n(df), "best", "best_std", "worst", "worst_std", digits=4)
 
 
 def length_percentiles(s, d):
@@ -180,16 +180,21 @@ def overlong_filter(s, d):
 
 
 def lookup_pricing(s, d):
-    items = table(s, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey"), "l_quantity")
-    return rounded(items.join(table(s, d, "part").select("p_partkey", "p_retailprice"), "p_partkey").groupBy("l_orderkey").agg(
-        F.sum(F.col("l_quantity") * F.col("p_retailprice")).alias("total")), "total", digits=2)
+    items = F.collect_list(F.struct(F.col("l_partkey").alias("id"), F.col("l_quantity").alias("quantity")))
+    orders = table(s, d, "lineitem").groupBy("l_orderkey").agg(items.alias("items"))
+    return rounded(relational.priced(orders, "l_orderkey", "items", table(s, d, "part"), "p_partkey", "p_retailprice"), "total", digits=2)
+
+
+def thread_messages(s, d):
+    """The messages that a thread's list names, in list order, those that don't exist left out."""
+    threads = table(s, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("m")).select("conv_id", F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("m") + 2, F.lit(2).cast("bigint")), lambda t: F.col("conv_id") * 1000 + t).alias("ids"))
+    messages = table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), "role")
+    return relational.lookup_in_order(threads, "ids", messages, "message_id").select("conv_id", "pos", "message_id", "role")
 
 
 def statement(s, d):
     o = table(s, d, "orders").withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
-    return rounded(o.groupBy("o_custkey", "month").agg(
-        F.sum(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).otherwise(0.0)).alias("debits"),
-        F.sum(F.when(F.col("o_orderstatus") != "F", F.col("o_totalprice")).otherwise(0.0)).alias("credits")), "debits", "credits", digits=2)
+    return rounded(relational.statement(o, ["o_custkey", "month"], "o_totalprice", F.col("o_orderstatus") == "F"), "debits", "credits", digits=2)
 
 
 def _marked():
@@ -335,7 +340,7 @@ QUERIES = {f.__name__: f for f in (
     batch_row_index, batch_slice, batch_repeat, batch_tile, batch_chunk, pad_to_divisor, unfold, zip_union, group_index, reduce_metrics,
     metrics_aggregator, mean_std_at_n, maj_vote, length_percentiles, length_stats, group_integrity, batch_metrics, tail_ratio, interval_overlap,
     train_test_overlap, exact_dedup, jaccard_pairs, greedy_dedup, stratified_split, split_counts, keep_last_turn, uniq_lines, tool_usage_topk,
-    overlong_filter, lookup_pricing, statement, gsm8k_extract, strip_think, qa_normalize, em_scores, qa_extract, last_boxed, tool_kinds,
+    overlong_filter, lookup_pricing, thread_messages, statement, gsm8k_extract, strip_think, qa_normalize, em_scores, qa_extract, last_boxed, tool_kinds,
     prompt_hash, stale_years, overlong_penalty, ordered_coverage, repeated_effects, recreated, potential_difference, dual_ascent_state,
     dependency_chains, kk_partition, greedy_partition, dynamic_micro_batches, zigzag_order, best_at_n, quota_rounds, rollout_report, timing_means, source_mean_scores,
 )}
@@ -401,6 +406,8 @@ ORACLE_SQL = {
     "tool_usage_topk": "SELECT event_type, count(*) AS uses FROM events GROUP BY event_type ORDER BY uses DESC, event_type LIMIT 3",
     "overlong_filter": "SELECT doc_id FROM documents WHERE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) <= 500",
     "lookup_pricing": "SELECT l_orderkey, round(sum(l_quantity * p_retailprice), 2) + 0.0 AS total FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey",
+    "thread_messages": """WITH t AS (SELECT conv_id, max(turn) AS m FROM conversations GROUP BY conv_id), i AS (SELECT conv_id, unnest(range(0, m + 3, 2)) AS turn FROM t)
+      SELECT i.conv_id, (i.turn // 2)::INT AS pos, i.conv_id * 1000 + i.turn AS message_id, role FROM i JOIN conversations c ON c.conv_id = i.conv_id AND c.turn = i.turn""",
     "statement": """SELECT o_custkey, strftime(o_orderdate, '%Y-%m') AS month, round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END), 2) + 0.0 AS debits,
       round(sum(CASE WHEN o_orderstatus <> 'F' THEN o_totalprice ELSE 0 END), 2) + 0.0 AS credits FROM orders GROUP BY 1, 2""",
     "gsm8k_extract": f"""WITH m AS (SELECT doc_id, n_chars, right({_MARK}, 300) AS t FROM documents), a AS (SELECT doc_id, n_chars, regexp_replace(regexp_extract_all(t, '#### (\\-?[0-9\\.\\,]+)', 1)[-1], '[,$]', '', 'g') AS answer,
@@ -437,6 +444,13 @@ ORACLE_SQL = {
       d AS (SELECT b.user_id, any_value(v) AS v, any_value(p) AS p, any_value(c) AS c, min(k) FILTER (event_type = 'purchase' AND k > coalesce(c, v, 0)) AS q FROM b JOIN e USING (user_id) GROUP BY b.user_id)
       SELECT user_id, CASE WHEN v IS NULL THEN 0 WHEN c IS NULL THEN 1 WHEN q IS NULL THEN 2 ELSE 3 END AS met,
         (v IS NOT NULL)::INT + (c IS NOT NULL)::INT + (q IS NOT NULL)::INT AS aligned, (p IS NOT NULL AND (v IS NULL OR v > p))::INT AS violated FROM d""",
+    "best_at_n": f"""WITH {SAMPLES_SQL}, r AS (SELECT uid, score / 1000 AS x, row_number() OVER (PARTITION BY uid ORDER BY score) AS i, count(*) OVER (PARTITION BY uid) AS m FROM s),
+      e AS (SELECT uid, x, i, m, unnest(list_append(list_filter([2, 4, 8, 16, 32, 64], lambda k: k < m), m)) AS n FROM r),
+      g AS (SELECT uid, n::INT AS n, sum(x * (pow(i / m, n) - pow((i - 1) / m, n))) AS b, sum(x * x * (pow(i / m, n) - pow((i - 1) / m, n))) AS b2, sum(x * (pow((m - i + 1) / m, n) - pow((m - i) / m, n))) AS w, sum(x * x * (pow((m - i + 1) / m, n) - pow((m - i) / m, n))) AS w2 FROM e GROUP BY uid, n)
+      SELECT 'all' AS source, uid, n, round(b, 4) + 0.0 AS best, round(sqrt(greatest(b2 - b * b, 0)), 4) + 0.0 AS best_std, round(w, 4) + 0.0 AS worst, round(sqrt(greatest(w2 - w * w, 0)), 4) + 0.0 AS worst_std FROM g""",
+    "greedy_dedup": f"""WITH RECURSIVE {_SETS}, i AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS k FROM t), e AS (SELECT b, list(a) AS earlier FROM p WHERE similarity >= 0.7 GROUP BY b), q AS (SELECT i.*, coalesce(earlier, []) AS earlier FROM i LEFT JOIN e ON e.b = i.item_id),
+      r AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept UNION ALL SELECT q.k, CASE WHEN list_has_any(r.kept, q.earlier) THEN r.kept ELSE list_append(r.kept, q.item_id) END FROM r JOIN q ON q.k = r.k + 1)
+      SELECT unnest(kept) AS item_id FROM r WHERE k = (SELECT max(k) FROM i)""",
     "quota_rounds": """WITH f AS (SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lang, lower(trim(text, ' ')) ORDER BY doc_id) = 1), n AS (SELECT count(*) // 5 AS n FROM documents)
       SELECT doc_id, lang FROM f, n WHERE lang IN ('de', 'en', 'es', 'fr') QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= n // 4 + (list_position(['de', 'en', 'es', 'fr'], lang) - 1 < n % 4)::INT""",
     "zigzag_order": f"WITH {_BATCHES}, r AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY cost DESC, doc_id) - 1 AS k FROM b) SELECT batch, doc_id, (CASE WHEN k // 4 % 2 = 0 THEN k % 4 ELSE 3 - k % 4 END)::INT AS worker FROM r",

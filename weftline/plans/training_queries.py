@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from weftline.functions import answers
 from weftline.operators import advantages as adv
-from weftline.operators import balance, metrics, retrieval, sampling, trajectories
+from weftline.operators import balance, metrics, relational, retrieval, sampling, trajectories
 from weftline.operators import sequences as seq
 from weftline.plans.samples import SAMPLES_SQL, rounded, samples, table
 
@@ -21,7 +22,7 @@ def pf_weights(s, d):
     df = samples(s, d).select("uid", "pos", (F.col("score") / 1e4).alias("score"))
     a = sampling.reweighted(df, "score", "pow", 2.0).withColumnRenamed("weight", "w_pow")
     b = sampling.reweighted(a, "score", "max_min").withColumnRenamed("weight", "w_max_min")
-    return rounded(sampling.reweighted(b, "score", "max_random").withColumnRenamed("weight", "w_max_random"), "w_pow", digits=9).drop("score")
+    return rounded(sampling.reweighted(b, "score", "max_random").withColumnRenamed("weight", "w_max_random"), "w_pow", digits=6).drop("score")
 
 
 def pf_resample(s, d):
@@ -48,36 +49,24 @@ def length_trend(s, d):
 
 
 def prime_rloo(s, d):
-    """Leave-one-out returns per source, summed, cumulated from the end and whitened."""
     df = samples(s, d).withColumn("acc", F.sqrt("score") / 100)
-    one = adv.rloo(df, score="acc").withColumnRenamed("advantage", "a")
-    two = adv.rloo(one, score="lp").withColumnRenamed("advantage", "b")
-    back = seq.reward_to_go(two.withColumn("r", F.col("a") + F.col("b")), reward="r")
-    return rounded(adv.whitened(back, "returns").select("uid", "pos", "advantage"), "advantage")
+    return rounded(adv.summed_rloo(df, ["acc", "lp"]).select("uid", "pos", "advantage"), "advantage")
 
 
 def kl_penalty(s, d):
-    df = samples(s, d)
-    w = Window.partitionBy("uid")
-    d1 = df.withColumn("kl", seq.kl(F.col("lp"), F.col("ref_lp"), "kl")).withColumn("reward", F.when(F.col("pos") == F.max("pos").over(w), F.sqrt("score")).otherwise(F.lit(0.0)) - 0.1 * F.col("kl"))
-    return rounded(d1.select("uid", "pos", "reward"), "reward")
+    return rounded(seq.penalised_rewards(samples(s, d), F.sqrt("score"), 0.1).select("uid", "pos", "reward"), "reward")
 
 
 def prob_correlation(s, d):
-    p, q = F.exp("lp"), F.exp("old_lp")
-    return rounded(samples(s, d).agg(F.corr(p, q).alias("pearson"), F.max(F.abs(p - q)).alias("max_diff"), F.avg(F.abs(p - q)).alias("mean_diff"), F.stddev_samp(F.abs(p - q)).alias("std_diff")), "pearson", "max_diff", "mean_diff", "std_diff")
+    return rounded(seq.probability_differences(samples(s, d)), "pearson", "max_diff", "mean_diff", "std_diff")
 
 
 def sequence_logps(s, d):
-    keep = F.col("length") > 5
-    return rounded(samples(s, d).groupBy("uid").agg(F.coalesce(F.sum(F.when(keep, F.col("lp"))), F.lit(0.0)).alias("total"), F.avg(F.when(keep, F.col("lp"))).alias("mean")), "total", "mean")
+    return rounded(seq.sequence_logprobs(samples(s, d), F.col("length") > 5), "total", "mean")
 
 
 def stable_softmax_entropy(s, d):
-    df = samples(s, d).withColumn("x", F.sqrt("score") / 100)
-    w = Window.partitionBy("uid")
-    z = df.withColumn("z", F.col("x") - F.max("x").over(w)).withColumn("p", F.exp("z") / F.sum(F.exp("z")).over(w))
-    return rounded(z.groupBy("uid").agg((-F.sum(F.col("p") * F.log("p"))).alias("entropy")), "entropy", digits=5)
+    return rounded(seq.softmax_entropy(samples(s, d).withColumn("x", F.sqrt("score") / 100), "x"), "entropy", digits=5)
 
 
 def throughput(s, d):
@@ -103,30 +92,19 @@ def first_time_bonus(s, d):
 
 
 def replay_validity(s, d):
-    """Sessions whose share of failures is at most 0.30."""
-    e = table(s, d, "events").groupBy("user_id").agg(F.avg((F.col("value") < 10).cast("double")).alias("error_rate"))
-    return rounded(e.where("error_rate <= 0.30"), "error_rate")
-
-
-def report_metrics(s, d):
-    """Rates over trajectories: success, violations, unsafe successes, over-calls."""
-    t = table(s, d, "events").groupBy("user_id").agg(F.avg((F.col("value") > 20).cast("double")).alias("r"), F.max((F.col("event_type") == "refund").cast("int")).alias("c"), F.count(F.lit(1)).alias("calls"))
-    return rounded(t.agg(
-        F.avg((F.col("r") > 0.5).cast("double")).alias("success_rate"), F.avg("c").alias("violation_rate"),
-        F.avg(((F.col("r") > 0.5) & (F.col("c") == 1)).cast("double")).alias("unsafe_success_rate"), F.avg((F.col("calls") > 60).cast("double")).alias("overcall_ratio"),
-    ), "success_rate", "violation_rate", "unsafe_success_rate", "overcall_ratio")
+    return rounded(trajectories.valid_replays(table(s, d, "events"), "user_id", F.col("value") < 10), "error_rate")
 
 
 def message_history(s, d):
-    """The last three messages of each conversation, and how many there are: a top-k report."""
-    w = Window.partitionBy("conv_id")
-    c = table(s, d, "conversations").withColumn("total", F.count(F.lit(1)).over(w)).withColumn("k", F.row_number().over(w.orderBy(F.desc("turn"))))
-    return c.where("k <= 3").select("conv_id", "turn", "total")
+    return relational.last_n(table(s, d, "conversations"), "conv_id", "turn", 3).select("conv_id", "turn", "total")
 
 
 def gpqa_score(s, d):
-    t = F.concat(F.lit("I think Answer: "), F.element_at(F.split(F.lit("A,B,C,D"), ","), (F.col("item_id") % 4 + 1).cast("int")), F.lit(" or Answer: A"))
-    return table(s, d, "benchmark").select("item_id", (F.regexp_extract(t, r"(?i)Answer[ \t]*:[ \t]*\$?([A-D])\$?", 1) == "B").cast("double").alias("score"))
+    """Whole texts that name a letter, first or late, or none."""
+    k = F.col("item_id") % 4
+    letter = F.element_at(F.split(F.lit("A,B,C,D"), ","), (k + 1).cast("int"))
+    t = F.concat("text", F.when(F.col("item_id") % 5 == 0, F.lit(" no letter")).otherwise(F.concat(F.lit(" answer : $"), letter, F.lit("$ or Answer: B"))))
+    return table(s, d, "benchmark").select("item_id", answers.choice_score(t, F.lit("B")).alias("score"))
 
 
 def nearest_vectors(s, d):
@@ -152,7 +130,7 @@ def logged_generations(s, d):
 
 QUERIES = {f.__name__: f for f in (
     mix_draw, pf_weights, pf_resample, kl_cov_tokens, online_preference, adaptive_kl, length_trend, prime_rloo, kl_penalty, prob_correlation, sequence_logps,
-    stable_softmax_entropy, throughput, sequence_imbalance, provenance_check, first_time_bonus, replay_validity, report_metrics,
+    stable_softmax_entropy, throughput, sequence_imbalance, provenance_check, first_time_bonus, replay_validity,
     message_history, gpqa_score, nearest_vectors, clip_cov_tokens, gpqa_choices, logged_generations,
 )}
 
@@ -164,7 +142,7 @@ _NORM = "sqrt(list_sum(list_transform({}.embedding, lambda x: x::DOUBLE * x::DOU
 ORACLE_SQL = {
     "mix_draw": f"WITH u AS (SELECT o_orderkey, {_U.format(7, 'o_orderkey')} AS u FROM orders) SELECT o_orderkey, CASE WHEN u < 0.5::DOUBLE THEN 'banking' WHEN u < 0.5::DOUBLE + 1.0::DOUBLE / 6 THEN 'calendar' ELSE 'email' END AS domain FROM u",
     "pf_weights": f"""WITH {SAMPLES_SQL}, x AS (SELECT uid, pos, score / 1e4 AS x FROM s), m AS (SELECT max(x) AS hi, min(x) AS lo FROM x)
-      SELECT uid, pos, round(pow(abs(x), 2), 9) + 0.0 AS w_pow, CASE WHEN x = hi OR x = lo THEN 1.0 ELSE 0.0 END::DOUBLE AS w_max_min, CASE WHEN x = hi THEN 1.0 ELSE 0.4 END::DOUBLE AS w_max_random FROM x, m""",
+      SELECT uid, pos, round(pow(abs(x), 2), 6) + 0.0 AS w_pow, CASE WHEN x = hi OR x = lo THEN 1.0 ELSE 0.0 END::DOUBLE AS w_max_min, CASE WHEN x = hi THEN 1.0 ELSE 0.4 END::DOUBLE AS w_max_random FROM x, m""",
     "pf_resample": f"""WITH {SAMPLES_SQL}, h AS (SELECT uid, pos, sqrt(score) / sum(sqrt(score)) OVER (PARTITION BY uid) * 4 AS h FROM s),
       c AS (SELECT *, sum(h) OVER (PARTITION BY uid ORDER BY pos) AS c, {_U.format(3, 'uid')} AS u FROM h), k AS (SELECT uid, pos, floor(c + u) - floor(c - h + u) AS k FROM c)
       SELECT uid, sum(k)::BIGINT AS rows, min(pos) AS first FROM k WHERE k > 0 GROUP BY uid""",
@@ -188,12 +166,11 @@ ORACLE_SQL = {
     "provenance_check": """SELECT event_id, CASE WHEN length(event_type) < 3 THEN true ELSE contains(coalesce(string_agg(event_type, chr(10)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''), event_type) END AS known FROM events""",
     "first_time_bonus": "SELECT user_id, 0.5::DOUBLE * count(DISTINCT event_type) AS bonus FROM events GROUP BY user_id",
     "replay_validity": "SELECT user_id, round(avg((value < 10)::DOUBLE), 6) + 0.0 AS error_rate FROM events GROUP BY user_id HAVING avg((value < 10)::DOUBLE) <= 0.30",
-    "report_metrics": """WITH t AS (SELECT user_id, avg((value > 20)::DOUBLE) AS r, max((event_type = 'refund')::INT) AS c, count(*) AS n FROM events GROUP BY user_id)
-      SELECT round(avg((r > 0.5)::DOUBLE), 6) + 0.0 AS success_rate, round(avg(c), 6) + 0.0 AS violation_rate, round(avg((r > 0.5 AND c = 1)::DOUBLE), 6) + 0.0 AS unsafe_success_rate, round(avg((n > 60)::DOUBLE), 6) + 0.0 AS overcall_ratio FROM t""",
     "message_history": "SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3",
-    "gpqa_score": "SELECT item_id, (item_id % 4 = 1)::INT::DOUBLE AS score FROM benchmark",
+    "gpqa_score": "SELECT item_id, (item_id % 5 <> 0 AND item_id % 4 = 1)::INT::DOUBLE AS score FROM benchmark",
     "nearest_vectors": f"""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0), c AS (SELECT b.vec_id AS query_id, a.vec_id, {_COS} / ({_NORM.format('a')} * {_NORM.format('b')}) AS cosine FROM embeddings a, q b WHERE a.vec_id <> b.vec_id),
       r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM c) SELECT query_id, vec_id, round(cosine, 5) + 0.0 AS cosine, rank FROM r WHERE rank <= 3""",
+    "logged_generations": "SELECT item_id FROM benchmark ORDER BY md5('42:' || text), text LIMIT 10",
     "clip_cov_tokens": f"""WITH {SAMPLES_SQL}, a AS (SELECT uid, pos, lp, {_GRPO} AS adv FROM s WINDOW w AS (PARTITION BY uid)), m AS (SELECT avg(lp) AS ml, avg(adv) AS ma, count(*) AS n FROM a),
       c AS (SELECT uid, pos, n, (lp - ml) * (adv - ma) AS cov, {_U.format(5, "(uid || ':' || pos)")} AS u FROM a, m)
       SELECT uid, pos, round(cov, 6) + 0.0 AS cov FROM c WHERE cov > 1000 AND cov < 20000 QUALIFY row_number() OVER (ORDER BY u, uid, pos) <= greatest(1, floor(n * 0.002::DOUBLE))""",

@@ -80,3 +80,10 @@ def windowed_usage(events: DataFrame, lateness: str = "10 minutes", width: str =
         .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
         .select(F.col("window.start").alias("start"), "event_type", "n", "total")
     )
+
+
+def drained(stream: DataFrame, path: str) -> DataFrame:
+    """What a stream gives for all that is there now, written to Parquet with its own progress log and read back; a rerun takes up where it stopped."""
+    query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start(f"{path}/rows")
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
