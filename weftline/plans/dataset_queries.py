@@ -87,8 +87,8 @@ def maj_vote(s, d):
 
 
 def best_at_n(s, d):
-    df = samples(s, d).select(F.lit("all").alias("source"), "uid", (F.col("score") / 1000).alias("score"))
-    return rounded(metrics.expected_at_n(df), "best", "best_std", "worst", "worst_std", digits=4)
+    df = samples(s, d).select(F.lit("all").alias("source"), "uid", (F.sqrt("score") / 100).alias("score"))
+    return rounded(metrics.expected_at_n(df), "best", "best_std", "worst", "worst_std", digits=5)
 
 
 def length_percentiles(s, d):
@@ -444,10 +444,10 @@ ORACLE_SQL = {
       d AS (SELECT b.user_id, any_value(v) AS v, any_value(p) AS p, any_value(c) AS c, min(k) FILTER (event_type = 'purchase' AND k > coalesce(c, v, 0)) AS q FROM b JOIN e USING (user_id) GROUP BY b.user_id)
       SELECT user_id, CASE WHEN v IS NULL THEN 0 WHEN c IS NULL THEN 1 WHEN q IS NULL THEN 2 ELSE 3 END AS met,
         (v IS NOT NULL)::INT + (c IS NOT NULL)::INT + (q IS NOT NULL)::INT AS aligned, (p IS NOT NULL AND (v IS NULL OR v > p))::INT AS violated FROM d""",
-    "best_at_n": f"""WITH {SAMPLES_SQL}, r AS (SELECT uid, score / 1000 AS x, row_number() OVER (PARTITION BY uid ORDER BY score) AS i, count(*) OVER (PARTITION BY uid) AS m FROM s),
+    "best_at_n": f"""WITH {SAMPLES_SQL}, r AS (SELECT uid, sqrt(score) / 100 AS x, row_number() OVER (PARTITION BY uid ORDER BY score) AS i, count(*) OVER (PARTITION BY uid) AS m FROM s),
       e AS (SELECT uid, x, i, m, unnest(list_append(list_filter([2, 4, 8, 16, 32, 64], lambda k: k < m), m)) AS n FROM r),
       g AS (SELECT uid, n::INT AS n, sum(x * (pow(i / m, n) - pow((i - 1) / m, n))) AS b, sum(x * x * (pow(i / m, n) - pow((i - 1) / m, n))) AS b2, sum(x * (pow((m - i + 1) / m, n) - pow((m - i) / m, n))) AS w, sum(x * x * (pow((m - i + 1) / m, n) - pow((m - i) / m, n))) AS w2 FROM e GROUP BY uid, n)
-      SELECT 'all' AS source, uid, n, round(b, 4) + 0.0 AS best, round(sqrt(greatest(b2 - b * b, 0)), 4) + 0.0 AS best_std, round(w, 4) + 0.0 AS worst, round(sqrt(greatest(w2 - w * w, 0)), 4) + 0.0 AS worst_std FROM g""",
+      SELECT 'all' AS source, uid, n, round(b, 5) + 0.0 AS best, round(sqrt(greatest(b2 - b * b, 0)), 5) + 0.0 AS best_std, round(w, 5) + 0.0 AS worst, round(sqrt(greatest(w2 - w * w, 0)), 5) + 0.0 AS worst_std FROM g""",
     "greedy_dedup": f"""WITH RECURSIVE {_SETS}, i AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS k FROM t), e AS (SELECT b, list(a) AS earlier FROM p WHERE similarity >= 0.7 GROUP BY b), q AS (SELECT i.*, coalesce(earlier, []) AS earlier FROM i LEFT JOIN e ON e.b = i.item_id),
       r AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept UNION ALL SELECT q.k, CASE WHEN list_has_any(r.kept, q.earlier) THEN r.kept ELSE list_append(r.kept, q.item_id) END FROM r JOIN q ON q.k = r.k + 1)
       SELECT unnest(kept) AS item_id FROM r WHERE k = (SELECT max(k) FROM i)""",
