@@ -89,3 +89,15 @@ def test_language_bundles_by_brute_force():
                 bound = bound * language.np.roll(language._VECTORS[s], place)
             want = want + bound
         assert some == bool(grams) and language.np.array_equal(got, want.astype(language.np.float32))
+
+
+def test_neighbours_of_rows_without_ids(spark):
+    rows = [(None, f"text {i}") for i in range(2600)] + [(7, f"seven {i}") for i in range(5)] + [(3, "three")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tied = docs.withColumn("tie", F.md5("text"))
+    got = {r.text: r.next_text for r in merkle.with_next(tied, ["text"], "tie").collect()}
+    import hashlib
+
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashlib.md5(r[1].encode()).hexdigest()))
+    assert got == {t: order[(k + 1) % len(order)][1] for k, (_, t) in enumerate(order)}
+    assert tied.transform(lambda d: merkle.bucketed(d, "tie")).where("doc_id is null").select("bucket").distinct().count() == 3

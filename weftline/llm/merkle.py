@@ -70,17 +70,20 @@ def fingerprints(docs: DataFrame, piece: int = PIECE) -> DataFrame:
     return docs.select("doc_id", fingerprint("text", piece).alias("fingerprint"))
 
 
-def bucketed(docs: DataFrame, rows: int = BUCKET_ROWS) -> DataFrame:
+def bucketed(docs: DataFrame, tie: str, rows: int = BUCKET_ROWS) -> DataFrame:
     """The documents with a bucket that ascends with doc_id and holds about `rows` rows.
 
     Up to 256 quantiles are taken, which are numbers of fixed size on the driver;
-    between two of them buckets are of equal width. Null ids have the bucket -1.
+    between two of them buckets are of equal width. Null ids have buckets below 0,
+    by the hex digits of `tie`, which orders them.
     """
     shares = [i / (BOUNDS + 1) for i in range(BOUNDS + 2)]
-    n, bounds = docs.agg(F.count("doc_id"), F.percentile_approx("doc_id", shares, 10_000)).first()
+    n, every, bounds = docs.agg(F.count("doc_id"), F.count(F.lit(1)), F.percentile_approx("doc_id", shares, 10_000)).first()
     bounds = sorted(set(bounds or []))
+    places = max(1, -(-(every - n) // rows))
+    nameless = -1 - F.floor(F.conv(F.left(tie, F.lit(7)), 16, 10).cast("bigint") * places / F.lit(1 << 28))
     if len(bounds) < 2:
-        return docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("bigint"))
+        return docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), nameless).otherwise(F.lit(0)).cast("bigint"))
     low = bounds[:-1]
     per = max(1, -(-n // (rows * len(low))))
     listed = lambda xs: F.array(*[F.lit(int(x)).cast("bigint") for x in xs])
@@ -88,28 +91,29 @@ def bucketed(docs: DataFrame, rows: int = BUCKET_ROWS) -> DataFrame:
     width = listed([max(1, -(-(b - a) // per)) for a, b in zip(low, bounds[1:], strict=True)])
     inner = F.floor((F.col("doc_id") - F.get(listed(low), F.col("_part"))) / F.get(width, F.col("_part")))
     inner = F.least(F.greatest(inner, F.lit(0)), F.lit(per))
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.col("_part") * (per + 1) + inner).cast("bigint")
+    bucket = F.when(F.col("doc_id").isNull(), nameless).otherwise(F.col("_part") * (per + 1) + inner).cast("bigint")
     return docs.withColumn("_part", part).withColumn("bucket", bucket).drop("_part")
 
 
 def with_next(docs: DataFrame, columns: list[str], tie: str) -> DataFrame:
     """Each row with next_<column> of the next row by descending doc_id (after the last: the first).
 
-    Rows with equal doc_id follow in the order of column `tie`, null ids last. Rows
+    Rows with equal doc_id follow in the order of column `tie` (hex digits), null ids last. Rows
     are shuffled once, by bucket; the first row of each bucket is copied to the
     bucket before it, so that neighbours are found within buckets.
     """
     kept = list(dict.fromkeys([tie, *columns]))
-    placed = bucketed(docs)
-    firsts = placed.groupBy("bucket").agg(F.max("doc_id").alias("first_id"))
+    placed = bucketed(docs, tie)
+    firsts = placed.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), (-F.col("doc_id")).alias("m"), F.col(tie).alias("t"))).alias("f"))
     down = Window.orderBy(F.col("bucket").desc())
     ghosts = firsts.select(
-        "first_id", F.coalesce(F.lag("bucket").over(down), F.min("bucket").over(Window.partitionBy())).alias("to")
+        F.col("bucket").alias("own"), (-F.col("f.m")).alias("first_id"), F.col("f.t").alias("first_tie"), F.coalesce(F.lag("bucket").over(down), F.min("bucket").over(Window.partitionBy())).alias("to")
     )
     spots = F.when(F.col("to").isNull(), F.array(F.struct("bucket", F.lit(0).alias("ghost")))).otherwise(
         F.array(F.struct("bucket", F.lit(0).alias("ghost")), F.struct(F.col("to").alias("bucket"), F.lit(1).alias("ghost")))
     )
-    rows = placed.join(small_or_shuffled(ghosts, 16), F.col("doc_id").eqNullSafe(F.col("first_id")), "left").select(
+    first = (F.col("bucket") == F.col("own")) & (F.col(tie) == F.col("first_tie")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    rows = placed.join(small_or_shuffled(ghosts, 72), first, "left").select(
         "doc_id", *kept, F.explode(spots).alias("spot")
     ).select("doc_id", *kept, "spot.bucket", "spot.ghost")
     order = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").desc_nulls_last(), tie)
@@ -134,7 +138,7 @@ def edits(docs: DataFrame, piece: int = PIECE) -> DataFrame:
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.left("text", F.col("n_chars").cast("int") - cut), F.left("next_text", cut))
     return (
-        with_next(texts, ["text", "fingerprint"], "fingerprint")
+        with_next(texts.withColumn("tie", F.left("fingerprint", F.lit(32))), ["text", "fingerprint"], "tie")
         .withColumn("n_chars", F.length("text").cast("bigint"))
         .withColumn("edited", edited)
         .withColumn("edited_fingerprint", fingerprint("edited", piece))

@@ -12,6 +12,9 @@ CYCLE = (3, 1, 2)
 SHARE = 1.5
 MOST_COPIES = 2.0
 
+#: Rows of a hash bucket at most, on average, before buckets take another hex digit.
+BUCKET_ROWS = 200_000
+
 #: Sources as keys that are never null and sort as the contract orders them, null last.
 SOURCE_KEY = "coalesce(concat('s', source), 't')"
 
@@ -66,8 +69,8 @@ def decided(docs: DataFrame, seed: int = 17, cycle=CYCLE, share: float = SHARE,
     size class, then hash, so that every size is sampled evenly and the words
     taken come near the target. The prefix sum is made in two levels: counts of
     (source, size class, hash bucket) give where a bucket begins, and row numbers
-    run within buckets only, so a source with a third of all rows spreads over
-    thousands of windows.
+    run within buckets only, whose number grows with the rows, so a source with a
+    third of all rows spreads over thousands of windows.
 
     A null text has size 0; a null source is a source of its own, last in order;
     documents of size 0 get copies like others but add no words; repeated rows
@@ -76,12 +79,14 @@ def decided(docs: DataFrame, seed: int = 17, cycle=CYCLE, share: float = SHARE,
     """
     words = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint")
     sized = checkpointed(docs.select("doc_id", F.expr(SOURCE_KEY).alias("src"), text_key().alias("text_key"), words.alias("size")))
-    digits = F.col("size").cast("string")
+    digits, hashed, n = F.col("size").cast("string"), 2, sized.count()
+    while n > 16**hashed * BUCKET_ROWS:
+        hashed += 1
     placed = (
         sized
         .withColumn("spot", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
         .withColumn("class", F.length(digits) * 100 + F.substring(digits, 1, 2).cast("int"))
-        .withColumn("bucket", F.substring("spot", 1, 2))
+        .withColumn("bucket", F.substring("spot", 1, hashed))
         .withColumn("nth", F.row_number().over(Window.partitionBy("src", "class", "bucket").orderBy("spot", "size", "text_key")))
     )
     first = Window.partitionBy("src").orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
