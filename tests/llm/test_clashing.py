@@ -101,3 +101,21 @@ def test_neighbours_of_rows_without_ids(spark):
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashlib.md5(r[1].encode()).hexdigest()))
     assert got == {t: order[(k + 1) % len(order)][1] for k, (_, t) in enumerate(order)}
     assert tied.transform(lambda d: merkle.bucketed(d, "tie")).where("doc_id is null").select("bucket").distinct().count() == 3
+
+
+def test_media_features_by_brute_force(spark):
+    import hashlib
+
+    texts = ["", "a", "é" * 700, "x" * 131_073, "ab" * 65_536 + "\x00\xff"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in matroska.features(matroska.encode(docs)).collect():
+        raw = texts[r.doc_id].encode()
+        payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\x00")
+        media = matroska.mux(payload)
+        level = [b - 128 for b in payload]
+        bands = [sum(b // 16 == k for b in payload) for k in range(16)]
+        crossings = sum((x < 0) != (y < 0) for x, y in zip(level, level[1:], strict=False))
+        cluster = matroska.FRAME * matroska.LACED * matroska.PER_CLUSTER
+        mean, rms = sum(level) / len(level), (sum(v * v for v in level) / len(level)) ** 0.5
+        want = f"packets={-(-len(payload) // matroska.FRAME)};cues={-(-len(payload) // cluster)};mean={mean:.6f};rms={rms:.6f};crossings={crossings};bands={','.join(map(str, bands))}"
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(media), hashlib.sha256(media).hexdigest(), want)
