@@ -17,26 +17,29 @@ REMOVED = (
     "degrees", "cm", "gm", "pounds", "meters", "meals", "edges", "students", "childrentickets", "multiples", "\\text{s}", "\\text{.}", "\\text{\ns}",
     "\\text{}^2", "\\text{}^3", "\\text{\n}", "\\text{}", "\\mathrm{th}", "^\\circ", "^{\\circ}", "\\;", ",\\!", "{,}", '"', "\\dots",
 )
+PATTERNS = (
+    (r"(.*?)(\$)(.*?)(\$)(.*)", r"\$$3\$"),
+    (r"(\\text\{)(.*?)(\})", "$2"),
+    (r"(\\textbf\{)(.*?)(\})", "$2"),
+    (r"(\\overline\{)(.*?)(\})", "$2"),
+    (r"(\\boxed\{)(.*)(\})", "$2"),
+    (r"(frac)([^{])(.)", "frac{$2}{$3}"),
+    (r"(sqrt)([^{])", "sqrt{$2}"),
+)
 ANSWER_LINE = r"(?i)Answer\s*:\s*([^\n]+)"
 ACTION_TAGS = "tool_call|final_answer|ask_clarification|report_error"
 
 
 def normal_final_answer(answer: Column) -> Column:
-    """What follows the last "=", without units, words and LaTeX dressing, in one spelling of fractions and roots."""
-    x = F.substring_index(answer, "=", -1)
-    for before, after in SUBSTITUTIONS:
-        x = F.replace(x, F.lit(before), F.lit(after))
-    for gone in REMOVED:
-        x = F.replace(x, F.lit(gone), F.lit(""))
-    x = F.regexp_replace(x, r"(.*?)(\$)(.*?)(\$)(.*)", r"\$$3\$")
-    for command in ("text", "textbf", "overline"):
-        x = F.regexp_replace(x, rf"(\\{command}\{{)(.*?)(\}})", "$2")
-    x = F.regexp_replace(x, r"(\\boxed\{)(.*)(\})", "$2")
-    x = F.regexp_replace(x, r"(frac)([^{])(.)", "frac{$2}{$3}")
-    x = F.regexp_replace(x, r"(sqrt)([^{])", "sqrt{$2}")
-    x = F.replace(x, F.lit("$"), F.lit(""))
-    bare = F.replace(x, F.lit(","), F.lit(""))
-    return F.trim(F.when(bare.rlike(r"^\d+$"), bare).otherwise(x))
+    """What follows the last "=", without units, words and LaTeX dressing, in one spelling of fractions and roots; whole numbers without commas."""
+    out = F.substring_index(answer, "=", -1)
+    for old, new in (*SUBSTITUTIONS, *((unit, "") for unit in REMOVED)):
+        out = F.replace(out, F.lit(old), F.lit(new))
+    for pattern, new in PATTERNS:
+        out = F.regexp_replace(out, pattern, new)
+    out = F.replace(out, F.lit("$"), F.lit(""))
+    digits = F.replace(out, F.lit(","), F.lit(""))
+    return F.trim(F.when(F.rlike(digits, F.lit(r"^\d+$")), digits).otherwise(out))
 
 
 def line_answer(solution: Column) -> Column:
