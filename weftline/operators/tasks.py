@@ -216,13 +216,25 @@ def schema_edges(tools: DataFrame) -> DataFrame:
     return explicit.withColumn("relation", F.lit("explicit")).unionByName(implicit.withColumn("relation", F.lit("implicit")))
 
 
+#: Tools of a registry at most; it is a catalogue, not data, and is broadcast.
+REGISTRY = 10_000
+
+
+def catalogue(registry: DataFrame) -> DataFrame:
+    """A registry to broadcast; an error if it is larger than a catalogue may be."""
+    n = registry.count()
+    if n > REGISTRY:
+        raise ValueError(f"a registry of {n} rows is more than {REGISTRY}")
+    return F.broadcast(registry)
+
+
 def routed(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     """Each call (id, tool, domain, keys) with the server of its tool, null for an unknown one.
 
     Of several servers the one of the call's domain, else the first (by `nth`) whose
     required parameters are all given, else the first. Input of schemas: tool, server, required, nth.
     """
-    met = calls.join(F.broadcast(schemas) if schemas.count() <= 10_000 else schemas, "tool", "left")
+    met = calls.join(catalogue(schemas), "tool", "left")
     fits = F.size(F.array_except("required", "keys")) == 0
     order = Window.partitionBy("id").orderBy(F.when(F.col("server") == F.col("domain"), 0).when(fits, 1).otherwise(2), "nth")
     return met.withColumn("_k", F.row_number().over(order)).where("_k = 1").select("id", "tool", "server")
@@ -231,9 +243,9 @@ def routed(calls: DataFrame, schemas: DataFrame) -> DataFrame:
 def fuzzy_matches(names: DataFrame, valid: DataFrame) -> DataFrame:
     """(raw, tool): the closest valid name: equal without case, without a final s, one within the other, or by shared words (all but one).
 
-    `valid` (tool) is a registry, broadcast if it is counted small; names meet it once.
+    `valid` (tool) is a registry; each distinct name meets it once.
     """
-    known = F.broadcast(valid) if valid.count() <= 10_000 else valid
+    known = catalogue(valid)
     raw, tool = F.lower("raw"), F.lower("tool")
     words = lambda c: F.array_distinct(F.filter(F.split(c, "_| "), lambda w: w != ""))
     shared = F.size(F.array_intersect(words(raw), words(tool)))
@@ -262,7 +274,7 @@ def with_distractors(tasks: DataFrame, registry: DataFrame, least: int = 3, most
 
     The registry (tool) is a bounded catalogue; it is packed in one row and each task draws within its own row.
     """
-    packed = registry.agg(F.array_sort(F.collect_set("tool")).alias("_all"))
+    packed = catalogue(registry.select("tool").distinct()).agg(F.array_sort(F.collect_set("tool")).alias("_all"))
     n = least + F.pmod(F.conv(F.substring(F.md5("task"), 1, 8), 16, 10).cast("bigint"), F.lit(most - least + 1)).cast("int")
     drawn = F.array_sort(F.transform(F.array_except("_all", "known"), lambda t: F.struct(F.md5(F.concat("task", F.lit(":"), t)).alias("h"), t.alias("t"))))
     return tasks.crossJoin(F.broadcast(packed)).select("task", F.explode(F.slice(drawn, F.lit(1), n)).alias("x")).select("task", F.col("x.t").alias("tool"))
