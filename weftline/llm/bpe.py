@@ -255,7 +255,12 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids",
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, and digests of the decimal ids and of the bytes decoded from them."""
+    """doc_id, n_tokens, and digests of the decimal ids and of the bytes decoded from them.
+
+    Null and empty texts have no ids and the digests of nothing; repeated rows give
+    equal rows; texts of any length are encoded whole; no rows give none. Only doc_id
+    and text are read.
+    """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def run(batches):

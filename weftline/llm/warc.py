@@ -229,7 +229,11 @@ def read_warc(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) ->
 
 def page_records(spark: SparkSession, path: str) -> DataFrame:
     """The contract's columns, from the archives: a response's digest and size are
-    taken from the payload as it was read, a revisit's from its headers."""
+    taken from the payload as it was read, a revisit's from its headers.
+
+    A null page is an empty payload; a null page_id stays null and is no page that
+    others refer to; repeated page rows give a record each; long pages are read whole;
+    no archives give no rows."""
     stored = F.col("warc_type") == "response"
     number = lambda c: F.regexp_extract(c, rf"^<{ID}(-?\d+)>$", 1)
     as_id = lambda c: F.when(number(c) != "", number(c).cast("bigint"))
