@@ -138,7 +138,7 @@ def edits(docs: DataFrame, piece: int = PIECE) -> DataFrame:
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.left("text", F.col("n_chars").cast("int") - cut), F.left("next_text", cut))
     return (
-        with_next(texts.withColumn("tie", F.left("fingerprint", F.lit(32))), ["text", "fingerprint"], "tie")
+        with_next(texts.withColumn("tie", F.md5("text")), ["text", "fingerprint"], "tie")
         .withColumn("n_chars", F.length("text").cast("bigint"))
         .withColumn("edited", edited)
         .withColumn("edited_fingerprint", fingerprint("edited", piece))
