@@ -482,3 +482,6 @@ ORACLE_SQL = {
     "allocated_tokens": f"""WITH {SAMPLES_SQL}, a AS (SELECT uid, pos, length, {_GRPO} AS adv FROM s WINDOW w AS (PARTITION BY uid)) SELECT uid, pos, length::BIGINT AS tokens, round(adv / sqrt(length) * length, 4) + 0.0 AS total FROM a WHERE length > 0""",
     "metric_table": "SELECT event_id % 5 AS step, event_type AS key, round(avg(value), 6) + 0.0 AS value, count(*) AS n FROM events GROUP BY 1, 2",
 }
+_CHECKS = ("chain_length", "abstains", "named", "distinct_calls", "missing_flag", "semantic", "rounds")
+ORACLE_SQL["audit_rules"] = f"""WITH t AS ({ORACLE_SQL['task_checks']}), f AS (SELECT unnest([{', '.join(f"'{c}'" for c in _CHECKS)}]) AS "check", unnest([{', '.join(f'sum((NOT {c})::INT)' for c in _CHECKS)}])::BIGINT AS failures FROM t)
+  SELECT "check", failures = 0 AS passed, failures FROM f"""
