@@ -84,10 +84,11 @@ class Model:
     weights: np.ndarray
     factors: np.ndarray
 
-    def score(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Probabilities, in time linear in the features."""
-        if not rows:
-            return np.zeros(0)
+    def score(self, rows: list[tuple[np.ndarray, np.ndarray]], at_once: int = 100) -> np.ndarray:
+        """Probabilities, in time linear in the features and in the memory of `at_once` rows."""
+        return np.concatenate([self._score(rows[i : i + at_once]) for i in range(0, len(rows), at_once)] or [np.zeros(0)])
+
+    def _score(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         sizes = np.array([len(i) for i, _ in rows])
         index, value = np.concatenate([i for i, _ in rows]), np.concatenate([v for _, v in rows])
         starts = np.cumsum(sizes) - sizes
@@ -177,7 +178,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
     bounded_batches(docs.sparkSession)
     got = sorted(sample.mapInArrow(run, "doc_id long, label int, index binary, value binary").toLocalIterator(), key=lambda r: (r[0], r[1], bytes(r[2])))
-    return fit([(np.frombuffer(r[2], "<i4").astype(np.int64), np.frombuffer(r[3], "<f4").astype(np.float64)) for r in got[:rows]], np.array([r[1] for r in got[:rows]]))
+    found, classes = [(np.frombuffer(r[2], "<i4").astype(np.int64), np.frombuffer(r[3], "<f4").astype(np.float64)) for r in got[:rows]], np.array([r[1] for r in got[:rows]])
+    del got
+    return fit(found, classes)
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
