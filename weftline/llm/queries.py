@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import bpe, language, matroska, merkle, mixing, quality, repeats, simhash, warc, wavelet
+from weftline.llm import bpe, exact, language, matroska, merkle, middle, mixing, quality, repeats, simhash, trie, warc, wavelet
 from weftline.llm.common import shared_folder, table
 
 
@@ -54,6 +54,18 @@ def op10_merkle_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edits(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(table(spark, sf_dir, "conversations"))
+
+
+def op12_heavy_hitter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.decisions(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc_splits": op1_warc_splits,
     "op2_matroska_packets": op2_matroska_packets,
@@ -65,10 +77,16 @@ QUERIES = {
     "op8_quality_fm": op8_quality_fm,
     "op9_language_profiles": op9_language_profiles,
     "op10_merkle_edits": op10_merkle_edits,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_heavy_hitter_dedup": op12_heavy_hitter_dedup,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE_SQL = {
     "op1_warc_splits": warc.ORACLE,
     "op6_mix_sources": mixing.ORACLE,
     "op10_merkle_edits": merkle.ORACLE,
+    "op11_prefix_trie": trie.ORACLE,
+    "op12_heavy_hitter_dedup": exact.ORACLE,
+    "op13_fill_in_middle": middle.ORACLE,
 }
