@@ -44,7 +44,9 @@ def digests(docs: DataFrame) -> DataFrame:
 def frequent(rows: DataFrame) -> DataFrame:
     """sha of the digests that Misra-Gries counters hold in the end, at most HEAVY rows; all with a share over 1 / HEAVY are among them."""
     tasks = rows.select("sha", F.pmod(F.spark_partition_id(), F.lit(WAYS)).alias("way"))
-    merged = tasks.groupBy("way").agg(F.expr(f"approx_top_k_accumulate(sha, {COUNTERS})").alias("k")).agg(
+    # grouped by a value that all rows share: a partition without rows would give an empty sketch, which can't be merged
+    one = F.pmod("way", F.lit(1))
+    merged = tasks.groupBy("way").agg(F.expr(f"approx_top_k_accumulate(sha, {COUNTERS})").alias("k")).groupBy(one.alias("one")).agg(
         F.expr(f"approx_top_k_estimate(approx_top_k_combine(k, {COUNTERS}), {HEAVY})").alias("top")
     )
     return merged.select(F.explode("top.item").alias("sha"))
