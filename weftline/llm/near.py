@@ -5,15 +5,22 @@ and 0.9, whose fingerprints differ in six to twelve bits. So every text also get
 BANDS keys of BAND_ROWS minimum hashes each, and texts with a key in common are
 candidates as well: at a similarity of 0.8 one of the keys is equal with a
 probability of 1 - (1 - 0.8 ** 5) ** 16, or 0.998.
+
+A bucket holds the texts with one key, or with fingerprints that balls join. Every pair in
+a bucket is decided, but for those that links have already joined: first each text meets one
+head, then small buckets are compared in full, then texts of large buckets meet heads of
+its largest component until a turn finds nothing, and last what is still apart in a large bucket is compared in
+full, block by block: two blocks of sets meet in a task, so a set moves once for a whole block of partners.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import bounded_batches, checkpointed, small_or_shuffled
@@ -26,13 +33,10 @@ BANDS = 16
 BAND_ROWS = 5
 #: Shingles that are hashed by all functions at once.
 AT_ONCE = 4096
-#: Members of a bucket that are all compared with each other; those of larger ones are compared with a few a turn.
+#: Members up to which a bucket's pairs are listed one by one.
 SMALL = 6
-#: Comparisons of a turn up to which a text may have more partners, as a share of all texts, and partners at most.
-SHARE = 1 / 8
-MOST_PARTNERS = 32
-#: Turns in a row without a new link after which the comparison ends.
-IDLE = 1
+#: Sets and shingles that a block of a large bucket should hold.
+BLOCK, BLOCK_SHINGLES = 64, 1 << 19
 
 _DRAWS = np.random.default_rng(SEED).integers(0, 1 << 63, (3, BANDS * BAND_ROWS), np.uint64)
 _FLIPS, _FACTORS, _MIXERS = _DRAWS[0][:, None], (_DRAWS[1] * np.uint64(2) + np.uint64(1))[:, None], _DRAWS[2] * np.uint64(2) + np.uint64(1)
@@ -55,25 +59,30 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """doc_id, text_key, fp, size (distinct shingles) and keys for every row; null texts count as empty."""
+    """doc_id, text_key, set_key, fp, size (distinct shingles) and keys for every row; null texts count as empty.
+
+    set_key is a digest of 128 bits of the set of shingles: texts with one key are alike and are one node.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            prints, sizes, keys = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int32), np.zeros((len(texts), BANDS), np.uint64)
+            prints, sizes, keys, digests = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int32), np.zeros((len(texts), BANDS), np.uint64), []
             for i, text in enumerate(texts):
                 parts = list(shingle_hashes(text, k))
                 own = np.unique(np.concatenate(parts)) if parts else np.zeros(1, np.uint64)
                 prints[i], sizes[i], keys[i] = majority(parts), len(own), band_keys(own)
+                digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64)), pa.array(sizes), lists], ["doc_id", "text_key", "fp", "size", "keys"])
+            columns = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(prints.view(np.int64)), pa.array(sizes), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "set_key", "fp", "size", "keys"])
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, fp long, size int, keys array<long>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, set_key binary, fp long, size int, keys array<long>")
 
 
 def shingle_sets(ids: DataFrame, docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """node and its sorted shingle hashes, for the texts of docs whose keys are in ids (node)."""
+    """node and its sorted shingle hashes, for ids (node, and doc_id and text_key of one of its rows). Stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,12 +92,20 @@ def shingle_sets(ids: DataFrame, docs: DataFrame, k: int = WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["node", "shingles"])
 
     bounded_batches(docs.sparkSession)
-    texts = docs.select(text_key().alias("node"), "text").join(small_or_shuffled(ids, 16), "node", "left_semi")
-    return checkpointed(texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(run, "node long, shingles array<long>"))
+    named = small_or_shuffled(ids.select("node", F.col("doc_id").alias("id_2"), F.col("text_key").alias("key_2")), 24)
+    own = (F.col("text_key") == F.col("key_2")) & F.col("doc_id").eqNullSafe(F.col("id_2"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("text_key"), "text").join(named, own).select("node", "text")
+    sets = texts.mapInArrow(run, "node long, shingles array<long>")
+    return checkpointed(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
+
+
+def fits(a: str, b: str, least: float) -> Column:
+    """Whether two sizes allow the similarity."""
+    return F.least(a, b) / F.greatest(a, b) >= F.lit(least)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of at least `least`. Only the sets of these nodes move."""
+    """The pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of at least `least`. Only the sets of these nodes move. Stored."""
     ids = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     own = sets.join(small_or_shuffled(ids, 16), "node", "left_semi")
     one, two = (own.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in ("a", "b"))
@@ -96,72 +113,129 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFra
     return checkpointed(both.where(F.col("common") / (F.size("sa") + F.size("sb") - F.col("common")) >= F.lit(least)).select("a", "b"))
 
 
-def candidates(members: DataFrame, turn: int, least: float = LEAST, partners: int = 1) -> DataFrame:
-    """Pairs (a, b) of nodes to compare, from members (nth, key, node, size, root) of buckets, of different roots and sizes that allow the similarity.
+def to_one_head(placed: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b): each node with one head of its buckets, that which most of them have. A bucket's head is the node of the least hash."""
+    other = F.struct(F.xxhash64("node").alias("h"), "node", "size")
+    heads = checkpointed(placed.groupBy("nth", "key").agg(F.min(other).alias("o")))
+    met = placed.join(heads, ["nth", "key"]).where(F.col("node") != F.col("o.node")).where(fits("size", "o.size", least)).groupBy("node", F.col("o.node").alias("other")).agg(F.count(F.lit(1)).alias("n"))
+    return met.groupBy("node").agg(F.max_by("other", F.struct("n", "other")).alias("other")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
-    In a bucket of up to SMALL members each meets all before it (in the first turn the
-    one before it only). In a larger one all meet its first member and, with more
-    `partners`, those just before them, in an order drawn for the turn that is the same for
-    all buckets; of all these a node keeps the `partners` that most of its buckets
-    name, so it costs so many comparisons a turn however many copies it has.
-    """
+
+def within_small(placed: DataFrame, small: DataFrame, least: float) -> DataFrame:
+    """All pairs (a, b) of different roots within buckets of up to SMALL members."""
+    met = placed.join(small, ["nth", "key"]).groupBy("nth", "key").agg(F.sort_array(F.collect_list(F.struct("node", "size", "root"))).alias("m"))
+    one = met.select("m", F.posexplode("m").alias("i", "x")).select("x", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y"))
+    return one.where((F.col("x.root") != F.col("y.root")) & fits("x.size", "y.size", least)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def main_roots(placed: DataFrame, turn: int) -> DataFrame:
+    """nth, key, main (the root that most members have) and a head of it drawn for the turn, for buckets of more than one root. Aggregates only. Stored."""
     drawn = F.lit(str(turn))  # a text, which generated code takes from outside: turns share one compiled plan
-    bucket = Window.partitionBy("nth", "key")
-    order = bucket.orderBy(*([F.xxhash64("root", drawn), F.col("root")] if turn else []), F.xxhash64("node", drawn), "node")
-    other = F.struct("node", "size", "root")
-    lags = [F.lag(other, i).over(order) for i in range(1, max(SMALL, partners) if turn else 2)]
-    seen = members.select("node", "size", "root", F.count(F.lit(1)).over(bucket).alias("n"), F.first(other).over(order).alias("head"), F.array(*lags).alias("before"))
-    some = F.concat(F.array("head"), F.slice("before", 1, partners - 1))
-    met = seen.select("node", "size", "root", (F.col("n") > SMALL).alias("large"), F.explode(F.when(F.col("n") > SMALL, some).otherwise(F.slice("before", 1, SMALL - 1))).alias("o"))
-    fits = (F.col("o.root") != F.col("root")) & (F.least("size", "o.size") / F.greatest("size", "o.size") >= F.lit(least))
-    met = met.where(fits).groupBy("node", F.col("o.node").alias("other"), "large").agg(F.count(F.lit(1)).alias("times"))
-    rank = F.row_number().over(Window.partitionBy("node", "large").orderBy(F.desc("times"), F.xxhash64("other", drawn), "other"))
-    kept = met.withColumn("nth", rank).where(~F.col("large") | (F.col("nth") <= partners))
-    return kept.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    by_root = placed.groupBy("nth", "key", "root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", drawn).alias("h"), "node", "size")).alias("head"))
+    return checkpointed(by_root.groupBy("nth", "key").agg(F.max(F.struct("n", "root", "head")).alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("nth", "key", F.col("m.root").alias("main"), F.col("m.head").alias("head")))
+
+
+def to_main_heads(placed: DataFrame, heads: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b): nodes outside a bucket's main root with its head."""
+    met = placed.join(heads, ["nth", "key"]).where(F.col("root") != F.col("main")).where(fits("size", "head.size", least))
+    return met.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
+
+
+def linked_in_blocks(placed: DataFrame, heads: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
+    """Links (a, b) among all pairs of different roots in the buckets of `heads`, one at least for each two roots and blocks that have any. Stored.
+
+    The members of a bucket's main root and the others are dealt to blocks by hashes, as many as their number and the
+    size of their sets ask for. Each block of others meets each block of both kinds in a group of its own, of a
+    bounded size but for single texts that exceed it alone; pairs within the main root need no comparison.
+    """
+    marked = placed.join(heads.select("nth", "key", "main"), ["nth", "key"]).withColumn("other", F.col("root") != F.col("main"))
+    blocks = lambda of: F.greatest(F.ceil(F.count(F.when(of, 1)) / BLOCK), F.ceil(F.sum(F.when(of, F.col("size")).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
+    counts = checkpointed(marked.groupBy("nth", "key").agg(blocks(F.col("other")).alias("no"), blocks(~F.col("other")).alias("nm")))
+    dealt = marked.join(counts, ["nth", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("other"), F.col("no")).otherwise(F.col("nm"))).cast("int"))
+    # group (i, j): block i of the others with block j of the others (j >= i, counted on after the main ones) or of the main ones
+    upto = lambda a, b: F.filter(F.sequence(a, F.greatest(a, b)), lambda x: x <= b)
+    zero, last = F.lit(0), F.col("no") - 1
+    as_first = F.transform(F.concat(upto(zero, F.col("nm") - 1), upto(F.col("nm") + F.col("own"), F.col("nm") + last)), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(True).alias("first")))
+    as_second = F.transform(upto(zero, F.col("own") - 1), lambda i: F.struct(i.alias("i"), (F.col("nm") + F.col("own")).alias("j"), F.lit(False).alias("first")))
+    as_main = F.transform(upto(zero, last), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(False).alias("first")))
+    placed_in = dealt.select("nth", "key", "node", "root", F.explode(F.when(F.col("other"), F.concat(as_first, as_second)).otherwise(as_main)).alias("g"))
+    groups = placed_in.select("nth", "key", "g.i", "g.j", "g.first", "node", "root").join(sets, "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        first, nodes, roots = (table.column(c).to_numpy() for c in ("first", "node", "root"))
+        lists = table.column("shingles").combine_chunks()
+        ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        sizes = np.diff(ends)
+        firsts, seconds = np.flatnonzero(first), np.flatnonzero(~first)
+        if not len(seconds):  # a block with itself
+            seconds = firsts
+        held = np.concatenate([values[ends[x] : ends[x + 1]] for x in firsts])
+        owner = np.repeat(np.arange(len(firsts)), sizes[firsts])
+        order = np.argsort(held, kind="stable")
+        held, owner = held[order], owner[order]
+        found, joined = [], set()
+        for y in seconds:
+            own = values[ends[y] : ends[y + 1]]
+            begin, end = np.searchsorted(held, own, "left"), np.searchsorted(held, own, "right")
+            hits = np.repeat(begin, end - begin) + np.arange((end - begin).sum()) - np.repeat(np.cumsum(end - begin) - (end - begin), end - begin)
+            common = np.bincount(owner[hits], minlength=len(firsts))
+            near_ = (common >= least * (sizes[firsts] + sizes[y] - common)) & (roots[firsts] != roots[y])
+            for x in firsts[near_]:
+                pair = (min(roots[x], roots[y]), max(roots[x], roots[y]))
+                if pair not in joined:
+                    joined.add(pair)
+                    found.append((min(nodes[x], nodes[y]), max(nodes[x], nodes[y])))
+        return pa.table({"a": pa.array([int(x[0]) for x in found], pa.int64()), "b": pa.array([int(x[1]) for x in found], pa.int64())})
+
+    return checkpointed(groups.select("nth", "key", "i", "j", "first", "node", "root", "shingles").groupBy("nth", "key", "i", "j").applyInArrow(compare, "a long, b long").distinct())
 
 
 def near_copies(docs: DataFrame, k: int = WORDS, least: float = LEAST) -> DataFrame:
     """doc_id, text_key and root for every row: rows with one root are joined by links of verified near copies.
 
-    Equal texts are one node. Nodes that share a band's key or a fingerprint lie in
-    a bucket; pairs from these buckets, and in the first turn those from the balls of
-    fingerprints, are verified and joined. Each further turn takes the buckets whose
-    members aren't all joined and compares members of different components with
-    partners drawn anew, twice as many in the next turn while its comparisons should stay
-    below a SHARE of the texts, else half as many. The turns end when IDLE of them in a row find no link.
+    Texts of equal shingle sets are one node. Nodes that share a band's key, or whose fingerprints balls
+    join, lie in a bucket; every pair of a bucket is compared unless links have joined it before, so no link between
+    two texts of a bucket is lost, whatever the bucket's size. Links are exact similarities of at least `least`.
 
     Null and empty texts are alike; repeated rows are one node and share its root;
     long texts are taken whole; only doc_id and text are read; no rows give none.
     """
     rows = checkpointed(signatures(docs, k))
-    nodes = checkpointed(rows.groupBy(F.col("text_key").alias("node")).agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys")))
-    prints = checkpointed(nodes.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("n")))
-    balls = linked_pairs(prints, prints.count())
-    ends = [prints.select(F.col("fp").alias(c), F.col("n.node").alias(f"n{c}"), F.col("n.size").alias(f"z{c}")) for c in ("a", "b")]
-    balls = balls.join(ends[0], "a").join(ends[1], "b").where(F.least("za", "zb") / F.greatest("za", "zb") >= F.lit(least)).select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
-    placed = nodes.select("node", "size", F.posexplode(F.concat("keys", F.array("fp"))).alias("nth", "key"))
-    buckets = placed.groupBy("nth", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("nth", "key")
-    placed = checkpointed(placed.join(small_or_shuffled(checkpointed(buckets), 24), ["nth", "key"]))
-
-    tried = checkpointed(candidates(placed.withColumn("root", F.col("node")), 0, least).union(balls).distinct())
-    ids = placed.select("node").union(tried.select("a")).union(tried.select("b")).distinct()
-    sets = shingle_sets(checkpointed(ids), docs, k)
-    texts, partners = nodes.count(), 4
-    roots, turn, idle = checkpointed(stars(verified(tried, sets, least))), 1, 0
+    own = F.struct("doc_id", "text_key")
+    nodes = rows.groupBy("set_key").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.min(own).alias("of"))
+    nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
+    prints = checkpointed(nodes.select("fp").distinct())
+    balls = stars(linked_pairs(prints, prints.count()))
+    ball = nodes.join(small_or_shuffled(checkpointed(balls.toDF("fp", "ball")), 16), "fp", "left").select("node", "size", F.lit(-1).alias("nth"), F.coalesce("ball", "fp").alias("key"))
+    placed = nodes.select("node", "size", F.posexplode("keys").alias("nth", "key")).unionByName(ball)
+    buckets = checkpointed(placed.groupBy("nth", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    placed = checkpointed(placed.join(small_or_shuffled(buckets.select("nth", "key"), 24), ["nth", "key"]))
+    in_some = checkpointed(placed.select("node").distinct())
+    sets = shingle_sets(checkpointed(nodes.join(small_or_shuffled(in_some, 16), "node", "left_semi").select("node", "of.doc_id", "of.text_key")), docs, k)
+
+    links = verified(checkpointed(to_one_head(placed, least)), sets, least)
+    roots = checkpointed(stars(links))
+
+    def rooted(part: DataFrame) -> DataFrame:
+        return part.join(small_or_shuffled(roots, 16), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def joined(found: DataFrame) -> DataFrame:
+        return checkpointed(stars(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(found)))
+
+    small = small_or_shuffled(buckets.where(F.col("n") <= SMALL).select("nth", "key"), 24)
+    roots = joined(verified(checkpointed(within_small(rooted(placed), small, least)), sets, least))
+    large = checkpointed(placed.join(small_or_shuffled(buckets.where(F.col("n") > SMALL).select("nth", "key"), 24), ["nth", "key"]))
+    turn = 1
     while True:
-        rooted = placed.join(small_or_shuffled(roots, 16), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        apart = rooted.groupBy("nth", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("nth", "key")
-        rooted = checkpointed(rooted.join(small_or_shuffled(checkpointed(apart), 24), ["nth", "key"]))
-        new = checkpointed(candidates(rooted, turn, least, partners).join(tried, ["a", "b"], "left_anti"))
-        partners = min(2 * partners, MOST_PARTNERS) if 2 * new.count() <= SHARE * texts else max(partners // 2, 1)
-        found = verified(new, sets, least)
-        idle = idle + 1 if found.isEmpty() else 0
-        if idle == IDLE:
+        here = checkpointed(rooted(large))
+        heads = main_roots(here, turn)
+        found = verified(checkpointed(to_main_heads(here, heads, least)), sets, least)
+        if found.isEmpty():
             break
-        if not idle:
-            roots = checkpointed(stars(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(found)))
-        tried, turn = checkpointed(tried.union(new)), turn + 1
-    return rows.join(roots.select(F.col("node").alias("text_key"), "root"), "text_key", "left").select("doc_id", "text_key", F.coalesce("root", "text_key").alias("root"))
+        roots, turn = joined(found), turn + 1
+    roots = joined(linked_in_blocks(here, heads, sets, least))
+    labels = checkpointed(nodes.join(small_or_shuffled(roots, 16), "node", "left").select("set_key", F.coalesce("root", "node").alias("root")))
+    return rows.join(labels, "set_key").select("doc_id", "text_key", "root")
 
 
 def without_near_copies(docs: DataFrame, k: int = WORDS, least: float = LEAST) -> DataFrame:
