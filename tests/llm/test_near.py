@@ -43,9 +43,9 @@ def test_similarity_is_exact(spark):
     texts = ["a b c d e f g h i j", "a b c d e f g h i j", "a b c d e f g h i k", " ".join(map(str, range(13))), " ".join(map(str, range(12)))]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     ids = docs.select(near.F.col("doc_id").alias("node"), "doc_id", near.text_key().alias("text_key"))
-    pairs = spark.createDataFrame([(0, 2), (3, 4), (0, 3)], "a long, b long")
+    pairs = spark.createDataFrame([(0, 2, 0, 2), (3, 4, 3, 4), (0, 3, 0, 3)], "a long, b long, ra long, rb long")
     sets = near.shingle_sets(ids, docs)
-    assert {tuple(r) for r in near.verified(pairs, sets).collect()} == {(3, 4)}
+    assert {tuple(r) for r in near.verified(pairs, sets).collect()} == {(3, 4, 3, 4)}
 
 
 def test_large_bucket_of_copies_is_joined(spark):
@@ -105,7 +105,7 @@ def test_blocks_alone_find_every_link(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     ids = docs.select(near.F.col("doc_id").alias("node"), "doc_id", near.text_key().alias("text_key"))
     placed = docs.select(near.F.lit(0).alias("nth"), near.F.lit(0).cast("bigint").alias("key"), near.F.col("doc_id").alias("node"), near.F.lit(100).alias("size"), near.F.col("doc_id").alias("root"))
-    heads = near.main_roots(placed, 1)
+    heads = near.main_roots(placed)
     got = {tuple(r) for r in near.linked_in_blocks(placed, heads, near.shingle_sets(ids, docs)).collect()}
     own = {i: sets(t) for i, t in rows}
     assert got == {(i, j) for i in own for j in own if i < j and len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j])}

@@ -8,9 +8,9 @@ probability of 1 - (1 - 0.8 ** 5) ** 16, or 0.998.
 
 A bucket holds the texts with one key, or with fingerprints that balls join. Every pair in
 a bucket is decided, but for those that links have already joined: first each text meets one
-head, then small buckets are compared in full, then texts of large buckets meet heads of
-its largest component until a turn finds nothing, and last what is still apart in a large bucket is compared in
-full, block by block: two blocks of sets meet in a task, so a set moves once for a whole block of partners.
+head; then small buckets are compared in full, and texts of large buckets meet a head of the bucket's
+largest component; last what is still apart in a large bucket is compared in full, block by
+block: two blocks of sets meet in a task, so a set moves once for a whole block of partners.
 """
 
 from __future__ import annotations
@@ -105,44 +105,49 @@ def fits(a: str, b: str, least: float) -> Column:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of at least `least`. Only the sets of these nodes move. Stored."""
+    """The pairs (nodes a and b, roots ra and rb) whose shingle sets have a Jaccard similarity of at least `least`. Only the sets of these nodes move. Stored."""
     ids = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     own = sets.join(small_or_shuffled(ids, 16), "node", "left_semi")
     one, two = (own.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in ("a", "b"))
     both = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return checkpointed(both.where(F.col("common") / (F.size("sa") + F.size("sb") - F.col("common")) >= F.lit(least)).select("a", "b"))
+    return checkpointed(both.where(F.col("common") / (F.size("sa") + F.size("sb") - F.col("common")) >= F.lit(least)).select(*pairs.columns))
+
+
+def as_pair(x: Column, y: Column) -> list[Column]:
+    """a, b, ra and rb of two members (structs of node and root)."""
+    return [x["node"].alias("a"), y["node"].alias("b"), F.least(x["root"], y["root"]).alias("ra"), F.greatest(x["root"], y["root"]).alias("rb")]
 
 
 def to_one_head(placed: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b): each node with one head of its buckets, that which most of them have. A bucket's head is the node of the least hash."""
+    """Pairs: each node with one head of its buckets, that which most of them have. A bucket's head is the node of the least hash."""
     other = F.struct(F.xxhash64("node").alias("h"), "node", "size")
     heads = checkpointed(placed.groupBy("nth", "key").agg(F.min(other).alias("o")))
     met = placed.join(heads, ["nth", "key"]).where(F.col("node") != F.col("o.node")).where(fits("size", "o.size", least)).groupBy("node", F.col("o.node").alias("other")).agg(F.count(F.lit(1)).alias("n"))
-    return met.groupBy("node").agg(F.max_by("other", F.struct("n", "other")).alias("other")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    return met.groupBy("node").agg(F.max_by("other", F.struct("n", "other")).alias("other")).select(
+        F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct().select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb"))
 
 
 def within_small(placed: DataFrame, small: DataFrame, least: float) -> DataFrame:
-    """All pairs (a, b) of different roots within buckets of up to SMALL members."""
+    """All pairs of different roots within buckets of up to SMALL members."""
     met = placed.join(small, ["nth", "key"]).groupBy("nth", "key").agg(F.sort_array(F.collect_list(F.struct("node", "size", "root"))).alias("m"))
     one = met.select("m", F.posexplode("m").alias("i", "x")).select("x", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y"))
-    return one.where((F.col("x.root") != F.col("y.root")) & fits("x.size", "y.size", least)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    return one.where((F.col("x.root") != F.col("y.root")) & fits("x.size", "y.size", least)).select(*as_pair(F.col("x"), F.col("y")))
 
 
-def main_roots(placed: DataFrame, turn: int) -> DataFrame:
-    """nth, key, main (the root that most members have) and a head of it drawn for the turn, for buckets of more than one root. Aggregates only. Stored."""
-    drawn = F.lit(str(turn))  # a text, which generated code takes from outside: turns share one compiled plan
-    by_root = placed.groupBy("nth", "key", "root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", drawn).alias("h"), "node", "size")).alias("head"))
+def main_roots(placed: DataFrame) -> DataFrame:
+    """nth, key, main (the root that most members have) and a head of it, for buckets of more than one root. Aggregates only. Stored."""
+    by_root = placed.groupBy("nth", "key", "root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(1)).alias("h"), "node", "size", "root")).alias("head"))
     return checkpointed(by_root.groupBy("nth", "key").agg(F.max(F.struct("n", "root", "head")).alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("nth", "key", F.col("m.root").alias("main"), F.col("m.head").alias("head")))
 
 
 def to_main_heads(placed: DataFrame, heads: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b): nodes outside a bucket's main root with its head."""
+    """Pairs: nodes outside a bucket's main root with its head."""
     met = placed.join(heads, ["nth", "key"]).where(F.col("root") != F.col("main")).where(fits("size", "head.size", least))
-    return met.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
+    return met.select(*as_pair(F.struct("node", "root"), F.col("head")))
 
 
 def linked_in_blocks(placed: DataFrame, heads: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
-    """Links (a, b) among all pairs of different roots in the buckets of `heads`, one at least for each two roots and blocks that have any. Stored.
+    """Links (ra, rb) between roots, found among all pairs of different roots in the buckets of `heads`. Stored.
 
     The members of a bucket's main root and the others are dealt to blocks by hashes, as many as their number and the
     size of their sets ask for. Each block of others meets each block of both kinds in a group of its own, of a
@@ -162,7 +167,7 @@ def linked_in_blocks(placed: DataFrame, heads: DataFrame, sets: DataFrame, least
     groups = placed_in.select("nth", "key", "g.i", "g.j", "g.first", "node", "root").join(sets, "node")
 
     def compare(table: pa.Table) -> pa.Table:
-        first, nodes, roots = (table.column(c).to_numpy() for c in ("first", "node", "root"))
+        first, roots = (table.column(c).to_numpy() for c in ("first", "root"))
         lists = table.column("shingles").combine_chunks()
         ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
         sizes = np.diff(ends)
@@ -173,21 +178,17 @@ def linked_in_blocks(placed: DataFrame, heads: DataFrame, sets: DataFrame, least
         owner = np.repeat(np.arange(len(firsts)), sizes[firsts])
         order = np.argsort(held, kind="stable")
         held, owner = held[order], owner[order]
-        found, joined = [], set()
+        joined = set()
         for y in seconds:
             own = values[ends[y] : ends[y + 1]]
             begin, end = np.searchsorted(held, own, "left"), np.searchsorted(held, own, "right")
             hits = np.repeat(begin, end - begin) + np.arange((end - begin).sum()) - np.repeat(np.cumsum(end - begin) - (end - begin), end - begin)
             common = np.bincount(owner[hits], minlength=len(firsts))
-            near_ = (common >= least * (sizes[firsts] + sizes[y] - common)) & (roots[firsts] != roots[y])
-            for x in firsts[near_]:
-                pair = (min(roots[x], roots[y]), max(roots[x], roots[y]))
-                if pair not in joined:
-                    joined.add(pair)
-                    found.append((min(nodes[x], nodes[y]), max(nodes[x], nodes[y])))
-        return pa.table({"a": pa.array([int(x[0]) for x in found], pa.int64()), "b": pa.array([int(x[1]) for x in found], pa.int64())})
+            alike = (common >= least * (sizes[firsts] + sizes[y] - common)) & (roots[firsts] != roots[y])
+            joined.update((min(x, roots[y]), max(x, roots[y])) for x in roots[firsts[alike]])
+        return pa.table({"ra": pa.array([int(x[0]) for x in joined], pa.int64()), "rb": pa.array([int(x[1]) for x in joined], pa.int64())})
 
-    return checkpointed(groups.select("nth", "key", "i", "j", "first", "node", "root", "shingles").groupBy("nth", "key", "i", "j").applyInArrow(compare, "a long, b long").distinct())
+    return checkpointed(groups.select("nth", "key", "i", "j", "first", "root", "shingles").groupBy("nth", "key", "i", "j").applyInArrow(compare, "ra long, rb long").distinct())
 
 
 def near_copies(docs: DataFrame, k: int = WORDS, least: float = LEAST) -> DataFrame:
@@ -213,27 +214,23 @@ def near_copies(docs: DataFrame, k: int = WORDS, least: float = LEAST) -> DataFr
     in_some = checkpointed(placed.select("node").distinct())
     sets = shingle_sets(checkpointed(nodes.join(small_or_shuffled(in_some, 16), "node", "left_semi").select("node", "of.doc_id", "of.text_key")), docs, k)
 
-    links = verified(checkpointed(to_one_head(placed, least)), sets, least)
-    roots = checkpointed(stars(links))
-
     def rooted(part: DataFrame) -> DataFrame:
         return part.join(small_or_shuffled(roots, 16), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     def joined(found: DataFrame) -> DataFrame:
-        return checkpointed(stars(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(found)))
+        """Roots after links between roots: only these are joined into components, and nodes follow theirs."""
+        new = checkpointed(stars(found.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
+        follow = small_or_shuffled(new.toDF("was", "now"), 16)
+        return checkpointed(roots.join(follow, F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root")).union(new))
 
+    roots = checkpointed(stars(verified(checkpointed(to_one_head(placed, least)), sets, least).select("a", "b")))
+    here = checkpointed(rooted(placed))
     small = small_or_shuffled(buckets.where(F.col("n") <= SMALL).select("nth", "key"), 24)
-    roots = joined(verified(checkpointed(within_small(rooted(placed), small, least)), sets, least))
-    large = checkpointed(placed.join(small_or_shuffled(buckets.where(F.col("n") > SMALL).select("nth", "key"), 24), ["nth", "key"]))
-    turn = 1
-    while True:
-        here = checkpointed(rooted(large))
-        heads = main_roots(here, turn)
-        found = verified(checkpointed(to_main_heads(here, heads, least)), sets, least)
-        if found.isEmpty():
-            break
-        roots, turn = joined(found), turn + 1
-    roots = joined(linked_in_blocks(here, heads, sets, least))
+    large = here.join(small_or_shuffled(buckets.where(F.col("n") > SMALL).select("nth", "key"), 24), ["nth", "key"])
+    pairs = within_small(here, small, least).union(to_main_heads(large, main_roots(large), least)).distinct()
+    roots = joined(verified(checkpointed(pairs), sets, least))
+    here = checkpointed(rooted(large.drop("root")))
+    roots = joined(linked_in_blocks(here, main_roots(here), sets, least))
     labels = checkpointed(nodes.join(small_or_shuffled(roots, 16), "node", "left").select("set_key", F.coalesce("root", "node").alias("root")))
     return rows.join(labels, "set_key").select("doc_id", "text_key", "root")
 
