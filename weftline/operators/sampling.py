@@ -27,13 +27,13 @@ def mix_draw(key: Column, weights: dict[str, float], seed: int) -> Column:
 
 
 def reweighted(df: DataFrame, score: str, method: str = "pow", power: float = 2.0) -> DataFrame:
-    """`weight` of a row for resampling: |score|^power, or 1 for the extremes of all scores and 0 (or 0.4) between."""
+    """`weight` of a row for resampling: |score|^power, or 1 for the extremes of all scores and 0 between, or 0.4 for the highest and 0.1 for others."""
     if method == "pow":
         return df.withColumn("weight", F.pow(F.abs(score), F.lit(power)))
     total = with_totals(df, _hi=F.max(score), _lo=F.min(score))
-    rest = {"max_min": 0.0, "max_random": 0.4}[method]
+    high, rest = {"max_min": (1.0, 0.0), "max_random": (0.4, 0.1)}[method]
     edge = (F.col(score) == F.col("_hi")) if method == "max_random" else (F.col(score) == F.col("_hi")) | (F.col(score) == F.col("_lo"))
-    return total.withColumn("weight", F.when(edge, F.lit(1.0)).otherwise(F.lit(rest))).drop("_hi", "_lo")
+    return total.withColumn("weight", F.when(edge, F.lit(high)).otherwise(F.lit(rest))).drop("_hi", "_lo")
 
 
 def resampled(df: DataFrame, weight: str, key: str, n: int, seed: int, uid: str) -> DataFrame:

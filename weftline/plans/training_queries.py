@@ -142,7 +142,7 @@ _NORM = "sqrt(list_sum(list_transform({}.embedding, lambda x: x::DOUBLE * x::DOU
 ORACLE_SQL = {
     "mix_draw": f"WITH u AS (SELECT o_orderkey, {_U.format(7, 'o_orderkey')} AS u FROM orders) SELECT o_orderkey, CASE WHEN u < 0.5::DOUBLE THEN 'banking' WHEN u < 0.5::DOUBLE + 1.0::DOUBLE / 6 THEN 'calendar' ELSE 'email' END AS domain FROM u",
     "pf_weights": f"""WITH {SAMPLES_SQL}, x AS (SELECT uid, pos, score / 1e4 AS x FROM s), m AS (SELECT max(x) AS hi, min(x) AS lo FROM x)
-      SELECT uid, pos, round(pow(abs(x), 2), 6) + 0.0 AS w_pow, CASE WHEN x = hi OR x = lo THEN 1.0 ELSE 0.0 END::DOUBLE AS w_max_min, CASE WHEN x = hi THEN 1.0 ELSE 0.4 END::DOUBLE AS w_max_random FROM x, m""",
+      SELECT uid, pos, round(pow(abs(x), 2), 6) + 0.0 AS w_pow, CASE WHEN x = hi OR x = lo THEN 1.0 ELSE 0.0 END::DOUBLE AS w_max_min, CASE WHEN x = hi THEN 0.4 ELSE 0.1 END::DOUBLE AS w_max_random FROM x, m""",
     "pf_resample": f"""WITH {SAMPLES_SQL}, h AS (SELECT uid, pos, sqrt(score) / sum(sqrt(score)) OVER (PARTITION BY uid) * 4 AS h FROM s),
       c AS (SELECT *, sum(h) OVER (PARTITION BY uid ORDER BY pos) AS c, {_U.format(3, 'uid')} AS u FROM h), k AS (SELECT uid, pos, floor(c + u) - floor(c - h + u) AS k FROM c)
       SELECT uid, sum(k)::BIGINT AS rows, min(pos) AS first FROM k WHERE k > 0 GROUP BY uid""",
