@@ -99,7 +99,7 @@ def curriculum_draw(s, d):
     batch = curriculum.drawn(o, "o_orderkey", "priority", o.count() // 10, 5)
     scores = batch.select("o_orderkey", ((F.col("o_orderkey") % 11) / 10).alias("score"))
     after = curriculum.reprioritised(o, "o_orderkey", "priority", scores, "score")
-    return rounded(after.join(batch.select("o_orderkey", "position"), "o_orderkey", "left"), "priority", digits=7)
+    return rounded(after.join(batch.select("o_orderkey", "position"), "o_orderkey", "left"), "priority", digits=9)
 
 
 def stall_streaks(s, d):
@@ -147,7 +147,7 @@ SELECT e AS epoch, false AS done, o_orderkey, 1::BIGINT AS times FROM orders, (V
 WITH o AS (SELECT o_orderkey, o_totalprice / 1e5 AS p, {_U.format(s=5, k="'0:' || o_orderkey")} AS u FROM orders),
 r AS (SELECT *, row_number() OVER (ORDER BY -ln(1.0 - u) / p, o_orderkey) - 1 AS position, count(*) OVER () // 10 AS n FROM o)
 SELECT o_orderkey, CASE WHEN position < n THEN position END AS position,
-  round(CASE WHEN position < n THEN greatest(0.5::DOUBLE * p + 0.5::DOUBLE * greatest(1 - 2 * abs(o_orderkey % 11 / 10.0::DOUBLE - 0.5), 0.01), 0.01) ELSE p END, 7) + 0.0 AS priority FROM r""",
+  round(CASE WHEN position < n THEN greatest(0.5::DOUBLE * p + 0.5::DOUBLE * greatest(1 - 2 * abs(o_orderkey % 11 / 10.0::DOUBLE - 0.5), 0.01), 0.01) ELSE p END, 9) + 0.0 AS priority FROM r""",
     "stall_streaks": """
 WITH m AS (SELECT user_id, event_id, CASE WHEN event_id % 3 > 0 AND value / 20 > 0.5 THEN 1 ELSE -1 END AS m FROM events),
 w AS (SELECT *, sum(m) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM m),
