@@ -1,14 +1,18 @@
 """Token-level operators over rows (group, position): folds, masks, losses and weights.
 
 Rows of a sequence are ordered by a position column. Sums from the end are window
-sums; only recurrences that carry a state need a fold, which runs inside the engine
-over one sequence's array.
+sums; recurrences from the end are scans over arrays, many sequences at once in an Arrow
+batch, in as many passes as the longest has binary digits.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from weftline.operators.advantages import with_totals
 
@@ -17,22 +21,27 @@ def _after(uid: str, pos: str) -> Window:
     return Window.partitionBy(uid).orderBy(F.col(pos).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def scanned_back(values: Column, factor: float) -> Column:
-    """y[i] = x[i] + factor * y[i + 1] over an array, in one pass from its end; nulls count as 0."""
-
-    @F.pandas_udf("array<double>")
-    def run(column):
-        import numpy as np
-
-        def scan(x):
-            y, last = np.nan_to_num(np.asarray(x, dtype=float)), 0.0
-            for i in range(len(y) - 1, -1, -1):
-                last = y[i] = y[i] + factor * last
-            return y
+@F.arrow_udf(ArrayType(DoubleType()))
+def _scanned(lists: pa.Array, factors: pa.Array) -> pa.Array:
+    lists = lists if lists.offset == 0 else pa.concat_arrays([lists])
+    ends = lists.offsets.to_numpy()
+    y = np.nan_to_num(lists.values.fill_null(0.0).to_numpy(zero_copy_only=False).astype(float))
+    # how many elements of its sequence follow each element, and the factor of its sequence
+    sizes = np.diff(ends)
+    rest = np.repeat(ends[1:], sizes) - np.arange(ends[0], ends[-1]) - 1
+    power = np.repeat(factors.to_numpy(zero_copy_only=False).astype(float), sizes)
+    begin, step = ends[0], 1
+    while step <= rest.max(initial=0):
+        within = np.flatnonzero(rest >= step)
+        y[begin + within] = y[begin + within] + power[within] * y[begin + within + step]
+        power, step = power * power, step * 2
+    out = pa.ListArray.from_arrays(lists.offsets, pa.array(y))
+    return pc.if_else(lists.is_valid(), out, None) if lists.null_count else out
 
-        return column.map(lambda x: None if x is None else scan(x))
 
-    return run(values)
+def scanned_back(values: Column, factor: float) -> Column:
+    """y[i] = x[i] + factor * y[i + 1] over an array; nulls and NaN count as 0. Pass k adds what the 2^k elements from 2^k on have summed up."""
+    return _scanned(values, F.lit(float(factor)))
 
 
 def folded_back(df: DataFrame, uid: str, pos: str, value: str, factor: float, out: str, *more: str) -> DataFrame:
@@ -49,16 +58,43 @@ def reward_to_go(df: DataFrame, uid: str = "uid", pos: str = "pos", reward: str
     return df.join(folded_back(df, uid, pos, reward, gamma, out), [uid, pos])
 
 
-def remax(df: DataFrame, baseline: Column, uid: str = "uid", pos: str = "pos", reward: str = "score") -> DataFrame:
-    """Reward to go minus a baseline."""
-    return reward_to_go(df, uid, pos, reward).withColumn("advantage", F.col("returns") - baseline)
-
-
-def gae(df: DataFrame, uid: str = "uid", pos: str = "pos", reward: str = "reward", value: str = "value", gamma: float = 1.0, lam: float = 0.95) -> DataFrame:
-    """Generalised advantages: delta + gamma lambda * next, with delta = reward + gamma * next value - value (0 after the end)."""
-    after = F.coalesce(F.lead(value).over(Window.partitionBy(uid).orderBy(pos)), F.lit(0.0))
-    steps = df.select(uid, pos, F.col(value).alias("v"), (F.col(reward) + gamma * after - F.col(value)).alias("delta"))
-    return folded_back(steps, uid, pos, "delta", gamma * lam, "advantage", "v").select(uid, pos, "advantage", (F.col("advantage") + F.col("v")).alias("returns"))
+def remax(df: DataFrame, baseline: Column, uid: str = "uid", pos: str = "pos", reward: str = "score", mask: str | None = None) -> DataFrame:
+    """Reward to go minus a baseline. With a mask (0 or 1) only its tokens' rewards count, and only they have the baseline taken off."""
+    if mask is None:
+        return reward_to_go(df, uid, pos, reward).withColumn("advantage", F.col("returns") - baseline)
+    held = F.when(F.col(mask) != 0, F.col(reward)).otherwise(F.lit(0.0))
+    return df.withColumn("returns", F.sum(held).over(_after(uid, pos))).withColumn("advantage", F.col("returns") - F.when(F.col(mask) != 0, baseline).otherwise(F.lit(0.0)))
+
+
+def gae(
+    df: DataFrame, uid: str = "uid", pos: str = "pos", reward: str = "reward", value: str = "value", gamma: float = 1.0, lam: float = 0.95,
+    mask: str | None = None, whiten: bool = False,
+) -> DataFrame:
+    """Generalised advantages: delta + gamma lambda * next, with delta = reward + gamma * next value - value (0 after the end).
+
+    With a mask (0 or 1) the recurrence runs over its tokens only: "next" is the next token of the mask, and a token outside it, of the
+    environment or padding, has the advantage that the next one inside has, 0 if there is none. Returns are
+    advantages plus values; `whiten` then whitens the advantages of all tokens by the mask's mean and variance.
+    """
+    if mask is None:
+        after = F.coalesce(F.lead(value).over(Window.partitionBy(uid).orderBy(pos)), F.lit(0.0))
+        steps = df.select(uid, pos, F.col(value).alias("v"), (F.col(reward) + gamma * after - F.col(value)).alias("delta"))
+        out = folded_back(steps, uid, pos, "delta", gamma * lam, "advantage", "v").select(uid, pos, "advantage", (F.col("advantage") + F.col("v")).alias("returns"))
+        return masked_whiten(out.withColumn("_one", F.lit(1.0)), "advantage", "_one", "advantage").drop("_one") if whiten else out
+    inside = gae(df.where(F.col(mask) != 0), uid, pos, reward, value, gamma, lam).select(uid, pos, F.col("advantage").alias("_a"))
+    later = Window.partitionBy(uid).orderBy(pos).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    out = df.select(uid, pos, F.col(value).alias("_value"), F.col(mask).alias("_in")).join(inside, [uid, pos], "left")
+    out = out.withColumn("advantage", F.coalesce(F.first("_a", ignorenulls=True).over(later), F.lit(0.0))).withColumn("returns", F.col("advantage") + F.col("_value"))
+    return (masked_whiten(out, "advantage", "_in", "advantage") if whiten else out).select(uid, pos, "advantage", "returns")
+
+
+def reinforce_plus_plus(df: DataFrame, mask: str, uid: str = "uid", pos: str = "pos", reward: str = "score", gamma: float = 1.0) -> DataFrame:
+    """uid, pos, returns and advantage: discounted rewards to go, which stop before each token outside the mask, whitened by the mask and 0 outside it."""
+    outside = F.sum((F.col(mask) == 0).cast("int")).over(Window.partitionBy(uid).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    parts = df.select(F.struct(F.col(uid).alias("u"), outside.alias("part")).alias("_run"), pos, reward, F.col(mask).cast("double").alias("_in"))
+    back = folded_back(parts, "_run", pos, reward, gamma, "returns", "_in")
+    white = masked_whiten(back, "returns", "_in", "advantage")
+    return white.select(F.col("_run.u").alias(uid), pos, "returns", (F.col("advantage") * F.col("_in")).alias("advantage"))
 
 
 def masked_mean(value: Column, mask: Column) -> Column:

@@ -98,6 +98,13 @@ def _tokens(df):
     return df.withColumn("mask", (F.col("length") > 10).cast("double")).withColumn("x", F.col("score") / 1000)
 
 
+def _gaps(df):
+    """A mask with gaps at the start, in the middle and at the end; what lies outside it has large rewards and values, which mustn't matter where they don't count."""
+    inside = ((F.col("pos") * 7 + F.col("uid")) % 5 > 1).cast("double")
+    far = F.when(inside == 0, F.lit(50.0)).otherwise(F.lit(0.0))
+    return df.withColumn("m", inside).withColumn("r", F.sqrt("score") / 100 + far).withColumn("v", F.sqrt("length") / 10 - far)
+
+
 def _losses(spark, sf_dir):
     df = _tokens(samples(spark, sf_dir))
     modes = ("token-mean", "seq-mean-token-sum", "seq-mean-token-mean", "seq-mean-token-sum-norm")
@@ -148,6 +155,9 @@ QUERIES = {
     "token_returns_discounted": _plain(lambda df: seq.reward_to_go(df.withColumn("score", F.sqrt("score")), gamma=0.9).select(*KEY, "returns"), ["returns"]),
     "remax_returns": _plain(lambda df: seq.remax(df, F.col("length") * 100).select(*KEY, "advantage"), ["advantage"], 4),
     "gae": _plain(_gae, ["advantage", "returns"]),
+    "gae_masked": _plain(lambda df: seq.gae(_gaps(df), reward="r", value="v", gamma=0.99, lam=0.95, mask="m", whiten=True), ["advantage", "returns"]),
+    "reinforce_plus_plus": _plain(lambda df: seq.reinforce_plus_plus(_gaps(df), "m", reward="r", gamma=0.9), ["advantage", "returns"]),
+    "remax_masked": _plain(lambda df: seq.remax(_gaps(df), F.col("v") * 3, reward="r", mask="m").select(*KEY, "advantage"), ["advantage"]),
     "masked_whiten": _plain(lambda df: seq.masked_whiten(_tokens(df), "x", "mask").select(*KEY, "whitened"), ["whitened"]),
     "agg_loss_modes": _losses,
     "kl_k1_k2_k3": _plain(_kls, ["k1", "k_abs", "k2", "k3"]),
@@ -170,6 +180,8 @@ _TOK = "tok AS (SELECT *, (length > 10)::DOUBLE AS mask, score / 1000 AS x FROM
 _CLAMP = "greatest(least({}, 20), -20)"
 _ADV = f"a AS (SELECT *, {_GRPO} AS adv, {_CLAMP.format('lp - old_lp')} AS d FROM s WINDOW w AS (PARTITION BY uid))"
 
+_GAPS = f"{SAMPLES_SQL}, i AS (SELECT *, ((pos * 7 + uid) % 5 > 1)::INT::DOUBLE AS m FROM s), g AS (SELECT uid, pos, m, sqrt(score) / 100 + CASE WHEN m = 0 THEN 50 ELSE 0 END AS r, sqrt(length) / 10 - CASE WHEN m = 0 THEN 50 ELSE 0 END AS v FROM i)"
+
 ORACLE_SQL = {
     "grpo_advantage": _sql(_GRPO),
     "dr_grpo_advantage": _sql(f"CASE WHEN {_N} = 1 THEN score ELSE score - avg(score) OVER w END"),
@@ -204,6 +216,16 @@ ORACLE_SQL = {
       d AS (SELECT *, r + 0.99::DOUBLE * nv - v AS d FROM v)
       SELECT a.uid, a.pos, round(sum(b.d * pow(0.9405::DOUBLE, b.pos - a.pos)), 6) + 0.0 AS advantage, round(sum(b.d * pow(0.9405::DOUBLE, b.pos - a.pos)) + any_value(a.v), 6) + 0.0 AS returns
       FROM d a JOIN d b ON a.uid = b.uid AND b.pos >= a.pos GROUP BY a.uid, a.pos""",
+    "gae_masked": f"""WITH {_GAPS}, k AS (SELECT *, lead(v, 1, 0) OVER (PARTITION BY uid ORDER BY pos) AS nv, row_number() OVER (PARTITION BY uid ORDER BY pos) AS k FROM g WHERE m = 1),
+      a AS (SELECT x.uid, x.pos, sum((y.r + 0.99::DOUBLE * y.nv - y.v) * pow(0.9405::DOUBLE, y.k - x.k)) AS a FROM k x JOIN k y ON x.uid = y.uid AND y.k >= x.k GROUP BY x.uid, x.pos),
+      b AS (SELECT g.uid, g.pos, g.v, g.m, coalesce((SELECT arg_min(a.a, a.pos) FROM a WHERE a.uid = g.uid AND a.pos >= g.pos), 0) AS a FROM g),
+      t AS (SELECT sum(a * m) / sum(m) AS mean, sum(m) AS n FROM b), u AS (SELECT sum((a - mean) * (a - mean) * m) / (any_value(n) - 1) AS var FROM b, t)
+      SELECT uid, pos, round((a - mean) / sqrt(var + 1e-8), 6) + 0.0 AS advantage, round(a + v, 6) + 0.0 AS returns FROM b, t, u""",
+    "reinforce_plus_plus": f"""WITH {_GAPS}, p AS (SELECT *, sum((m = 0)::INT) OVER (PARTITION BY uid ORDER BY pos) AS part FROM g),
+      a AS (SELECT x.uid, x.pos, any_value(x.m) AS m, sum(y.r * pow(0.9::DOUBLE, y.pos - x.pos)) AS a FROM p x JOIN p y ON x.uid = y.uid AND x.part = y.part AND y.pos >= x.pos GROUP BY x.uid, x.pos),
+      t AS (SELECT sum(a * m) / sum(m) AS mean, sum(m) AS n FROM a), u AS (SELECT sum((a - mean) * (a - mean) * m) / (any_value(n) - 1) AS var FROM a, t)
+      SELECT uid, pos, round((a - mean) / sqrt(var + 1e-8) * m, 6) + 0.0 AS advantage, round(a, 6) + 0.0 AS returns FROM a, t, u""",
+    "remax_masked": f"WITH {_GAPS} SELECT uid, pos, round(sum(r * m) OVER (PARTITION BY uid ORDER BY pos DESC) - 3 * v * m, 6) + 0.0 AS advantage FROM g",
     "masked_whiten": f"""WITH {SAMPLES_SQL}, {_TOK}, m AS (SELECT sum(x * mask) / sum(mask) AS m, sum(mask) AS n FROM tok),
       q AS (SELECT sum((x - m) * (x - m) * mask) / (any_value(n) - 1) AS v FROM tok, m)
       SELECT uid, pos, round((x - m) / sqrt(v + 1e-8), 6) + 0.0 AS whitened FROM tok, m, q""",
