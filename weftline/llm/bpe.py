@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from weftline.llm.common import bounded_batches
+from weftline.llm.common import bounded_batches, give_back
 from weftline.llm.pieces import Memo
 from weftline.llm.words import PieceEncoder
 
@@ -236,7 +236,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
     def run(texts):
         import pandas as pd
 
-        return pd.Series([x.astype(np.int32) for x in codec(ranks_path, pattern).encode_texts([t if isinstance(t, str) else None for t in texts])])
+        found = pd.Series([x.astype(np.int32) for x in codec(ranks_path, pattern).encode_texts([t if isinstance(t, str) else None for t in texts])])
+        give_back()
+        return found
 
     return docs.withColumn(out, run(F.col(text)))
 

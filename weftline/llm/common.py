@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +74,13 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def give_back() -> None:
+    """Give memory that a Python worker no longer uses back to the system, as workers live on when a task is over."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def partitions_for(spark: SparkSession, rows: int, per_partition: int, most: int = 100_000) -> int:
     """Partitions that hold about so many rows each; at least the session's shuffle setting."""
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bounded_batches, checkpointed, small_or_shuffled
+from weftline.llm.common import bounded_batches, checkpointed, give_back, small_or_shuffled
 from weftline.llm.components import stars
 from weftline.llm.simhash import SEED, SHINGLES_AT_ONCE, linked_pairs, majority, one_of_each, shingle_hashes, text_key
 
@@ -76,6 +76,7 @@ def signatures(docs: DataFrame, k: int = WORDS) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1).view(np.int64)))
             columns = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(prints.view(np.int64)), pa.array(sizes), lists]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "set_key", "fp", "size", "keys"])
+            give_back()
 
     bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, set_key binary, fp long, size int, keys array<long>")
@@ -90,6 +91,7 @@ def shingle_sets(ids: DataFrame, docs: DataFrame, k: int = WORDS) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets], dtype=np.int32)]).astype(np.int32)
             values = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["node", "shingles"])
+            give_back()
 
     bounded_batches(docs.sparkSession)
     named = small_or_shuffled(ids.select("node", F.col("doc_id").alias("id_2"), F.col("text_key").alias("key_2")), 24)
