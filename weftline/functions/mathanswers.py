@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from weftline.functions import maths
+from weftline.functions.arrays import let
 
 # What stands before an answer, what stands behind one, and the last words before one, each tried in this order.
 BEFORE = ("answer:", "answer is", "answers are")
@@ -37,11 +38,6 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
-def let(value: Column, use) -> Column:
-    """use(value), with the value made once: an expression that names it often would otherwise grow with every step."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _step(state: Column, there, rest) -> Column:
     """One step on (found, text): where `there` holds, the text becomes `rest` and an answer counts as found."""
     def use(x):

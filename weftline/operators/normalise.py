@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions.contracts import is_object, path_of
+
 # Domains with the kind of an unlisted tool's target, the container of entities, the key of protected ids, the budget and the identity policy of a task that doesn't say.
 DOMAINS = (
     ("calendar", "calendar_event", "events", "protected_event_ids", 5, "preserve"),
@@ -109,10 +111,6 @@ RULES = (
 )
 
 
-def is_object(v: Column) -> Column:
-    return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
-
-
 def truthy(v: Column) -> Column:
     """Whether a VARIANT counts as true: not absent, null, false, zero, or empty."""
     text, kind = F.to_json(v), F.schema_of_variant(v)
@@ -120,16 +118,12 @@ def truthy(v: Column) -> Column:
     return F.coalesce(v.isNotNull() & (kind != "VOID") & ~text.isin("false", '""', "[]", "{}") & ~zero, F.lit(False))
 
 
-def _path(key: Column) -> Column:
-    return F.concat(F.lit("$['"), key, F.lit("']"))
-
-
 def _text(v: Column, key: Column) -> Column:
-    return F.try_variant_get(v, _path(key), "string")
+    return F.try_variant_get(v, path_of(key), "string")
 
 
 def _at(v: Column, key: Column) -> Column:
-    return F.try_variant_get(v, _path(key), "variant")
+    return F.try_variant_get(v, path_of(key), "variant")
 
 
 def operation(tool: Column, state_changed: Column) -> Column:
@@ -164,7 +158,7 @@ def normalised(calls: DataFrame) -> DataFrame:
     # a state of null counts as none; of shopping an empty one too
     known = lambda c: F.coalesce(is_object(F.col(c)) & ((F.col("domain") != "shopping") | (F.to_json(c) != "{}")), F.lit(False))
     parsed = parsed.withColumn("_both", known("_before") & known("_after")).withColumns({f"_{c}": inner(f"_{c}") for c in ("before", "after")})
-    box = lambda c: F.coalesce(F.try_variant_get(F.col(c), _path(F.col("container")), "map<string,variant>"), F.expr("cast(map() as map<string,variant>)"))
+    box = lambda c: F.coalesce(F.try_variant_get(F.col(c), path_of(F.col("container")), "map<string,variant>"), F.expr("cast(map() as map<string,variant>)"))
     parsed = parsed.withColumns({"_was": box("_before"), "_is": box("_after")})
 
     col, none = F.col, F.array().cast("array<string>")
@@ -191,7 +185,7 @@ def normalised(calls: DataFrame) -> DataFrame:
     freezes = (col("domain") == "banking") & (tool == "freeze_account") & col("_both") & ~frozen(col("_was"), "account_id") & frozen(col("_is"), "account_id")
     changed = F.concat(
         F.when(states_do, F.coalesce("fields", none)).otherwise(none),
-        F.coalesce(F.map_keys(F.try_variant_get(args, _path(col("keys_of")), "map<string,variant>")), none),
+        F.coalesce(F.map_keys(F.try_variant_get(args, path_of(col("keys_of")), "map<string,variant>")), none),
         F.filter(F.coalesce("given", none), lambda k: _at(args, k).isNotNull()), only(freezes, F.lit("frozen")),
     )
     message = F.coalesce(F.when(is_object(obs) & ~ok, _text(obs, F.lit("error_message"))), F.lit(""))
@@ -232,7 +226,7 @@ def task_policies(tasks: DataFrame) -> DataFrame:
     domains = tasks.sparkSession.createDataFrame([(d[0], *d[3:]) for d in DOMAINS], "_d string, _key string, _budget long, _policy string")
     task = F.try_parse_json("task")
     return tasks.join(F.broadcast(domains), F.col("domain") == F.col("_d"), "left").select(
-        *[tasks[c] for c in tasks.columns], F.when(F.col("_d").isNotNull(), F.coalesce(F.try_variant_get(task, _path(F.col("_key")), "array<string>"), F.array().cast("array<string>"))).alias("protected"),
+        *[tasks[c] for c in tasks.columns], F.when(F.col("_d").isNotNull(), F.coalesce(F.try_variant_get(task, path_of(F.col("_key")), "array<string>"), F.array().cast("array<string>"))).alias("protected"),
         F.when(F.col("_d").isNotNull(), F.coalesce(F.try_variant_get(task, F.lit("$.budget"), "bigint"), "_budget")).alias("budget"),
         F.when(F.col("_d").isNotNull(), F.coalesce(F.try_variant_get(task, F.lit("$.identity_policy"), "string"), "_policy")).alias("identity_policy"))
 

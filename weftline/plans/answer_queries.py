@@ -60,11 +60,26 @@ def uid_parse(s, d):
     return table(s, d, "orders").select("o_orderkey", contracts.group_id_parts(uid).alias("p")).select("o_orderkey", "p.*")
 
 
+#: States of all servers and a criterion of each type and shape, made of an event, in SQL that both engines know.
+CRITERIA = """
+WITH e AS (SELECT event_id, user_id % 7 AS a, event_id % 5 AS b, user_id % 3 AS c, event_id % 26 AS k FROM events)
+SELECT event_id, a, b, c, k,
+  '{"shop":{"cart":' || CASE c WHEN 0 THEN '[]' WHEN 1 THEN '[{"product_id":"P1"}]' ELSE 'null' END || ',"orders":{' || CASE WHEN b = 0 THEN '' ELSE '"O1":{"status":"s' || b || '","items":[{"product_id":"P' || a || '"},{"product_id":' || b || '}]}' END || '}},' ||
+  '"mail":{"emails":{' || CASE WHEN a = 0 THEN '' ELSE '"M1":{"labels":["x","l' || b || '"]}' END || CASE WHEN a > 3 THEN ',"M2":{}' ELSE '' END || '}},"bank":{"transactions":[' || CASE WHEN c = 1 THEN '1' ELSE '' END || '],"n":' || a || ',"f":' || b || '.0,"t":"' || a || '","y":' || CASE WHEN c = 0 THEN 'true' ELSE 'null' END || '},' ||
+  '"fs":{"cwd":"/d' || c || '","fs":{"/a.txt":"x","/f' || b || '":{}}},"crm":{"deals":{"D1":{"lead_id":"L' || c || '"}}},"chat":{"channels":{"C1":{"messages":[' || CASE WHEN b > 2 THEN '"hi","ho"' ELSE '' END || ']}}}}' AS state,
+  CASE k WHEN 0 THEN '{"type":"state_equals","server":"bank","path":"n","value":4}' WHEN 1 THEN '{"type":"state_equals","server":"bank","path":"n","value":4,"op":"gt"}' WHEN 2 THEN '{"type":"state_equals","server":"bank","path":"t","value":4,"op":"gt"}'
+    WHEN 3 THEN '{"type":"state_equals","server":"bank","path":"t","value":4}' WHEN 4 THEN '{"type":"state_equals","server":"bank","path":"f","value":3,"op":"lte"}' WHEN 5 THEN '{"type":"state_equals","server":"bank","path":"f","value":2}' WHEN 6 THEN '{"type":"state_equals","server":"bank","path":"n","value":3,"op":"lt"}'
+    WHEN 7 THEN '{"type":"state_equals","server":"bank","path":"t","value":"2","op":"neq"}' WHEN 8 THEN '{"type":"state_exists","server":"bank","path":"y"}' WHEN 9 THEN '{"type":"state_absent","server":"bank","path":"y"}' WHEN 10 THEN '{"type":"cart_empty","server":"shop"}' WHEN 11 THEN '{"type":"cart_not_empty","server":"shop"}'
+    WHEN 12 THEN '{"type":"email_count_gte","server":"mail","value":2}' WHEN 13 THEN '{"type":"order_contains_product","server":"shop","product_id":"P2"}' WHEN 14 THEN '{"type":"order_contains_product","server":"shop","product_id":2}' WHEN 15 THEN '{"type":"missing_function"}'
+    WHEN 16 THEN '{"type":"transaction_exists","server":"bank"}' WHEN 17 THEN '{"type":"label_added","server":"mail","email_id":"M1","label":"l3"}' WHEN 18 THEN '{"type":"cwd_equals","server":"fs","path":"/d1"}' WHEN 19 THEN '{"type":"file_exists","server":"fs","path":"/f2"}' WHEN 20 THEN '{"type":"deal_exists_for_lead","server":"crm","lead_id":"L2"}'
+    WHEN 21 THEN '{"type":"message_sent","server":"chat","channel_id":"C1"}' WHEN 22 THEN '{"type":"order_exists","server":"shop","status":"s3"}' WHEN 23 THEN '{"type":"order_exists","server":"shop"}' WHEN 24 THEN '{"type":"state_equals","server":"chat","path":"channels.C1.messages_count","value":2,"op":"gte"}' ELSE '{"type":"other","server":"shop"}' END AS criterion
+FROM e"""
+
+
 def criteria(s, d):
-    state = F.concat(F.lit('{"a": {"n": '), (F.col("event_id") % 9).cast("string"), F.when(F.col("event_id") % 3 > 0, F.concat(F.lit(', "s": "'), F.col("event_type"), F.lit('"'))).otherwise(""), F.lit("}}"))
-    met = lambda kind, path, value=None, op="eq": contracts.criterion_met(state, F.lit(kind), F.lit(path), F.lit(value).cast("string"), F.lit(op))
-    return table(s, d, "events").select(
-        "event_id", met("state_equals", "$.a.n", "4").alias("eq"), met("state_equals", "$.a.n", "4", "gt").alias("gt"), met("state_equals", "$.a.s", "click", "neq").alias("neq"), met("state_absent", "$.a.s").alias("absent"), met("state_exists", "$.a.s").alias("there"))
+    table(s, d, "events").createOrReplaceTempView("_events_of_criteria")
+    made = s.sql(CRITERIA.replace("FROM events)", "FROM _events_of_criteria)"))
+    return made.select("event_id", contracts.criterion_met(F.col("state"), F.col("criterion")).alias("met"))
 
 
 def token_amount(s, d):
@@ -119,6 +134,9 @@ ORACLE_SQL = {
       SELECT o_orderkey, {_FIT.format('list_concat(pad, ids)', 'ids[-5:]')} AS "left", {_FIT.format('list_concat(ids, pad)', 'ids[1:5]')} AS "right",
         {_FIT.format('list_concat(pad, ids)', 'CASE WHEN len(ids) = 5 THEN ids ELSE list_concat(ids[1:2], ids[-3:]) END')} AS middle FROM p""",
     "uid_parse": "SELECT o_orderkey, o_orderkey::VARCHAR AS task, CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus ELSE 'complete' END AS level, CASE WHEN o_orderkey % 3 > 1 THEN o_orderpriority ELSE 'normal_safe_success' END AS scenario FROM orders",
-    "criteria": "SELECT event_id, event_id % 9 = 4 AS eq, event_id % 9 > 4 AS gt, event_id % 3 = 0 OR event_type <> 'click' AS neq, event_id % 3 = 0 AS absent, event_id % 3 > 0 AS there FROM events",
+    "criteria": f"""
+WITH m AS ({CRITERIA})
+SELECT event_id, CASE k WHEN 0 THEN a = 4 WHEN 1 THEN a > 4 WHEN 2 THEN false WHEN 3 THEN false WHEN 4 THEN b <= 3 WHEN 5 THEN b = 2 WHEN 6 THEN a < 3 WHEN 7 THEN a <> 2 WHEN 8 THEN c = 0 WHEN 9 THEN c > 0 WHEN 10 THEN c = 0 WHEN 11 THEN c = 1 WHEN 12 THEN a > 3
+  WHEN 13 THEN b > 0 AND a = 2 WHEN 14 THEN b = 2 WHEN 15 THEN true WHEN 16 THEN c = 1 WHEN 17 THEN a > 0 AND b = 3 WHEN 18 THEN c = 1 WHEN 19 THEN b = 2 WHEN 20 THEN c = 2 WHEN 21 THEN b > 2 WHEN 22 THEN b = 3 WHEN 23 THEN b > 0 WHEN 24 THEN b > 2 ELSE false END AS met FROM m""",
     "token_amount": "SELECT conv_id, sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')))::BIGINT AS words, max(turn) AS last_turn FROM conversations WHERE role <> 'system' GROUP BY conv_id",
 }

@@ -87,9 +87,9 @@ def task_scenarios(s, d):
 
 
 def scenario_rules(s, d):
-    t = _packed(s, d).withColumn("tools", F.transform(F.filter("calls", lambda c: c["action"] == "tool_call"), lambda c: c["tool_name"]))
+    t = _packed(s, d).withColumn("tools", F.transform(F.filter("calls", lambda c: c["action"] == "tool_call"), lambda c: F.replace(c["tool_name"], F.lit("_order"), F.lit("_event"))))
     end = F.when(F.col("task") % 6 == 0, "ask_clarification").otherwise("final_answer")
-    return t.select("task", contracts.scenario(F.when(F.col("task") % 12 == 0, F.slice("tools", F.lit(1), F.lit(0))).otherwise(F.col("tools")), end, F.col("task") % 11 == 0).alias("scenario"))
+    return t.select("task", contracts.scenario(F.when(F.col("task") % 12 == 0, F.slice("tools", F.lit(1), F.lit(0))).otherwise(F.col("tools")), end, F.col("task") % 11 == 0, F.lit("calendar")).alias("scenario"))
 
 
 def contract_errors(s, d):

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from weftline.operators.normalise import is_object
+from weftline.functions.contracts import is_object
 
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 OUT = "session string, seq long, step long, log_id string, operation string, target_id string, forbidden_transition string"
