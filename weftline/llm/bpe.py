@@ -215,6 +215,10 @@ class Codec(PieceEncoder):
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
+#: Texts of a batch where whole ids go on with the rows.
+ROWS = 200
+
+
 def codec(ranks_path: str, pattern: str) -> Codec:
     """One codec a worker process, as its tables take a second to make."""
     key = (ranks_path, pattern)
@@ -230,7 +234,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
     """
     from pyspark.sql import functions as F
 
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, ROWS)
 
     @F.pandas_udf("array<int>")
     def run(texts):
@@ -251,7 +255,9 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids",
     def run(column):
         import pandas as pd
 
-        return pd.Series([None if x is None else codec(ranks_path, pattern).decode(np.asarray(x)) for x in column])
+        found = pd.Series([None if x is None else codec(ranks_path, pattern).decode(np.asarray(x)) for x in column])
+        give_back()
+        return found
 
     return encoded.withColumn(out, run(F.col(ids)))
 
