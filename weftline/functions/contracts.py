@@ -10,15 +10,17 @@ from weftline.operators.tasks import ENTITIES, tool_entity
 
 
 def type_matches(value: Column, kind: Column) -> Column:
-    """Whether a JSON text's value has a JSON type; a boolean is no integer and an integer is a number."""
+    """Whether a JSON text's value has a JSON type, or one of several named as a JSON list; a boolean is no integer and an integer is a number."""
     v = F.try_parse_json(value)
     found = F.schema_of_variant(v)
-    return (
-        F.when(kind == "string", found == "STRING").when(kind == "integer", found.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | found.rlike(r"^DECIMAL\(\d+,0\)$"))
-        .when(kind == "number", found.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT") | found.startswith("DECIMAL"))
-        .when(kind == "boolean", found == "BOOLEAN").when(kind == "object", found.startswith("OBJECT")).when(kind == "array", found.startswith("ARRAY"))
-        .when(kind == "null", found == "VOID").otherwise(F.lit(False))
+    whole = found.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | found.rlike(r"^DECIMAL\(\d+,0\)$")
+    number = whole | found.isin("DOUBLE", "FLOAT") | found.startswith("DECIMAL")
+    names = F.coalesce(F.from_json(kind, "array<string>"), F.array(kind))
+    fits = lambda k: (
+        F.when(k == "string", found == "STRING").when(k == "integer", whole).when(k == "number", number).when(k == "boolean", found == "BOOLEAN")
+        .when(k == "object", found.startswith("OBJECT")).when(k == "array", found.startswith("ARRAY")).when(k == "null", found == "VOID").otherwise(F.lit(False))
     )
+    return F.exists(names, fits)
 
 
 def argument_errors(arguments: Column, properties: Column, required: Column, enums: Column) -> Column:
@@ -32,6 +34,35 @@ def argument_errors(arguments: Column, properties: Column, required: Column, enu
     )
 
 
+def schema_errors(arguments: Column, schema: Column) -> Column:
+    """valid, missing, unexpected, type_errors and enum_errors of arguments against a tool's schema, both JSON texts.
+
+    The schema's input_schema (else parameters) has properties and required; a property has a type, or a list of them, and an enum,
+    whose values are compared by type. Arguments that are no object have one type error. What the schema doesn't say isn't asked for.
+    """
+    text = lambda v: F.try_variant_get(v, F.lit("$"), "string")
+    fields = lambda v: F.coalesce(F.try_variant_get(v, F.lit("$"), "map<string,variant>"), F.expr("cast(map() as map<string,variant>)"))
+
+    def judged(x: Column) -> Column:
+        given, rules, required = x["given"], x["rules"], x["required"]
+        keys = F.map_keys(given)
+        rule = lambda k, name: member(F.try_element_at(rules, k), F.lit(name))
+        is_list = lambda v: F.startswith(F.schema_of_variant(v), F.lit("ARRAY"))
+        kind = lambda k: F.when(is_list(rule(k, "type")), F.to_json(rule(k, "type"))).otherwise(text(rule(k, "type")))
+        value = lambda k: F.try_element_at(given, k)
+        typed = F.filter(keys, lambda k: kind(k).isNotNull() & ~F.coalesce(type_matches(F.to_json(value(k)), kind(k)), F.lit(False)))
+        outside = F.filter(keys, lambda k: F.coalesce(is_list(rule(k, "enum")), F.lit(False)) & ~F.exists(members(rule(k, "enum")), lambda e: same_value(e, value(k))))
+        none = F.array().cast("array<string>")
+        missing, unexpected = F.array_except(required, keys), F.array_except(keys, F.map_keys(rules))
+        found = lambda m, u, t, e: F.struct((F.size(F.concat(m, u, t, e)) == 0).alias("valid"), m.alias("missing"), u.alias("unexpected"), t.alias("type_errors"), e.alias("enum_errors"))
+        return F.when(x["is_object"], found(missing, unexpected, typed, outside)).otherwise(found(none, none, F.array(F.lit("arguments must be object")), none))
+
+    a, s = F.try_parse_json(arguments), F.try_parse_json(schema)
+    inner = let(s, lambda v: F.coalesce(F.when(is_object(member(v, F.lit("input_schema"))), member(v, F.lit("input_schema"))), member(v, F.lit("parameters"))))
+    parts = F.struct(fields(a).alias("given"), is_object(a).alias("is_object"), fields(member(inner, F.lit("properties"))).alias("rules"), F.transform(members(member(inner, F.lit("required"))), text).alias("required"))
+    return let(parts, judged)
+
+
 def is_object(v: Column) -> Column:
     return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
 

@@ -48,3 +48,95 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, embedding: str, k:
     found = pairs.mapInArrow(run, f"query_id {kind}, {key} {kind}, cosine double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 12)), key))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+#: Vectors of the sample that centroids are fitted on, at most; every row is assigned, whatever the sample.
+SAMPLE = 20_000
+#: Rounds of the fit, lists looked up a query, and the least number of a list's vectors in the sample.
+ROUNDS, PROBES, PER_LIST = 8, 16, 8
+
+
+def fitted_centroids(vectors: DataFrame, key: str, embedding: str, lists: int | None = None, sample: int = SAMPLE, seed: int = 1) -> np.ndarray:
+    """Unit centroids of an inverted file: spherical k-means on the vectors of the `sample` smallest key hashes, so of a bounded size on the driver.
+
+    About the square root of all rows are made (`lists`), but no more than the sample has vectors for.
+    """
+    good = vectors.where(F.col(embedding).isNotNull())
+    rows = good.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(sample).select(embedding).toArrow().column(0).to_pylist()
+    if not rows:
+        return np.zeros((0, 0), np.float32)
+    x = np.array(rows, np.float64)
+    norms = np.sqrt((x**2).sum(1))
+    x = x[norms > 0] / norms[norms > 0, None]
+    wanted = int(np.sqrt(good.count())) if lists is None else lists
+    n = max(1, min(wanted, len(x) // PER_LIST))
+    if not len(x):
+        return np.zeros((0, 0), np.float32)
+    rng = np.random.default_rng(seed)
+    centroids = x[rng.choice(len(x), n, replace=False)]
+    for _ in range(ROUNDS):
+        own = np.argmax(x @ centroids.T, 1)
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, own, x)
+        size = np.sqrt((sums**2).sum(1, keepdims=True))
+        centroids = np.where(size > 0, sums / np.where(size > 0, size, 1), centroids)
+    return centroids.astype(np.float32)
+
+
+def inverted_file(vectors: DataFrame, key: str, embedding: str, centroids: np.ndarray) -> DataFrame:
+    """list, id and e (unit vector) of every row with a vector that isn't zero: each lies in the list of its nearest centroid. No shuffle.
+
+    The centroids go out with the tasks: they are as many as fitted_centroids makes, from a sample of a bounded size.
+    """
+    return _to_lists(vectors, key, embedding, centroids, 1)
+
+
+def _to_lists(vectors: DataFrame, key: str, embedding: str, centroids: np.ndarray, probes: int) -> DataFrame:
+    kind = vectors.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            e = np.array(batch.column(1).to_pylist(), np.float32).reshape(batch.num_rows, -1)
+            norms = np.sqrt((e.astype(np.float64) ** 2).sum(1))
+            some = np.flatnonzero(norms > 0)
+            if not len(some) or not len(centroids):
+                continue
+            unit = (e[some] / norms[some, None]).astype(np.float32)
+            near = np.argsort(-(unit @ centroids.T), axis=1, kind="stable")[:, :probes]
+            each = np.repeat(np.arange(len(some)), near.shape[1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(near.ravel().astype(np.int32)), batch.column(0).take(pa.array(some[each])), pa.array(list(unit[each]), pa.list_(pa.float32()))], ["list", "id", "e"])
+
+    return vectors.where(F.col(embedding).isNotNull()).select(key, embedding).mapInArrow(run, f"list int, id {kind}, e array<float>")
+
+
+def _packed(rows: DataFrame, name: str, size: int) -> DataFrame:
+    """The rows of each list in blocks of about `size`: ids and vectors. A large list has many blocks."""
+    counts = rows.groupBy("list").agg(F.count(F.lit(1)).alias("n"))
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / size).cast("bigint"))
+    return rows.join(counts, "list").groupBy("list", part.alias("part")).agg(F.collect_list(F.struct("id", "e")).alias(name)).drop("part")
+
+
+def nearest_indexed(index: DataFrame, centroids: np.ndarray, queries: DataFrame, key: str, embedding: str, k: int, probes: int = PROBES, rows: int = BLOCK) -> DataFrame:
+    """(query_id, key, cosine, rank): of the vectors in the `probes` lists nearest to a query the k of largest cosine, itself left out.
+
+    A query meets the blocks of its lists only, so work grows with the queries and the length of lists, not with all rows a query.
+    What lies in other lists is missed: recall is for the caller to measure, against `nearest`, which is exact.
+    """
+    kind = queries.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                qi, vi = np.array([x["id"] for x in q]), np.array([x["id"] for x in v])
+                cos = np.array([x["e"] for x in q], np.float64) @ np.array([x["e"] for x in v], np.float64).T
+                cos = np.where(qi[:, None] == vi[None, :], -np.inf, cos)
+                order = np.lexsort((np.broadcast_to(vi, cos.shape), -np.round(cos, 6)), axis=1)[:, :k]
+                best = np.take_along_axis(cos, order, 1)
+                some = np.isfinite(best)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, order.shape[1])[some.ravel()]), pa.array(vi[order][some]), pa.array(best[some])], ["query_id", key, "cosine"])
+
+    asked = _packed(_to_lists(queries, key, embedding, centroids, probes), "q", rows)
+    found = asked.join(_packed(index, "v", rows), "list").select("q", "v").mapInArrow(run, f"query_id {kind}, {key} {kind}, cosine double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 6)), key))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
