@@ -1,6 +1,7 @@
 """Language identification by hyperdimensional profiles.
 
-Each letter has a random vector of +1 and -1. The vector of an n-gram binds the
+Each letter has a random vector of +1 and -1 of its own, made when it is first met from a
+generator that its code point seeds, so all workers have the same. The vector of an n-gram binds the
 vectors of its letters, each rotated by its place, into their product; a text
 bundles the vectors of its n-grams into their sum. Prototypes bundle the texts of
 a language, and a text has the language whose prototype has the largest cosine.
@@ -21,29 +22,36 @@ from weftline.llm.quality import held_out_column
 DIM = 1024
 GRAM = 3
 SEED = 9
-LETTERS = 128  # slots of the alphabet; slot 0 is the gap between words
+#: Bits of a letter in the code of an n-gram; code point 0 stands for the gap between words.
+BITS = 21
+#: Vectors of letters that a worker keeps; alphabets are smaller, and a letter's vector can be made again.
+KEPT = 20_000
 #: Labelled rows that the prototypes bundle at most, those of the least hashes.
 TRAIN_ROWS = 20_000
 AT_ONCE = 1 << 20  # characters worked on together
 GRAMS_AT_ONCE = 4096
 
-_rng = np.random.default_rng(SEED)
-_VECTORS = _rng.choice(np.array([-1, 1], np.float32), (LETTERS, DIM))
-_PLACED = [np.roll(_VECTORS, i, axis=1) for i in range(GRAM)]
-_SLOTS: dict = {}
+_LETTERS: dict = {}
+_VECTORS: dict[int, np.ndarray] = {}
 
 
-def slots_of(codes: np.ndarray) -> np.ndarray:
-    """Alphabet slots of lower-cased code points; 0 for all that aren't letters."""
-    if "table" not in _SLOTS:
-        table = np.full(0x110000, -1, np.int16)
-        _SLOTS["table"] = table
-    table = _SLOTS["table"]
-    new = np.unique(codes[table[codes] < 0]) if (table[codes] < 0).any() else ()
-    for c in new:
+def letters_of(codes: np.ndarray) -> np.ndarray:
+    """Code points of letters in lower case; 0 for all that aren't letters."""
+    table = _LETTERS.setdefault("table", np.full(0x110000, -1, np.int32))
+    known = table[codes]
+    for c in np.unique(codes[known < 0]):
         low = chr(int(c)).lower()[:1]
-        table[c] = 1 + (ord(low) * 2654435761 % 2**32 >> 8) % (LETTERS - 1) if low.isalpha() else 0
-    return table[codes]
+        table[c] = ord(low) if low.isalpha() else 0
+    return table[codes] if (known < 0).any() else known
+
+
+def letter_vector(code: int) -> np.ndarray:
+    """The vector of a letter, or of the gap."""
+    if code not in _VECTORS:
+        if len(_VECTORS) >= KEPT:
+            _VECTORS.clear()
+        _VECTORS[code] = np.random.default_rng([SEED, code]).choice(np.array([-1, 1], np.int8), DIM)
+    return _VECTORS[code]
 
 
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -55,12 +63,12 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     def flush() -> None:
         data = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), "<u4")
         owner = np.repeat(np.array(rows), [len(p) for p in part])
-        slot = slots_of(data)
+        slot = letters_of(data)
         keep = np.concatenate([[True], (slot[1:] != 0) | (slot[:-1] != 0) | (owner[1:] != owner[:-1])])
         slot, owner = slot[keep].astype(np.int64), owner[keep]
         code = np.zeros(max(0, len(slot) - GRAM + 1), np.int64)
         for i in range(GRAM):
-            code = code * LETTERS + slot[i : len(slot) - GRAM + 1 + i]
+            code = code << BITS | slot[i : len(slot) - GRAM + 1 + i]
         same = owner[: len(code)] == owner[GRAM - 1 :]
         some = same & (code != 0)
         found_rows.append(owner[: len(code)][some])
@@ -89,7 +97,9 @@ def vectors_of(codes: np.ndarray) -> np.ndarray:
     """The bound vectors of n-grams."""
     out = np.ones((len(codes), DIM), np.float32)
     for i in range(GRAM):
-        out *= _PLACED[i][codes // LETTERS ** (GRAM - 1 - i) % LETTERS]
+        own, at = np.unique(codes >> BITS * (GRAM - 1 - i) & (1 << BITS) - 1, return_inverse=True)
+        placed = np.roll(np.stack([letter_vector(int(c)) for c in own]), i, axis=1).astype(np.float32)
+        out *= placed[at]
     return out
 
 
@@ -149,7 +159,8 @@ def prototypes(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.n
 def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFrame:
     """doc_id, held_out, lang_pred and score, the cosine moved to 0..1, for every row.
 
-    `und` with score 0 if a text is null or has no letter, or nothing was learned.
+    `und` with score 0 if a text is null or has no letter, or nothing was learned. Of equal cosines the first language counts;
+    repeated rows have equal results, texts are taken whole, and no rows give none.
     """
     packed = docs.sparkSession.sparkContext.broadcast((langs, matrix))
 
@@ -177,4 +188,9 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFrame:
 
 
 def identify(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every row, by prototypes of the labelled rows among them.
+
+    Null texts and texts without a letter are `und`; long texts are taken whole; repeated rows are predicted alike, and each takes part in
+    the prototypes that may; an empty table gives no rows. Only doc_id, lang and text are read, lang for the prototypes only.
+    """
     return predict(docs, *prototypes(docs, rows))
