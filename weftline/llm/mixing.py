@@ -78,13 +78,14 @@ def decided(docs: DataFrame, seed: int = 17, cycle=CYCLE, share: float = SHARE,
     Returns doc_id, src, text_key, size, source_size, target, copies.
     """
     words = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint")
-    sized = checkpointed(docs.select("doc_id", F.expr(SOURCE_KEY).alias("src"), text_key().alias("text_key"), words.alias("size")))
+    # where a row lies among those of its source and size: told by its text as well, so that rows of one id, or of none, are spread like others
+    spot = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")))))
+    sized = checkpointed(docs.select("doc_id", F.expr(SOURCE_KEY).alias("src"), text_key().alias("text_key"), words.alias("size"), spot.alias("spot")))
     digits, hashed, n = F.col("size").cast("string"), 2, sized.count()
     while n > 16**hashed * BUCKET_ROWS:
         hashed += 1
     placed = (
         sized
-        .withColumn("spot", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
         .withColumn("class", F.length(digits) * 100 + F.substring(digits, 1, 2).cast("int"))
         .withColumn("bucket", F.substring("spot", 1, hashed))
         .withColumn("nth", F.row_number().over(Window.partitionBy("src", "class", "bucket").orderBy("spot", "size", "text_key")))
@@ -144,7 +145,7 @@ def mixed(docs: DataFrame, seed: int = 17, cycle=CYCLE, share: float = SHARE, mo
 #: The same result for another SQL engine, over a table of documents.
 ORACLE = """
 WITH sized AS (
-  SELECT doc_id, coalesce('s' || source, 't') AS src,
+  SELECT doc_id, coalesce('s' || source, 't') AS src, md5('17:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS spot,
          coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size
   FROM documents),
 totals AS (SELECT src, sum(size)::BIGINT AS source_size FROM sized GROUP BY src),
@@ -168,7 +169,7 @@ ranked AS (
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
          ('0x' || substr(md5('17:' || s.src), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS off,
          row_number() OVER (PARTITION BY s.src ORDER BY len(s.size::VARCHAR) * 100 + substr(s.size::VARCHAR, 1, 2)::INT,
-                            md5('17:' || coalesce(s.doc_id::VARCHAR, 'null')), s.size) AS pos
+                            s.spot, s.size) AS pos
   FROM sized s JOIN targets t USING (src))
 SELECT doc_id, size, source_size, target,
        (least(floor(pos * rate + off) - floor((pos - 1) * rate + off), 2))::BIGINT * size AS taken
