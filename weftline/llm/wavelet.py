@@ -210,13 +210,14 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
 
     Texts move once, dealt by ranges of doc_id; a partition writes one or more
     shards of about `shard_tokens` ids. A null or empty text gives the end id
-    alone; a null doc_id comes first; rows with equal doc_id stay together, in
-    the order of their texts; no rows write no shards.
+    alone; a null doc_id comes first; rows with equal doc_id, or none, are in the order of
+    a hash of their texts and may go on over several partitions; no rows write no shards.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     n = partitions_for(spark, docs.count(), 4096)
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
+    ordered = keyed.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     shards = ordered.mapInArrow(lambda it: encode_shards(it, tokenizer, end_id, shard_tokens), "value binary")
     body = F.expr("substring(value, 1, length(value) - 1)").cast("string")
     shards.select(body.alias("value")).write.option("lineSep", "\u0000").option("maxRecordsPerFile", 1).text(path)
