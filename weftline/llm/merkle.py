@@ -9,6 +9,8 @@ every leaf, with "." between paragraphs and "/" between sections.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,24 +76,29 @@ def bucketed(docs: DataFrame, tie: str, rows: int = BUCKET_ROWS) -> DataFrame:
     """The documents with a bucket that ascends with doc_id and holds about `rows` rows.
 
     Up to 256 quantiles are taken, which are numbers of fixed size on the driver;
-    between two of them buckets are of equal width. Null ids have buckets below 0,
-    by the hex digits of `tie`, which orders them.
+    between two of them buckets are of equal width. An id that makes up several quantiles
+    has buckets of its own, by the hex digits of `tie`, which orders its rows; so have null ids, below 0.
     """
     shares = [i / (BOUNDS + 1) for i in range(BOUNDS + 2)]
-    n, every, bounds = docs.agg(F.count("doc_id"), F.count(F.lit(1)), F.percentile_approx("doc_id", shares, 10_000)).first()
-    bounds = sorted(set(bounds or []))
+    n, every, found = docs.agg(F.count("doc_id"), F.count(F.lit(1)), F.percentile_approx("doc_id", shares, 10_000)).first()
+    # a larger bucket comes first, a smaller tie as well
+    by_tie = lambda places: F.floor((1 - F.conv(F.left(tie, F.lit(7)), 16, 10).cast("bigint") / F.lit(1 << 28)) * places - F.lit(1e-9)).cast("bigint")
     places = max(1, -(-(every - n) // rows))
-    nameless = -1 - F.floor(F.conv(F.left(tie, F.lit(7)), 16, 10).cast("bigint") * places / F.lit(1 << 28))
-    if len(bounds) < 2:
-        return docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), nameless).otherwise(F.lit(0)).cast("bigint"))
-    low = bounds[:-1]
-    per = max(1, -(-n // (rows * len(low))))
+    nameless = by_tie(F.lit(places)) - F.lit(places)
+    if not found:
+        return docs.withColumn("bucket", nameless)
+    times = Counter(found)
+    low = sorted(times)
+    per = max(1, -(-n // (rows * max(1, len(low) - 1))))
+    own = [-(-times[v] * n // ((BOUNDS + 2) * rows)) if times[v] > 2 else 0 for v in low]
+    most = max(own)
     listed = lambda xs: F.array(*[F.lit(int(x)).cast("bigint") for x in xs])
     part = F.greatest(F.size(F.filter(listed(low), lambda b: b <= F.col("doc_id"))), F.lit(1)) - 1
-    width = listed([max(1, -(-(b - a) // per)) for a, b in zip(low, bounds[1:], strict=True)])
-    inner = F.floor((F.col("doc_id") - F.get(listed(low), F.col("_part"))) / F.get(width, F.col("_part")))
-    inner = F.least(F.greatest(inner, F.lit(0)), F.lit(per))
-    bucket = F.when(F.col("doc_id").isNull(), nameless).otherwise(F.col("_part") * (per + 1) + inner).cast("bigint")
+    at = lambda xs: F.get(listed(xs), F.col("_part"))
+    width = [max(1, -(-(b - a) // per)) for a, b in zip(low, [*low[1:], low[-1] + 1], strict=True)]
+    inner = F.least(F.greatest(F.floor((F.col("doc_id") - at(low)) / at(width)), F.lit(0)), F.lit(per))
+    within = F.when((F.col("doc_id") == at(low)) & (at(own) > 0), by_tie(at(own))).otherwise(most + inner)
+    bucket = F.when(F.col("doc_id").isNull(), nameless).otherwise(F.col("_part") * (per + 1 + most) + within).cast("bigint")
     return docs.withColumn("_part", part).withColumn("bucket", bucket).drop("_part")
 
 
