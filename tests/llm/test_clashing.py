@@ -78,7 +78,7 @@ def test_language_bundles_by_brute_force():
     for text, got, some in zip(texts, vectors, has, strict=True):
         slots = []
         for c in f" {text or ''} ":
-            s = int(language.slots_of(language.np.array([ord(c)]))[0])
+            s = ord(c.lower()[0]) if c.isalpha() else 0
             if s or not slots or slots[-1]:
                 slots.append(s)
         want = language.np.zeros(language.DIM)
@@ -86,11 +86,40 @@ def test_language_bundles_by_brute_force():
         for g in grams:
             bound = language.np.ones(language.DIM)
             for place, s in enumerate(g):
-                bound = bound * language.np.roll(language._VECTORS[s], place)
+                bound = bound * language.np.roll(language.np.random.default_rng([9, s]).choice(language.np.array([-1, 1], language.np.int8), 1024), place)
             want = want + bound
         assert some == bool(grams) and language.np.array_equal(got, want.astype(language.np.float32))
 
 
+def test_no_two_letters_share_a_vector():
+    letters = [c for c in range(0x30, 0x2FFF) if chr(c).isalpha() and chr(c).lower()[:1] == chr(c)]
+    assert len({language.letter_vector(c).tobytes() for c in [0, *letters]}) == len(letters) + 1
+    codes = language.letters_of(language.np.array([*map(ord, "bweézyæäùöáüçBWEÉ 1.İ")]))
+    assert len(set(codes[:13].tolist())) == 13 and codes[13:17].tolist() == codes[:4].tolist() and codes[17:20].tolist() == [0, 0, 0]
+
+
+def test_rows_of_one_id_are_spread(spark):
+    """A hundred thousand rows of one id, and as many of none: no bucket, window or partition holds more than a small share of them."""
+    rows = spark.range(200_000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
+    rows = rows.unionByName(spark.range(50).select(F.col("id").alias("doc_id"), F.lit("few words").alias("text"), F.lit("s").alias("source")))
+    tied = rows.withColumn("tie", F.md5("text"))
+    sizes = merkle.bucketed(tied, "tie").groupBy("bucket").count().agg(F.max("count"), F.count("bucket")).first()
+    assert sizes[0] < 2000 and sizes[1] > 150
+    assert mixing.decided(rows).agg(F.sum("copies")).first()[0] > 200_000
+    placed = rows.select(F.md5(F.concat_ws(":", F.lit("17"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5("text"))).alias("spot"))
+    assert placed.groupBy(F.substring("spot", 1, 2)).count().agg(F.max("count")).first()[0] < 1200
+
+
+def test_neighbours_of_one_id_with_many_rows(spark):
+    import hashlib
+
+    rows = [(i, f"t{i}") for i in range(40)] + [(20, f"many {i}") for i in range(3000)] + [(39, f"last {i}") for i in range(1500)] + [(10**12, "far")]
+    tied = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tie", F.md5("text"))
+    got = {r.text: r.next_text for r in merkle.with_next(tied, ["text"], "tie").collect()}
+    order = sorted(rows, key=lambda r: (-r[0], hashlib.md5(r[1].encode()).hexdigest()))
+    assert got == {t: order[(k + 1) % len(order)][1] for k, (_, t) in enumerate(order)}
+
+
 def test_neighbours_of_rows_without_ids(spark):
     rows = [(None, f"text {i}") for i in range(2600)] + [(7, f"seven {i}") for i in range(5)] + [(3, "three")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
