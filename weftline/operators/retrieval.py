@@ -52,8 +52,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, embedding: str, k:
 
 #: Vectors of the sample that centroids are fitted on, at most; every row is assigned, whatever the sample.
 SAMPLE = 20_000
-#: Rounds of the fit, lists looked up a query, and the least number of a list's vectors in the sample.
-ROUNDS, PROBES, PER_LIST = 8, 16, 8
+#: Rounds of the fit, and the least number of a list's vectors in the sample.
+ROUNDS, PER_LIST = 8, 8
+#: Queries of the sample that tell how many lists to look up, the neighbours of each, and the share of these to be found.
+TRIED, NEIGHBOURS, RECALL = 500, 5, 0.95
+
+
+def _sample(vectors: DataFrame, key: str, embedding: str, sample: int, seed: int) -> np.ndarray:
+    """Unit vectors of the rows of the `sample` smallest key hashes."""
+    good = vectors.where(F.col(embedding).isNotNull())
+    rows = good.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(sample).select(embedding).toArrow().column(0).to_pylist()
+    x = np.array(rows, np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 1))
+    norms = np.sqrt((x**2).sum(1))
+    return x[norms > 0] / norms[norms > 0, None]
 
 
 def fitted_centroids(vectors: DataFrame, key: str, embedding: str, lists: int | None = None, sample: int = SAMPLE, seed: int = 1) -> np.ndarray:
@@ -61,17 +72,11 @@ def fitted_centroids(vectors: DataFrame, key: str, embedding: str, lists: int |
 
     About the square root of all rows are made (`lists`), but no more than the sample has vectors for.
     """
-    good = vectors.where(F.col(embedding).isNotNull())
-    rows = good.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(sample).select(embedding).toArrow().column(0).to_pylist()
-    if not rows:
-        return np.zeros((0, 0), np.float32)
-    x = np.array(rows, np.float64)
-    norms = np.sqrt((x**2).sum(1))
-    x = x[norms > 0] / norms[norms > 0, None]
-    wanted = int(np.sqrt(good.count())) if lists is None else lists
-    n = max(1, min(wanted, len(x) // PER_LIST))
+    x = _sample(vectors, key, embedding, sample, seed)
     if not len(x):
         return np.zeros((0, 0), np.float32)
+    wanted = int(np.sqrt(vectors.where(F.col(embedding).isNotNull()).count())) if lists is None else lists
+    n = max(1, min(wanted, len(x) // PER_LIST))
     rng = np.random.default_rng(seed)
     centroids = x[rng.choice(len(x), n, replace=False)]
     for _ in range(ROUNDS):
@@ -83,6 +88,24 @@ def fitted_centroids(vectors: DataFrame, key: str, embedding: str, lists: int |
     return centroids.astype(np.float32)
 
 
+def probes_for(vectors: DataFrame, key: str, embedding: str, centroids: np.ndarray, recall: float = RECALL, sample: int = SAMPLE, seed: int = 1) -> int:
+    """How many lists a query must look up so that `recall` of the nearest neighbours of the sample's first TRIED vectors, among the sample, lie in them.
+
+    Neighbours among all rows are nearer than those among a sample, so the number is rather too large.
+    """
+    x = _sample(vectors, key, embedding, sample, seed)
+    if len(x) < 2:
+        return max(1, len(centroids))
+    q = x[:TRIED]
+    cos = q @ x.T
+    cos[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    near = np.argsort(-cos, axis=1)[:, : min(NEIGHBOURS, len(x) - 1)]
+    own = np.argmax(x @ centroids.T, 1)
+    place = np.argsort(np.argsort(-(q @ centroids.T), axis=1), axis=1)
+    ranks = np.sort(np.take_along_axis(place, own[near], 1).ravel())
+    return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)]) + 1
+
+
 def inverted_file(vectors: DataFrame, key: str, embedding: str, centroids: np.ndarray) -> DataFrame:
     """list, id and e (unit vector) of every row with a vector that isn't zero: each lies in the list of its nearest centroid. No shuffle.
 
@@ -117,11 +140,11 @@ def _packed(rows: DataFrame, name: str, size: int) -> DataFrame:
     return rows.join(counts, "list").groupBy("list", part.alias("part")).agg(F.collect_list(F.struct("id", "e")).alias(name)).drop("part")
 
 
-def nearest_indexed(index: DataFrame, centroids: np.ndarray, queries: DataFrame, key: str, embedding: str, k: int, probes: int = PROBES, rows: int = BLOCK) -> DataFrame:
+def nearest_indexed(index: DataFrame, centroids: np.ndarray, queries: DataFrame, key: str, embedding: str, k: int, probes: int, rows: int = BLOCK) -> DataFrame:
     """(query_id, key, cosine, rank): of the vectors in the `probes` lists nearest to a query the k of largest cosine, itself left out.
 
     A query meets the blocks of its lists only, so work grows with the queries and the length of lists, not with all rows a query.
-    What lies in other lists is missed: recall is for the caller to measure, against `nearest`, which is exact.
+    What lies in other lists is missed; probes_for tells how many lists to look up, and `nearest` is exact.
     """
     kind = queries.schema[key].dataType.simpleString()
 

@@ -77,7 +77,7 @@ def nearest_indexed(s, d):
     v = table(s, d, "embeddings")
     centroids = retrieval.fitted_centroids(v, "vec_id", "embedding")
     index = retrieval.inverted_file(v, "vec_id", "embedding", centroids)
-    return rounded(retrieval.nearest_indexed(index, centroids, v.where("vec_id % 20 = 0"), "vec_id", "embedding", 3), "cosine", digits=5)
+    return rounded(retrieval.nearest_indexed(index, centroids, v.where("vec_id % 20 = 0"), "vec_id", "embedding", 3, retrieval.probes_for(v, "vec_id", "embedding", centroids)), "cosine", digits=5)
 
 
 QUERIES = {f.__name__: f for f in (generated_rows, upsampled, dapo_batch, disturbed, schema_errors, nearest_indexed)}
