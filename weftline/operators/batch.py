@@ -28,6 +28,16 @@ def with_row_index(df: DataFrame, *order: str | Column, row: str = ROW) -> DataF
     return placed.join(F.broadcast(starts), "_part").withColumn(row, F.col("_start") + F.col("_seq") - F.col("_first")).drop("_part", "_seq", "_first", "_start")
 
 
+def with_group_rank(df: DataFrame, groups: list[str], *order: str | Column, rank: str = "rank") -> DataFrame:
+    """Consecutive numbers from 1 within each group. A large group lies in many range partitions, so none is sorted by one task; null is a group."""
+    numbered = with_row_index(df, *groups, *order, row="_row")
+    starts = numbered.groupBy(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)]).agg(F.min("_row").alias("_begin"))
+    same = F.lit(True)
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return numbered.join(starts, same).withColumn(rank, F.col("_row") - F.col("_begin") + 1).select(*df.columns, rank)
+
+
 def with_running_sum(df: DataFrame, value: str, *order: str | Column, out: str = "upto") -> DataFrame:
     """The sum of a column over this and all earlier rows, in parts: sums within range partitions, moved by the totals of the partitions before."""
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.text import formatted_passages
+
 #: Vectors of a block, on either side.
 BLOCK = 2048
 
@@ -50,6 +52,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, embedding: str, k:
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def passages(hits: DataFrame, texts: DataFrame, key: str, text: str, out: str = "passages") -> DataFrame:
+    """query_id and the formatted passages of its hits (query_id, key, rank), in the order of rank; hits without a text are left out. A query has few hits."""
+    joined = hits.join(texts.select(key, F.col(text).alias("_text")), key).where(F.col("_text").isNotNull())
+    ranked = joined.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "_text"))).alias("_r"))
+    return ranked.select("query_id", formatted_passages(F.transform("_r", lambda x: x["_text"])).alias(out))
+
+
 #: Vectors of the sample that centroids are fitted on, at most; every row is assigned, whatever the sample.
 SAMPLE = 20_000
 #: Rounds of the fit, and the least number of a list's vectors in the sample.

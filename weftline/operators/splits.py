@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Hashable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.batch import with_group_rank
+
 Cells = dict[tuple[str, str], int]
 
 
@@ -115,8 +117,8 @@ def exact_split(df: DataFrame, domain: str, scenario: str, key: str, train: int,
     cells = {(r[0], r[1]): r[2] for r in keyed.groupBy("_d", "_s").agg(F.count(F.lit(1))).collect()}  # a row a kind
     quotas = split_quotas(cells, train, val)
     bounds = df.sparkSession.createDataFrame([(d, s, quotas[1].get((d, s), 0), quotas[0].get((d, s), 0)) for d, s in cells] or [("", "", 0, 0)], "_d string, _s string, _v long, _t long")
-    rank = F.row_number().over(Window.partitionBy("_d", "_s").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key))
-    out = keyed.withColumn("_k", rank).join(F.broadcast(bounds), ["_d", "_s"])
+    ranked = with_group_rank(keyed, ["_d", "_s"], F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key, rank="_k")
+    out = ranked.join(F.broadcast(bounds), ["_d", "_s"])
     split = F.when(F.col("_k") <= F.col("_v"), "val").when(F.col("_k") <= F.col("_v") + F.col("_t"), "train")
     return out.withColumn("split", split).where("split is not null").drop("_d", "_s", "_v", "_t", "_k")
 
@@ -129,7 +131,8 @@ def even_targets(names: list[str], total: int) -> dict[str, int]:
 
 def quota_rounds(df: DataFrame, domain: str, text: str, key: str, targets: dict[str, int]) -> DataFrame:
     """Of each domain its target of rows in the order of keys, after rows of a domain with an equal text but the first are dropped."""
-    first = F.row_number().over(Window.partitionBy(domain, F.lower(F.trim(text))).orderBy(key))
-    unique = df.withColumn("_f", first).where("_f = 1").drop("_f")
+    # rows of one domain and text are aggregated to their first key, so a text that many rows have is no burden
+    firsts = df.groupBy(domain, F.sha2(F.lower(F.trim(text)), 256)).agg(F.min(key).alias("_first")).select("_first")
+    unique = df.join(firsts, F.col(key) == F.col("_first"), "left_semi")
     goal = F.element_at(F.create_map(*[x for n, t in targets.items() for x in (F.lit(n), F.lit(t))]), F.col(domain))
-    return unique.withColumn("_k", F.row_number().over(Window.partitionBy(domain).orderBy(key))).where(F.col("_k") <= goal).drop("_k")
+    return with_group_rank(unique, [domain], key, rank="_k").where(F.col("_k") <= goal).drop("_k")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weftline.functions import answers, arrays, contracts, jsons, maths
 from weftline.functions import text as tx
 from weftline.operators import advantages as adv
-from weftline.operators import policy, tasks
+from weftline.operators import policy, retrieval, tasks
 from weftline.plans.samples import SAMPLES_SQL, rounded, samples, table
 from weftline.plans.trajectory_log import LOG_SQL, event_log, session_tasks
 from weftline.sources import io
@@ -243,8 +243,11 @@ def message_rules(s, d):
 
 
 def search_passages(s, d):
-    docs = table(s, d, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("r"))
-    return docs.select("source", F.md5(tx.formatted_passages(F.transform("r", lambda x: x["text"]))).alias("passages"))
+    """The passages of the three vectors nearest to each query, formatted in the order of their ranks; whole texts."""
+    v = table(s, d, "embeddings")
+    hits = retrieval.nearest(v, v.where("vec_id % 20 = 0"), "vec_id", "embedding", 3)
+    texts = table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    return retrieval.passages(hits, texts, "vec_id", "text").select("query_id", F.md5("passages").alias("passages"))
 
 
 def _latex():
@@ -474,9 +477,11 @@ ORACLE_SQL = {
     "written_and_read": f"WITH {_CALLS} SELECT task::VARCHAR AS uid, CASE WHEN n < 4 THEN 'orders' ELSE 'items' END AS data_source, array_to_string(list_sort(list_distinct(coalesce(tools, []))), ',') AS tools, query, query AS prompt FROM tn",
     "rollouts_round_trip": "SELECT (item_id % 3)::INT AS step, count(*) AS n, sum(item_id / 4) AS score, count(*) AS masked FROM benchmark GROUP BY 1",
     "shard_merge": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 500",
-    "search_passages": r"""WITH r AS (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, doc_id FROM documents),
-      p AS (SELECT source, string_agg('Doc ' || i || ' (Title: ' || string_split(text, chr(10))[1] || ')' || chr(10) || array_to_string(string_split(text, chr(10))[2:], chr(10)) || chr(10) || chr(10), '' ORDER BY doc_id) AS t FROM r GROUP BY source)
-      SELECT source, md5(regexp_replace(t, '^\s+|\s+$', '', 'g')) AS passages FROM p""",
+    "search_passages": r"""WITH c AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS cos FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id),
+      h AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, vec_id) AS rank FROM c QUALIFY rank <= 3),
+      r AS (SELECT query_id, text, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM h JOIN documents ON doc_id = vec_id WHERE text IS NOT NULL),
+      p AS (SELECT query_id, string_agg('Doc ' || i || ' (Title: ' || string_split(text, chr(10))[1] || ')' || chr(10) || array_to_string(string_split(text, chr(10))[2:], chr(10)) || chr(10) || chr(10), '' ORDER BY i) AS t FROM r GROUP BY query_id)
+      SELECT query_id, md5(regexp_replace(t, '^\s+|\s+$', '', 'g')) AS passages FROM p""",
     "prompt_messages": """WITH b AS (SELECT item_id, item_id % 5 AS k, text FROM benchmark)
       SELECT item_id, [2, 1, 1, 0, 0][k + 1]::INT AS n, [1, 1, 1, 0, 0][k + 1]::INT AS said, md5(CASE WHEN k = 0 THEN 'system:be brief|user:' || text WHEN k < 3 THEN 'user:' || text ELSE '' END) AS digest FROM b""",
     "allocated_tokens": f"""WITH {SAMPLES_SQL}, a AS (SELECT uid, pos, length, {_GRPO} AS adv FROM s WINDOW w AS (PARTITION BY uid)) SELECT uid, pos, length::BIGINT AS tokens, round(adv / sqrt(length) * length, 4) + 0.0 AS total FROM a WHERE length > 0""",
