@@ -8,15 +8,51 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from weftline.operators.trajectories import dual_step
+from weftline.streaming.audit import STORE
 
 QUEUE_OUT = "queue string, seq long, payload string, param_version int, event string, produced long, dropped long"
-QUEUE_STATE = "items string, produced long, dropped long"
+ITEM = "seq long, payload string, param_version int"
+
+
+class Queues(StatefulProcessor):
+    """A FIFO a key in a list of the state store, and its counters: what a batch needs is worked out for all its messages at once."""
+
+    def __init__(self, capacity: int, release: int):
+        self.capacity, self.release = capacity, release
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.items = handle.getListState("items", ITEM)
+        self.counts = handle.getValueState("counts", "produced long, dropped long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        names = [c.split()[0] for c in ITEM.split(", ")]
+        held = pd.DataFrame(list(self.items.get()) if self.items.exists() else [], columns=names)
+        produced, dropped = self.counts.get() if self.counts.exists() else (0, 0)
+        new = pd.concat(list(rows)).sort_values("seq", kind="stable")[names]
+        every = pd.concat([held, new], ignore_index=True)
+        # the n-th message to go is pushed out by the n-th that comes when the queue is full
+        gone = max(0, len(every) - self.capacity)
+        at = max(0, self.capacity - len(held)) + np.arange(gone)
+        lost = every.iloc[:gone].assign(event="dropped", produced=produced + at, dropped=dropped + 1 + np.arange(gone))
+        taken = every.iloc[gone : gone + self.release].assign(event="taken", produced=produced + len(new), dropped=dropped + gone)
+        left = every.iloc[gone + len(taken) :]
+        if len(left):
+            self.items.put([(int(q), p, int(v)) for q, p, v in left.itertuples(index=False)])
+        else:
+            self.items.clear()
+        self.counts.update((produced + len(new), dropped + gone))
+        yield pd.concat([lost, taken]).assign(queue=key[0])[[c.split()[0] for c in QUEUE_OUT.split(", ")]]
+
+    def close(self) -> None:
+        pass
 
 
 def bounded_queue(messages: DataFrame, capacity: int, release: int = 0) -> DataFrame:
@@ -26,24 +62,14 @@ def bounded_queue(messages: DataFrame, capacity: int, release: int = 0) -> DataF
     OLDEST message is dropped and counted, and reported with event "dropped". After
     each micro-batch up to `release` messages leave from the head with event "taken".
     """
-    import json
+    messages.sparkSession.conf.set(*STORE)
+    return messages.groupBy("queue").transformWithStateInPandas(Queues(capacity, release), QUEUE_OUT, "Append", "None")
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        items, produced, dropped = ([], 0, 0) if not state.exists else (json.loads(state.get[0]), state.get[1], state.get[2])
-        out: list[tuple] = []
-        new = pd.concat(list(frames)).sort_values("seq", kind="stable")
-        for seq, payload, version in zip(new["seq"], new["payload"], new["param_version"], strict=True):
-            if len(items) >= capacity:
-                dropped += 1
-                out.append((key[0], *items.pop(0), "dropped", produced, dropped))
-            items.append((int(seq), payload, int(version)))
-            produced += 1
-        for _ in range(min(release, len(items))):
-            out.append((key[0], *items.pop(0), "taken", produced, dropped))
-        state.update((json.dumps(items), produced, dropped))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in QUEUE_OUT.split(", ")])
-
-    return messages.groupBy("queue").applyInPandasWithState(step, QUEUE_OUT, QUEUE_STATE, "append", GroupStateTimeout.NoTimeout)
+
+def queue_statistics(events: DataFrame) -> DataFrame:
+    """(queue, consumed, dropped, produced) of what a queue reported so far: produced as of the last message that left."""
+    return events.groupBy("queue").agg(
+        F.sum((F.col("event") == "taken").cast("long")).alias("consumed"), F.sum((F.col("event") == "dropped").cast("long")).alias("dropped"), F.max("produced").alias("produced"))
 
 
 def fresh(messages: DataFrame, current_version: int, most_lag: int) -> DataFrame:
@@ -51,9 +77,10 @@ def fresh(messages: DataFrame, current_version: int, most_lag: int) -> DataFrame
     return messages.where(F.lit(current_version) - F.col("param_version") <= most_lag)
 
 
-def staleness_budget(required: int, threshold: float, sync_steps: int) -> int:
-    """How many samples may be produced before the next parameter sync."""
-    return int(required * (threshold + 1) * sync_steps)
+def staleness_budget(required, threshold, sync_steps):
+    """How many samples may be produced before the next parameter sync; numbers or columns."""
+    budget = required * (threshold + 1) * sync_steps
+    return F.floor(budget).cast("bigint") if isinstance(budget, Column) else int(budget)
 
 
 CONTROL_OUT = "name string, batch long, cost double, lam double, streak int, frozen boolean"
