@@ -61,6 +61,13 @@ def grpo_floored(df: DataFrame, uid: str = "uid", score: str = "score", eps: flo
     return df.withColumn("advantage", centred / (scale + eps))
 
 
+def group_moments(df: DataFrame, uid: str = "uid", score: str = "score", eps: float = EPS) -> DataFrame:
+    """(uid, n, mean, std) of each group: the root of the sample variance, floored at eps; a single row has mean 0 and deviation 1. Aggregates only, so a hot group is no burden."""
+    one = F.count(score) == 1
+    return df.groupBy(uid).agg(
+        F.count(score).alias("n"), F.when(one, F.lit(0.0)).otherwise(F.avg(score)).alias("mean"), F.when(one, F.lit(1.0)).otherwise(F.sqrt(F.greatest(F.var_samp(score), F.lit(eps)))).alias("std"))
+
+
 @register("pass_at_k")
 def pass_at_k(df: DataFrame, uid: str = "uid", score: str = "score", order: str = "pos", by_std: bool = True, eps: float = EPS) -> DataFrame:
     """The best row of a group gets the lead over the second, others 0. Of equal scores the
