@@ -3,8 +3,10 @@
 Blank lines part sections, line breaks part paragraphs, and a paragraph is cut into
 pieces of a fixed number of characters, the leaves. A node is the MD5 of its
 children's digests, so equal roots mean equal texts and unequal branches lead to
-the edits. A fingerprint is "root/tree": the tree lists the first 8 hex digits of
-every leaf, with "." between paragraphs and "/" between sections.
+the edits. A fingerprint is "root/tree": the tree has the first 8 hex digits of
+every node, a section as "digest:paragraphs" and a paragraph as "digest-leaves", with "." between
+paragraphs and "/" between sections. Two trees are compared from the top: only where sections
+differ are their paragraphs compared, and only where these differ their leaves.
 """
 
 from __future__ import annotations
@@ -25,9 +27,9 @@ BOUNDS = 255
 def fingerprint(text: str, piece: int = PIECE) -> Column:
     """The fingerprint of a string expression; null counts as empty."""
     leaves = f"transform(regexp_extract_all(p, '(?s).{{1,{piece}}}', 0), x -> md5(x))"
-    paragraph = f"transform(array({leaves}), ls -> named_struct('n', md5(array_join(ls, '')), 't', array_join(transform(ls, l -> left(l, 8)), '')))[0]"
+    paragraph = f"transform(array({leaves}), ls -> named_struct('n', md5(array_join(ls, '')), 't', concat(left(md5(array_join(ls, '')), 8), '-', array_join(transform(ls, l -> left(l, 8)), ''))))[0]"
     paragraphs = f"transform(split(s, '\\n'), p -> {paragraph})"
-    section = f"transform(array({paragraphs}), ps -> named_struct('n', md5(array_join(transform(ps, q -> q.n), '')), 't', array_join(transform(ps, q -> q.t), '.')))[0]"
+    section = f"transform(array({paragraphs}), ps -> named_struct('n', md5(array_join(transform(ps, q -> q.n), '')), 't', concat(left(md5(array_join(transform(ps, q -> q.n), '')), 8), ':', array_join(transform(ps, q -> q.t), '.'))))[0]"
     sections = f"transform(split(coalesce({text}, ''), '\\n\\n'), s -> {section})"
     return F.expr(
         f"transform(array({sections}), ss -> concat(md5(array_join(transform(ss, q -> q.n), '')), '/', array_join(transform(ss, q -> q.t), '/')))[0]"
@@ -35,7 +37,8 @@ def fingerprint(text: str, piece: int = PIECE) -> Column:
 
 
 def leaves_of(fp: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.substring(fp, 34, 2**31 - 1), F.lit("[0-9a-f]{8}"), F.lit(0)))
+    leaves = F.regexp_replace(F.substring(fp, 34, 2**31 - 1), "[0-9a-f]{8}[:-]", "")
+    return F.array_distinct(F.regexp_extract_all(leaves, F.lit("[0-9a-f]{8}"), F.lit(0)))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -45,26 +48,34 @@ def likeness(a: str, b: str) -> Column:
     return F.when(F.col(a) == F.col(b), F.lit(1.0)).when(total == 0, F.lit(0.0)).otherwise(2.0 * common / total)
 
 
+def _branches(a: str, b: str, sections: str, paragraphs: str, pieces: str, label: str) -> str:
+    """Labels of the leaves that differ, found from the top: i, j and k run over what `sections`, `paragraphs` and `pieces` say."""
+    leaf = lambda p: f"substring({p}, 10 + 8 * k, 8)"
+    within = f"transform(filter({pieces}, k -> NOT {leaf('w.p')} <=> {leaf('w.q')}), k -> {label})"
+    below = f"transform(array(named_struct('p', coalesce(get(y.ps, j), ''), 'q', coalesce(get(y.qs, j), ''))), w -> if(left(w.p, 8) = left(w.q, 8), array(), {within}))[0]"
+    split_ = "named_struct('ps', split(substring(coalesce(get(z.s, i), ''), 10), '[.]'), 'qs', split(substring(coalesce(get(z.t, i), ''), 10), '[.]'))"
+    inner = f"if(left(coalesce(get(z.s, i), ''), 8) = left(coalesce(get(z.t, i), ''), 8), array(), transform(array({split_}), y -> flatten(transform({paragraphs}, j -> {below})))[0])"
+    return f"""CASE WHEN left({a}, 32) = left({b}, 32) THEN array() ELSE
+      transform(array(named_struct('s', split(substring({a}, 34), '/'), 't', split(substring({b}, 34), '/'))), z -> flatten(transform({sections}, i -> {inner})))[0] END"""
+
+
+def _upto(n: str) -> str:
+    return f"if({n} > 0, sequence(0, cast({n} as int) - 1), cast(array() as array<int>))"
+
+
 def differing(a: str, b: str) -> Column:
-    """Where two fingerprints (columns) differ: structs of section, paragraph and piece, from 0, in the first tree or the second."""
-    tree = lambda c: f"split(substring({c}, 34), '/')"
-    return F.expr(f"""
-      CASE WHEN left({a}, 32) = left({b}, 32) THEN array() ELSE
-      flatten(transform(sequence(0, greatest(size({tree(a)}), size({tree(b)})) - 1), i ->
-        transform(array(named_struct('x', split(coalesce(get({tree(a)}, i), ''), '[.]'), 'y', split(coalesce(get({tree(b)}, i), ''), '[.]'))), z ->
-          flatten(transform(sequence(0, greatest(size(z.x), size(z.y)) - 1), j ->
-            transform(filter(sequence(0, greatest(1, cast(greatest(length(coalesce(get(z.x, j), '')), length(coalesce(get(z.y, j), ''))) / 8 as int)) - 1),
-              k -> NOT substring(coalesce(get(z.x, j), ''), 8 * k + 1, 8) <=> substring(coalesce(get(z.y, j), ''), 8 * k + 1, 8)),
-              k -> named_struct('section', i, 'paragraph', j, 'piece', k)))))[0])) END""")
+    """Where two fingerprints (columns) differ: structs of section, paragraph and piece, from 0, in the first tree or the second; none for equal or null ones.
+
+    A paragraph with no leaf on either side that differs counts as its piece 0.
+    """
+    pieces = _upto("greatest(1, floor((greatest(length(w.p), length(w.q)) - 9) / 8))")
+    return F.coalesce(F.expr(_branches(a, b, _upto("greatest(size(z.s), size(z.t))"), _upto("greatest(size(y.ps), size(y.qs))"), pieces, "named_struct('section', i, 'paragraph', j, 'piece', k)")), F.array())
 
 
 def pieces_changed(a: str, b: str) -> Column:
-    """The pieces of fingerprint b (columns) that a doesn't have at their place, as "section.paragraph.piece" from 0, joined by commas."""
-    labels = lambda c: (
-        f"flatten(transform(split(substring({c}, 34), '/'), (s, i) -> flatten(transform(split(s, '[.]'), (p, j) -> "
-        f"transform(if(length(p) < 8, array(), sequence(0, cast(length(p) / 8 as int) - 1)), k -> concat_ws('.', i, j, k) || '=' || substring(p, 8 * k + 1, 8))))))"
-    )
-    return F.expr(f"CASE WHEN {a} = {b} THEN '' ELSE array_join(transform(array_except({labels(b)}, {labels(a)}), x -> substring_index(x, '=', 1)), ',') END")
+    """The pieces of fingerprint b (columns) that a doesn't have at their place, as "section.paragraph.piece" from 0, joined by commas; none for null ones."""
+    found = _branches(a, b, _upto("size(z.t)"), _upto("size(y.qs)"), _upto("floor((length(w.q) - 9) / 8)"), "concat_ws('.', i, j, k)")
+    return F.array_join(F.coalesce(F.expr(found), F.array().cast("array<string>")), ",")
 
 
 def fingerprints(docs: DataFrame, piece: int = PIECE) -> DataFrame:
@@ -161,13 +172,14 @@ def edits(docs: DataFrame, piece: int = PIECE) -> DataFrame:
 _FP = """(list_transform([list_transform(string_split({t}, chr(10) || chr(10)), lambda s:
   list_transform([list_transform(string_split(s, chr(10)), lambda p:
     list_transform([list_transform(regexp_extract_all(p, '(?s).{{1,32}}'), lambda x: md5(x))], lambda ls:
-      {{'n': md5(array_to_string(ls, '')), 't': array_to_string(list_transform(ls, lambda l: left(l, 8)), '')}})[1])], lambda ps:
-    {{'n': md5(array_to_string(list_transform(ps, lambda q: q.n), '')), 't': array_to_string(list_transform(ps, lambda q: q.t), '.')}})[1])], lambda ss:
+      {{'n': md5(array_to_string(ls, '')), 't': left(md5(array_to_string(ls, '')), 8) || '-' || array_to_string(list_transform(ls, lambda l: left(l, 8)), '')}})[1])], lambda ps:
+    {{'n': md5(array_to_string(list_transform(ps, lambda q: q.n), '')), 't': left(md5(array_to_string(list_transform(ps, lambda q: q.n), '')), 8) || ':' || array_to_string(list_transform(ps, lambda q: q.t), '.')}})[1])], lambda ss:
   md5(array_to_string(list_transform(ss, lambda q: q.n), '')) || '/' || array_to_string(list_transform(ss, lambda q: q.t), '/'))[1])"""
-_LEAVES = "list_distinct(regexp_extract_all(substr({f}, 34), '[0-9a-f]{{8}}'))"
+_TREE = "regexp_replace(substr({f}, 34), '[0-9a-f]{{8}}[:-]', '', 'g')"
+_LEAVES = f"list_distinct(regexp_extract_all({_TREE}, '[0-9a-f]{{{{8}}}}'))"
 
 
-_LABELS = """flatten(list_transform(string_split(substr({f}, 34), '/'), lambda s, i: flatten(list_transform(string_split(s, '.'), lambda p, j:
+_LABELS = """flatten(list_transform(string_split(regexp_replace(substr({f}, 34), '[0-9a-f]{{8}}[:-]', '', 'g'), '/'), lambda s, i: flatten(list_transform(string_split(s, '.'), lambda p, j:
   list_transform(range(0, length(p) // 8), lambda k: (i - 1)::VARCHAR || '.' || (j - 1)::VARCHAR || '.' || k::VARCHAR || '=' || substr(p, (8 * k + 1)::BIGINT, 8))))))"""
 
 
