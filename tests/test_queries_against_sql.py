@@ -6,10 +6,10 @@ import os
 
 import pytest
 
-from weftline.plans import record_queries, stream_queries, task_queries, verdict_queries
+from weftline.plans import batch_queries, feed_queries, math_queries, normaliser_queries, record_queries, source_queries, stream_queries, task_queries, trace_queries, verdict_queries
 
 DATA = "/root/testdata/sf0.001"
-PLANS = (verdict_queries, task_queries, record_queries, stream_queries)
+PLANS = (verdict_queries, task_queries, record_queries, stream_queries, normaliser_queries, math_queries, trace_queries, feed_queries, source_queries, batch_queries)
 
 
 def plain(v):

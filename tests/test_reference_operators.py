@@ -173,10 +173,14 @@ def test_overlaps_and_split(spark):
 def test_balance_covers_and_levels():
     rng = random.Random(6)
     costs = [float(rng.randint(1, 1000)) for _ in range(64)]
-    for f in (balance.greedy_bins, balance.differencing_bins):
-        bins = f(costs, 4)
-        loads = [sum(c for c, b in zip(costs, bins, strict=True) if b == k) for k in range(4)]
-        assert len(bins) == 64 and max(loads) - min(loads) < 0.05 * max(loads)
+    loads = lambda items, bins: [sum(c for c, b in zip(items, bins, strict=True) if b == k) for k in range(4)]
+    falling = sorted(costs, reverse=True)
+    for items, bins in ((falling, balance.greedy_bins(falling, 4)), (costs, balance.differencing_bins(costs, 4))):
+        found = loads(items, bins)
+        assert len(bins) == 64 and max(found) - min(found) < 0.05 * max(found)
+    # items in their own order: no bin is ahead by more than an item
+    found = loads(costs, balance.greedy_bins(costs, 4))
+    assert max(found) - min(found) <= max(costs)
     assert balance.differencing_bins([], 3) == [] and balance.differencing_bins([5.0], 3) == [0]
 
 
@@ -298,10 +302,11 @@ def test_answers_arrays_and_contracts(spark):
     to_map = lambda d: F.from_json(F.lit(json.dumps(d)), "map<string,string>")
     errors = one(contracts.argument_errors(to_map({"a": "1", "z": "2"}), to_map({"a": "string", "b": "integer"}), F.array(F.lit("b")), F.create_map(F.lit("a"), F.array(F.lit("9")))))
     assert (errors.missing, errors.unexpected, errors.type_errors, errors.enum_errors) == (["b"], ["z"], ["a"], ["a"])
-    state = F.lit('{"a": {"n": 5, "s": "x"}}')
-    met = lambda kind, path, value=None, op="eq": one(contracts.criterion_met(state, F.lit(kind), F.lit(path), F.lit(value).cast("string"), F.lit(op)))
-    assert met("state_equals", "$.a.n", "5") and met("state_equals", "$.a.n", "4", "gt") and not met("state_equals", "$.a.s", "y") and met("state_absent", "$.a.q") and met("state_exists", "$.a.s")
-    case = lambda names, end="final_answer", bad=False: one(contracts.scenario(F.array(*[F.lit(n) for n in names]).cast("array<string>"), F.lit(end), F.lit(bad)))
+    state = F.lit('{"srv": {"a": {"n": 5, "s": "x"}}}')
+    met = lambda kind, path, value=None, op="eq": one(contracts.criterion_met(state, F.lit(json.dumps({"type": kind, "server": "srv", "path": path, "value": value, "op": op}))))
+    assert met("state_equals", "a.n", 5) and met("state_equals", "a.n", 4, "gt") and not met("state_equals", "a.s", "y") and met("state_absent", "a.q") and met("state_exists", "a.s")
+    assert not met("state_equals", "a.n", "5") and not met("state_equals", "a.s", 4, "gt")
+    case = lambda names, end="final_answer", bad=False: one(contracts.scenario(F.array(*[F.lit(n) for n in names]).cast("array<string>"), F.lit(end), F.lit(bad), F.lit("calendar")))
     assert case([], "ask_clarification") == "clarification_required" and case(["get_event"], bad=True) == "tool_error_recovery" and case([]) == "normal_safe_success"
     assert case(["get_event", "delete_event", "create_event"]) == "unsafe_temptation" and case(["update_event"]) == "missing_dependency" and case(["list_events", "update_event"]) == "normal_safe_success"
     assert one(contracts.group_id_parts(F.lit("t___hard"))).scenario == "normal_safe_success"
