@@ -55,11 +55,11 @@ QUERIES = {f.__name__: f for f in (trace_signatures, trace_dedup, task_identitie
 
 _TASKS_SQL = f"""
 it AS (
-  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_orderkey % 11 <> 0 AS is_call, 'get_' || lower(l_linestatus) AS tool, {_ARGS} AS arguments FROM lineitem),
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_orderkey % 11 <> 0 AS is_call, 'get_' || lower(l_linestatus) AS tool, {_ARGS} AS arguments FROM lineitem),
 pt AS (
   SELECT *, CASE WHEN l_linenumber = 6 THEN '' WHEN l_linenumber = 5 THEN 'a=' || (l_partkey % 2) || chr(31) || 'b={{"x":[1,2],"y":"' || l_returnflag || '"}}'
     ELSE 'flag=' || l_returnflag || ',:"' || chr(31) || 'id=r' || (l_orderkey % 5) || chr(31) || 'n=' || (l_linenumber % 2 * (l_suppkey % 2)) END AS pairs,
-    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i FROM (SELECT it.*, l_returnflag FROM it JOIN lineitem USING (l_orderkey, l_linenumber, l_partkey, l_suppkey))),
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, tool, arguments) - 1 AS i FROM it),
 tk AS (
   SELECT o_orderkey, 'd' || (o_custkey % 5) AS domain, CASE WHEN any_value(l_orderkey) IS NOT NULL AND o_orderkey % 11 <> 0 THEN list(i || chr(30) || tool || chr(30) || pairs ORDER BY i) WHEN o_orderkey % 22 = 0 THEN ['0' || chr(30) || 'lost' || chr(30) || 'k=null'] ELSE [] END AS sig
   FROM orders LEFT JOIN pt ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey)"""
