@@ -453,6 +453,10 @@ ORACLE_SQL = {
       SELECT unnest(kept) AS item_id FROM r WHERE k = (SELECT max(k) FROM i)""",
     "quota_rounds": """WITH f AS (SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lang, lower(trim(text, ' ')) ORDER BY doc_id) = 1), n AS (SELECT count(*) // 5 AS n FROM documents)
       SELECT doc_id, lang FROM f, n WHERE lang IN ('de', 'en', 'es', 'fr') QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= n // 4 + (list_position(['de', 'en', 'es', 'fr'], lang) - 1 < n % 4)::INT""",
+    "greedy_partition": f"""WITH RECURSIVE {_BATCHES}, o AS MATERIALIZED (SELECT batch, cost, row_number() OVER (PARTITION BY batch ORDER BY doc_id) AS k FROM b),
+      r AS (SELECT DISTINCT batch, 0::BIGINT AS k, [0, 0, 0, 0]::BIGINT[] AS loads, 0 AS bin, 0::BIGINT AS cost FROM o
+        UNION ALL SELECT o.batch, o.k, list_transform(loads, lambda x, i: x + CASE WHEN i = p THEN o.cost ELSE 0 END), (p - 1)::INT, o.cost FROM (SELECT *, list_position(loads, list_min(loads)) AS p FROM r) r JOIN o ON o.batch = r.batch AND o.k = r.k + 1)
+      SELECT batch, bin, count(*) AS n, sum(cost)::BIGINT AS cost FROM r WHERE k > 0 GROUP BY batch, bin""",
     "zigzag_order": f"WITH {_BATCHES}, r AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY cost DESC, doc_id) - 1 AS k FROM b) SELECT batch, doc_id, (CASE WHEN k // 4 % 2 = 0 THEN k % 4 ELSE 3 - k % 4 END)::INT AS worker FROM r",
     "rollout_report": """SELECT round(quantile_cont(value, 0.5), 6) + 0.0 AS tp50, round(quantile_cont(value, 0.95), 6) + 0.0 AS tp95, round(quantile_cont(value, 0.99), 6) + 0.0 AS tp99,
       count(DISTINCT user_id % 7) AS versions, round(avg((event_type = 'error')::DOUBLE), 6) + 0.0 AS partial_ratio, count(*) AS n FROM events""",
