@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
+from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -134,14 +137,47 @@ def repaired(text: str) -> str | None:
     return body + "}" * max(0, body.count("{") - body.count("}")) + "]" * max(0, body.count("[") - body.count("]"))
 
 
+def balanced_spans(text: str) -> Iterator[str]:
+    """balanced_span() from each opener in turn, in two passes over the text instead of one an opener.
+
+    Whether a place lies in a string depends on where the reading began, and there are two ways to read a text: as if it
+    began outside a string or inside one. An opener that lies outside in a reading is closed as that reading closes it; one
+    that lies inside a string in both is read on its own.
+    """
+    ends: dict[int, int] = {}
+    outside: set[int] = set()
+    for quoted in (False, True):
+        stack, skip = [], False
+        for m in re.finditer(r'["\\{}\[\]]|(?<=\\).', text, re.DOTALL):
+            i, c = m.start(), m[0]
+            if skip and i == escaped + 1:
+                skip = False
+                continue
+            skip = False
+            if c == "\\":
+                skip, escaped = quoted, i
+            elif c == '"':
+                quoted = not quoted
+            elif quoted:
+                continue
+            elif c in "{[":
+                stack.append(i)
+                outside.add(i)
+            elif c in "}]" and stack:
+                ends.setdefault(stack.pop(), i)
+    for m in re.finditer(r"[{\[]", text):
+        i = m.start()
+        if i in ends:
+            yield text[i : ends[i] + 1]
+        elif i not in outside and (span := balanced_span(text, i)):
+            yield span
+
+
 def first_json(text: str | None) -> str | None:
     """JSON in model output: the whole text, a fenced block, a paragraph, or the first balanced span; canonical, null for none."""
-    import re
-
     if not text:
         return None
-    tries = [text.strip(), *re.findall(r"(?s)```(?:json)?\s*(.*?)```", text), *re.split(r"\n\s*\n", text)]
-    tries += [balanced_span(text, m.start()) for m in re.finditer(r"[{\[]", text)]
+    tries = chain([text.strip()], re.findall(r"(?s)```(?:json)?\s*(.*?)```", text), re.split(r"\n\s*\n", text), balanced_spans(text))
     for t in tries:
         value = _loads(t.strip()) if t else None
         if isinstance(value, dict | list):
@@ -151,8 +187,6 @@ def first_json(text: str | None) -> str | None:
 
 def tool_calls(text: str | None) -> tuple[list[str], str]:
     """The tool calls between <tool_call> tags as canonical JSON, broken ones repaired or skipped, and the text without them."""
-    import re
-
     found = []
     for block in re.findall(r"(?s)<tool_call>(.*?)</tool_call>", text or ""):
         value = _loads(block.strip())
