@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import blake2b
+from itertools import combinations
+from math import comb
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +17,8 @@ from weftline.session import checkpointed
 #: Rounds of greedy_keep before the rest may be scanned in one task, and the edges that such a task holds at most.
 ROUNDS = 8
 SCAN_EDGES = 1_000_000
+#: Keys of several tokens that a set has at most, about; keys of a single token come on top.
+KEYS = 256
 
 
 def overlapping(df: DataFrame, start: str, end: str, key: str, width: float, keep: list[str] | None = None) -> DataFrame:
@@ -65,25 +73,82 @@ def distinct_in_order(df: DataFrame, line: str, pos: str) -> DataFrame:
     return df.groupBy(line).agg(F.count(F.lit(1)).alias("count"), F.min(pos).alias("first_pos"))
 
 
+def least_overlap(n: int, m: int, least: float) -> int:
+    """The smallest overlap at which sets of n and m tokens have a Jaccard similarity of at least `least`; more than both hold where there is none."""
+    return next((o for o in range(max(1, int(least * (n + m) / (1 + least)) - 1), min(n, m) + 1) if o / (n + m - o) >= least), min(n, m) + 1)
+
+
+def shared_picks(n: int, m: int, least: float) -> int:
+    """How many tokens a key for pairs of sets of n and m tokens joins: as many as keep the keys of a set for all sizes of similar sets within KEYS, or one."""
+    o, top = least_overlap(n, m, least), max(n, m)
+    most = KEYS // (int(top / least) - int(top * least) + 1)
+    return next((picks for picks in range(o, 1, -1) if comb(top - o + picks, picks) <= most), 1)
+
+
+def _keys(least: float, sizes: list[int]):
+    """Batches of (block, id, hashes of a set's tokens from rare to frequent) as a row a key: its digest, the id, and whether the set is the smaller (0) or larger (1) of a pair or either (2)."""
+    plans: dict[int, set[tuple[int, str, int, int]]] = {n: set() for n in sizes}
+    for n in sizes:
+        for m in sizes:
+            o = least_overlap(n, m, least)
+            if n <= m and o <= n:
+                picks = shared_picks(n, m, least)
+                for side, size in enumerate((n, m)):
+                    # keys of one token serve all sizes, with the prefix of the least overlap that a set of this size may need
+                    need = o if picks > 1 else next(x for x in range(1, size + 1) if x / size >= least)
+                    plans[size].add((2 if n == m or picks == 1 else side, f"{n}:{m}" if picks > 1 else "", size - need + picks, picks))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sides, digests = [], [], []
+
+            def made() -> pa.RecordBatch:
+                taken = batch.column(1).take(pa.array(ids, pa.int64()))
+                return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), taken, pa.array(sides, pa.int8())], ["digest", "id", "side"])
+
+            for i, (block, tokens) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                words = [t.to_bytes(8, "little", signed=True) for t in tokens]
+                for side, name, prefix, picks in plans[len(words)]:
+                    start = blake2b(f"{name}:{block}:".encode(), digest_size=16)
+                    for chosen in combinations(words[:prefix], picks):
+                        key = start.copy()
+                        key.update(b"".join(chosen))
+                        digests.append(key.digest())
+                        ids.append(i)
+                        sides.append(side)
+                if len(ids) >= 100_000:
+                    yield made()
+                    ids, sides, digests = [], [], []
+            if ids:
+                yield made()
+
+    return run
+
+
 def jaccard_pairs(df: DataFrame, key: str, block: str, tokens: str, least: float) -> DataFrame:
     """Pairs (a < b) of a block whose token sets have a Jaccard similarity of at least `least`.
 
-    Prefix filtering: tokens are ranked from rare to frequent, and only the first
-    n - ceil(least * n) + 1 of a set are indexed, as similar sets must share one
-    of these. Frequent tokens so hardly ever pair rows. Empty sets have no pairs.
+    Prefix filtering with several tokens a key: tokens are ranked from rare to frequent, and sets of n and m tokens
+    that must share o of them share k within the first n - o + k of the one and m - o + k of the other. So each set gives, for each size
+    that a similar set has, a key for every choice of k tokens of its prefix; k is as large as KEYS keys a set allow: all o
+    tokens for sets of up to about nine, whose meetings are then the pairs themselves, and one for sets of over about fifty. Frequent tokens so hardly ever pair rows, even where
+    all tokens are frequent. Rows that meet are compared by their tokens. Empty sets have no pairs; a null block has none either.
     """
-    sets = df.select(key, block, F.array_distinct(tokens).alias("_t")).where(F.size("_t") > 0)
-    each = sets.select(key, block, F.explode("_t").alias("token"))
-    counts = each.groupBy(block, "token").agg(F.count(F.lit(1)).alias("_c"))
-    ordered = each.join(counts, [block, "token"]).groupBy(key, block).agg(F.array_sort(F.collect_list(F.struct("_c", "token"))).alias("_s"))
-    prefix = F.size("_s") - F.ceil(F.size("_s") * F.lit(least)).cast("int") + 1
-    index = ordered.select(key, block, F.transform("_s", lambda x: x["token"]).alias("_t"), F.explode(F.slice("_s", 1, prefix)).alias("_p")).select(key, block, "_t", F.col("_p.token").alias("token"))
-    a = index.select(block, "token", F.col(key).alias("a"), F.col("_t").alias("ta"))
-    b = index.select(block, "token", F.col(key).alias("b"), F.col("_t").alias("tb"))
-    size = lambda c: F.size(c)
-    near = a.join(b, [block, "token"]).where((F.col("a") < F.col("b")) & (size("ta") >= least * size("tb")) & (size("tb") >= least * size("ta")))
-    similarity = F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))
-    return near.dropDuplicates(["a", "b"]).select(block, "a", "b", similarity.alias("similarity")).where(F.col("similarity") >= least)
+    named = df.select(F.col(key).alias("id"), F.col(block).alias("block"), F.array_distinct(tokens).alias("t")).where((F.size("t") > 0) & F.col("block").isNotNull())
+    sets = checkpointed(named)
+    each = sets.select("id", "block", F.explode("t").alias("token"))
+    counts = each.groupBy("block", "token").agg(F.count(F.lit(1)).alias("c"))
+    ordered = each.join(counts, ["block", "token"]).groupBy("id", "block").agg(F.array_sort(F.collect_list(F.struct("c", F.xxhash64("token").alias("h"), "token"))).alias("s"))
+    sizes = [r[0] for r in sets.select(F.size("t")).distinct().collect()]
+    kind = sets.schema["id"].dataType.simpleString()
+    given = ordered.select(F.col("block").cast("string").alias("block"), "id", F.transform("s", lambda x: x["h"]).alias("h"))
+    keys = checkpointed(given.mapInArrow(_keys(least, sizes), f"digest binary, id {kind}, side tinyint"))
+    small, large = (keys.where(F.col("side") != other).select("digest", F.col("id").alias(c), F.col("side").alias(f"{c}_side")) for other, c in ((1, "x"), (0, "y")))
+    met = small.join(large, "digest").where("if(x_side = 2, x < y, x <> y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("t").alias(f"t{c}"), F.col("block").alias(block))
+    common = F.size(F.array_intersect("ta", "tb"))
+    similarity = common / (F.size("ta") + F.size("tb") - common)
+    return met.join(side("a"), "a").join(side("b"), ["b", block]).select(block, "a", "b", similarity.alias("similarity")).where(F.col("similarity") >= least)
 
 
 def scanned(left: DataFrame) -> DataFrame:

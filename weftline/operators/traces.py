@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.relational import greedy_keep, jaccard_pairs
+from weftline.session import checkpointed
 
 #: Fixed value: from this similarity on a task counts as a duplicate of an earlier one.
 LEAST = 0.70
@@ -67,7 +68,7 @@ def similar_traces(tasks: DataFrame, key: str, domain: str, signature: str, leas
     """
     whole = F.sha2(F.array_join(signature, "\x1d"), 256)
     some = tasks.where(F.size(signature) > 0).withColumn("_whole", whole)
-    first = some.groupBy(domain, "_whole").agg(F.min(key).alias(key), F.first(signature).alias(signature))
+    first = checkpointed(some.groupBy(domain, "_whole").agg(F.min_by(F.struct(key, signature), key).alias("_r")).select(domain, "_r.*"))
     return first, jaccard_pairs(first, key, domain, signature, least)
 
 
@@ -77,11 +78,12 @@ def without_similar(tasks: DataFrame, key: str, domain: str, signature: str, lea
     Tasks without calls are similar to nothing and stay. A task that repeats an earlier trace goes whatever became of that
     one: it stays, or a kept task similar to it is similar to both. Keys tell tasks apart; a null domain is a domain.
     """
-    known = tasks.withColumn("_domain", F.coalesce(F.concat(F.lit("d"), F.col(domain).cast("string")), F.lit("")))
+    # signatures cost much more to make than to keep, so they are made once
+    known = checkpointed(tasks.select(key, F.coalesce(F.concat(F.lit("d"), F.col(domain).cast("string")), F.lit("")).alias("_domain"), signature))
     first, pairs = similar_traces(known, key, "_domain", signature, least)
-    kept = greedy_keep(first.select(key), key, pairs)
-    empty = tasks.where(F.coalesce(F.size(signature), F.lit(0)) <= 0)
-    return tasks.join(kept, key, "left_semi").unionByName(empty)
+    kept = greedy_keep(first.select(key), key, pairs).select(key)
+    empty = known.where(F.coalesce(F.size(signature), F.lit(0)) <= 0).select(key)
+    return tasks.join(kept.unionByName(empty), key, "left_semi")
 
 
 def audited(tasks: DataFrame, key: str, identity: str) -> DataFrame:
