@@ -138,8 +138,11 @@ def protected_fields(state: DataFrame, targets: DataFrame, criteria: DataFrame)
 
     Input: targets (task, id), criteria (task, path).
     """
-    intended = criteria.join(targets, "task").where(F.array_contains(F.split("path", "[.]"), F.col("id")) & (F.substring_index("path", ".", -1) != F.col("id")))
-    intended = intended.select("task", F.col("id").alias("entity"), F.substring_index("path", ".", -1).alias("field")).distinct()
+    # every part of a path may be an id, so targets are met by (task, part) and not by all criteria of their task; the key is a
+    # struct, as Spark would carry a filter on the targets' ids, which may fail on other texts, over to the parts of a plain key
+    meet = F.struct("task", "id").alias("_k")
+    parts = criteria.select("task", F.substring_index("path", ".", -1).alias("field"), F.explode(F.array_distinct(F.split("path", "[.]"))).alias("id")).where(F.col("id") != F.col("field"))
+    intended = parts.withColumn("_k", meet).join(targets.select(meet), "_k", "left_semi").select("task", F.col("id").alias("entity"), "field").distinct()
     held = state.join(targets.withColumnRenamed("id", "entity"), ["task", "entity"], "left_semi").where(~F.col("field").endswith("_id"))
     return held.select("task", "entity", "field").distinct().join(intended, ["task", "entity", "field"], "left_anti")
 
