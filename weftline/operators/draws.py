@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import sin
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,13 @@ BLOCK_ROWS, FAN = 1000, 256
 #: Fixed value: added to every weight.
 LEAST_WEIGHT = 1e-8
 #: Samples up to which a group is drawn from as an array; a larger one is joined with its draws.
-ARRAY_SAMPLES = 4096
+ARRAY_SAMPLES = 1_000_000
+#: Draws of a part of a group's resamples, about; draws whose MD5 sums are taken at once; samples of the parts of a task, about.
+PART_DRAWS, PLACES, TASK_SAMPLES = 8_000_000, 8192, 1_000_000
+#: MD5: first state, numbers added and bits turned by step.
+MD5_START = tuple(map(np.uint32, (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)))
+MD5_ADD = [np.uint32(int(abs(sin(i + 1)) * 2**32)) for i in range(64)]
+MD5_TURN = [[np.uint32(x) for x in row] for row in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))]
 
 
 def counts_of(seed: int, level: int, node: int, n: int, weights: list[float]) -> np.ndarray:
@@ -96,25 +103,129 @@ def drawn_index(key: Column, size: Column, resample: Column, i: Column, n: Colum
     return F.floor(uniform(F.concat_ws(":", key.cast("string"), size.cast("string"), resample.cast("string"), i.cast("string")), seed) * n).cast("int")
 
 
+def drawn_places(name: str, size: int, resamples: range, n: int, seed: int) -> np.ndarray:
+    """The places of `drawn_index` for all draws of some resamples, a row each: MD5 sums of many short texts at once."""
+    out = np.empty((len(resamples), size), np.int64)
+    prefix = f"{seed}:{name}:{size}:".encode()
+    for rows in _by_digits(resamples.start, resamples.stop):
+        for places in _by_digits(0, size):
+            some = np.empty(len(rows) * len(places), np.int64)
+            for begin in range(0, len(some), PLACES):
+                r, i = np.divmod(np.arange(begin, min(len(some), begin + PLACES)), len(places))
+                numbers = md5_numbers(prefix, r + rows.start, len(str(rows.start)), i + places.start, len(str(places.start)))
+                some[begin:begin + PLACES] = numbers / float(2**52) * n
+            out[rows.start - resamples.start:rows.stop - resamples.start, places.start:places.stop] = some.reshape(len(rows), len(places))
+    return out
+
+
+def _by_digits(start: int, stop: int) -> list[range]:
+    """The numbers from start to before stop, in parts of equally many decimal digits."""
+    edges = [start, *(10**k for k in range(1, 20) if start < 10**k < stop), stop]
+    return [range(a, b) for a, b in zip(edges, edges[1:], strict=False) if a < b]
+
+
+def md5_numbers(prefix: bytes, first: np.ndarray, first_digits: int, second: np.ndarray, second_digits: int) -> np.ndarray:
+    """The first 13 hex digits of the MD5 of a prefix followed by a number, a colon and a number, for many pairs of numbers of so many decimal digits."""
+    colon = len(prefix) + first_digits
+    length = colon + 1 + second_digits
+    if length > 55:
+        # more than one block
+        return np.array([int(hashlib.md5(prefix + f"{r}:{i}".encode()).hexdigest()[:13], 16) for r, i in zip(first.tolist(), second.tolist(), strict=True)], np.int64)
+    block = np.zeros(64, np.uint8)
+    block[:len(prefix)] = np.frombuffer(prefix, np.uint8)
+    block[colon], block[length] = ord(":"), 0x80
+    block[56:] = np.frombuffer((length * 8).to_bytes(8, "little"), np.uint8)
+    words: list = [np.uint32(w) for w in block.view("<u4")]
+    for numbers, begin, end in ((first, len(prefix), colon), (second, colon + 1, length)):
+        left = numbers.astype(np.uint32)
+        for at in range(end - 1, begin - 1, -1):
+            left, digit = np.divmod(left, np.uint32(10))
+            words[at // 4] = words[at // 4] | ((digit + np.uint32(48)) << np.uint32(8 * (at % 4)))
+    with np.errstate(over="ignore"):
+        a, b, c, d = (np.full(len(first), s, np.uint32) for s in MD5_START)
+        for step in range(64):
+            if step < 16:
+                mixed, word = d ^ (b & (c ^ d)), step
+            elif step < 32:
+                mixed, word = c ^ (d & (b ^ c)), (5 * step + 1) % 16
+            elif step < 48:
+                mixed, word = b ^ c ^ d, (3 * step + 5) % 16
+            else:
+                mixed, word = c ^ (b | ~d), 7 * step % 16
+            mixed += a
+            mixed += words[word] + MD5_ADD[step]
+            turn = MD5_TURN[step // 16][step % 4]
+            turned = mixed << turn
+            mixed >>= np.uint32(32) - turn
+            turned |= mixed
+            turned += b
+            a, d, c, b = d, c, b, turned
+        high, low = ((x + s).byteswap().astype(np.int64) for x, s in zip((a, b), MD5_START, strict=False))
+    return (high << 20) | (low >> 12)
+
+
+def resample_outcomes(name: str, values: np.ndarray, kinds: np.ndarray, size: int, resamples: range, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best, worst and majority of each of some resamples of a group, whose predictions are told by numbers from 0."""
+    at = drawn_places(name, size, resamples, len(values), seed)
+    drawn, n_kinds, rows = values[at], int(kinds.max()) + 1, len(resamples)
+    if n_kinds <= size:
+        slot = kinds[at] + np.arange(rows)[:, None] * n_kinds
+        votes = np.bincount(slot.ravel(), minlength=rows * n_kinds).reshape(rows, n_kinds)
+        first = np.full(rows * n_kinds, size, np.int64)
+        # the last write to a place holds, so draws are written from the last to the first
+        first[slot[:, ::-1].ravel()] = np.broadcast_to(np.arange(size)[::-1], (rows, size)).ravel()
+        first = first.reshape(rows, n_kinds)
+        early = np.where(votes == votes.max(axis=1, keepdims=True), first, size).min(axis=1)
+    else:
+        early = np.empty(rows, np.int64)
+        for row in range(rows):
+            _, begins, votes = np.unique(kinds[at[row]], return_index=True, return_counts=True)
+            early[row] = begins[votes == votes.max()].min()
+    # as in Spark, a NaN is above all numbers
+    worst = np.where(np.isnan(drawn).all(axis=1), np.nan, np.where(np.isnan(drawn), np.inf, drawn).min(axis=1))
+    return drawn.max(axis=1), worst, drawn[np.arange(rows), early]
+
+
+def _outcomes(seed: int):
+    """Batches of (u, name, values, predictions, begin, end) of groups as a row a size and resample."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                name, xs, ps, begin, end = (batch.column(k)[i] for k in range(1, 6))
+                values = np.asarray(xs.values.to_numpy(zero_copy_only=False), np.float64)
+                kinds = ps.values.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                total = len(values)
+                for size in [*(2**p for p in range(1, 40) if 2**p < total), total]:
+                    step = max(1, 16 * PLACES // size)
+                    for low in range(begin.as_py(), end.as_py(), step):
+                        some = range(low, min(end.as_py(), low + step))
+                        found = resample_outcomes(name.as_py(), values, kinds, size, some, seed)
+                        same = batch.column(0).take(pa.array([i] * len(some)))
+                        yield pa.RecordBatch.from_arrays([same, pa.array([size] * len(some), pa.int64()), *map(pa.array, found)], ["u", "n", "best", "worst", "maj"])
+
+    return run
+
+
 def bootstrap(df: DataFrame, uid: str, value: str, pred: str, order: str, resamples: int = 1000, seed: int = 42) -> DataFrame:
     """uid, n and mean and population deviation of best, worst and majority over resamples with replacement, for n = 2, 4, ... below N and N.
 
     The majority's value is the first drawn with the most frequent prediction, of ties the one drawn first. Draws are counter-based: a hash of
-    uid, n, resample and place. Groups of up to ARRAY_SAMPLES samples are drawn from as arrays, a resample a row; larger ones are spread by joining every draw
+    uid, n, resample and place. Groups of up to ARRAY_SAMPLES samples are drawn from as arrays, many draws at once; larger ones are spread by joining every draw
     with its sample, with the same result. Groups of one sample, and null uids, give no rows; nulls among values are skipped, null predictions are a prediction.
     """
     rows = df.where(F.col(uid).isNotNull()).select(F.col(uid).alias("u"), F.col(value).cast("double").alias("x"), F.coalesce(F.concat(F.lit("p"), F.col(pred).cast("string")), F.lit("")).alias("p"), F.col(order).alias("o")).where("x is not null")
     sizes = checkpointed(rows.groupBy("u").agg(F.count(F.lit(1)).alias("all")).where("all > 1"))
     tries = F.explode(F.sequence(F.lit(1), F.lit(resamples)))
-    small = rows.join(sizes.where(F.col("all") <= ARRAY_SAMPLES), "u").groupBy("u", "all").agg(F.array_sort(F.collect_list(F.struct("o", "x", "p"))).alias("s"))
-    each = small.withColumn("n", F.explode(draw_sizes(F.col("all")))).withColumn("r", tries)
-    at = F.transform(F.sequence(F.lit(0), F.col("n").cast("int") - 1), lambda i: drawn_index(F.col("u"), F.col("n"), F.col("r"), i, F.col("all"), seed))
-    taken = each.select("u", "n", F.transform(at, lambda i: F.get("s", i)).alias("d"))
-    taken = taken.select("u", "n", F.transform("d", lambda d: d["x"]).alias("xs"), F.transform("d", lambda d: d["p"]).alias("ps"))
-    kinds = taken.withColumn("kinds", F.array_distinct("ps"))
-    votes = kinds.withColumn("votes", F.transform("kinds", lambda k: F.size(F.filter("ps", lambda p: p == k))))
-    top = F.get("kinds", (F.array_position("votes", F.array_max("votes")) - 1).cast("int"))
-    outcomes = votes.select("u", "n", F.array_max("xs").alias("best"), F.array_min("xs").alias("worst"), F.get("xs", (F.array_position("ps", top) - 1).cast("int")).alias("maj"))
+    # a group's resamples are dealt out in parts of about PART_DRAWS draws
+    parts = F.greatest(F.lit(1), F.least(F.lit(resamples), F.ceil(F.col("all") * 3 * resamples / PART_DRAWS))).cast("int")
+    small = checkpointed(rows.join(sizes.where(F.col("all") <= ARRAY_SAMPLES), "u").groupBy("u", "all").agg(F.array_sort(F.collect_list(F.struct("o", "x", "p"))).alias("s")))
+    each = small.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    edge = lambda k: F.floor(k * resamples / F.col("parts")).cast("int") + 1
+    each = each.select("u", F.col("u").cast("string").alias("name"), F.transform("s", lambda x: x["x"]).alias("xs"), F.transform("s", lambda x: x["p"]).alias("ps"), edge(F.col("part")).alias("begin"), edge(F.col("part") + 1).alias("end"))
+    # tasks of bounded arrays: a part is dealt to one of as many tasks as the samples of all parts need
+    samples = small.agg(F.sum(F.col("all") * parts)).first()[0] or 0
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-samples // TASK_SAMPLES))
+    outcomes = each.repartition(tasks).mapInArrow(_outcomes(seed), f"u {rows.schema['u'].dataType.simpleString()}, n long, best double, worst double, maj double")
     large = sizes.where(F.col("all") > ARRAY_SAMPLES)
     if not large.isEmpty():
         ordered = with_row_index(rows.join(large, "u"), "u", "o", "x", "p")
