@@ -145,13 +145,15 @@ def stratified(
     where the level it is taken from has `least` rows and by_std holds. Strata between
     two and `least` rows give 0. The group's own term is divided from two rows on.
     """
+    # the columns of a wider window come first, and one sort in the finest order serves all three
     spec = {
-        "s": Window.partitionBy(uid, level, scenario), "c": Window.partitionBy(uid, scenario), "g": Window.partitionBy(uid),
+        "g": Window.partitionBy(uid), "c": Window.partitionBy(uid, scenario), "s": Window.partitionBy(uid, scenario, level),
     }
     stats = {
         f"_{k}{name}": f.over(w) for k, w in spec.items()
         for name, f in (("n", F.count(F.lit(1))), ("m", F.avg(score)), ("d", F.stddev_pop(score)))
     }
+    df = df.sortWithinPartitions(uid, scenario, level)
     df = df.withColumns(stats)
 
     def centred(k: str, rows: int) -> Column:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows of a task, about, where a table is dealt by a key.
+TASK_ROWS = 250_000
 ROW_ORDER = (
     "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax",
     "l_returnflag", "l_linestatus", "l_shipdate",
@@ -20,10 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """A table dealt by a key to as many tasks as hold about TASK_ROWS rows each, so that what a task sorts doesn't grow with the table."""
+    return df.repartition(max(1, -(-df.count() // TASK_ROWS)), key)
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """uid, pos (from 1), score, length, level, scenario, old_lp, lp, ref_lp."""
     w = Window.partitionBy("l_orderkey").orderBy(*ROW_ORDER)
-    return table(spark, sf_dir, "lineitem").select(
+    return dealt(table(spark, sf_dir, "lineitem"), "l_orderkey").select(
         F.col("l_orderkey").alias("uid"), F.row_number().over(w).alias("pos"), F.col("l_extendedprice").alias("score"),
         F.col("l_quantity").alias("length"), F.col("l_returnflag").alias("level"), F.col("l_linestatus").alias("scenario"),
         (-F.col("l_discount") * 10 - 0.1).alias("old_lp"), (-F.col("l_tax") * 10 - 0.2).alias("lp"),
