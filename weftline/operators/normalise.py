@@ -234,25 +234,18 @@ def task_policies(tasks: DataFrame) -> DataFrame:
 def state_changes(states: DataFrame, key: str, most_depth: int = 8) -> DataFrame:
     """(key, path, before, after): the leaves that differ between two states of a row, given as JSON texts in columns before and after.
 
-    Both states are opened level by level: an object or array gives a row for each member, anything else is a leaf; from
-    most_depth on a value is a leaf whatever it is. Leaves meet by (key, path) in one shuffle, in which each
+    Both states are opened level by level, in one pass over the rows: an object or array gives a row for each member, anything else is a
+    leaf and stays; from most_depth on a value is a leaf whatever it is. Leaves meet by (key, path) in one shuffle, in which each
     side counts once, so a wide state is spread over tasks. An empty object or array is a leaf. A null or broken
     state has no leaves. Keys are those of rows; rows with one key are taken as one state.
     """
-
-    def leaves(side: str) -> DataFrame:
-        now = states.select(F.col(key).alias("_row"), F.lit("$").alias("path"), F.try_parse_json(side).alias("v")).where("v is not null")
-        out = None
-        for _ in range(most_depth):
-            kind = F.schema_of_variant("v")
-            marked = now.withColumn("_open", (F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))) & ~F.to_json("v").isin("{}", "[]"))
-            leaf = marked.where("not _open").drop("_open")
-            out = leaf if out is None else out.unionByName(leaf)
-            inside = marked.where("_open").drop("_open").lateralJoin(states.sparkSession.tvf.variant_explode(F.col("v").outer()))
-            step = F.when(F.col("key").isNotNull(), F.concat(F.lit("."), F.col("key"))).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
-            now = inside.select("_row", F.concat("path", step).alias("path"), F.col("value").alias("v"))
-        return out.unionByName(now).select("_row", "path", F.to_json("v").alias("value"))
-
-    both = leaves("before").withColumn("side", F.lit(0)).unionByName(leaves("after").withColumn("side", F.lit(1)))
+    sides = F.explode(F.array(*[F.struct(F.lit(n).alias("side"), F.try_parse_json(c).alias("v")) for n, c in enumerate(("before", "after"))]))
+    both = states.select(F.col(key).alias("_row"), sides.alias("_s")).select("_row", "_s.side", F.lit("$").alias("path"), "_s.v").where("v is not null")
+    for _ in range(most_depth):
+        # a value without members has one row of nulls, and stays
+        inside = both.lateralJoin(states.sparkSession.tvf.variant_explode_outer(F.col("v").outer()))
+        step = F.when(F.col("key").isNotNull(), F.concat(F.lit("."), F.col("key"))).when(F.col("pos").isNotNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise("")
+        both = inside.select("_row", "side", F.concat("path", step).alias("path"), F.coalesce("value", "v").alias("v"))
+    both = both.select("_row", "side", "path", F.to_json("v").alias("value"))
     side = lambda n: F.max(F.when(F.col("side") == n, F.col("value")))
     return both.groupBy("_row", "path").agg(side(0).alias("before"), side(1).alias("after")).where("NOT before <=> after").withColumnRenamed("_row", key)
