@@ -9,19 +9,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Rows that a table function sees at once.
+SLICE = 500
+
 
 def generated(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], schema: StructType | str | None = None) -> DataFrame:
     """The rows that a table function makes of each Arrow batch of a table; it may give any number of rows, of the table's own schema by default.
 
-    The function sees a batch at a time, wherever Spark has cut the table, so what it makes of a row must not depend on others.
+    The function sees SLICE rows at a time, wherever Spark has cut the table, so what it makes of a row must not depend on others; what it
+    makes of one slice is handed on before the next, so a worker's memory doesn't grow with the table.
     """
 
-    @F.arrow_udtf(returnType=schema or df.schema)
-    class Maker:
-        def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
-            yield pa.Table.from_batches([make(batch)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, SLICE):
+                yield make(batch.slice(begin, SLICE))
 
-    return Maker(df.asTable())
+    return df.mapInArrow(run, schema or df.schema)
 
 
 def with_generated(df: DataFrame, new: DataFrame, length: Column | None = None, most: int | None = None) -> DataFrame:
