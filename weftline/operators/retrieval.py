@@ -6,13 +6,47 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import formatted_passages
 
-#: Vectors of a block, on either side.
-BLOCK = 2048
+#: Vectors of a block, on either side; those of a block of queries that meet a block of rows at once.
+BLOCK, TOGETHER = 2048, 256
+#: Bytes of an Arrow batch, as a pair of blocks is a wide row; numbers of an array that is made of some rows at once.
+BATCH_BYTES, NUMBERS = 16 << 20, 1 << 21
+
+
+def bounded_bytes(df: DataFrame) -> None:
+    """Let Arrow batches hold few bytes, as blocks of vectors are wide; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = df.sparkSession.conf.get(key)
+    if not (now.isdigit() and 0 < int(now) <= BATCH_BYTES):
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+
+
+def _matrix(vectors: pa.Array, kind=np.float64) -> np.ndarray:
+    """Vectors of one length as a matrix, without Python's own numbers."""
+    sizes = pc.unique(pc.list_value_length(vectors))
+    if len(sizes) > 1:
+        raise ValueError("vectors of different lengths")
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(len(vectors), -1)
+
+
+def _best(q: pa.Scalar, v: pa.Scalar, key: str, k: int, digits: int, unit: bool) -> Iterator[pa.RecordBatch]:
+    """The k rows of a block (id, e) that are nearest to each of a block of queries, some queries at a time; `unit` for vectors that are not of length 1 yet."""
+    qi, vi = (np.array(x.values.field("id").to_pylist()) for x in (q, v))
+    qe, ve = (_matrix(x.values.field("e")) for x in (q, v))
+    if unit:
+        qe, ve = (e / np.where((norms := np.sqrt((e**2).sum(1, keepdims=True))) == 0, 1, norms) for e in (qe, ve))
+    for at in range(0, len(qi), TOGETHER):
+        own = qi[at : at + TOGETHER]
+        cos = np.where(own[:, None] == vi[None, :], -np.inf, qe[at : at + TOGETHER] @ ve.T)
+        order = np.lexsort((np.broadcast_to(vi, cos.shape), -np.round(cos, digits)), axis=1)[:, :k]
+        best = np.take_along_axis(cos, order, 1)
+        some = np.isfinite(best)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, order.shape[1])[some.ravel()]), pa.array(vi[order][some]), pa.array(best[some])], ["query_id", key, "cosine"])
 
 
 def blocks(vectors: DataFrame, key: str, embedding: str, rows: int = BLOCK) -> DataFrame:
@@ -30,22 +64,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, embedding: str, k:
     """
     kind = vectors.schema[key].dataType.simpleString()
 
-    def unit(block) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array([x["id"] for x in block])
-        e = np.array([x["e"] for x in block], np.float64)
-        norms = np.sqrt((e**2).sum(1, keepdims=True))
-        return ids, e / np.where(norms == 0, 1, norms)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                (qi, qe), (vi, ve) = unit(q), unit(v)
-                cos = np.where(qi[:, None] == vi[None, :], -np.inf, qe @ ve.T)
-                order = np.lexsort((np.broadcast_to(vi, cos.shape), -np.round(cos, 12)), axis=1)[:, :k]
-                best = np.take_along_axis(cos, order, 1)
-                some = np.isfinite(best)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, order.shape[1])[some.ravel()]), pa.array(vi[order][some]), pa.array(best[some])], ["query_id", key, "cosine"])
+            for q, v in zip(batch.column(0), batch.column(1), strict=True):
+                yield from _best(q, v, key, k, 12, unit=True)
 
+    bounded_bytes(vectors)
     pairs = blocks(queries, key, embedding, rows).withColumnRenamed("v", "q").crossJoin(blocks(vectors, key, embedding, rows))
     found = pairs.mapInArrow(run, f"query_id {kind}, {key} {kind}, cosine double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 12)), key))
@@ -128,16 +152,19 @@ def _to_lists(vectors: DataFrame, key: str, embedding: str, centroids: np.ndarra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            e = np.array(batch.column(1).to_pylist(), np.float32).reshape(batch.num_rows, -1)
+            e = _matrix(batch.column(1), np.float32)
             norms = np.sqrt((e.astype(np.float64) ** 2).sum(1))
-            some = np.flatnonzero(norms > 0)
-            if not len(some) or not len(centroids):
-                continue
-            unit = (e[some] / norms[some, None]).astype(np.float32)
-            near = np.argsort(-(unit @ centroids.T), axis=1, kind="stable")[:, :probes]
-            each = np.repeat(np.arange(len(some)), near.shape[1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(near.ravel().astype(np.int32)), batch.column(0).take(pa.array(some[each])), pa.array(list(unit[each]), pa.list_(pa.float32()))], ["list", "id", "e"])
+            good = np.flatnonzero(norms > 0)
+            # as many rows at once as give arrays of about NUMBERS numbers
+            step = max(1, NUMBERS // max(1, len(centroids), min(probes, len(centroids)) * e.shape[1]))
+            for at in range(0, len(good) if len(centroids) else 0, step):
+                some = good[at : at + step]
+                unit = (e[some] / norms[some, None]).astype(np.float32)
+                near = np.argsort(-(unit @ centroids.T), axis=1, kind="stable")[:, :probes]
+                each = np.repeat(np.arange(len(some)), near.shape[1])
+                ends = np.arange(len(each) + 1, dtype=np.int32) * e.shape[1]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(near.ravel().astype(np.int32)), batch.column(0).take(pa.array(some[each])), pa.ListArray.from_arrays(pa.array(ends), pa.array(unit[each].ravel()))], ["list", "id", "e"])
 
     return vectors.where(F.col(embedding).isNotNull()).select(key, embedding).mapInArrow(run, f"list int, id {kind}, e array<float>")
 
@@ -159,15 +186,10 @@ def nearest_indexed(index: DataFrame, centroids: np.ndarray, queries: DataFrame,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                qi, vi = np.array([x["id"] for x in q]), np.array([x["id"] for x in v])
-                cos = np.array([x["e"] for x in q], np.float64) @ np.array([x["e"] for x in v], np.float64).T
-                cos = np.where(qi[:, None] == vi[None, :], -np.inf, cos)
-                order = np.lexsort((np.broadcast_to(vi, cos.shape), -np.round(cos, 6)), axis=1)[:, :k]
-                best = np.take_along_axis(cos, order, 1)
-                some = np.isfinite(best)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, order.shape[1])[some.ravel()]), pa.array(vi[order][some]), pa.array(best[some])], ["query_id", key, "cosine"])
+            for q, v in zip(batch.column(0), batch.column(1), strict=True):
+                yield from _best(q, v, key, k, 6, unit=False)
 
+    bounded_bytes(queries)
     asked = _packed(_to_lists(queries, key, embedding, centroids, probes), "q", rows)
     found = asked.join(_packed(index, "v", rows), "list").select("q", "v").mapInArrow(run, f"query_id {kind}, {key} {kind}, cosine double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 6)), key))
