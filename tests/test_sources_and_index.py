@@ -112,6 +112,20 @@ def test_schema_errors(spark):
     assert {i: (got[i], due(a, s), a, s) for i, a, s in rows if got[i] != due(a, s)} == {}
 
 
+def test_rules_are_made_once_for_many_arguments(spark):
+    """Rules of one row, met by arguments of every odd form: what doesn't parse, keys with quotes, numbers written otherwise, null among types."""
+    schema = '{"parameters":{"required":["a","a",1],"properties":{"a":{"type":["integer",null]},"b\'":{"enum":[1.0,"1",[1],{"y":2,"x":1}]},"c\\"":{"type":"null"},"d":7}}}'
+    given = [None, "{bad", "[]", '{"a":1,"a":2}', '{"a":1e2,"d":0}', '{"a":1.5,"b\'":true}', '{"b\'":[1.0]}', '{"b\'":{"x":1,"y":2},"c\\"":null,"1":0}', '{"a":99999999999999999999,"c\\"":"null"}']
+    rules = spark.range(1).select(contracts.schema_rules(F.lit(schema)).alias("r"))
+    df = spark.createDataFrame(list(enumerate(given)), "i int, a string")
+    got = {r.i: (r.e.valid, r.e.missing, r.e.unexpected, r.e.type_errors, r.e.enum_errors) for r in df.crossJoin(rules).select("i", contracts.rule_errors(F.col("a"), F.col("r")).alias("e")).collect()}
+    broken = (False, [], [], ["arguments must be object"], [])
+    assert got == {
+        0: broken, 1: broken, 2: broken, 3: broken, 4: (False, ["1"], [], [], []), 5: (False, ["1"], [], ["a"], []), 6: (False, ["a", "1"], [], [], []),
+        7: (False, ["a"], ["1"], [], []), 8: (False, ["1"], [], ['c"'], [])}
+    assert got == {r.i: tuple(r.e) for r in df.select("i", contracts.schema_errors(F.col("a"), F.lit(schema)).alias("e")).collect()}
+
+
 def test_generated_rows(spark):
     df = spark.createDataFrame([(i, "x" * i) for i in range(50)], "i long, t string").repartition(3)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.contracts import member, members, schema_errors
+from weftline.functions.contracts import member, members, rule_errors, schema_rules
 from weftline.operators.tasks import catalogue, routed
 
 # Types of errors and the messages of the checks.
@@ -32,8 +32,8 @@ def executed(calls: DataFrame, tools: DataFrame, responses: DataFrame) -> DataFr
     required = F.transform(members(member(F.coalesce(member(schema, F.lit("input_schema")), member(schema, F.lit("parameters"))), F.lit("required"))), text)
     named = tools.select("tool", F.coalesce("server", F.lit("")).alias("server"), "schema", required.alias("required"), "nth")
     routes = routed(calls.select("id", "tool", "domain", keys.alias("keys")), named).select("id", "server")
-    known = calls.join(routes, "id").join(catalogue(named.select("tool", "server", "schema")), ["tool", "server"], "left")
-    known = known.withColumn("_e", schema_errors(F.coalesce("arguments", F.lit("{}")), F.col("schema")))
+    known = calls.join(routes, "id").join(catalogue(named.select("tool", "server", schema_rules(F.col("schema")).alias("rules"))), ["tool", "server"], "left")
+    known = known.withColumn("_e", rule_errors(F.coalesce("arguments", F.lit("{}")), F.col("rules")))
     there = responses.select(F.col("id"), *[F.col(c).alias(f"_{c}") for c in ("success", "observation", "error_type", "error_message", "state_changed", "transport", "handled", "raised")], F.lit(True).alias("_answered"))
     r = known.join(there, "id", "left")
     blocked, unknown = F.coalesce(F.array_contains("blocked", F.col("tool")), F.lit(False)), F.col("server").isNull()

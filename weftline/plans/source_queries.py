@@ -68,7 +68,8 @@ def schema_errors(s, d):
     value = F.when(F.col("b") == 0, "1").when(F.col("b") == 1, '"1"').when(F.col("b") == 2, "null").when(F.col("b") == 3, "2.5").when(F.col("b") == 4, "[1]").otherwise("true")
     key = F.when(F.col("a") == 0, "n").when(F.col("a") == 1, "f").when(F.col("a") == 2, "o").when(F.col("a") == 3, "e").when(F.col("a") == 4, "kind").when(F.col("a") == 5, "any").otherwise("extra")
     text = F.when(F.col("event_id") % 11 == 0, "[]").otherwise(F.concat(F.lit("{"), F.when(F.col("event_id") % 3 > 0, '"id":"i",').otherwise(""), F.lit('"'), key, F.lit('":'), value, F.lit("}")))
-    out = e.select("event_id", contracts.schema_errors(text, F.lit(schema)).alias("e"))
+    rules = s.range(1).select(contracts.schema_rules(F.lit(schema)).alias("rules"))
+    out = e.select("event_id", text.alias("text")).crossJoin(F.broadcast(rules)).select("event_id", contracts.rule_errors(F.col("text"), F.col("rules")).alias("e"))
     return out.select("event_id", "e.valid", *[F.array_join(f"e.{c}", ",").alias(c) for c in ("missing", "unexpected", "type_errors", "enum_errors")])
 
 
