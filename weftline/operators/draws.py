@@ -20,6 +20,8 @@ from weftline.session import checkpointed
 
 #: Rows of a block, and children of a node, about.
 BLOCK_ROWS, FAN = 1000, 256
+#: Rows that a task deals with at most, about.
+ROWS_OF_TASK = 250_000
 #: Fixed value: added to every weight.
 LEAST_WEIGHT = 1e-8
 #: Samples up to which a group is drawn from as an array; a larger one is joined with its draws.
@@ -32,7 +34,7 @@ MD5_ADD = [np.uint32(int(abs(sin(i + 1)) * 2**32)) for i in range(64)]
 MD5_TURN = [[np.uint32(x) for x in row] for row in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))]
 
 
-def counts_of(seed: int, level: int, node: int, n: int, weights: list[float]) -> np.ndarray:
+def counts_of(seed: int, level: int, node: int, n: int, weights: np.ndarray) -> np.ndarray:
     """How often each of the weights is drawn in n draws; the same for the same arguments."""
     if n == 0:
         return np.zeros(len(weights), np.int64)
@@ -47,7 +49,8 @@ def multinomial(df: DataFrame, weight: str, key: list[str], seed: int, draws: in
     Rows are dealt to blocks by a hash of their key. Block weights are added up a tree of FAN children a
     node; counts are then split down it, each node's among its children by their weights, and last
     among the rows of a block. Multinomial counts split so are multinomial. Each node is one row for a task, so nothing is
-    gathered beyond a block or a node's children, and sums run in the order of keys, so reruns agree to the last bit.
+    gathered beyond a block or a node's children, and sums run in the order of keys, so reruns agree to the last bit. Rows are
+    shuffled once, to the task of their block, where their counts meet them.
 
     A null or negative weight counts as zero, and LEAST_WEIGHT is added to each. Rows of equal keys share a block and
     are told apart by their weights, and by nothing if these are equal too. No rows give none.
@@ -58,9 +61,12 @@ def multinomial(df: DataFrame, weight: str, key: list[str], seed: int, draws: in
     blocks = max(1, -(-total // BLOCK_ROWS))
     w = F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0)) + F.lit(LEAST_WEIGHT)
     name = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(key)])
-    rows = df.select(name.alias("name"), w.alias("w"), F.pmod(F.xxhash64(*key), F.lit(blocks)).alias("node"))
-    # children of a node in a fixed order, with their weights
-    level = checkpointed(rows.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("name", "w"))).alias("c")).select("node", F.transform("c", lambda c: c["w"]).alias("weights"), F.transform("c", lambda c: c["name"]).alias("names")))
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), -(-total // ROWS_OF_TASK))
+    rows = df.select(F.struct(*df.columns).alias("row"), name.alias("name"), w.alias("w"), F.pmod(F.xxhash64(*key), F.lit(blocks)).alias("node")).repartition(tasks, "node")
+    # rows stay where their block is; a block's weights are in the order of its keys
+    rows = checkpointed(rows.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("name", "w")) - 1).drop("name"))
+    weights = F.sort_array(F.collect_list(F.struct("place", "w")))
+    level = checkpointed(rows.groupBy("node").agg(weights.alias("c")).select("node", F.transform("c", lambda c: c["w"]).alias("weights")))
     leaves, tree, now = level, [], level.select("node", F.aggregate("weights", F.lit(0.0), lambda a, x: a + x).alias("w"))
     size = blocks
     while size > 1:
@@ -73,23 +79,21 @@ def multinomial(df: DataFrame, weight: str, key: list[str], seed: int, draws: in
     def split(depth: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                columns = [batch.column(i).to_pylist() for i in range(3)]
-                found = [counts_of(seed, depth, node, n, weights).tolist() for node, n, weights in zip(*columns, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "counts"])
+                lists = batch.column(2)
+                ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+                found = [counts_of(seed, depth, node, n, values[a:b]) for node, n, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ends[:-1], ends[1:], strict=True)]
+                counts = pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *found]), pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), counts], ["node", "counts"])
         return run
 
     counts = session.createDataFrame([(0, draws)], "node long, n long")
     for depth, nodes in [*reversed(list(enumerate(tree, 1))), (0, leaves)]:
         given = nodes.join(counts, "node").select("node", "n", "weights").mapInArrow(split(depth), "node long, counts array<long>")
         given = checkpointed(given)
-        each = nodes.join(given, "node").select(F.posexplode(F.arrays_zip("names", "counts")).alias("pos", "z"))
         if depth:
+            each = nodes.join(given, "node").select(F.explode(F.arrays_zip("names", "counts")).alias("z"))
             counts = each.where("z.counts > 0").select(F.col("z.names").alias("node"), F.col("z.counts").alias("n"))
-    # rows of one key are told apart by their place among them, by weight, as the block has them
-    nth = lambda by: F.row_number().over(Window.partitionBy("_name").orderBy(by))
-    drawn = each.select(F.col("z.names").alias("_name"), F.col("z.counts").alias("copies"), "pos").withColumn("_nth", nth("pos")).where("copies > 0").drop("pos")
-    placed = df.select(F.struct(*df.columns).alias("_row"), name.alias("_name"), w.alias("_w")).withColumn("_nth", nth("_w"))
-    return placed.join(drawn, ["_name", "_nth"]).select("_row.*", "copies")
+    return rows.join(given, "node").select("row", F.get("counts", F.col("place")).alias("copies")).where("copies > 0").select("row.*", "copies")
 
 
 def draw_sizes(n: Column) -> Column:
