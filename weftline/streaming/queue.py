@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -20,6 +21,8 @@ from weftline.streaming.audit import STORE
 
 QUEUE_OUT = "queue string, seq long, payload string, param_version int, event string, produced long, dropped long"
 ITEM = "seq long, payload string, param_version int"
+#: Messages of a frame that a queue hands on.
+FRAME_ROWS = 10_000
 
 
 class Queues(StatefulProcessor):
@@ -33,23 +36,34 @@ class Queues(StatefulProcessor):
         self.counts = handle.getValueState("counts", "produced long, dropped long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        names = [c.split()[0] for c in ITEM.split(", ")]
-        held = pd.DataFrame(list(self.items.get()) if self.items.exists() else [], columns=names)
+        held = list(self.items.get()) if self.items.exists() else []
         produced, dropped = self.counts.get() if self.counts.exists() else (0, 0)
-        new = pd.concat(list(rows)).sort_values("seq", kind="stable")[names]
-        every = pd.concat([held, new], ignore_index=True)
+        # of what comes only numbers and Arrow texts are held; frames are as long as a batch
+        seqs, texts, versions = ([np.array([m[0] for m in held], np.int64)], [pa.array([m[1] for m in held], pa.large_string())], [np.array([m[2] for m in held], np.int32)])
+        for frame in rows:
+            seqs.append(frame["seq"].to_numpy())
+            texts.append(pa.array(frame["payload"], pa.large_string(), from_pandas=True))
+            versions.append(frame["param_version"].to_numpy())
+        seq, text, version = np.concatenate(seqs), pa.concat_arrays(texts), np.concatenate(versions)
+        del seqs, texts, versions
+        order = np.concatenate([np.arange(len(held)), len(held) + np.argsort(seq[len(held):], kind="stable")])
+        new = len(order) - len(held)
         # the n-th message to go is pushed out by the n-th that comes when the queue is full
-        gone = max(0, len(every) - self.capacity)
-        at = max(0, self.capacity - len(held)) + np.arange(gone)
-        lost = every.iloc[:gone].assign(event="dropped", produced=produced + at, dropped=dropped + 1 + np.arange(gone))
-        taken = every.iloc[gone : gone + self.release].assign(event="taken", produced=produced + len(new), dropped=dropped + gone)
-        left = every.iloc[gone + len(taken) :]
+        gone = max(0, len(order) - self.capacity)
+        left = order[gone + self.release :]
         if len(left):
-            self.items.put([(int(q), p, int(v)) for q, p, v in left.itertuples(index=False)])
+            self.items.put([(int(q), p, int(v)) for q, p, v in zip(seq[left], text.take(pa.array(left)).to_pylist(), version[left], strict=True)])
         else:
             self.items.clear()
-        self.counts.update((produced + len(new), dropped + gone))
-        yield pd.concat([lost, taken]).assign(queue=key[0])[[c.split()[0] for c in QUEUE_OUT.split(", ")]]
+        self.counts.update((produced + new, dropped + gone))
+
+        def frame_of(at: np.ndarray, event: str, made, lost) -> pd.DataFrame:
+            return pd.DataFrame({"queue": key[0], "seq": seq[at], "payload": text.take(pa.array(at)).to_pandas(), "param_version": version[at], "event": event, "produced": made, "dropped": lost})
+
+        for begin in range(0, gone, FRAME_ROWS):
+            nth = np.arange(begin, min(gone, begin + FRAME_ROWS))
+            yield frame_of(order[nth], "dropped", produced + max(0, self.capacity - len(held)) + nth, dropped + 1 + nth)
+        yield frame_of(order[gone : gone + self.release], "taken", produced + new, dropped + gone)
 
     def close(self) -> None:
         pass
