@@ -9,6 +9,8 @@ from weftline.llm.common import checkpointed
 
 #: Minima of so many nodes are broadcast to their edges; beyond, the join is shuffled.
 BROADCAST_NODES = 300_000
+#: Edges of a task, about: a round over few edges has few tasks and no shuffle, whatever the session's number of partitions.
+TASK_EDGES = 50_000
 
 
 def stars(edges: DataFrame) -> DataFrame:
@@ -20,7 +22,8 @@ def stars(edges: DataFrame) -> DataFrame:
     node's minimum is aggregated before it is joined back, so a hub's edges are
     never gathered in one task: they are partially aggregated, and the join is a
     broadcast for a counted small table or else one whose skewed keys Spark splits.
-    Every round is written to the shared checkpoint folder.
+    Every round is written to the shared checkpoint folder, by tasks of about
+    TASK_EDGES edges, as the rounds of a small graph would else cost many empty tasks.
     """
     now = checkpointed(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     mark = None
@@ -29,12 +32,14 @@ def stars(edges: DataFrame) -> DataFrame:
         if tuple(seen) == mark or seen[0] == 0:
             return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
         mark = tuple(seen)
+        tasks = max(1, -(-seen[0] // TASK_EDGES))
+        now = now.coalesce(tasks)
         small = seen[0] <= BROADCAST_NODES
         held = F.broadcast if small else checkpointed  # a stored table, so that Spark can split the partition of a hub
         both = now.union(now.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(held(least), "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
-        large = checkpointed(large)
+        large = checkpointed(large).coalesce(tasks)
         # every edge now runs from a smaller a to a larger b: b's smaller neighbours and b itself link to the least of them
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         minima = held(least)
