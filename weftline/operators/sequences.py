@@ -26,28 +26,37 @@ def _scanned(lists: pa.Array, factors: pa.Array) -> pa.Array:
     lists = lists if lists.offset == 0 else pa.concat_arrays([lists])
     ends = lists.offsets.to_numpy()
     y = np.nan_to_num(lists.values.fill_null(0.0).to_numpy(zero_copy_only=False).astype(float))
-    # how many elements of its sequence follow each element, and the factor of its sequence
+    # how many elements of its sequence follow each element, and its factor: that of its sequence, or its own
     sizes = np.diff(ends)
     rest = np.repeat(ends[1:], sizes) - np.arange(ends[0], ends[-1]) - 1
-    power = np.repeat(factors.to_numpy(zero_copy_only=False).astype(float), sizes)
+    if pa.types.is_list(factors.type):
+        own = factors.offsets.to_numpy()
+        power = np.array(factors.values.to_numpy(zero_copy_only=False)[own[0] : own[-1]], float)
+    else:
+        power = np.repeat(factors.to_numpy(zero_copy_only=False).astype(float), sizes)
     begin, step = ends[0], 1
     while step <= rest.max(initial=0):
         within = np.flatnonzero(rest >= step)
         y[begin + within] = y[begin + within] + power[within] * y[begin + within + step]
-        power, step = power * power, step * 2
+        power[within] = power[within] * power[within + step]
+        step *= 2
     out = pa.ListArray.from_arrays(lists.offsets, pa.array(y))
     return pc.if_else(lists.is_valid(), out, None) if lists.null_count else out
 
 
-def scanned_back(values: Column, factor: float) -> Column:
-    """y[i] = x[i] + factor * y[i + 1] over an array; nulls and NaN count as 0. Pass k adds what the 2^k elements from 2^k on have summed up."""
-    return _scanned(values, F.lit(float(factor)))
+def scanned_back(values: Column, factor: float | Column) -> Column:
+    """y[i] = x[i] + factor * y[i + 1] over an array; nulls and NaN count as 0. Pass k adds what the 2^k elements from 2^k on have summed up.
+
+    A column of factors is an array as long as the values: element i has the factor of y[i + 1].
+    """
+    return _scanned(values, factor if isinstance(factor, Column) else F.lit(float(factor)))
 
 
-def folded_back(df: DataFrame, uid: str, pos: str, value: str, factor: float, out: str, *more: str) -> DataFrame:
-    """(uid, pos, more, out) with the scan above over each sequence; sequences spread over tasks by key."""
-    steps = df.groupBy(uid).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(value).cast("double").alias("x"), *more))).alias("steps"))
-    both = F.arrays_zip("steps", scanned_back(F.transform("steps", lambda s: s["x"]), factor).alias("y"))
+def folded_back(df: DataFrame, uid: str, pos: str, value: str, factor: float | str, out: str, *more: str) -> DataFrame:
+    """(uid, pos, more, out) with the scan above over each sequence; sequences spread over tasks by key. A name is that of a column of factors."""
+    own = [F.col(factor).cast("double").alias("f")] if isinstance(factor, str) else []
+    steps = df.groupBy(uid).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(value).cast("double").alias("x"), *own, *more))).alias("steps"))
+    both = F.arrays_zip("steps", scanned_back(F.transform("steps", lambda s: s["x"]), F.transform("steps", lambda s: s["f"]) if own else factor).alias("y"))
     return steps.select(uid, F.explode(both).alias("s")).select(uid, F.col("s.steps.p").alias(pos), *[F.col(f"s.steps.{m}") for m in more], F.col("s.y").alias(out))
 
 
@@ -81,10 +90,14 @@ def gae(
         steps = df.select(uid, pos, F.col(value).alias("v"), (F.col(reward) + gamma * after - F.col(value)).alias("delta"))
         out = folded_back(steps, uid, pos, "delta", gamma * lam, "advantage", "v").select(uid, pos, "advantage", (F.col("advantage") + F.col("v")).alias("returns"))
         return masked_whiten(out.withColumn("_one", F.lit(1.0)), "advantage", "_one", "advantage").drop("_one") if whiten else out
-    inside = gae(df.where(F.col(mask) != 0), uid, pos, reward, value, gamma, lam).select(uid, pos, F.col("advantage").alias("_a"))
-    later = Window.partitionBy(uid).orderBy(pos).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    out = df.select(uid, pos, F.col(value).alias("_value"), F.col(mask).alias("_in")).join(inside, [uid, pos], "left")
-    out = out.withColumn("advantage", F.coalesce(F.first("_a", ignorenulls=True).over(later), F.lit(0.0))).withColumn("returns", F.col("advantage") + F.col("_value"))
+    # one recurrence over all tokens: one outside the mask adds nothing and hands on what the next has
+    inside = F.coalesce(F.col(mask) != 0, F.lit(False))
+    later = Window.partitionBy(uid).orderBy(F.col(pos).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    after = F.coalesce(F.last(F.when(inside, F.struct(F.col(value).alias("v"))), ignorenulls=True).over(later)["v"], F.lit(0.0))
+    steps = df.select(
+        uid, pos, F.col(value).alias("_value"), F.col(mask).alias("_in"), F.when(inside, gamma * lam).otherwise(1.0).alias("_factor"),
+        F.when(inside, F.col(reward) + gamma * after - F.col(value)).otherwise(0.0).alias("_delta"))
+    out = folded_back(steps, uid, pos, "_delta", "_factor", "advantage", "_value", "_in").withColumn("returns", F.col("advantage") + F.col("_value"))
     return (masked_whiten(out, "advantage", "_in", "advantage") if whiten else out).select(uid, pos, "advantage", "returns")
 
 
